@@ -1,0 +1,641 @@
+"""Registered queries over the dictionary derived from the driver tables.
+
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame of flat scalar
+columns; ``ORACLE`` holds the matching DuckDB SQL. Request sets are derived
+from the tables themselves, so every query's work grows with the data.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dictgraph import oracle_sql as osql
+from dictgraph.functions.keys import blob_key
+from dictgraph.operators.blobs import fetch_blobs
+from dictgraph.operators.expand import expand_enum
+from dictgraph.operators.fields import descriptor_fields
+from dictgraph.operators.membership import (
+    check_membership,
+    membership_pairs,
+    resolve_then_check,
+    validate_column,
+)
+from dictgraph.operators.resolve import resolve_in_graph
+from dictgraph.operators.search import (
+    domain_filter,
+    domain_index,
+    identifier_index,
+    identifier_search,
+    segment_index,
+    segment_search,
+    term_list_view,
+    text_index,
+    text_index_frame,
+    text_search,
+)
+from dictgraph.operators.terms import lookup_terms, resolve_alias
+from dictgraph.sources.derived import derive_dictionary, read_tables
+
+_CACHE: dict[tuple, dict] = {}
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    key = (id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = derive_dictionary(spark, sf_dir)
+    return _CACHE[key]
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    t = read_tables(spark, sf_dir, names)
+    return [t[n] for n in names]
+
+
+def _long(*cols):
+    return [F.col(c).cast("long").alias(c) for c in cols]
+
+
+def endpoint_keys(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    ends = edges.select(F.expr("substr(_from, 7)").alias("gid")).union(edges.select(F.expr("substr(_to, 7)").alias("gid")))
+    return ends.union(terms.select(F.col("_key").alias("gid"))).distinct()
+
+
+# ------------------------------------------------------------------ O4c
+
+def q_validate_events(spark, sf_dir, mode="flag"):
+    d = dictionary(spark, sf_dir)
+    (events,) = tables(spark, sf_dir, "events")
+    fact = events.select("event_id", "event_type")
+    out = validate_column(fact, F.concat(F.lit("event_kind_"), F.col("event_type")), "event_kind", d["edges"], mode=mode)
+    return out
+
+
+ORACLE_VALIDATE = {
+    "flag": """SELECT event_id, event_type, EXISTS (SELECT 1 FROM edges e WHERE e._from = concat('terms/event_kind_', ev.event_type)
+               AND e._predicate = '_predicate_enum-of' AND list_contains(e._path, 'terms/event_kind')) AS is_valid FROM events ev""",
+    "valid": """SELECT event_id, event_type FROM events ev WHERE EXISTS (SELECT 1 FROM edges e WHERE e._from = concat('terms/event_kind_', ev.event_type)
+               AND e._predicate = '_predicate_enum-of' AND list_contains(e._path, 'terms/event_kind'))""",
+    "invalid": """SELECT event_id, event_type FROM events ev WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e._from = concat('terms/event_kind_', ev.event_type)
+               AND e._predicate = '_predicate_enum-of' AND list_contains(e._path, 'terms/event_kind'))""",
+}
+
+# ------------------------------------------------------------------ O4 / O4b
+
+MEMBERSHIP_ROOTS = ["geo", "mkt", "supply", "nation_code"]
+
+
+def _membership_inputs(spark, sf_dir):
+    customer, orders, supplier = tables(spark, sf_dir, "customer", "orders", "supplier")
+    terms_req = reduce(
+        DataFrame.unionByName,
+        [
+            customer.select((F.col("c_custkey") * 3).alias("pos"), F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("gid")),
+            orders.select((F.col("o_orderkey") * 3 + 1).alias("pos"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("gid")),
+            supplier.select((F.col("s_suppkey") * 3 + 2).alias("pos"), F.concat(F.lit("supp_"), F.col("s_suppkey").cast("string")).alias("gid")),
+        ],
+    )
+    roots_req = spark.createDataFrame(list(enumerate(MEMBERSHIP_ROOTS)), "pos long, gid string")
+    return terms_req, roots_req
+
+
+_MEMBERSHIP_REQ_SQL = """
+treq AS (
+  SELECT c_custkey * 3 AS pos, concat('cust_', CAST(c_custkey AS STRING)) AS gid FROM customer
+  UNION ALL SELECT o_orderkey * 3 + 1, concat('order_', CAST(o_orderkey AS STRING)) FROM orders
+  UNION ALL SELECT s_suppkey * 3 + 2, concat('supp_', CAST(s_suppkey AS STRING)) FROM supplier
+),
+rreq AS (SELECT * FROM (VALUES (0, 'geo'), (1, 'mkt'), (2, 'supply'), (3, 'nation_code')) v(pos, gid)),
+pairs AS (
+  SELECT DISTINCT t.gid AS term, r.gid AS root
+  FROM (SELECT DISTINCT gid FROM treq) t JOIN membership m ON m.leaf = concat('terms/', t.gid)
+  JOIN (SELECT DISTINCT gid FROM rreq) r ON m.root_h = concat('terms/', r.gid)
+)"""
+
+
+def q_membership_counts(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    terms_req, roots_req = _membership_inputs(spark, sf_dir)
+    out = check_membership(terms_req, roots_req, d["edges"])
+    return out.select(
+        "gid",
+        F.col("pos").cast("long").alias("pos"),
+        F.size("roots").cast("long").alias("n_roots"),
+        F.array_join("roots", ",").alias("roots_csv"),
+    )
+
+
+ORACLE_MEMBERSHIP_COUNTS = osql.with_(
+    """
+SELECT t.gid, CAST(t.pos AS BIGINT) AS pos, CAST(count(p.root) AS BIGINT) AS n_roots,
+       coalesce(string_agg(p.root, ',' ORDER BY r.pos), '') AS roots_csv
+FROM (SELECT gid, min(pos) AS pos FROM treq GROUP BY gid) t
+LEFT JOIN pairs p ON p.term = t.gid
+LEFT JOIN rreq r ON r.gid = p.root
+GROUP BY t.gid, t.pos""",
+    extra=_MEMBERSHIP_REQ_SQL,
+)
+
+
+def q_membership_pairs(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    terms_req, roots_req = _membership_inputs(spark, sf_dir)
+    return membership_pairs(terms_req, roots_req, d["edges"])
+
+
+ORACLE_MEMBERSHIP_PAIRS = osql.with_("SELECT term, root FROM pairs", extra=_MEMBERSHIP_REQ_SQL)
+
+# ------------------------------------------------------------------ O1 / O2
+
+
+def q_resolve_alias(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    req = endpoint_keys(d["edges"], d["terms"])
+    return resolve_alias(req, d["terms"], d["edges"], with_doc=False).select("gid", "resolved_gid", "status")
+
+
+ORACLE_RESOLVE_ALIAS = osql.with_(
+    """
+SELECT e.gid, r.resolved_gid, CASE WHEN r.resolved_gid IS NULL THEN 'not_found' ELSE 'ok' END AS status
+FROM endpoint_keys e LEFT JOIN resolved r ON r.gid = e.gid""",
+    extra=osql.resolve_keys_cte("SELECT gid FROM endpoint_keys"),
+)
+
+
+def q_lookup_terms(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (customer,) = tables(spark, sf_dir, "customer")
+    req = customer.select(
+        (F.col("c_custkey") * 2).alias("pos"), F.concat(F.lit("nation_code_"), F.col("c_nationkey").cast("string")).alias("gid")
+    ).unionByName(
+        customer.select((F.col("c_custkey") * 2 + 1).alias("pos"), F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("gid"))
+    )
+    out = lookup_terms(req, d["terms"], d["edges"], with_doc=True)
+    return out.select(
+        F.col("pos").cast("long").alias("pos"),
+        "gid",
+        "resolved_gid",
+        F.try_variant_get("doc", "$._info._title.ISO_639_3_eng", "string").alias("title"),
+    )
+
+
+_LOOKUP_REQ = """SELECT c_custkey * 2 AS pos, concat('nation_code_', CAST(c_nationkey AS STRING)) AS gid FROM customer
+UNION ALL SELECT c_custkey * 2 + 1, concat('cust_', CAST(c_custkey AS STRING)) FROM customer"""
+
+ORACLE_LOOKUP_TERMS = osql.with_(
+    f"""
+SELECT CAST(q.pos AS BIGINT) AS pos, q.gid, r.resolved_gid, json_extract_string(t.doc, '$._info._title.ISO_639_3_eng') AS title
+FROM ({_LOOKUP_REQ}) q JOIN resolved r ON r.gid = q.gid JOIN terms t ON t._key = r.resolved_gid""",
+    extra=osql.resolve_keys_cte(_LOOKUP_REQ),
+)
+
+# ------------------------------------------------------------------ O3
+
+
+def _expand_out(df):
+    return df.select(*_long("request_id"), "gid", "predicate", *_long("level"), "parent", *_long("hops"))
+
+
+def q_expand_geo_l4(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    req = _all_roots(d["edges"]).filter(F.col("root") == "geo").select(F.lit(1).cast("long").alias("request_id"), "root")
+    return _expand_out(expand_enum(req, d["edges"], levels=4))
+
+
+_EXPAND_GEO_REQ = "SELECT DISTINCT CAST(1 AS BIGINT) AS request_id, 'geo' AS root, CAST(NULL AS VARCHAR) AS branch FROM edges WHERE list_contains(_path, 'terms/geo')"
+
+
+def q_expand_regions(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (region,) = tables(spark, sf_dir, "region")
+    req = region.select(
+        F.col("r_regionkey").cast("long").alias("request_id"),
+        F.lit("geo").alias("root"),
+        F.concat(F.lit("geo_region_"), F.col("r_regionkey").cast("string")).alias("branch"),
+    )
+    return _expand_out(expand_enum(req, d["edges"], levels=3))
+
+
+_EXPAND_REGIONS_REQ = "SELECT CAST(r_regionkey AS BIGINT) AS request_id, 'geo' AS root, concat('geo_region_', CAST(r_regionkey AS STRING)) AS branch FROM region"
+
+
+def q_expand_branch_nations(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (nation,) = tables(spark, sf_dir, "nation")
+    req = nation.select(
+        F.col("n_nationkey").cast("long").alias("request_id"),
+        F.lit("geo").alias("root"),
+        F.concat(F.lit("geo_nation_"), F.col("n_nationkey").cast("string")).alias("branch"),
+    )
+    return _expand_out(expand_enum(req, d["edges"], levels=2))
+
+
+_EXPAND_NATIONS_REQ = "SELECT CAST(n_nationkey AS BIGINT) AS request_id, 'geo' AS root, concat('geo_nation_', CAST(n_nationkey AS STRING)) AS branch FROM nation"
+
+
+def _all_roots(edges: DataFrame) -> DataFrame:
+    roots = edges.select(F.explode(F.array_distinct("_path")).alias("root_h")).distinct()
+    return roots.select(F.expr("substr(root_h, 7)").alias("root"))
+
+
+def q_expand_all_roots(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    req = _all_roots(d["edges"]).select(F.xxhash64("root").alias("request_id"), "root")
+    out = expand_enum(req, d["edges"], levels=2)
+    return out.join(req, "request_id").select(
+        "root", "gid", "predicate", F.col("level").cast("long").alias("level"), "parent", F.col("hops").cast("long").alias("hops")
+    )
+
+
+def q_expand_outbound_orders(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (orders,) = tables(spark, sf_dir, "orders")
+    req = orders.select(
+        F.col("o_orderkey").cast("long").alias("request_id"),
+        F.lit("geo").alias("root"),
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("branch"),
+    )
+    return _expand_out(expand_enum(req, d["edges"], levels=4, direction="outbound"))
+
+
+_EXPAND_ORDERS_REQ = "SELECT CAST(o_orderkey AS BIGINT) AS request_id, 'geo' AS root, concat('order_', CAST(o_orderkey AS STRING)) AS branch FROM orders"
+
+
+def _oracle_all_roots() -> str:
+    req = "SELECT DISTINCT 0 AS request_id, substr(root_h, 7) AS root, CAST(NULL AS VARCHAR) AS branch FROM (SELECT unnest(list_distinct(_path)) AS root_h FROM edges)"
+    # request ids are irrelevant once the root is reported: use the root.
+    sql = osql.expand_sql(req.replace("0 AS request_id", "substr(root_h, 7) AS request_id"), 2)
+    sql = sql.replace("CAST(request_id AS BIGINT) AS request_id", "request_id AS root")
+    return sql
+
+
+# ------------------------------------------------------------------ O5 / O6
+
+
+def _resolve_out(df):
+    return df.select(*_long("request_id"), "target", "resolved_gid", "status", *_long("hops"))
+
+
+def _geo_targets(spark, sf_dir):
+    region, nation, customer, orders = tables(spark, sf_dir, "region", "nation", "customer", "orders")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            region.select((F.col("r_regionkey") * 4).cast("long").alias("request_id"), F.concat(F.lit("geo_region_"), F.col("r_regionkey").cast("string")).alias("target")),
+            nation.select((F.col("n_nationkey") * 4 + 1).cast("long").alias("request_id"), F.concat(F.lit("geo_nation_"), F.col("n_nationkey").cast("string")).alias("target")),
+            customer.select((F.col("c_custkey") * 4 + 2).cast("long").alias("request_id"), F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("target")),
+            orders.select((F.col("o_orderkey") * 4 + 3).cast("long").alias("request_id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("target")),
+        ],
+    )
+
+
+_GEO_TARGETS_SQL = """
+SELECT r_regionkey * 4 AS request_id, concat('geo_region_', CAST(r_regionkey AS STRING)) AS target FROM region
+UNION ALL SELECT n_nationkey * 4 + 1, concat('geo_nation_', CAST(n_nationkey AS STRING)) FROM nation
+UNION ALL SELECT c_custkey * 4 + 2, concat('cust_', CAST(c_custkey AS STRING)) FROM customer
+UNION ALL SELECT o_orderkey * 4 + 3, concat('order_', CAST(o_orderkey AS STRING)) FROM orders"""
+
+
+def q_resolve_in_geo(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    req = _geo_targets(spark, sf_dir).withColumn("root", F.lit("geo"))
+    return _resolve_out(resolve_in_graph(req, d["edges"], d["terms"], with_doc=False))
+
+
+def q_resolve_in_supply(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (supplier,) = tables(spark, sf_dir, "supplier")
+    req = _geo_targets(spark, sf_dir).unionByName(
+        supplier.select((F.col("s_suppkey") * 4 + 100_000_000).cast("long").alias("request_id"), F.concat(F.lit("supp_"), F.col("s_suppkey").cast("string")).alias("target"))
+    ).withColumn("root", F.lit("supply"))
+    return _resolve_out(resolve_in_graph(req, d["edges"], d["terms"], with_doc=False))
+
+
+def q_resolve_nation_code(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (nation, supplier) = tables(spark, sf_dir, "nation", "supplier")
+    req = reduce(
+        DataFrame.unionByName,
+        [
+            nation.select((F.col("n_nationkey") * 3).cast("long").alias("request_id"), F.concat(F.lit("nation_code_"), F.col("n_nationkey").cast("string")).alias("target")),
+            nation.select((F.col("n_nationkey") * 3 + 1).cast("long").alias("request_id"), F.concat(F.lit("geo_nation_"), F.col("n_nationkey").cast("string")).alias("target")),
+            supplier.select((F.col("s_suppkey") * 3 + 2).cast("long").alias("request_id"), F.concat(F.lit("supp_"), F.col("s_suppkey").cast("string")).alias("target")),
+        ],
+    ).withColumn("root", F.lit("nation_code"))
+    return _resolve_out(resolve_in_graph(req, d["edges"], d["terms"], with_doc=False))
+
+
+_NATION_CODE_TARGETS_SQL = """
+SELECT n_nationkey * 3 AS request_id, concat('nation_code_', CAST(n_nationkey AS STRING)) AS target, 'nation_code' AS root FROM nation
+UNION ALL SELECT n_nationkey * 3 + 1, concat('geo_nation_', CAST(n_nationkey AS STRING)), 'nation_code' FROM nation
+UNION ALL SELECT s_suppkey * 3 + 2, concat('supp_', CAST(s_suppkey AS STRING)), 'nation_code' FROM supplier"""
+
+
+def _oracle_resolve(req_sql: str) -> str:
+    extra = osql.resolve_sql(req_sql)
+    body = """
+SELECT CAST(q.request_id AS BIGINT) AS request_id, q.target, g.resolved_gid, g.status, CAST(g.hops AS BIGINT) AS hops
+FROM req q JOIN resolved_graph g ON g.request_id = q.request_id"""
+    return osql.with_(body, recursive=True, extra=extra)
+
+
+def q_resolve_then_check_customers(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (customer,) = tables(spark, sf_dir, "customer")
+    fact = customer.select("c_custkey", F.concat(F.lit("nation_code_"), F.col("c_nationkey").cast("string")).alias("code"))
+    out = resolve_then_check(fact, "code", "nation_code", d["terms"], d["edges"])
+    return out.select(*_long("c_custkey"), "code", "resolved_gid", "is_valid")
+
+
+_RTC_REQ = "SELECT DISTINCT concat('nation_code_', CAST(c_nationkey AS STRING)) AS request_id, 'nation_code' AS root, concat('nation_code_', CAST(c_nationkey AS STRING)) AS target FROM customer"
+
+ORACLE_RESOLVE_THEN_CHECK = osql.with_(
+    """
+SELECT CAST(c.c_custkey AS BIGINT) AS c_custkey, concat('nation_code_', CAST(c.c_nationkey AS STRING)) AS code, g.resolved_gid,
+       coalesce(EXISTS (SELECT 1 FROM membership m WHERE m.leaf = concat('terms/', g.resolved_gid) AND m.root_h = 'terms/nation_code'), false) AS is_valid
+FROM customer c LEFT JOIN resolved_graph g ON g.request_id = concat('nation_code_', CAST(c.c_nationkey AS STRING))""",
+    recursive=True,
+    extra=osql.resolve_sql(_RTC_REQ),
+)
+
+# ------------------------------------------------------------------ O7
+
+
+def q_descriptor_fields_parts(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (part,) = tables(spark, sf_dir, "part")
+    req = part.select(F.concat(F.lit("part_item_"), F.col("p_partkey").cast("string")).alias("gid"))
+    out = descriptor_fields(req, d["terms"], d["edges"])
+    return out.select("gid", "status", *_long("ord"), "field_gid", "required")
+
+
+ORACLE_FIELDS_PARTS = osql.with_(
+    """
+SELECT concat('part_item_', CAST(p_partkey AS STRING)) AS gid, 'ok' AS status, CAST(o AS BIGINT) AS ord, field_gid, required
+FROM (
+  SELECT p_partkey, 1 AS o, p_brand AS field_gid, true AS required FROM part
+  UNION ALL SELECT p_partkey, 2, p_type, true FROM part
+  UNION ALL SELECT p_partkey, 3, concat('size_', CAST(p_size AS STRING)), true FROM part
+  UNION ALL SELECT p_partkey, 4, 'price', false FROM part
+)"""
+)
+
+
+def q_descriptor_fields_status(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    req = endpoint_keys(d["edges"], d["terms"])
+    out = descriptor_fields(req, d["terms"], d["edges"])
+    return out.groupBy("gid", "status").agg(F.count("field_gid").cast("long").alias("n_fields"))
+
+
+ORACLE_FIELDS_STATUS = osql.with_(
+    """
+SELECT e.gid,
+       CASE WHEN r.resolved_gid IS NULL THEN 'not_found'
+            WHEN json_extract(t.doc, '$._data._object') IS NULL THEN 'not_object'
+            ELSE 'ok' END AS status,
+       CAST(CASE WHEN r.resolved_gid IS NOT NULL AND json_extract(t.doc, '$._data._object') IS NOT NULL THEN 4 ELSE 0 END AS BIGINT) AS n_fields
+FROM endpoint_keys e LEFT JOIN resolved r ON r.gid = e.gid LEFT JOIN terms t ON t._key = r.resolved_gid""",
+    extra=osql.resolve_keys_cte("SELECT gid FROM endpoint_keys"),
+)
+
+# ------------------------------------------------------------------ O8 / O9
+
+
+def q_blob_keys(spark, sf_dir):
+    (pages,) = tables(spark, sf_dir, "pages")
+    return pages.select(*_long("page_id"), blob_key(F.lit("page"), F.lit("_text_HTML"), F.lit("_media_web"), F.col("page_id").cast("string")).alias("blob_key"))
+
+
+ORACLE_BLOB_KEYS = "SELECT CAST(page_id AS BIGINT) AS page_id, md5(concat('page', '/', '_text_HTML', '/', '_media_web', '/', CAST(page_id AS STRING))) AS blob_key FROM pages"
+
+
+def q_fetch_blobs_pages(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (pages,) = tables(spark, sf_dir, "pages")
+    bk = blob_key(F.lit("page"), F.lit("_text_HTML"), F.lit("_media_web"), F.col("page_id").cast("string"))
+    req = pages.select((F.col("page_id") * 2).alias("request_id"), F.when(F.col("page_id") % 2 == 0, bk).otherwise(F.concat(F.lit("blobs/"), bk)).alias("key")).unionByName(
+        pages.select((F.col("page_id") * 2 + 1).alias("request_id"), F.md5("url").alias("key"))
+    )
+    out = fetch_blobs(req, d["blobs"])
+    return out.select(
+        *_long("request_id"), "key", "status", "_blob_identifier",
+        F.length("_blob_content").cast("long").alias("content_chars"), F.md5("_blob_content").alias("content_md5"),
+    )
+
+
+ORACLE_FETCH_BLOBS = osql.with_(
+    """
+SELECT CAST(q.request_id AS BIGINT) AS request_id, q.key, CASE WHEN b._key IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       b._blob_identifier, CAST(length(b._blob_content) AS BIGINT) AS content_chars, md5(b._blob_content) AS content_md5
+FROM (
+  SELECT page_id * 2 AS request_id,
+         CASE WHEN page_id % 2 = 0 THEN md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING)))
+              ELSE concat('blobs/', md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING)))) END AS key FROM pages
+  UNION ALL SELECT page_id * 2 + 1, md5(url) FROM pages
+) q LEFT JOIN blobs b ON b._key = regexp_replace(q.key, '^blobs/', '')"""
+)
+
+# ------------------------------------------------------------------ O10 – O14
+
+
+def q_segment_search_phrase(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (nation,) = tables(spark, sf_dir, "nation")
+    q = nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("text"))
+    return segment_search(segment_index(d["terms"]), q, "phrase")
+
+
+def q_segment_search_all(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (region,) = tables(spark, sf_dir, "region")
+    q = region.select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.col("r_regionkey").cast("string"), F.lit("_geo")).alias("text"))
+    return segment_search(segment_index(d["terms"]), q, "all")
+
+
+def q_segment_search_any(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (nation,) = tables(spark, sf_dir, "nation")
+    q = nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("code_"), F.col("n_nationkey").cast("string")).alias("text"))
+    return segment_search(segment_index(d["terms"]), q, "any")
+
+
+_SEG_POSTINGS = """
+seg AS (
+  SELECT _key AS gid, tok, CAST(pos AS BIGINT) AS pos FROM (
+    SELECT _key, unnest(list_filter(split(_key, '_'), lambda x: x <> '')) AS tok,
+           generate_subscripts(list_filter(split(_key, '_'), lambda x: x <> ''), 1) AS pos FROM terms)
+)"""
+
+ORACLE_SEGMENT_PHRASE = osql.with_(
+    """
+SELECT DISTINCT CAST(n.n_nationkey AS BIGINT) AS query_id, a.gid
+FROM nation n JOIN seg a ON a.tok = 'nation' JOIN seg b ON b.gid = a.gid AND b.pos = a.pos + 1 AND b.tok = CAST(n.n_nationkey AS STRING)""",
+    extra=_SEG_POSTINGS,
+)
+
+ORACLE_SEGMENT_ALL = osql.with_(
+    """
+SELECT DISTINCT CAST(r.r_regionkey AS BIGINT) AS query_id, a.gid
+FROM region r JOIN seg a ON a.tok = CAST(r.r_regionkey AS STRING) JOIN seg b ON b.gid = a.gid AND b.tok = 'geo'""",
+    extra=_SEG_POSTINGS,
+)
+
+ORACLE_SEGMENT_ANY = osql.with_(
+    """
+SELECT DISTINCT CAST(n.n_nationkey AS BIGINT) AS query_id, s.gid
+FROM nation n JOIN seg s ON s.tok IN ('code', CAST(n.n_nationkey AS STRING))""",
+    extra=_SEG_POSTINGS,
+)
+
+
+def q_identifier_search(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (nation,) = tables(spark, sf_dir, "nation")
+    q = nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("value"), F.lit(None).cast("string").alias("field")).unionByName(
+        nation.select((F.col("n_nationkey") + 1000).cast("long").alias("query_id"), F.col("n_nationkey").cast("string").alias("value"), F.lit("_aid").alias("field"))
+    )
+    return identifier_search(identifier_index(d["terms"]), q)
+
+
+ORACLE_IDENTIFIER = osql.with_(
+    """
+SELECT DISTINCT q.query_id, '_aid' AS field, t._key AS gid
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS query_id, n_name AS value FROM nation
+      UNION ALL SELECT CAST(n_nationkey + 1000 AS BIGINT), CAST(n_nationkey AS STRING) FROM nation) q
+JOIN (SELECT _key, unnest(json_extract_string(doc, '$._code._aid[*]')) AS v FROM terms) t ON t.v = q.value"""
+)
+
+
+def q_text_search_titles(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (part,) = tables(spark, sf_dir, "part")
+    q = part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
+    return text_search(text_index(d["terms"]), q, "all").withColumnRenamed("doc", "gid")
+
+
+ORACLE_TEXT_TITLES = osql.with_(
+    """
+SELECT DISTINCT q.p_name AS query_id, t._key AS gid
+FROM (SELECT DISTINCT p_name FROM part) q
+JOIN (SELECT _key, regexp_extract_all(lower(json_extract_string(doc, '$._info._title.ISO_639_3_eng')), '[\\p{L}\\p{N}]+') AS toks FROM terms) t
+  ON len(regexp_extract_all(lower(q.p_name), '[\\p{L}\\p{N}]+')) > 0
+ AND list_has_all(t.toks, regexp_extract_all(lower(q.p_name), '[\\p{L}\\p{N}]+'))"""
+)
+
+
+def q_text_search_documents(spark, sf_dir):
+    documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    index = text_index_frame(documents, "doc_id", "text")
+    q = benchmark.select(F.col("item_id").alias("query_id"), "text")
+    out = text_search(index, q, "phrase")
+    return out.select(*_long("query_id"), F.col("doc").cast("long").alias("doc_id"))
+
+
+ORACLE_TEXT_DOCUMENTS = """
+WITH d AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' '), ' ') AS norm FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS toks FROM benchmark)
+SELECT CAST(b.item_id AS BIGINT) AS query_id, CAST(d.doc_id AS BIGINT) AS doc_id
+FROM b JOIN d ON len(b.toks) > 0 AND contains(d.norm, concat(' ', array_to_string(b.toks, ' '), ' '))"""
+
+
+def q_domain_filter(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    (part,) = tables(spark, sf_dir, "part")
+    brands = part.select("p_brand").distinct()
+    q = brands.select(F.col("p_brand").alias("query_id"), F.lit("brand").alias("path"), F.col("p_brand").alias("value")).unionByName(
+        brands.select(F.col("p_brand").alias("query_id"), F.lit("_term_role").alias("path"), F.lit("item").alias("value"))
+    )
+    return domain_filter(domain_index(d["terms"]), q)
+
+
+ORACLE_DOMAIN = osql.with_(
+    """
+SELECT DISTINCT json_extract_string(doc, '$._domn.brand') AS query_id, _key AS gid
+FROM terms
+WHERE json_extract_string(doc, '$._domn.brand') IS NOT NULL
+  AND list_contains(json_extract_string(doc, '$._domn._term_role[*]'), 'item')"""
+)
+
+
+def q_term_list_view(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    v = term_list_view(d["terms"], order="gid")
+    return v.select("gid", "nid", "title", F.array_join("term_roles", ",").alias("term_roles"))
+
+
+ORACLE_TERM_LIST = osql.with_(
+    """
+SELECT _key AS gid, json_extract_string(doc, '$._code._nid') AS nid,
+       json_extract_string(doc, '$._info._title.ISO_639_3_eng') AS title,
+       CASE WHEN json_extract(doc, '$._domn._term_role') IS NULL THEN NULL
+            ELSE array_to_string(json_extract_string(doc, '$._domn._term_role[*]'), ',') END AS term_roles
+FROM terms ORDER BY gid"""
+)
+
+
+QUERIES = {
+    "validate_events": lambda s, d: q_validate_events(s, d, "flag"),
+    "validate_events_valid": lambda s, d: q_validate_events(s, d, "valid"),
+    "validate_events_invalid": lambda s, d: q_validate_events(s, d, "invalid"),
+    "membership_counts": q_membership_counts,
+    "membership_pairs": q_membership_pairs,
+    "resolve_alias": q_resolve_alias,
+    "lookup_terms": q_lookup_terms,
+    "expand_geo_l4": q_expand_geo_l4,
+    "expand_regions": q_expand_regions,
+    "expand_branch_nations": q_expand_branch_nations,
+    "expand_all_roots": q_expand_all_roots,
+    "expand_outbound_orders": q_expand_outbound_orders,
+    "resolve_in_geo": q_resolve_in_geo,
+    "resolve_in_supply": q_resolve_in_supply,
+    "resolve_nation_code": q_resolve_nation_code,
+    "resolve_then_check_customers": q_resolve_then_check_customers,
+    "descriptor_fields_parts": q_descriptor_fields_parts,
+    "descriptor_fields_status": q_descriptor_fields_status,
+    "blob_keys": q_blob_keys,
+    "fetch_blobs_pages": q_fetch_blobs_pages,
+    "segment_search_phrase": q_segment_search_phrase,
+    "segment_search_all": q_segment_search_all,
+    "segment_search_any": q_segment_search_any,
+    "identifier_search": q_identifier_search,
+    "text_search_titles": q_text_search_titles,
+    "text_search_documents": q_text_search_documents,
+    "domain_filter": q_domain_filter,
+    "term_list_view": q_term_list_view,
+}
+
+ORACLE = {
+    "validate_events": osql.with_(ORACLE_VALIDATE["flag"]),
+    "validate_events_valid": osql.with_(ORACLE_VALIDATE["valid"]),
+    "validate_events_invalid": osql.with_(ORACLE_VALIDATE["invalid"]),
+    "membership_counts": ORACLE_MEMBERSHIP_COUNTS,
+    "membership_pairs": ORACLE_MEMBERSHIP_PAIRS,
+    "resolve_alias": ORACLE_RESOLVE_ALIAS,
+    "lookup_terms": ORACLE_LOOKUP_TERMS,
+    "expand_geo_l4": osql.expand_sql(_EXPAND_GEO_REQ, 4),
+    "expand_regions": osql.expand_sql(_EXPAND_REGIONS_REQ, 3),
+    "expand_branch_nations": osql.expand_sql(_EXPAND_NATIONS_REQ, 2),
+    "expand_all_roots": _oracle_all_roots(),
+    "expand_outbound_orders": osql.expand_sql(_EXPAND_ORDERS_REQ, 4, "outbound"),
+    "resolve_in_geo": _oracle_resolve(f"SELECT request_id, target, 'geo' AS root FROM ({_GEO_TARGETS_SQL})"),
+    "resolve_in_supply": _oracle_resolve(
+        f"SELECT request_id, target, 'supply' AS root FROM ({_GEO_TARGETS_SQL} UNION ALL SELECT s_suppkey * 4 + 100000000, concat('supp_', CAST(s_suppkey AS STRING)) FROM supplier)"
+    ),
+    "resolve_nation_code": _oracle_resolve(_NATION_CODE_TARGETS_SQL),
+    "resolve_then_check_customers": ORACLE_RESOLVE_THEN_CHECK,
+    "descriptor_fields_parts": ORACLE_FIELDS_PARTS,
+    "descriptor_fields_status": ORACLE_FIELDS_STATUS,
+    "blob_keys": ORACLE_BLOB_KEYS,
+    "fetch_blobs_pages": ORACLE_FETCH_BLOBS,
+    "segment_search_phrase": ORACLE_SEGMENT_PHRASE,
+    "segment_search_all": ORACLE_SEGMENT_ALL,
+    "segment_search_any": ORACLE_SEGMENT_ANY,
+    "identifier_search": ORACLE_IDENTIFIER,
+    "text_search_titles": ORACLE_TEXT_TITLES,
+    "text_search_documents": ORACLE_TEXT_DOCUMENTS,
+    "domain_filter": ORACLE_DOMAIN,
+    "term_list_view": ORACLE_TERM_LIST,
+}
