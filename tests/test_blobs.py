@@ -1,0 +1,28 @@
+"""O8/O9 — mirrors /blob plus handle-form keys and the key derivation."""
+
+from pyspark.sql import functions as F
+
+from dictgraph import blob_key, fetch_blobs
+from tests.fixtures import req, rows
+
+ANDORRA = "339d23fc1dbffe043bc69d6db95b5912"
+
+
+def test_blob_key_derivation(spark):
+    df = req(spark, [("flag", "_text_SVG", "_media_landscape", "ad"), ("flag", None, "x", "y")], "i string, t string, k string, d string")
+    keys = [r.k for r in df.select(blob_key("i", "t", "k", "d").alias("k")).collect()]
+    assert keys == [ANDORRA, None]
+
+
+def test_fetch(spark, iso):
+    r = req(spark, [(1, ANDORRA), (2, "blobs/" + ANDORRA), (3, "0000000000000000000000000000aaaa"), (4, None)], "id int, key string")
+    out = fetch_blobs(r, iso["blobs"])
+    assert rows(out, "id", "status", "_blob_item", "_blob_type", "_blob_kind", "_blob_identifier") == [
+        (1, "ok", "flag", "_text_SVG", "_media_landscape", "ad"),
+        (2, "ok", "flag", "_text_SVG", "_media_landscape", "ad"),
+        (3, "not_found", None, None, None, None),
+        (4, "not_found", None, None, None, None),
+    ]
+    assert out.filter(F.col("status") == "ok").filter(F.length("_blob_content") > 0).count() == 2
+    unbounded = fetch_blobs(r, iso["blobs"], max_broadcast_rows=0)
+    assert rows(unbounded, "id", "status") == rows(out, "id", "status")
