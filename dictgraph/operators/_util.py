@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dictgraph.plans.lineage import cut_lineage
 from dictgraph.plans.sizing import broadcast_if_bounded
 
 
@@ -13,7 +14,11 @@ def as_col(c) -> Column:
 def join_back(requests: DataFrame, answers: DataFrame, on: str, max_broadcast_rows: int | None = None) -> DataFrame:
     """Attach per-distinct-key answers to a (possibly huge, possibly skewed)
     request table. The answers are one row per key; when their count is
-    within bound they are broadcast, so the request side is never shuffled."""
+    within bound they are broadcast, so the request side is never shuffled.
+    The answers are checkpointed first so the size check does not compute
+    them a second time."""
+    if not answers.isStreaming:
+        answers = cut_lineage(answers)
     if max_broadcast_rows is None:
         right = broadcast_if_bounded(answers)
     elif max_broadcast_rows > 0:

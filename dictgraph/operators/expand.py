@@ -35,6 +35,7 @@ from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES,
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import check_direction, edges_by_root
 from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 20
@@ -59,6 +60,7 @@ def expand_enum(
     levels: int = 1,
     direction: str = INBOUND,
     shape: str = "compact",
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
@@ -82,24 +84,27 @@ def expand_enum(
     ).filter(F.col("root_h").isNotNull() & F.col("vertex").isNotNull())
     start = cut_lineage(start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex")))
 
-    usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
-    # Hash-partitioned on the join key and checkpointed once: every hop
-    # reuses this layout and only the frontier moves.
-    usable = cut_lineage(usable.repartition("root_h", "near"))
+    # Usable edges of the requested graphs, filtered and checkpointed once.
+    usable = cut_lineage(edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")))
 
     visited = [start.select("request_id", "vertex")]
     frontier = start
+    frontier_rows = start.count()
     emitted = []
     for hop in range(1, max_hops + 1):
-        step = frontier.join(usable, (frontier.root_h == usable.root_h) & (frontier.vertex == usable.near)).select(
-            frontier.request_id,
-            frontier.root_h,
+        # A frontier within bound is broadcast and the edges are scanned in
+        # place; beyond it both sides shuffle on (root, vertex) and AQE can
+        # split a hub vertex's partition.
+        fr = broadcast_small(frontier, frontier_rows, max_broadcast_rows)
+        step = fr.join(usable, (fr.root_h == usable.root_h) & (fr.vertex == usable.near)).select(
+            fr.request_id,
+            fr.root_h,
             usable.far.alias("vertex"),
             usable.is_bridge,
-            (frontier.level + F.when(usable.is_bridge, 0).otherwise(1)).alias("level"),
-            frontier.anchor.alias("parent"),
+            (fr.level + F.when(usable.is_bridge, 0).otherwise(1)).alias("level"),
+            fr.anchor.alias("parent"),
             usable.ekey,
-            F.when(usable.is_bridge, frontier.anchor).otherwise(usable.far).alias("anchor"),
+            F.when(usable.is_bridge, fr.anchor).otherwise(usable.far).alias("anchor"),
             usable.predicate,
         )
         seen = reduce(DataFrame.unionByName, visited)
@@ -120,7 +125,8 @@ def expand_enum(
                 F.lit(hop).alias("hops"),
             )
         )
-        if new.isEmpty():
+        frontier_rows = new.count()
+        if frontier_rows == 0:
             break
         emitted.append(
             new.filter(F.col("predicate").isin(list(EMITTED_PREDICATES)) & (F.col("level") <= depth)).select(

@@ -39,6 +39,7 @@ from dictgraph.functions.keys import handle
 from dictgraph.operators.expand import check_levels
 from dictgraph.plans.graph import check_direction, edges_by_root
 from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 100
@@ -53,8 +54,10 @@ def resolve_in_graph(
     traverse=None,
     levels: int | None = 10,
     with_doc: bool = True,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``)."""
+    """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``).
+    ``request_id`` must be unique."""
     pred = predicate or ENUM_OF
     direction = check_direction(direction)
     trav = list(DEFAULT_TRAVERSE) if not isinstance(traverse, (list, tuple)) else list(traverse)
@@ -67,7 +70,7 @@ def resolve_in_graph(
     req = cut_lineage(req)
 
     usable = edges_by_root(edges, allowed, direction, req.select("root_h"))
-    usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred).repartition("root_h", "near"))
+    usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred))
 
     # Seeds: the target on the leaf end, i.e. the ``far`` end of the walk.
     seeds = req.join(
@@ -83,10 +86,15 @@ def resolve_in_graph(
     )
     walk = usable.select("root_h", "near", "far", "functional")
     found = []
+    frontier = cut_lineage(frontier)
+    frontier_rows = frontier.count()
     visited = [frontier.select("request_id", "vertex")]
     for hop in range(1, max_levels + 1):
-        step = frontier.join(walk, (frontier.root_h == walk.root_h) & (frontier.vertex == walk.near)).select(
-            frontier.request_id, frontier.root_h, walk.far, walk.functional, frontier.path
+        if frontier_rows == 0:
+            break
+        fr = broadcast_small(frontier, frontier_rows, max_broadcast_rows)
+        step = fr.join(walk, (fr.root_h == walk.root_h) & (fr.vertex == walk.near)).select(
+            fr.request_id, fr.root_h, walk.far, walk.functional, fr.path
         ).filter(~F.array_contains("path", F.col("far")))
         hits = cut_lineage(
             step.filter("functional")
@@ -100,8 +108,7 @@ def resolve_in_graph(
         nxt = nxt.join(reduce(DataFrame.unionByName, visited), ["request_id", "vertex"], "left_anti")
         nxt = nxt.groupBy("request_id", "root_h", "vertex").agg(F.min("path").alias("path"))
         frontier = cut_lineage(nxt)
-        if frontier.isEmpty():
-            break
+        frontier_rows = frontier.count()
         visited.append(frontier.select("request_id", "vertex"))
 
     answers = reduce(DataFrame.unionByName, [direct] + found)

@@ -29,7 +29,7 @@ from dictgraph.functions.constants import (
 )
 from dictgraph.functions.tokens import segment_tokens, word_tokens
 from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import broadcast_if_bounded
+from dictgraph.plans.sizing import broadcast_if_bounded, is_bounded
 from dictgraph.sources.dictionary import prepare_terms
 
 MODES = ("any", "all", "phrase")
@@ -61,19 +61,28 @@ def query_tokens(queries: DataFrame, tokenizer, text_col: str = "text") -> DataF
     )
 
 
-def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any") -> DataFrame:
+def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materialize: bool = True) -> DataFrame:
     """Distinct ``(query_id, doc)`` for postings ``(doc, unit, token, pos)``
-    and query tokens ``(query_id, qpos, token)``."""
+    and query tokens ``(query_id, qpos, token)``.
+
+    ``all`` and ``phrase`` read the postings three times (token frequencies,
+    anchor candidates, verification); with ``materialize`` they are
+    checkpointed once instead of being rebuilt from the text each time. Pass
+    ``materialize=False`` for a published postings table."""
     _check_mode(mode)
+    qtokens = cut_lineage(qtokens)
     if mode == "any":
         wanted = broadcast_if_bounded(qtokens.select("query_id", "token").distinct())
         return postings.join(wanted, "token").select("query_id", "doc").distinct()
+    # Only postings of query tokens can matter to frequencies, anchors or
+    # verification: keep those (map-side, against the broadcast token set).
+    qdistinct = qtokens.select("query_id", "token").distinct()
+    postings = postings.join(broadcast_if_bounded(qdistinct.select("token").distinct()), "token", "left_semi")
+    if materialize:
+        postings = cut_lineage(postings)
 
     # Anchor: the query token with the fewest postings.
-    qdistinct = qtokens.select("query_id", "token").distinct()
-    freq = postings.join(broadcast_if_bounded(qdistinct.select("token").distinct()), "token", "left_semi").groupBy(
-        "token"
-    ).agg(F.count(F.lit(1)).alias("df"))
+    freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = qtokens.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchor = ranked.groupBy("query_id").agg(
         F.min(F.struct("df", "token", "qpos")).alias("a"),
@@ -86,8 +95,7 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any") -> DataFra
     if mode == "all":
         cands = cands.select("query_id", "doc", "n_tok").distinct()
         need = cands.join(qdistinct, "query_id")
-        have = postings.select("doc", "token").distinct()
-        ok = need.join(have, ["doc", "token"], "left_semi")
+        ok = _present(need, postings.select("doc", "token").distinct(), ["doc", "token"])
         return ok.groupBy("query_id", "doc", "n_tok").agg(F.count(F.lit(1)).alias("n")).filter(
             F.col("n") == F.col("n_tok")
         ).select("query_id", "doc")
@@ -98,7 +106,7 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any") -> DataFra
     need = cands.join(qtokens, "query_id").select(
         "query_id", "doc", "unit", "start", "n_pos", "token", (F.col("start") + F.col("qpos")).alias("pos")
     )
-    ok = need.join(postings.select("doc", "unit", "token", "pos"), ["doc", "unit", "token", "pos"], "left_semi")
+    ok = _present(need, postings.select("doc", "unit", "token", "pos"), ["doc", "unit", "token", "pos"])
     return (
         ok.groupBy("query_id", "doc", "unit", "start", "n_pos")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -108,6 +116,17 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any") -> DataFra
     )
 
 
+def _present(need: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``need`` whose ``keys`` occur in ``have`` (unique on ``keys``).
+
+    A bounded ``need`` is broadcast and ``have`` (the postings) streams past
+    it without a shuffle; otherwise a shuffled semi-join."""
+    need = cut_lineage(need)
+    if is_bounded(need):
+        return have.join(F.broadcast(need), keys)
+    return need.join(have, keys, "left_semi")
+
+
 # ---------------------------------------------------------------- O10 segments
 
 def segment_index(terms: DataFrame, delimiter: str = "_") -> DataFrame:
@@ -117,11 +136,13 @@ def segment_index(terms: DataFrame, delimiter: str = "_") -> DataFrame:
     )
 
 
-def segment_search(index: DataFrame, queries: DataFrame, mode: str = "any", delimiter: str = "_") -> DataFrame:
+def segment_search(
+    index: DataFrame, queries: DataFrame, mode: str = "any", delimiter: str = "_", materialize: bool = True
+) -> DataFrame:
     """``(query_id, gid)``: terms whose gid segments match the query text
     (segmented with the same delimiter)."""
     qt = query_tokens(queries, lambda c: segment_tokens(c, delimiter))
-    return match(index, qt, mode).withColumnRenamed("doc", "gid")
+    return match(index, qt, mode, materialize).withColumnRenamed("doc", "gid")
 
 
 # ---------------------------------------------------------------- O11 identifiers
@@ -184,9 +205,9 @@ def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None) -> DataFrame:
     return text_index_frame(vals, "gid", "text", ("field", "elem"))
 
 
-def text_search(index: DataFrame, queries: DataFrame, mode: str = "any") -> DataFrame:
+def text_search(index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True) -> DataFrame:
     """``(query_id, doc)`` for ``(query_id, text)`` queries."""
-    return match(index, query_tokens(queries, word_tokens), mode)
+    return match(index, query_tokens(queries, word_tokens), mode, materialize)
 
 
 # ---------------------------------------------------------------- O13 domain facets

@@ -24,3 +24,9 @@ def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> boo
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_bounded(df, max_rows) else df
+
+
+def broadcast_small(df: DataFrame, known_rows: int, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose row count is already known (e.g. counted
+    right after a checkpoint)."""
+    return F.broadcast(df) if known_rows <= max_rows else df

@@ -37,15 +37,20 @@ from dictgraph.operators.search import (
     text_search,
 )
 from dictgraph.operators.terms import lookup_terms, resolve_alias
+from dictgraph.plans.lineage import cut_lineage
 from dictgraph.sources.derived import derive_dictionary, read_tables
 
 _CACHE: dict[tuple, dict] = {}
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    key = (id(spark), sf_dir)
+    """The derived dictionary, written once per session and data folder into
+    the reliable checkpoint folder (the analogue of a loaded collection);
+    blobs stay a lazy projection of ``pages`` so page content is not copied."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = derive_dictionary(spark, sf_dir)
+        d = derive_dictionary(spark, sf_dir)
+        _CACHE[key] = {"terms": cut_lineage(d["terms"]), "edges": cut_lineage(d["edges"]), "blobs": d["blobs"]}
     return _CACHE[key]
 
 
