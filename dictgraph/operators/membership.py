@@ -19,7 +19,8 @@ from dictgraph.functions.constants import INBOUND
 from dictgraph.functions.keys import handle
 from dictgraph.operators._util import as_col
 from dictgraph.plans.graph import check_direction, membership_relation
-from dictgraph.plans.sizing import broadcast_if_bounded
+from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, is_bounded
 
 VALIDATE_MODES = ("flag", "valid", "invalid")
 
@@ -103,11 +104,14 @@ def validate_column(
     members = membership_relation(edges, direction, F.col("root_h") == F.lit(root_h)).select(
         F.col("leaf").alias("__member")
     ).distinct()
-    if max_broadcast_rows is None:
-        members = broadcast_if_bounded(members)
-    elif max_broadcast_rows > 0:
-        members = broadcast_if_bounded(members, max_broadcast_rows)
+    limit = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     key = handle(as_col(code))
+    if limit > 0 and not members.isStreaming:
+        members = cut_lineage(members)
+        if is_bounded(members, limit):
+            members = F.broadcast(members)
+        elif not fact.isStreaming:
+            return _validate_by_codes(fact, key, members, mode, flag_col, limit)
     if mode == "valid":
         return fact.join(members, key == members["__member"], "left_semi")
     if mode == "invalid":
@@ -119,6 +123,28 @@ def validate_column(
     )
 
 
+def _validate_by_codes(fact: DataFrame, key, members: DataFrame, mode: str, flag_col: str, limit: int) -> DataFrame:
+    """Large member set: decide once per distinct code, then attach.
+
+    Distinct codes are aggregated map-side first, so a code holding a third
+    of the fact rows collapses to one row before any shuffle; only the
+    per-code flags (broadcast when within bound) meet the fact table."""
+    codes = fact.select(key.alias("__code")).filter(F.col("__code").isNotNull()).distinct()
+    flags = codes.join(members, codes["__code"] == members["__member"], "left").select(
+        "__code", F.col("__member").isNotNull().alias("__ok")
+    )
+    flags = cut_lineage(flags)
+    if is_bounded(flags, limit):
+        flags = F.broadcast(flags)
+    joined = fact.join(flags, key == flags["__code"], "left")
+    ok = F.coalesce(F.col("__ok"), F.lit(False))
+    if mode == "valid":
+        return joined.filter(ok).drop("__code", "__ok")
+    if mode == "invalid":
+        return joined.filter(~ok).drop("__code", "__ok")
+    return joined.withColumn(flag_col, ok).drop("__code", "__ok")
+
+
 def resolve_then_check(
     fact: DataFrame,
     code,

@@ -94,7 +94,7 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
 
     if mode == "all":
         cands = cands.select("query_id", "doc", "n_tok").distinct()
-        need = cands.join(qdistinct, "query_id")
+        need = cands.join(broadcast_if_bounded(qdistinct), "query_id")
         ok = _present(need, postings.select("doc", "token").distinct(), ["doc", "token"])
         return ok.groupBy("query_id", "doc", "n_tok").agg(F.count(F.lit(1)).alias("n")).filter(
             F.col("n") == F.col("n_tok")
@@ -103,7 +103,9 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     cands = cands.select("query_id", "doc", "unit", (F.col("pos") - F.col("aqpos")).alias("start"), "n_pos").filter(
         F.col("start") >= 0
     )
-    need = cands.join(qtokens, "query_id").select(
+    # The query-token table is small; broadcasting it keeps one query with
+    # many candidates from landing in a single task.
+    need = cands.join(broadcast_if_bounded(qtokens), "query_id").select(
         "query_id", "doc", "unit", "start", "n_pos", "token", (F.col("start") + F.col("qpos")).alias("pos")
     )
     ok = _present(need, postings.select("doc", "unit", "token", "pos"), ["doc", "unit", "token", "pos"])

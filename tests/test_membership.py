@@ -61,6 +61,11 @@ def test_validate_modes(spark, iso):
     # no broadcast: the shuffle-join path gives the same answer
     flag2 = validate_column(fact, "code", "ISO_639_1", iso["edges"], max_broadcast_rows=0)
     assert rows(flag2, "id", "is_valid") == rows(flag, "id", "is_valid")
+    # member set over the bound: per-distinct-code decision path
+    for mode in ("flag", "valid", "invalid"):
+        small = validate_column(fact, "code", "ISO_639_1", iso["edges"], mode=mode, max_broadcast_rows=1)
+        full = validate_column(fact, "code", "ISO_639_1", iso["edges"], mode=mode)
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, full.collect()))
 
 
 def test_resolve_then_check(spark, iso):
