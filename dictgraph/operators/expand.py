@@ -35,7 +35,7 @@ from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES,
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import check_direction, edges_by_root
 from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_small
+from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 20
@@ -60,7 +60,7 @@ def expand_enum(
     levels: int = 1,
     direction: str = INBOUND,
     shape: str = "compact",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
@@ -90,6 +90,7 @@ def expand_enum(
     visited = [start.select("request_id", "vertex")]
     frontier = start
     frontier_rows = start.count()
+    visited_rows = frontier_rows
     emitted = []
     for hop in range(1, max_hops + 1):
         # A frontier within bound is broadcast and the edges are scanned in
@@ -107,7 +108,7 @@ def expand_enum(
             F.when(usable.is_bridge, fr.anchor).otherwise(usable.far).alias("anchor"),
             usable.predicate,
         )
-        seen = reduce(DataFrame.unionByName, visited)
+        seen = broadcast_small(reduce(DataFrame.unionByName, visited), visited_rows, max_broadcast_rows)
         step = step.join(seen, ["request_id", "vertex"], "left_anti")
         best = step.groupBy("request_id", "root_h", "vertex").agg(
             F.min(F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate")).alias("b")
@@ -126,6 +127,7 @@ def expand_enum(
             )
         )
         frontier_rows = new.count()
+        visited_rows += frontier_rows
         if frontier_rows == 0:
             break
         emitted.append(

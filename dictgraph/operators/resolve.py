@@ -39,7 +39,7 @@ from dictgraph.functions.keys import handle
 from dictgraph.operators.expand import check_levels
 from dictgraph.plans.graph import check_direction, edges_by_root
 from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_small
+from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 100
@@ -54,7 +54,7 @@ def resolve_in_graph(
     traverse=None,
     levels: int | None = 10,
     with_doc: bool = True,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``).
     ``request_id`` must be unique."""
@@ -88,6 +88,7 @@ def resolve_in_graph(
     found = []
     frontier = cut_lineage(frontier)
     frontier_rows = frontier.count()
+    visited_rows = frontier_rows
     visited = [frontier.select("request_id", "vertex")]
     for hop in range(1, max_levels + 1):
         if frontier_rows == 0:
@@ -105,10 +106,12 @@ def resolve_in_graph(
         found.append(hits)
         nxt = step.filter(~F.col("functional")).join(hits, "request_id", "left_anti")
         nxt = nxt.select("request_id", "root_h", F.col("far").alias("vertex"), F.concat("path", F.array("far")).alias("path"))
-        nxt = nxt.join(reduce(DataFrame.unionByName, visited), ["request_id", "vertex"], "left_anti")
+        seen = broadcast_small(reduce(DataFrame.unionByName, visited), visited_rows, max_broadcast_rows)
+        nxt = nxt.join(seen, ["request_id", "vertex"], "left_anti")
         nxt = nxt.groupBy("request_id", "root_h", "vertex").agg(F.min("path").alias("path"))
         frontier = cut_lineage(nxt)
         frontier_rows = frontier.count()
+        visited_rows += frontier_rows
         visited.append(frontier.select("request_id", "vertex"))
 
     answers = reduce(DataFrame.unionByName, [direct] + found)

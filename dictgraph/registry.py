@@ -144,6 +144,41 @@ GROUP BY t.gid, t.pos""",
 )
 
 
+def q_membership_outbound(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    region, nation, customer = tables(spark, sf_dir, "region", "nation", "customer")
+    terms_req = reduce(
+        DataFrame.unionByName,
+        [
+            region.select((F.col("r_regionkey") * 3).cast("long").alias("pos"), F.concat(F.lit("geo_region_"), F.col("r_regionkey").cast("string")).alias("gid")),
+            nation.select((F.col("n_nationkey") * 3 + 1).cast("long").alias("pos"), F.concat(F.lit("geo_nation_"), F.col("n_nationkey").cast("string")).alias("gid")),
+            customer.select((F.col("c_custkey") * 3 + 2).cast("long").alias("pos"), F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("gid")),
+        ],
+    )
+    roots_req = spark.createDataFrame(list(enumerate(MEMBERSHIP_ROOTS)), "pos long, gid string")
+    out = check_membership(terms_req, roots_req, d["edges"], direction="outbound")
+    return out.select("gid", F.col("pos").cast("long").alias("pos"), F.size("roots").cast("long").alias("n_roots"), F.array_join("roots", ",").alias("roots_csv"))
+
+
+ORACLE_MEMBERSHIP_OUTBOUND = osql.with_(
+    """
+SELECT t.gid, CAST(t.pos AS BIGINT) AS pos, CAST(count(r.gid) AS BIGINT) AS n_roots,
+       coalesce(string_agg(r.gid, ',' ORDER BY r.pos), '') AS roots_csv
+FROM treq t
+LEFT JOIN (SELECT DISTINCT _to AS leaf, unnest(list_distinct(_path)) AS root_h FROM edges WHERE _predicate = '_predicate_enum-of') m
+  ON m.leaf = concat('terms/', t.gid)
+LEFT JOIN rreq r ON m.root_h = concat('terms/', r.gid)
+GROUP BY t.gid, t.pos""",
+    extra="""
+treq AS (
+  SELECT r_regionkey * 3 AS pos, concat('geo_region_', CAST(r_regionkey AS STRING)) AS gid FROM region
+  UNION ALL SELECT n_nationkey * 3 + 1, concat('geo_nation_', CAST(n_nationkey AS STRING)) FROM nation
+  UNION ALL SELECT c_custkey * 3 + 2, concat('cust_', CAST(c_custkey AS STRING)) FROM customer
+),
+rreq AS (SELECT * FROM (VALUES (0, 'geo'), (1, 'mkt'), (2, 'supply'), (3, 'nation_code')) v(pos, gid))""",
+)
+
+
 def q_membership_pairs(spark, sf_dir):
     d = dictionary(spark, sf_dir)
     terms_req, roots_req = _membership_inputs(spark, sf_dir)
@@ -254,6 +289,54 @@ def q_expand_all_roots(spark, sf_dir):
     )
 
 
+def _root_request(edges: DataFrame, root: str) -> DataFrame:
+    """The request for one graph, taken from the roots present in the edges."""
+    return _all_roots(edges).filter(F.col("root") == root).select(F.lit(1).cast("long").alias("request_id"), "root")
+
+
+def _single_root_query(root: str, levels: int):
+    def run(spark, sf_dir):
+        d = dictionary(spark, sf_dir)
+        return _expand_out(expand_enum(_root_request(d["edges"], root), d["edges"], levels=levels))
+
+    return run
+
+
+def _single_root_oracle(root: str, levels: int) -> str:
+    req = (
+        "SELECT DISTINCT CAST(1 AS BIGINT) AS request_id, '" + root + "' AS root, CAST(NULL AS VARCHAR) AS branch "
+        "FROM edges WHERE list_contains(_path, 'terms/" + root + "')"
+    )
+    return osql.expand_sql(req, levels)
+
+
+SINGLE_ROOT_EXPANSIONS = {
+    "expand_geo_l1": ("geo", 1),
+    "expand_bridge_nation_code": ("nation_code", 1),
+    "expand_multi_parent_part": ("part", 2),
+    "expand_supply_l3": ("supply", 3),
+    "expand_mkt_l2": ("mkt", 2),
+}
+
+
+def q_expand_geo_full(spark, sf_dir):
+    d = dictionary(spark, sf_dir)
+    out = expand_enum(_root_request(d["edges"], "geo"), d["edges"], d["terms"], levels=2, shape="full")
+    return out.select(
+        *_long("request_id"), "gid", "predicate", *_long("level"), "parent",
+        F.try_variant_get("term", "$._info._title.ISO_639_3_eng", "string").alias("title"),
+        F.col("term").isNotNull().alias("has_term"),
+    )
+
+
+def _oracle_expand_geo_full() -> str:
+    sql = _single_root_oracle("geo", 2)
+    head, body = sql.rsplit("SELECT CAST(request_id AS BIGINT) AS request_id", 1)
+    return head + """SELECT CAST(b.request_id AS BIGINT) AS request_id, substr(b.vertex, 7) AS gid, b.predicate, CAST(b.level AS BIGINT) AS level,
+       b.parent, json_extract_string(t.doc, '$._info._title.ISO_639_3_eng') AS title, t._key IS NOT NULL AS has_term
+FROM best b LEFT JOIN terms t ON concat('terms/', t._key) = b.vertex WHERE b.rn = 1 AND NOT b.is_bridge AND b.level <= 2"""
+
+
 def q_expand_outbound_orders(spark, sf_dir):
     d = dictionary(spark, sf_dir)
     (orders,) = tables(spark, sf_dir, "orders")
@@ -346,6 +429,32 @@ FROM req q JOIN resolved_graph g ON g.request_id = q.request_id"""
     return osql.with_(body, recursive=True, extra=extra)
 
 
+SECTION_PREDICATE = "_predicate_section-of"
+SECTION_TRAVERSE = ["_predicate_enum-of"]
+
+
+def q_resolve_geo_by_section(spark, sf_dir):
+    """Resolution with a non-default functional predicate and traverse list:
+    sections are canonical, enum-of edges are walked (inbound, 3 levels)."""
+    d = dictionary(spark, sf_dir)
+    region, nation = tables(spark, sf_dir, "region", "nation")
+    req = region.select((F.col("r_regionkey") * 2).cast("long").alias("request_id"), F.concat(F.lit("geo_region_"), F.col("r_regionkey").cast("string")).alias("target")).unionByName(
+        nation.select((F.col("n_nationkey") * 2 + 1).cast("long").alias("request_id"), F.concat(F.lit("geo_nation_"), F.col("n_nationkey").cast("string")).alias("target"))
+    ).withColumn("root", F.lit("geo"))
+    out = resolve_in_graph(req, d["edges"], d["terms"], predicate=SECTION_PREDICATE, traverse=SECTION_TRAVERSE, levels=3, with_doc=False)
+    return _resolve_out(out)
+
+
+def _oracle_resolve_geo_by_section() -> str:
+    req = """SELECT r_regionkey * 2 AS request_id, concat('geo_region_', CAST(r_regionkey AS STRING)) AS target, 'geo' AS root FROM region
+UNION ALL SELECT n_nationkey * 2 + 1, concat('geo_nation_', CAST(n_nationkey AS STRING)), 'geo' FROM nation"""
+    extra = osql.resolve_sql(req, levels=3, predicate=SECTION_PREDICATE, traverse=tuple(SECTION_TRAVERSE))
+    body = """
+SELECT CAST(q.request_id AS BIGINT) AS request_id, q.target, g.resolved_gid, g.status, CAST(g.hops AS BIGINT) AS hops
+FROM req q JOIN resolved_graph g ON g.request_id = q.request_id"""
+    return osql.with_(body, recursive=True, extra=extra)
+
+
 def q_resolve_then_check_customers(spark, sf_dir):
     d = dictionary(spark, sf_dir)
     (customer,) = tables(spark, sf_dir, "customer")
@@ -587,6 +696,7 @@ QUERIES = {
     "validate_events_invalid": lambda s, d: q_validate_events(s, d, "invalid"),
     "membership_counts": q_membership_counts,
     "membership_pairs": q_membership_pairs,
+    "membership_outbound": q_membership_outbound,
     "resolve_alias": q_resolve_alias,
     "lookup_terms": q_lookup_terms,
     "expand_geo_l4": q_expand_geo_l4,
@@ -594,9 +704,12 @@ QUERIES = {
     "expand_branch_nations": q_expand_branch_nations,
     "expand_all_roots": q_expand_all_roots,
     "expand_outbound_orders": q_expand_outbound_orders,
+    **{name: _single_root_query(root, lv) for name, (root, lv) in SINGLE_ROOT_EXPANSIONS.items()},
+    "expand_geo_full": q_expand_geo_full,
     "resolve_in_geo": q_resolve_in_geo,
     "resolve_in_supply": q_resolve_in_supply,
     "resolve_nation_code": q_resolve_nation_code,
+    "resolve_geo_by_section": q_resolve_geo_by_section,
     "resolve_then_check_customers": q_resolve_then_check_customers,
     "descriptor_fields_parts": q_descriptor_fields_parts,
     "descriptor_fields_status": q_descriptor_fields_status,
@@ -618,6 +731,7 @@ ORACLE = {
     "validate_events_invalid": osql.with_(ORACLE_VALIDATE["invalid"]),
     "membership_counts": ORACLE_MEMBERSHIP_COUNTS,
     "membership_pairs": ORACLE_MEMBERSHIP_PAIRS,
+    "membership_outbound": ORACLE_MEMBERSHIP_OUTBOUND,
     "resolve_alias": ORACLE_RESOLVE_ALIAS,
     "lookup_terms": ORACLE_LOOKUP_TERMS,
     "expand_geo_l4": osql.expand_sql(_EXPAND_GEO_REQ, 4),
@@ -625,11 +739,14 @@ ORACLE = {
     "expand_branch_nations": osql.expand_sql(_EXPAND_NATIONS_REQ, 2),
     "expand_all_roots": _oracle_all_roots(),
     "expand_outbound_orders": osql.expand_sql(_EXPAND_ORDERS_REQ, 4, "outbound"),
+    **{name: _single_root_oracle(root, lv) for name, (root, lv) in SINGLE_ROOT_EXPANSIONS.items()},
+    "expand_geo_full": _oracle_expand_geo_full(),
     "resolve_in_geo": _oracle_resolve(f"SELECT request_id, target, 'geo' AS root FROM ({_GEO_TARGETS_SQL})"),
     "resolve_in_supply": _oracle_resolve(
         f"SELECT request_id, target, 'supply' AS root FROM ({_GEO_TARGETS_SQL} UNION ALL SELECT s_suppkey * 4 + 100000000, concat('supp_', CAST(s_suppkey AS STRING)) FROM supplier)"
     ),
     "resolve_nation_code": _oracle_resolve(_NATION_CODE_TARGETS_SQL),
+    "resolve_geo_by_section": _oracle_resolve_geo_by_section(),
     "resolve_then_check_customers": ORACLE_RESOLVE_THEN_CHECK,
     "descriptor_fields_parts": ORACLE_FIELDS_PARTS,
     "descriptor_fields_status": ORACLE_FIELDS_STATUS,
