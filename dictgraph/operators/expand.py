@@ -17,9 +17,10 @@ Per request ``(request_id, root, branch)``:
   then smaller level, then smaller parent handle, then smaller edge key.
 
 The loop runs all requests together: one equi-join of the frontier with the
-usable edges per hop, an anti-join against the visited set and a
-``min(struct)`` aggregate for the tie-break (combined map-side, so a hub
-vertex does not collect in one task). Each hop is checkpointed into the
+usable edges per hop, then a single aggregation per (request, vertex) that
+both drops already-visited vertices and applies the tie-break as a
+``min(struct)`` (combined map-side, so a hub vertex does not collect in one
+task). Each hop is checkpointed into the
 session's reliable checkpoint folder; the loop stops on an empty frontier or
 after ``levels + 1`` hops.
 """
@@ -90,7 +91,6 @@ def expand_enum(
     visited = [start.select("request_id", "vertex")]
     frontier = start
     frontier_rows = start.count()
-    visited_rows = frontier_rows
     emitted = []
     for hop in range(1, max_hops + 1):
         # A frontier within bound is broadcast and the edges are scanned in
@@ -108,15 +108,27 @@ def expand_enum(
             F.when(usable.is_bridge, fr.anchor).otherwise(usable.far).alias("anchor"),
             usable.predicate,
         )
-        seen = broadcast_small(reduce(DataFrame.unionByName, visited), visited_rows, max_broadcast_rows)
-        step = step.join(seen, ["request_id", "vertex"], "left_anti")
-        best = step.groupBy("request_id", "root_h", "vertex").agg(
-            F.min(F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate")).alias("b")
+        # Visit-once and the tie-break in one aggregation: candidates and the
+        # visited set meet in the same group; groups holding a visited row
+        # are dropped. Candidates combine map-side before the shuffle.
+        cand = step.select(
+            "request_id", "vertex",
+            F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate", "root_h").alias("b"),
+            F.lit(False).alias("seen"),
+        )
+        seen = reduce(DataFrame.unionByName, visited).select(
+            "request_id", "vertex", F.lit(None).cast(cand.schema["b"].dataType).alias("b"), F.lit(True).alias("seen")
+        )
+        best = (
+            cand.unionByName(seen)
+            .groupBy("request_id", "vertex")
+            .agg(F.max("seen").alias("seen"), F.min("b").alias("b"))
+            .filter(~F.col("seen"))
         )
         new = cut_lineage(
             best.select(
                 "request_id",
-                "root_h",
+                F.col("b.root_h").alias("root_h"),
                 "vertex",
                 F.col("b.is_bridge").alias("is_bridge"),
                 F.col("b.level").alias("level"),
@@ -127,7 +139,6 @@ def expand_enum(
             )
         )
         frontier_rows = new.count()
-        visited_rows += frontier_rows
         if frontier_rows == 0:
             break
         emitted.append(

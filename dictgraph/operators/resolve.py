@@ -88,7 +88,6 @@ def resolve_in_graph(
     found = []
     frontier = cut_lineage(frontier)
     frontier_rows = frontier.count()
-    visited_rows = frontier_rows
     visited = [frontier.select("request_id", "vertex")]
     for hop in range(1, max_levels + 1):
         if frontier_rows == 0:
@@ -105,13 +104,24 @@ def resolve_in_graph(
         )
         found.append(hits)
         nxt = step.filter(~F.col("functional")).join(hits, "request_id", "left_anti")
-        nxt = nxt.select("request_id", "root_h", F.col("far").alias("vertex"), F.concat("path", F.array("far")).alias("path"))
-        seen = broadcast_small(reduce(DataFrame.unionByName, visited), visited_rows, max_broadcast_rows)
-        nxt = nxt.join(seen, ["request_id", "vertex"], "left_anti")
-        nxt = nxt.groupBy("request_id", "root_h", "vertex").agg(F.min("path").alias("path"))
+        # Drop visited vertices and keep the smallest path per (request,
+        # vertex) in one aggregation (see expand_enum).
+        cand = nxt.select(
+            "request_id", F.col("far").alias("vertex"),
+            F.struct(F.concat("path", F.array("far")).alias("path"), "root_h").alias("b"), F.lit(False).alias("seen"),
+        )
+        seen = reduce(DataFrame.unionByName, visited).select(
+            "request_id", "vertex", F.lit(None).cast(cand.schema["b"].dataType).alias("b"), F.lit(True).alias("seen")
+        )
+        nxt = (
+            cand.unionByName(seen)
+            .groupBy("request_id", "vertex")
+            .agg(F.max("seen").alias("seen"), F.min("b").alias("b"))
+            .filter(~F.col("seen"))
+            .select("request_id", F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
+        )
         frontier = cut_lineage(nxt)
         frontier_rows = frontier.count()
-        visited_rows += frontier_rows
         visited.append(frontier.select("request_id", "vertex"))
 
     answers = reduce(DataFrame.unionByName, [direct] + found)

@@ -23,6 +23,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # per-hop checkpoints of the graph loops are removed once unreachable
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("DICTGRAPH_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()

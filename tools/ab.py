@@ -10,7 +10,8 @@ from dictgraph import registry  # noqa: E402
 from dictgraph.session import local_session  # noqa: E402
 
 sf, n, names = sys.argv[1], int(sys.argv[2]), sys.argv[3:]
-spark = local_session(cores=8, shuffle_partitions=16)
+import os
+spark = local_session(cores=8, shuffle_partitions=int(os.environ.get("AB_SHUFFLE", "16")))
 registry.dictionary(spark, sf)["edges"].count()
 for name in names:
     best = min(
