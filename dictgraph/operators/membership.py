@@ -40,8 +40,11 @@ def membership_pairs(
     """Distinct accepted ``(term, root)`` pairs of two request lists."""
     direction = check_direction(direction)
     root_keys = roots.select(F.col(gid_col).alias("root")).filter(F.col("root").isNotNull()).distinct()
-    root_keys = broadcast_if_bounded(root_keys.select("root", handle("root").alias("root_h")))
-    m = membership_relation(edges, direction).join(root_keys, "root_h")
+    root_keys = cut_lineage(root_keys.select("root", handle("root").alias("root_h")))
+    if is_bounded(root_keys):
+        m = membership_relation(edges, direction, roots=root_keys).join(F.broadcast(root_keys), "root_h")
+    else:
+        m = membership_relation(edges, direction).join(root_keys, "root_h")
     term_keys = terms.select(F.col(gid_col).alias("term")).filter(F.col("term").isNotNull()).distinct()
     return term_keys.join(m, handle("term") == m.leaf).select("term", "root")
 
@@ -65,10 +68,10 @@ def check_membership(
     direction = check_direction(direction)
     _require_rows(terms, "terms")
     _require_rows(roots, "roots")
-    dterms = terms.groupBy(F.col(gid_col).alias("gid")).agg(
-        F.min(pos_col).alias("pos"), F.count(F.lit(1)).alias("occurrences")
+    dterms = cut_lineage(
+        terms.groupBy(F.col(gid_col).alias("gid")).agg(F.min(pos_col).alias("pos"), F.count(F.lit(1)).alias("occurrences"))
     )
-    pairs = membership_pairs(terms, roots, edges, direction, gid_col)
+    pairs = membership_pairs(dterms, roots.withColumnRenamed(gid_col, "gid"), edges, direction, "gid")
     root_occ = broadcast_if_bounded(roots.select(F.col(gid_col).alias("root"), F.col(pos_col).alias("rpos")))
     accepted = (
         pairs.join(root_occ, "root")

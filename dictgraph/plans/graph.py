@@ -60,14 +60,26 @@ def edges_by_root(
     ).filter(F.col("near").isNotNull() & F.col("far").isNotNull())
 
 
-def membership_relation(edges: DataFrame, direction: str = INBOUND, root_filter: Column | None = None) -> DataFrame:
+def membership_relation(
+    edges: DataFrame,
+    direction: str = INBOUND,
+    root_filter: Column | None = None,
+    roots: DataFrame | None = None,
+) -> DataFrame:
     """Distinct ``(leaf, root_h)``: the leaf handle sits at the leaf end of
-    at least one enum-of edge whose ``_path`` holds the root handle."""
+    at least one enum-of edge whose ``_path`` holds the root handle.
+
+    ``root_filter`` (a predicate on ``root_h``) or ``roots`` (a small
+    DataFrame with ``root_h``, joined by broadcast) restrict the relation to
+    the graphs asked for *before* the de-duplication shuffle; ``roots``
+    must be of checked, bounded size."""
     leaf_end = "_from" if check_direction(direction) == INBOUND else "_to"
     e = edges.filter((F.col("_predicate") == ENUM_OF) & F.col(leaf_end).isNotNull())
     m = e.select(F.col(leaf_end).alias("leaf"), F.explode(F.array_distinct("_path")).alias("root_h"))
     if root_filter is not None:
         m = m.filter(root_filter)
+    if roots is not None:
+        m = m.join(F.broadcast(roots.select("root_h").distinct()), "root_h", "left_semi")
     return m.filter(F.col("root_h").isNotNull()).distinct()
 
 
