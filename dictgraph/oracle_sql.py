@@ -165,3 +165,50 @@ resolved_graph AS (
   FROM answer a LEFT JOIN terms t ON concat('terms/', t._key) = a.canonical_h
 )"""
     return extra
+
+
+# Descriptor fields, generically from the JSON text: truthy _open/_closed,
+# _required[*]._selection flattened depth-first by a recursive CTE carrying the
+# position path, then _recommended, first occurrence wins. Needs
+# ``resolve_keys_cte`` (rk, resolved) before it.
+FIELDS_CTE = """
+fdoc AS (SELECT r.gid, t.doc FROM resolved r JOIN terms t ON t._key = r.resolved_gid),
+fobj AS (SELECT gid, json_extract(doc, '$._data._object') AS obj FROM fdoc),
+fbody AS (
+  SELECT gid, obj,
+         CASE WHEN json_type(json_extract(obj, '$._open')) IN ('OBJECT', 'ARRAY') THEN json_extract(obj, '$._open')
+              WHEN json_type(json_extract(obj, '$._closed')) IN ('OBJECT', 'ARRAY') THEN json_extract(obj, '$._closed') END AS body
+  FROM fobj
+),
+req_e AS (
+  SELECT gid, i, json_extract(json_extract(body, '$._required'), concat('$[', CAST(i AS VARCHAR), ']._selection')) AS v FROM (
+    SELECT gid, body, unnest(range(CAST(json_array_length(json_extract(body, '$._required')) AS BIGINT))) AS i
+    FROM fbody WHERE json_type(json_extract(body, '$._required')) = 'ARRAY')
+),
+flat(gid, sp, v) AS (
+  SELECT gid, [0, i], v FROM req_e WHERE json_type(v) = 'ARRAY'
+  UNION ALL
+  SELECT gid, list_append(sp, j), json_extract(v, concat('$[', CAST(j AS VARCHAR), ']')) FROM (
+    SELECT gid, sp, v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS j FROM flat WHERE json_type(v) = 'ARRAY')
+),
+rec_e AS (
+  SELECT gid, [1, j] AS sp, json_extract(json_extract(body, '$._recommended'), concat('$[', CAST(j AS VARCHAR), ']')) AS v FROM (
+    SELECT gid, body, unnest(range(CAST(json_array_length(json_extract(body, '$._recommended')) AS BIGINT))) AS j
+    FROM fbody WHERE json_type(json_extract(body, '$._recommended')) = 'ARRAY')
+),
+fields AS (
+  SELECT gid, sp, v ->> '$' AS field_gid, true AS required FROM flat WHERE json_type(v) = 'VARCHAR'
+  UNION ALL SELECT gid, sp, v ->> '$', false FROM rec_e WHERE json_type(v) = 'VARCHAR'
+),
+firsts AS (SELECT gid, field_gid, arg_min(required, sp) AS required, min(sp) AS sp FROM fields GROUP BY gid, field_gid),
+ordered AS (SELECT gid, field_gid, required, row_number() OVER (PARTITION BY gid ORDER BY sp) AS ord FROM firsts),
+fstatus AS (
+  SELECT k.gid,
+         CASE WHEN r.resolved_gid IS NULL THEN 'not_found'
+              WHEN json_type(o.obj) IS NULL OR json_type(o.obj) = 'NULL'
+                   OR (json_type(o.obj) = 'BOOLEAN' AND NOT CAST(o.obj AS BOOLEAN))
+                   OR (json_type(o.obj) IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND CAST(o.obj AS DOUBLE) = 0)
+                   OR (json_type(o.obj) = 'VARCHAR' AND o.obj ->> '$' = '') THEN 'not_object'
+              ELSE 'ok' END AS status
+  FROM rk k LEFT JOIN resolved r ON r.gid = k.gid LEFT JOIN fobj o ON o.gid = k.gid
+)"""

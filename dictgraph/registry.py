@@ -485,15 +485,14 @@ def q_descriptor_fields_parts(spark, sf_dir):
     return out.select("gid", "status", *_long("ord"), "field_gid", "required")
 
 
+_FIELDS_PARTS_REQ = "SELECT concat('part_item_', CAST(p_partkey AS STRING)) AS gid FROM part"
+
 ORACLE_FIELDS_PARTS = osql.with_(
     """
-SELECT concat('part_item_', CAST(p_partkey AS STRING)) AS gid, 'ok' AS status, CAST(o AS BIGINT) AS ord, field_gid, required
-FROM (
-  SELECT p_partkey, 1 AS o, p_brand AS field_gid, true AS required FROM part
-  UNION ALL SELECT p_partkey, 2, p_type, true FROM part
-  UNION ALL SELECT p_partkey, 3, concat('size_', CAST(p_size AS STRING)), true FROM part
-  UNION ALL SELECT p_partkey, 4, 'price', false FROM part
-)"""
+SELECT s.gid, s.status, CAST(o.ord AS BIGINT) AS ord, o.field_gid, o.required
+FROM fstatus s LEFT JOIN ordered o ON o.gid = s.gid AND s.status = 'ok'""",
+    recursive=True,
+    extra=osql.resolve_keys_cte(_FIELDS_PARTS_REQ) + ",\n" + osql.FIELDS_CTE,
 )
 
 
@@ -506,13 +505,11 @@ def q_descriptor_fields_status(spark, sf_dir):
 
 ORACLE_FIELDS_STATUS = osql.with_(
     """
-SELECT e.gid,
-       CASE WHEN r.resolved_gid IS NULL THEN 'not_found'
-            WHEN json_extract(t.doc, '$._data._object') IS NULL THEN 'not_object'
-            ELSE 'ok' END AS status,
-       CAST(CASE WHEN r.resolved_gid IS NOT NULL AND json_extract(t.doc, '$._data._object') IS NOT NULL THEN 4 ELSE 0 END AS BIGINT) AS n_fields
-FROM endpoint_keys e LEFT JOIN resolved r ON r.gid = e.gid LEFT JOIN terms t ON t._key = r.resolved_gid""",
-    extra=osql.resolve_keys_cte("SELECT gid FROM endpoint_keys"),
+SELECT s.gid, s.status, CAST(count(o.field_gid) AS BIGINT) AS n_fields
+FROM fstatus s LEFT JOIN ordered o ON o.gid = s.gid AND s.status = 'ok'
+GROUP BY s.gid, s.status""",
+    recursive=True,
+    extra=osql.resolve_keys_cte("SELECT gid FROM endpoint_keys") + ",\n" + osql.FIELDS_CTE,
 )
 
 # ------------------------------------------------------------------ O8 / O9
