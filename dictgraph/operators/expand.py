@@ -62,19 +62,23 @@ def expand_enum(
     direction: str = INBOUND,
     shape: str = "compact",
     max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
+    null_missing: bool = False,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
     ``requests`` holds ``request_id``, ``root`` and an optional ``branch``
     (NULL or absent means the root). ``shape='full'`` attaches the term
     document as ``term`` (NULL for an endpoint without a document) and needs
-    ``terms``; ``gid`` is always the key of the reached endpoint."""
+    ``terms``. By default ``gid`` and ``parent`` are the edge endpoints' key
+    and handle whether or not a document exists; ``null_missing=True`` gives
+    the document-based form instead (NULL ``gid``/``parent`` when the vertex
+    or parent has no document; rows are kept) and needs ``terms``."""
     depth = check_levels(levels, MAX_LEVELS, 1)
     direction = check_direction(direction)
     if shape not in SHAPES:
         raise ValueError(f"shape must be one of {SHAPES}, got {shape!r}")
-    if shape == "full" and terms is None:
-        raise ValueError("shape='full' needs the terms DataFrame")
+    if (shape == "full" or null_missing) and terms is None:
+        raise ValueError("shape='full' and null_missing need the terms DataFrame")
     max_hops = depth + 1
 
     branch = F.coalesce(F.col("branch"), F.col("root")) if "branch" in requests.columns else F.col("root")
@@ -156,9 +160,17 @@ def expand_enum(
         )
     else:
         out = reduce(DataFrame.unionByName, emitted)
+    gid = key_of("vertex")
+    parent = F.col("parent")
+    if null_missing:
+        have = prepare_terms(terms).select(handle("_key").alias("__h"))
+        out = out.join(have.withColumnRenamed("__h", "vertex").withColumn("__v", F.lit(True)), "vertex", "left")
+        out = out.join(have.withColumnRenamed("__h", "parent").withColumn("__p", F.lit(True)), "parent", "left")
+        gid = F.when(F.col("__v"), gid)
+        parent = F.when(F.col("__p"), parent)
     if shape == "compact":
-        return out.select("request_id", key_of("vertex").alias("gid"), "predicate", "level", "parent", "hops")
+        return out.select("request_id", gid.alias("gid"), "predicate", "level", parent.alias("parent"), "hops")
     docs = prepare_terms(terms).select(handle("_key").alias("vertex"), F.col("doc").alias("term"))
     return out.join(docs, "vertex", "left").select(
-        "request_id", key_of("vertex").alias("gid"), "term", "predicate", "level", "parent", "hops"
+        "request_id", gid.alias("gid"), "term", "predicate", "level", parent.alias("parent"), "hops"
     )

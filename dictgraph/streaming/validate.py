@@ -26,8 +26,9 @@ from dictgraph.operators.terms import resolve_keys
 
 
 def validate_stream(stream: DataFrame, code, root: str, edges: DataFrame, mode: str = "flag", **kw) -> DataFrame:
-    """``validate_column`` on a streaming fact table (stream-static join)."""
-    return validate_column(stream, code, root, edges, mode=mode, max_broadcast_rows=kw.pop("max_broadcast_rows", 0), **kw)
+    """``validate_column`` on a streaming fact table (stream-static join; the
+    member set is broadcast when its size check passes)."""
+    return validate_column(stream, code, root, edges, mode=mode, **kw)
 
 
 def resolve_alias_stream(stream: DataFrame, terms: DataFrame, edges: DataFrame, gid_col: str = "gid") -> DataFrame:

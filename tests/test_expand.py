@@ -146,3 +146,15 @@ def test_matches_brute_force(spark, seed, direction):
                 expected.append((rid,) + row)
     out = expand_enum(req(spark, requests, REQ), edges, levels=levels, direction=direction)
     assert rows(out, "request_id", "gid", "predicate", "level", "parent", "hops") == sorted(expected)
+
+
+def test_null_missing_documents(spark, iso):
+    from dictgraph.functions.constants import ENUM_OF as E
+    from tests.fixtures import make_edges as me
+
+    edges = iso["edges"].unionByName(me(spark, [("ghost_leaf", E, "ISO_639_type_C", ["ISO_639_3"]), ("deeper", E, "ghost_leaf", ["ISO_639_3"])]))
+    r = req(spark, [(1, "ISO_639_3", "ISO_639_type_C")], REQ)
+    keep = rows(expand_enum(r, edges, levels=2), "gid", "parent")
+    assert keep == [("ISO_639_3_epo", "terms/ISO_639_type_C"), ("deeper", "terms/ghost_leaf"), ("ghost_leaf", "terms/ISO_639_type_C")]
+    nulls = rows(expand_enum(r, edges, iso["terms"], levels=2, null_missing=True).fillna("~"), "gid", "parent")
+    assert nulls == [("ISO_639_3_epo", "terms/ISO_639_type_C"), ("~", "terms/ISO_639_type_C"), ("~", "~")]
