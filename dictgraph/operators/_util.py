@@ -3,8 +3,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import broadcast_if_bounded
+from dictgraph.plans.lineage import cut_lineage_counted
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS
 
 
 def as_col(c) -> Column:
@@ -17,12 +17,7 @@ def join_back(requests: DataFrame, answers: DataFrame, on: str, max_broadcast_ro
     within bound they are broadcast, so the request side is never shuffled.
     The answers are checkpointed first so the size check does not compute
     them a second time."""
-    if not answers.isStreaming:
-        answers = cut_lineage(answers)
-    if max_broadcast_rows is None:
-        right = broadcast_if_bounded(answers)
-    elif max_broadcast_rows > 0:
-        right = broadcast_if_bounded(answers, max_broadcast_rows)
-    else:
-        right = answers
+    limit = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    answers, n = cut_lineage_counted(answers)
+    right = F.broadcast(answers) if 0 < limit and n <= limit else answers
     return requests.join(right, on, "left")

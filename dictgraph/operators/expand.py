@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import check_direction, edges_by_root
-from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
 from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -87,14 +87,13 @@ def expand_enum(
         handle("root").alias("root_h"),
         handle(branch).alias("vertex"),
     ).filter(F.col("root_h").isNotNull() & F.col("vertex").isNotNull())
-    start = cut_lineage(start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex")))
+    start, frontier_rows = cut_lineage_counted(start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex")))
 
     # Usable edges of the requested graphs, filtered and checkpointed once.
     usable = cut_lineage(edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")))
 
     visited = [start.select("request_id", "vertex")]
     frontier = start
-    frontier_rows = start.count()
     emitted = []
     for hop in range(1, max_hops + 1):
         # A frontier within bound is broadcast and the edges are scanned in
@@ -129,7 +128,7 @@ def expand_enum(
             .agg(F.max("seen").alias("seen"), F.min("b").alias("b"))
             .filter(~F.col("seen"))
         )
-        new = cut_lineage(
+        new, frontier_rows = cut_lineage_counted(
             best.select(
                 "request_id",
                 F.col("b.root_h").alias("root_h"),
@@ -142,7 +141,6 @@ def expand_enum(
                 F.lit(hop).alias("hops"),
             )
         )
-        frontier_rows = new.count()
         if frontier_rows == 0:
             break
         emitted.append(

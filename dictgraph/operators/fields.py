@@ -26,10 +26,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictgraph.functions.constants import MALFORMED, NOT_FOUND, NOT_OBJECT, OK
+from dictgraph.functions.constants import MALFORMED, NOT_OBJECT, OK
 from dictgraph.functions.variant import is_truthy
 from dictgraph.operators.terms import resolve_keys
-from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
 
 MAX_NESTING = 10_000
 
@@ -80,21 +80,22 @@ def descriptor_fields(requests: DataFrame, terms: DataFrame, edges: DataFrame, g
     # Required: every entry's _selection, when it is an array.
     entries = _items(ok.filter(_is_array(F.col("req"))), "req", ["gid"])
     sel = entries.select("gid", F.array(F.lit(0), "pos").alias("sort_path"), _vget("item", "$._selection").alias("v"))
-    pending = cut_lineage(sel.filter(_is_array(F.col("v"))))
+    pending, n_pending = cut_lineage_counted(sel.filter(_is_array(F.col("v"))))
     emitted = []
     for _ in range(MAX_NESTING):
-        if pending.isEmpty():
+        if n_pending == 0:
             break
         kids = _items(pending, "v", ["gid", "sort_path"]).select(
             "gid", F.concat("sort_path", F.array("pos")).alias("sort_path"), F.col("item").alias("v")
         )
-        kids = cut_lineage(kids.filter(_is_array(F.col("v")) | _is_string(F.col("v"))))
+        kids = kids.withColumn("is_array", _is_array(F.col("v")))
+        kids = cut_lineage(kids.filter(F.col("is_array") | _is_string(F.col("v"))))
         emitted.append(
-            kids.filter(_is_string(F.col("v"))).select(
+            kids.filter(~F.col("is_array")).select(
                 "gid", "sort_path", F.try_variant_get("v", "$", "string").alias("field_gid"), F.lit(True).alias("required")
             )
         )
-        pending = kids.filter(_is_array(F.col("v")))
+        pending, n_pending = cut_lineage_counted(kids.filter("is_array").drop("is_array"))
 
     recommended = _items(ok.filter(_is_array(F.col("rec"))), "rec", ["gid"])
     emitted.append(

@@ -19,8 +19,8 @@ from dictgraph.functions.constants import INBOUND
 from dictgraph.functions.keys import handle
 from dictgraph.operators._util import as_col
 from dictgraph.plans.graph import check_direction, membership_relation
-from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, is_bounded
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 
 VALIDATE_MODES = ("flag", "valid", "invalid")
 
@@ -40,8 +40,8 @@ def membership_pairs(
     """Distinct accepted ``(term, root)`` pairs of two request lists."""
     direction = check_direction(direction)
     root_keys = roots.select(F.col(gid_col).alias("root")).filter(F.col("root").isNotNull()).distinct()
-    root_keys = cut_lineage(root_keys.select("root", handle("root").alias("root_h")))
-    if is_bounded(root_keys):
+    root_keys, n_roots = cut_lineage_counted(root_keys.select("root", handle("root").alias("root_h")))
+    if n_roots <= DEFAULT_MAX_BROADCAST_ROWS:
         m = membership_relation(edges, direction, roots=root_keys).join(F.broadcast(root_keys), "root_h")
     else:
         m = membership_relation(edges, direction).join(root_keys, "root_h")
@@ -110,8 +110,8 @@ def validate_column(
     limit = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     key = handle(as_col(code))
     if limit > 0 and not members.isStreaming:
-        members = cut_lineage(members)
-        if is_bounded(members, limit):
+        members, n_members = cut_lineage_counted(members)
+        if n_members <= limit:
             members = F.broadcast(members)
         elif not fact.isStreaming:
             return _validate_by_codes(fact, key, members, mode, flag_col, limit)
@@ -136,8 +136,8 @@ def _validate_by_codes(fact: DataFrame, key, members: DataFrame, mode: str, flag
     flags = codes.join(members, codes["__code"] == members["__member"], "left").select(
         "__code", F.col("__member").isNotNull().alias("__ok")
     )
-    flags = cut_lineage(flags)
-    if is_bounded(flags, limit):
+    flags, n_flags = cut_lineage_counted(flags)
+    if n_flags <= limit:
         flags = F.broadcast(flags)
     joined = fact.join(flags, key == flags["__code"], "left")
     ok = F.coalesce(F.col("__ok"), F.lit(False))

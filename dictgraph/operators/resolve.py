@@ -38,7 +38,7 @@ from dictgraph.functions.constants import (
 from dictgraph.functions.keys import handle
 from dictgraph.operators.expand import check_levels
 from dictgraph.plans.graph import check_direction, edges_by_root
-from dictgraph.plans.lineage import cut_lineage
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
 from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -86,8 +86,7 @@ def resolve_in_graph(
     )
     walk = usable.select("root_h", "near", "far", "functional")
     found = []
-    frontier = cut_lineage(frontier)
-    frontier_rows = frontier.count()
+    frontier, frontier_rows = cut_lineage_counted(frontier)
     visited = [frontier.select("request_id", "vertex")]
     for hop in range(1, max_levels + 1):
         if frontier_rows == 0:
@@ -120,8 +119,7 @@ def resolve_in_graph(
             .filter(~F.col("seen"))
             .select("request_id", F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
         )
-        frontier = cut_lineage(nxt)
-        frontier_rows = frontier.count()
+        frontier, frontier_rows = cut_lineage_counted(nxt)
         visited.append(frontier.select("request_id", "vertex"))
 
     answers = reduce(DataFrame.unionByName, [direct] + found)

@@ -28,8 +28,8 @@ from dictgraph.functions.constants import (
     TEXT_LANG_FIELDS,
 )
 from dictgraph.functions.tokens import segment_tokens, word_tokens
-from dictgraph.plans.lineage import cut_lineage
-from dictgraph.plans.sizing import broadcast_if_bounded, is_bounded
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 from dictgraph.sources.dictionary import prepare_terms
 
 MODES = ("any", "all", "phrase")
@@ -89,8 +89,8 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
         F.count(F.lit(1)).alias("n_pos"),
         F.countDistinct("token").alias("n_tok"),
     ).select("query_id", F.col("a.token").alias("token"), F.col("a.qpos").alias("aqpos"), "n_pos", "n_tok")
-    anchor = cut_lineage(anchor)
-    cands = postings.join(broadcast_if_bounded(anchor), "token")
+    anchor, n_anchor = cut_lineage_counted(anchor)
+    cands = postings.join(F.broadcast(anchor) if n_anchor <= DEFAULT_MAX_BROADCAST_ROWS else anchor, "token")
 
     if mode == "all":
         cands = cands.select("query_id", "doc", "n_tok").distinct()
@@ -123,8 +123,8 @@ def _present(need: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
 
     A bounded ``need`` is broadcast and ``have`` (the postings) streams past
     it without a shuffle; otherwise a shuffled semi-join."""
-    need = cut_lineage(need)
-    if is_bounded(need):
+    need, n = cut_lineage_counted(need)
+    if n <= DEFAULT_MAX_BROADCAST_ROWS:
         return have.join(F.broadcast(need), keys)
     return need.join(have, keys, "left_semi")
 
@@ -221,10 +221,10 @@ def domain_index(terms: DataFrame, max_depth: int = 64) -> DataFrame:
     start = terms.select(
         F.col("_key").alias("gid"), F.lit("").alias("path"), F.try_variant_get("doc", "$._domn", "variant").alias("v")
     ).filter(F.schema_of_variant("v").startswith("OBJECT"))
-    pending = cut_lineage(start)
+    pending, n_pending = cut_lineage_counted(start)
     leaves = []
     for _ in range(max_depth):
-        if pending.isEmpty():
+        if n_pending == 0:
             break
         kind = F.schema_of_variant("v")
         objs = pending.filter(kind.startswith("OBJECT")).select(
@@ -233,14 +233,15 @@ def domain_index(terms: DataFrame, max_depth: int = 64) -> DataFrame:
         arrs = pending.filter(kind.startswith("ARRAY")).select(
             "gid", "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
         )
-        nxt = cut_lineage(objs.unionByName(arrs))
         k2 = F.schema_of_variant("v")
+        nxt = objs.unionByName(arrs).withColumn("container", k2.startswith("OBJECT") | k2.startswith("ARRAY"))
+        nxt = cut_lineage(nxt)
         leaves.append(
-            nxt.filter(~k2.startswith("OBJECT") & ~k2.startswith("ARRAY") & (k2 != "VOID")).select(
+            nxt.filter(~F.col("container") & (k2 != "VOID")).select(
                 "path", F.try_variant_get("v", "$", "string").alias("value"), "gid"
             )
         )
-        pending = nxt.filter(k2.startswith("OBJECT") | k2.startswith("ARRAY"))
+        pending, n_pending = cut_lineage_counted(nxt.filter("container").drop("container"))
     if not leaves:
         return terms.sparkSession.createDataFrame([], "path string, value string, gid string")
     from functools import reduce

@@ -7,7 +7,10 @@ executor costs one hop, not a replay of the whole loop, and plans stay flat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from dictgraph.session import ensure_checkpoint_dir
 
@@ -15,3 +18,12 @@ from dictgraph.session import ensure_checkpoint_dir
 def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint and return the row count, observed while the checkpoint
+    job runs (no second job)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation("dg_" + uuid.uuid4().hex)
+    out = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return out, int(obs.get["rows"])
