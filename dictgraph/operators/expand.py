@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import check_direction, edges_by_root
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.lineage import cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -90,7 +90,14 @@ def expand_enum(
     start, frontier_rows = cut_lineage_counted(start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex")))
 
     # Usable edges of the requested graphs, filtered and checkpointed once.
-    usable = cut_lineage(edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")))
+    # Without any bridge edge no path can gain the bridge budget's extra hop
+    # (its rows would all have level > levels), so the loop stops a hop early.
+    usable, stats = cut_lineage_observed(
+        edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")),
+        bridges=F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0)),
+    )
+    if stats["bridges"] == 0:
+        max_hops = depth
 
     visited = [start.select("request_id", "vertex")]
     frontier = start

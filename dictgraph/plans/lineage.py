@@ -27,3 +27,13 @@ def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     obs = Observation("dg_" + uuid.uuid4().hex)
     out = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
     return out, int(obs.get["rows"])
+
+
+def cut_lineage_observed(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """Checkpoint and return ``rows`` plus the named aggregate ``metrics``
+    (Column expressions), all observed during the checkpoint job."""
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation("dg_" + uuid.uuid4().hex)
+    cols = [F.count(F.lit(1)).alias("rows")] + [c.alias(name) for name, c in metrics.items()]
+    out = df.observe(obs, *cols).checkpoint(eager=True)
+    return out, dict(obs.get)
