@@ -29,7 +29,7 @@ from dictgraph.functions.constants import (
 )
 from dictgraph.functions.tokens import segment_tokens, word_tokens
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, spread_if_narrow
 from dictgraph.sources.dictionary import prepare_terms
 
 MODES = ("any", "all", "phrase")
@@ -190,9 +190,15 @@ def text_values(terms: DataFrame, lang: str = ENGLISH) -> DataFrame:
     return long.select("gid", "field", "elem", text.alias("text")).filter(F.col("text").isNotNull())
 
 
-def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=()) -> DataFrame:
-    """Word postings ``(doc, unit, token, pos)`` over any text column."""
+def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True) -> DataFrame:
+    """Word postings ``(doc, unit, token, pos)`` over any text column.
+
+    With ``spread`` an input with fewer partitions than task slots is
+    spread out first, so tokenizing is not left to a few tasks."""
     unit = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in unit_cols]) if unit_cols else F.lit("")
+    df = df.select(doc_col, text_col, *unit_cols)
+    if spread:
+        df = spread_if_narrow(df)
     return df.select(
         F.col(doc_col).alias("doc"), unit.alias("unit"), F.explode(word_tokens(F.col(text_col))).alias("t")
     ).select("doc", "unit", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))

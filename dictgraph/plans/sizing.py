@@ -34,3 +34,15 @@ def broadcast_small(df: DataFrame, known_rows: int, max_rows: int = DEFAULT_MAX_
     """Broadcast a side whose row count is already known (e.g. counted
     right after a checkpoint)."""
     return F.broadcast(df) if known_rows <= max_rows else df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that has fewer partitions than the
+    cluster has task slots, before CPU-heavy per-row work (tokenizing text).
+    A table of many files already arrives in many splits and is left as is."""
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
