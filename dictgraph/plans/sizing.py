@@ -42,7 +42,9 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     A table of many files already arrives in many splits and is left as is."""
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < slots
+    except Exception:  # Spark Connect exposes no partition count
+        return df
+    return df.repartition(slots) if narrow else df

@@ -47,7 +47,11 @@ def dictionary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The derived dictionary, written once per session and data folder into
     the reliable checkpoint folder (the analogue of a loaded collection);
     blobs stay a lazy projection of ``pages`` so page content is not copied."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    key = (app, sf_dir)
     if key not in _CACHE:
         d = derive_dictionary(spark, sf_dir)
         _CACHE[key] = {"terms": cut_lineage(d["terms"]), "edges": cut_lineage(d["edges"]), "blobs": d["blobs"]}

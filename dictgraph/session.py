@@ -41,7 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder, because a machine-local folder is no use to executors on
     other hosts.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="dictgraph-ckpt-", dir=os.environ.get("DICTGRAPH_SCRATCH", "/tmp"))
+            spark.conf.set("spark.checkpoint.dir", configured)
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -15,7 +15,7 @@ def _fields(spark, d, gids):
     return res
 
 
-def test_reference_cases(spark, iso):
+def test_original_suite_cases(spark, iso):
     out = _fields(spark, iso, ["_code", "_lid", "__not_a_real_term_xyz"])
     assert out["_code"]["status"] == "ok"
     assert out["_code"]["fields"] == [("_lid", True), ("_gid", True), ("_aid", True)] + [

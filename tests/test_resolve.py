@@ -18,7 +18,7 @@ def _resolve(spark, d, data, **kw):
     return {r.request_id: (r.resolved_gid, r.status, r.hops) for r in out.collect()}
 
 
-def test_reference_cases(spark, iso):
+def test_original_suite_cases(spark, iso):
     out = _resolve(
         spark,
         iso,
