@@ -91,6 +91,22 @@ ORACLE_VALIDATE = {
                AND e._predicate = '_predicate_enum-of' AND list_contains(e._path, 'terms/event_kind'))""",
 }
 
+def q_validate_lineitem_parts(spark, sf_dir):
+    """Every line item's part checked against the ``part`` enumeration."""
+    d = dictionary(spark, sf_dir)
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    fact = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    out = validate_column(fact, F.concat(F.lit("part_item_"), F.col("l_partkey").cast("string")), "part", d["edges"])
+    return out.select(*_long("l_orderkey", "l_linenumber", "l_partkey"), "is_valid")
+
+
+ORACLE_VALIDATE_LINEITEM = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(l_partkey AS BIGINT) AS l_partkey,
+       EXISTS (SELECT 1 FROM edges e WHERE e._from = concat('terms/part_item_', CAST(l.l_partkey AS STRING))
+               AND e._predicate = '_predicate_enum-of' AND list_contains(e._path, 'terms/part')) AS is_valid
+FROM lineitem l"""
+
+
 # ------------------------------------------------------------------ O4 / O4b
 
 MEMBERSHIP_ROOTS = ["geo", "mkt", "supply", "nation_code"]
@@ -235,6 +251,31 @@ FROM ({_LOOKUP_REQ}) q JOIN resolved r ON r.gid = q.gid JOIN terms t ON t._key =
     extra=osql.resolve_keys_cte(_LOOKUP_REQ),
 )
 
+def q_lookup_lineitem_parts(spark, sf_dir):
+    """Every line item's part document (one lookup per distinct part)."""
+    d = dictionary(spark, sf_dir)
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    req = lineitem.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+        F.concat(F.lit("part_item_"), F.col("l_partkey").cast("string")).alias("gid"),
+    )
+    out = lookup_terms(req, d["terms"], d["edges"], with_doc=True)
+    return out.select(
+        F.col("pos").cast("long").alias("pos"), "gid", "resolved_gid",
+        F.try_variant_get("doc", "$._info._title.ISO_639_3_eng", "string").alias("title"),
+    )
+
+
+_LOOKUP_LINEITEM_REQ = "SELECT l_orderkey * 8 + l_linenumber AS pos, concat('part_item_', CAST(l_partkey AS STRING)) AS gid FROM lineitem"
+
+ORACLE_LOOKUP_LINEITEM = osql.with_(
+    f"""
+SELECT CAST(q.pos AS BIGINT) AS pos, q.gid, r.resolved_gid, json_extract_string(t.doc, '$._info._title.ISO_639_3_eng') AS title
+FROM ({_LOOKUP_LINEITEM_REQ}) q JOIN resolved r ON r.gid = q.gid JOIN terms t ON t._key = r.resolved_gid""",
+    extra=osql.resolve_keys_cte(_LOOKUP_LINEITEM_REQ),
+)
+
+
 # ------------------------------------------------------------------ O3
 
 
@@ -695,11 +736,13 @@ QUERIES = {
     "validate_events": lambda s, d: q_validate_events(s, d, "flag"),
     "validate_events_valid": lambda s, d: q_validate_events(s, d, "valid"),
     "validate_events_invalid": lambda s, d: q_validate_events(s, d, "invalid"),
+    "validate_lineitem_parts": q_validate_lineitem_parts,
     "membership_counts": q_membership_counts,
     "membership_pairs": q_membership_pairs,
     "membership_outbound": q_membership_outbound,
     "resolve_alias": q_resolve_alias,
     "lookup_terms": q_lookup_terms,
+    "lookup_lineitem_parts": q_lookup_lineitem_parts,
     "expand_geo_l4": q_expand_geo_l4,
     "expand_regions": q_expand_regions,
     "expand_branch_nations": q_expand_branch_nations,
@@ -730,11 +773,13 @@ ORACLE = {
     "validate_events": osql.with_(ORACLE_VALIDATE["flag"]),
     "validate_events_valid": osql.with_(ORACLE_VALIDATE["valid"]),
     "validate_events_invalid": osql.with_(ORACLE_VALIDATE["invalid"]),
+    "validate_lineitem_parts": osql.with_(ORACLE_VALIDATE_LINEITEM),
     "membership_counts": ORACLE_MEMBERSHIP_COUNTS,
     "membership_pairs": ORACLE_MEMBERSHIP_PAIRS,
     "membership_outbound": ORACLE_MEMBERSHIP_OUTBOUND,
     "resolve_alias": ORACLE_RESOLVE_ALIAS,
     "lookup_terms": ORACLE_LOOKUP_TERMS,
+    "lookup_lineitem_parts": ORACLE_LOOKUP_LINEITEM,
     "expand_geo_l4": osql.expand_sql(_EXPAND_GEO_REQ, 4),
     "expand_regions": osql.expand_sql(_EXPAND_REGIONS_REQ, 3),
     "expand_branch_nations": osql.expand_sql(_EXPAND_NATIONS_REQ, 2),
