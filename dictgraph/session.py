@@ -45,9 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no driver-side SparkContext
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            configured = tempfile.mkdtemp(prefix="dictgraph-ckpt-", dir=os.environ.get("DICTGRAPH_SCRATCH", "/tmp"))
-            spark.conf.set("spark.checkpoint.dir", configured)
+        if configured:
+            return configured
+        if not str(spark.conf.get("spark.master", "")).startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; iterative operators need a shared checkpoint folder")
+        configured = tempfile.mkdtemp(prefix="dictgraph-ckpt-", dir=os.environ.get("DICTGRAPH_SCRATCH", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
         return configured
     current = sc.getCheckpointDir()
     if current:
