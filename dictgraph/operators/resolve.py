@@ -95,14 +95,18 @@ def resolve_in_graph(
         step = fr.join(walk, (fr.root_h == walk.root_h) & (fr.vertex == walk.near)).select(
             fr.request_id, fr.root_h, walk.far, walk.functional, fr.path
         ).filter(~F.array_contains("path", F.col("far")))
-        hits = cut_lineage(
+        hits, n_hits = cut_lineage_counted(
             step.filter("functional")
             .groupBy("request_id")
             .agg(F.min("far").alias("canonical_h"))
             .withColumn("hops", F.lit(hop))
         )
-        found.append(hits)
-        nxt = step.filter(~F.col("functional")).join(hits, "request_id", "left_anti")
+        nxt = step.filter(~F.col("functional"))
+        if n_hits:
+            found.append(hits)
+            # requests resolved at this hop leave the frontier
+            done = broadcast_small(hits.select("request_id"), n_hits, max_broadcast_rows)
+            nxt = nxt.join(done, "request_id", "left_anti")
         # Drop visited vertices and keep the smallest path per (request,
         # vertex) in one aggregation (see expand_enum).
         cand = nxt.select(
