@@ -268,9 +268,10 @@ def domain_filter(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O14 list view
 
-def term_list_view(terms: DataFrame, order: str = "gid", lang: str = ENGLISH) -> DataFrame:
+def term_list_view(terms: DataFrame, order: str = "gid", lang: str = ENGLISH, sort: bool = True) -> DataFrame:
     """``(gid, nid, title, term_roles)``, ascending by gid or by title (raw
-    byte order, Spark's default collation)."""
+    byte order, Spark's default collation). ``sort=False`` leaves the global
+    sort out (e.g. when publishing a table sorted within buckets)."""
     if order not in ("gid", "title"):
         raise ValueError(f"order must be 'gid' or 'title', got {order!r}")
     t = prepare_terms(terms)
@@ -281,4 +282,6 @@ def term_list_view(terms: DataFrame, order: str = "gid", lang: str = ENGLISH) ->
         F.try_variant_get("doc", f"$._info._title.{lang}", "string").alias("title"),
         F.transform(_elements(roles), lambda e: F.try_variant_get(e, "$", "string")).alias("term_roles"),
     )
+    if not sort:
+        return view
     return view.orderBy("gid") if order == "gid" else view.orderBy(F.col("title").asc_nulls_last(), "gid")

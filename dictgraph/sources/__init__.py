@@ -8,6 +8,7 @@ from dictgraph.sources.dictionary import (
     prepare_terms,
 )
 from dictgraph.sources.derived import derive_dictionary, read_tables
+from dictgraph.sources.sinks import variants_as_json, write_json, write_parquet
 
 __all__ = [
     "EDGE_SCHEMA",
@@ -19,4 +20,7 @@ __all__ = [
     "prepare_terms",
     "derive_dictionary",
     "read_tables",
+    "variants_as_json",
+    "write_json",
+    "write_parquet",
 ]
