@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from dictgraph.functions.constants import MALFORMED, NOT_OBJECT, OK
 from dictgraph.functions.variant import is_truthy
 from dictgraph.operators.terms import resolve_keys
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 
 MAX_NESTING = 10_000
 
@@ -89,13 +89,16 @@ def descriptor_fields(requests: DataFrame, terms: DataFrame, edges: DataFrame, g
             "gid", F.concat("sort_path", F.array("pos")).alias("sort_path"), F.col("item").alias("v")
         )
         kids = kids.withColumn("is_array", _is_array(F.col("v")))
-        kids = cut_lineage(kids.filter(F.col("is_array") | _is_string(F.col("v"))))
+        kids, stats = cut_lineage_observed(
+            kids.filter(F.col("is_array") | _is_string(F.col("v"))),
+            arrays=F.coalesce(F.sum(F.col("is_array").cast("long")), F.lit(0)),
+        )
         emitted.append(
             kids.filter(~F.col("is_array")).select(
                 "gid", "sort_path", F.try_variant_get("v", "$", "string").alias("field_gid"), F.lit(True).alias("required")
             )
         )
-        pending, n_pending = cut_lineage_counted(kids.filter("is_array").drop("is_array"))
+        pending, n_pending = kids.filter("is_array").drop("is_array"), stats["arrays"]
 
     recommended = _items(ok.filter(_is_array(F.col("rec"))), "rec", ["gid"])
     emitted.append(

@@ -28,7 +28,7 @@ from dictgraph.functions.constants import (
     TEXT_LANG_FIELDS,
 )
 from dictgraph.functions.tokens import segment_tokens, word_tokens
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, spread_if_narrow
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -241,13 +241,13 @@ def domain_index(terms: DataFrame, max_depth: int = 64) -> DataFrame:
         )
         k2 = F.schema_of_variant("v")
         nxt = objs.unionByName(arrs).withColumn("container", k2.startswith("OBJECT") | k2.startswith("ARRAY"))
-        nxt = cut_lineage(nxt)
+        nxt, stats = cut_lineage_observed(nxt, containers=F.coalesce(F.sum(F.col("container").cast("long")), F.lit(0)))
         leaves.append(
             nxt.filter(~F.col("container") & (k2 != "VOID")).select(
                 "path", F.try_variant_get("v", "$", "string").alias("value"), "gid"
             )
         )
-        pending, n_pending = cut_lineage_counted(nxt.filter("container").drop("container"))
+        pending, n_pending = nxt.filter("container").drop("container"), stats["containers"]
     if not leaves:
         return terms.sparkSession.createDataFrame([], "path string, value string, gid string")
     from functools import reduce
