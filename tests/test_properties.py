@@ -1,0 +1,160 @@
+"""Brute-force property checks for O1, O4 and O7 on random inputs."""
+
+import json
+import random
+
+import pytest
+
+from dictgraph import check_membership, descriptor_fields, resolve_alias
+from dictgraph.functions.constants import BRIDGE_OF, ENUM_OF, SECTION_OF
+from tests.fixtures import make_edges, make_terms, req
+
+PREDS = [ENUM_OF, SECTION_OF, BRIDGE_OF]
+
+
+def random_dictionary(rng, n=12):
+    keys = [f"k{i}" for i in range(n)]
+    docs = []
+    for k in keys[: n - 3]:  # the last three keys have no document
+        kind = rng.choice(["shell", "info", "data", "null_info"])
+        d = {"_code": {"_gid": k}}
+        if kind == "info":
+            d["_info"] = {"_title": {"ISO_639_3_eng": k}}
+        elif kind == "data":
+            d["_data"] = {}
+        elif kind == "null_info":
+            d["_info"] = None
+        docs.append(d)
+    spec = []
+    for _ in range(20):
+        f, t = rng.sample(keys, 2)
+        spec.append((f, rng.choice(PREDS), t, rng.sample(["R1", "R2", "R3"], rng.randint(1, 2))))
+    return keys, docs, spec
+
+
+def brute_resolve(docs, erows, gid):
+    by_key = {d["_code"]["_gid"]: d for d in docs}
+    d = by_key.get(gid)
+    if d is None:
+        return None
+    if "_info" in d or "_data" in d:
+        return gid
+    picks = sorted((f, k) for k, f, t, p, _ in erows if t == f"terms/{gid}" and p == ENUM_OF)
+    if not picks:
+        return None
+    target = picks[0][0]
+    key = target.split("/", 1)[1] if target.startswith("terms/") else None
+    return key if key in by_key else None
+
+
+@pytest.mark.parametrize("seed", [31, 32, 33])
+def test_resolve_alias_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    keys, docs, spec = random_dictionary(rng)
+    terms, edges = make_terms(spark, docs), make_edges(spark, spec)
+    erows = [(r["_key"], r["_from"], r["_to"], r["_predicate"], r["_path"]) for r in edges.collect()]
+    out = resolve_alias(req(spark, [(k,) for k in keys + ["nope"]], "gid string"), terms, edges, with_doc=False)
+    got = {r.gid: r.resolved_gid for r in out.collect()}
+    assert got == {k: brute_resolve(docs, erows, k) for k in keys + ["nope"]}
+
+
+def brute_membership(erows, terms, roots, direction):
+    end = 1 if direction == "inbound" else 2
+    out = {}
+    for t in terms:
+        accepted = [r for r in roots if any(e[end] == f"terms/{t}" and e[3] == ENUM_OF and e[4] and f"terms/{r}" in e[4] for e in erows)]
+        out[t] = out.get(t, []) + accepted
+    return out
+
+
+@pytest.mark.parametrize("seed", [41, 42])
+@pytest.mark.parametrize("direction", ["inbound", "outbound"])
+def test_membership_matches_brute_force(spark, seed, direction):
+    rng = random.Random(seed)
+    keys, _docs, spec = random_dictionary(rng)
+    edges = make_edges(spark, spec)
+    erows = [(r["_key"], r["_from"], r["_to"], r["_predicate"], r["_path"]) for r in edges.collect()]
+    terms = [rng.choice(keys) for _ in range(10)]
+    roots = [rng.choice(["R1", "R2", "R3", "R4"]) for _ in range(4)]
+    out = check_membership(
+        req(spark, list(enumerate(terms)), "pos int, gid string"),
+        req(spark, list(enumerate(roots)), "pos int, gid string"),
+        edges,
+        direction=direction,
+    )
+    assert {r.gid: list(r.roots) for r in out.collect()} == brute_membership(erows, terms, roots, direction)
+
+
+def random_selection(rng, depth=0):
+    items = []
+    for _ in range(rng.randint(0, 4)):
+        roll = rng.random()
+        if roll < 0.45:
+            items.append(rng.choice("abcdefg"))
+        elif roll < 0.65 and depth < 3:
+            items.append(random_selection(rng, depth + 1))
+        elif roll < 0.8:
+            items.append(rng.randint(0, 9))
+        elif roll < 0.9:
+            items.append({"x": rng.choice("abc")})
+        else:
+            items.append(None)
+    return items
+
+
+def js_truthy(v):
+    """JavaScript truthiness: every object and array is truthy."""
+    if isinstance(v, (dict, list)):
+        return True
+    return bool(v)
+
+
+def brute_fields(obj):
+    body = obj.get("_open") if js_truthy(obj.get("_open")) else obj.get("_closed")
+    if not js_truthy(body):
+        return []
+    out, seen = [], set()
+
+    def add(g, required):
+        if g not in seen:
+            seen.add(g)
+            out.append((g, required))
+
+    def flat(arr):
+        if not isinstance(arr, list):
+            return
+        for item in arr:
+            if isinstance(item, list):
+                flat(item)
+            elif isinstance(item, str):
+                add(item, True)
+
+    for sel in body.get("_required") if js_truthy(body.get("_required")) else []:
+        flat(sel.get("_selection") if isinstance(sel, dict) else None)
+    for g in body.get("_recommended") if js_truthy(body.get("_recommended")) else []:
+        if isinstance(g, str):
+            add(g, False)
+    return out
+
+
+@pytest.mark.parametrize("seed", [51, 52])
+def test_descriptor_fields_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs, expected = [], {}
+    for i in range(12):
+        body = {
+            "_required": [{"_selection": random_selection(rng)} for _ in range(rng.randint(0, 3))],
+            "_recommended": [rng.choice(["a", "h", "i", 3, None]) for _ in range(rng.randint(0, 3))],
+        }
+        obj = {"_open": body} if rng.random() < 0.5 else {"_open": rng.choice([{}, None, False]), "_closed": body}
+        docs.append({"_code": {"_gid": f"d{i}"}, "_data": {"_object": obj}})
+        expected[f"d{i}"] = brute_fields(obj)
+    terms = make_terms(spark, docs)
+    edges = make_edges(spark, [("x", ENUM_OF, "y", ["R"])])
+    out = descriptor_fields(req(spark, [(g,) for g in expected], "gid string"), terms, edges)
+    got = {g: [] for g in expected}
+    for r in out.orderBy("gid", "ord").collect():
+        assert r.status == "ok", (r.gid, json.dumps(docs))
+        if r.field_gid is not None:
+            got[r.gid].append((r.field_gid, r.required))
+    assert got == expected
