@@ -158,3 +158,34 @@ def test_descriptor_fields_match_brute_force(spark, seed):
         if r.field_gid is not None:
             got[r.gid].append((r.field_gid, r.required))
     assert got == expected
+
+
+def brute_search(docs, queries, mode):
+    out = set()
+    for qid, q in queries:
+        qt = [t for t in q.split("_") if t]
+        if not qt:
+            continue
+        for d in docs:
+            dt = [t for t in d.split("_") if t]
+            if mode == "any" and set(qt) & set(dt):
+                out.add((qid, d))
+            elif mode == "all" and set(qt) <= set(dt):
+                out.add((qid, d))
+            elif mode == "phrase" and any(dt[i:i + len(qt)] == qt for i in range(len(dt) - len(qt) + 1)):
+                out.add((qid, d))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [61, 62])
+@pytest.mark.parametrize("mode", ["any", "all", "phrase"])
+def test_segment_search_matches_brute_force(spark, seed, mode):
+    from dictgraph import segment_index, segment_search
+
+    rng = random.Random(seed)
+    vocab = ["a", "b", "c", "d", "e"]
+    gids = sorted({"_".join(rng.choice(vocab) for _ in range(rng.randint(1, 5))) + f"_{i}" for i in range(25)})
+    queries = [(i, "_".join(rng.choice(vocab) for _ in range(rng.randint(1, 3)))) for i in range(8)]
+    terms = make_terms(spark, [{"_code": {"_gid": g}} for g in gids])
+    out = segment_search(segment_index(terms), req(spark, queries, "query_id int, text string"), mode)
+    assert sorted((r.query_id, r.gid) for r in out.collect()) == brute_search(gids, queries, mode)
