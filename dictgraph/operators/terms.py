@@ -65,7 +65,7 @@ def resolve_alias(
     answers = resolve_keys(gids, terms, edges, with_doc=with_doc)
     if gid_col != "gid":
         answers = answers.withColumnRenamed("gid", gid_col)
-    out = join_back(requests, answers, gid_col, max_broadcast_rows)
+    out = join_back(requests, answers, gid_col, max_broadcast_rows, payload="doc" if with_doc else None)
     return out.withColumn("status", F.coalesce(F.col("status"), F.lit(NOT_FOUND)))
 
 

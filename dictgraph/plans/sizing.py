@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # to every executor: ~1M keys is tens of MB.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
+# Bytes of a broadcast side whose rows carry documents (VARIANT payloads).
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
 # Rows of the multi-column loop state of the graph operators (frontier,
 # visited set: ~100 bytes a row), i.e. about Spark's 10 MB broadcast default.
 LOOP_MAX_BROADCAST_ROWS = 100_000
