@@ -38,8 +38,8 @@ from dictgraph.functions.constants import (
 from dictgraph.functions.keys import handle
 from dictgraph.operators.expand import check_levels
 from dictgraph.plans.graph import check_direction, edges_by_root
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
-from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 100
@@ -86,12 +86,17 @@ def resolve_in_graph(
     )
     walk = usable.select("root_h", "near", "far", "functional")
     found = []
-    frontier, frontier_rows = cut_lineage_counted(frontier)
+    # Frontier rows carry their path (up to ``levels`` handles): the
+    # broadcast check counts rows and path bytes, both observed at the
+    # checkpoint.
+    frontier_size = F.coalesce(F.sum(64 + 48 * F.size("path")), F.lit(0))
+    frontier, stats = cut_lineage_observed(frontier, bytes=frontier_size)
     visited = [frontier.select("request_id", "vertex")]
     for hop in range(1, max_levels + 1):
-        if frontier_rows == 0:
+        if stats["rows"] == 0:
             break
-        fr = broadcast_small(frontier, frontier_rows, max_broadcast_rows)
+        small = stats["rows"] <= max_broadcast_rows and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+        fr = F.broadcast(frontier) if small else frontier
         step = fr.join(walk, (fr.root_h == walk.root_h) & (fr.vertex == walk.near)).select(
             fr.request_id, fr.root_h, walk.far, walk.functional, fr.path
         ).filter(~F.array_contains("path", F.col("far")))
@@ -123,7 +128,7 @@ def resolve_in_graph(
             .filter(~F.col("seen"))
             .select("request_id", F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
         )
-        frontier, frontier_rows = cut_lineage_counted(nxt)
+        frontier, stats = cut_lineage_observed(nxt, bytes=frontier_size)
         visited.append(frontier.select("request_id", "vertex"))
 
     answers = reduce(DataFrame.unionByName, [direct] + found)
