@@ -54,10 +54,17 @@ def main() -> None:
     d = registry.dictionary(spark, sf_dir)
     rows["derive_dictionary"] = d["edges"].count()
     times["derive_dictionary"] = round(time.perf_counter() - t0, 3)
+    # Each query runs BENCH_REPEAT times (default 2); the fastest run is
+    # reported, which damps noise from other tenants of the host.
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     for name in names:
-        t0 = time.perf_counter()
-        n = registry.QUERIES[name](spark, sf_dir).count()
-        times[name] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(repeat):
+            t0 = time.perf_counter()
+            n = registry.QUERIES[name](spark, sf_dir).count()
+            took = time.perf_counter() - t0
+            best = took if best is None else min(best, took)
+        times[name] = round(best, 3)
         rows[name] = n
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(
@@ -69,6 +76,8 @@ def main() -> None:
                 "queries": times,
                 "rows": rows,
                 "sf": sf,
+                "repeat": repeat,
+                "stat": "min",
             }
         )
     )
