@@ -56,15 +56,17 @@ def check_membership(
     direction: str = INBOUND,
     gid_col: str = "gid",
     pos_col: str = "pos",
-    repeat_duplicates: bool = True,
+    repeat_duplicates: bool = False,
 ) -> DataFrame:
     """One row per distinct input term: ``(gid, pos, occurrences, roots)``.
 
     ``roots`` lists the accepting roots in root-list order (a root listed
-    twice appears twice); ``[]`` when none accepts. With
-    ``repeat_duplicates`` the list is repeated once per occurrence of the
-    term in the input, as the original service did; ``pos`` is the first
-    occurrence. The collected group per term is bounded by the root list."""
+    twice appears twice); ``[]`` when none accepts; ``pos`` is the first
+    occurrence. The collected group per term is bounded by the root list.
+    The original service repeated the list once per occurrence of a term in
+    the input; ``occurrences`` carries that multiplicity, and
+    ``repeat_duplicates=True`` materialises the repeated list (its length
+    grows with the duplicates, so it is opt-in)."""
     direction = check_direction(direction)
     _require_rows(terms, "terms")
     _require_rows(roots, "roots")

@@ -27,9 +27,14 @@ def test_alias_is_literally_not_member(spark, iso):
 
 
 def test_duplicates_repeat_per_occurrence(spark, iso):
-    out = _check(spark, iso, ["ISO_639_3_eng", "ISO_639_3_epo", "ISO_639_3_eng"], ["ISO_639_1", "ISO_639_3", "ISO_639_1"])
+    terms, roots = ["ISO_639_3_eng", "ISO_639_3_epo", "ISO_639_3_eng"], ["ISO_639_1", "ISO_639_3", "ISO_639_1"]
+    out = _check(spark, iso, terms, roots, repeat_duplicates=True)
     assert out["ISO_639_3_eng"] == ["ISO_639_1", "ISO_639_3", "ISO_639_1"] * 2
     assert out["ISO_639_3_epo"] == ["ISO_639_3"]
+    t = req(spark, list(enumerate(terms)), "pos int, gid string")
+    r = req(spark, list(enumerate(roots)), "pos int, gid string")
+    compact = {x.gid: (list(x.roots), x.occurrences, x.pos) for x in check_membership(t, r, iso["edges"]).collect()}
+    assert compact["ISO_639_3_eng"] == (["ISO_639_1", "ISO_639_3", "ISO_639_1"], 2, 0)
 
 
 def test_outbound_uses_to_end(spark, iso):

@@ -81,6 +81,7 @@ def test_membership_matches_brute_force(spark, seed, direction):
         req(spark, list(enumerate(roots)), "pos int, gid string"),
         edges,
         direction=direction,
+        repeat_duplicates=True,
     )
     assert {r.gid: list(r.roots) for r in out.collect()} == brute_membership(erows, terms, roots, direction)
 
