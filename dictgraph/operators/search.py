@@ -73,11 +73,12 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     qtokens = cut_lineage(qtokens)
     if mode == "any":
         wanted = broadcast_if_bounded(qtokens.select("query_id", "token").distinct())
+        postings = restrict_to_tokens(postings, qtokens.select("token"), semi_join=False)
         return postings.join(wanted, "token").select("query_id", "doc").distinct()
     # Only postings of query tokens can matter to frequencies, anchors or
     # verification: keep those (map-side, against the broadcast token set).
     qdistinct = qtokens.select("query_id", "token").distinct()
-    postings = postings.join(broadcast_if_bounded(qdistinct.select("token").distinct()), "token", "left_semi")
+    postings = restrict_to_tokens(postings, qdistinct.select("token"))
     if materialize:
         postings = cut_lineage(postings)
 
@@ -118,6 +119,22 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     )
 
 
+# Query-token sets up to this size are also pushed into the postings scan as
+# an ``IN`` filter: on a published table bucketed and sorted by token (O15)
+# it prunes buckets and row groups, so only the queried tokens are read.
+MAX_PUSHED_TOKENS = 10_000
+
+
+def restrict_to_tokens(postings: DataFrame, tokens: DataFrame, column: str = "token", semi_join: bool = True) -> DataFrame:
+    """Postings whose ``column`` is one of ``tokens``: a pushed-down ``IN``
+    filter for a small token set (checked), else a broadcast semi-join."""
+    tokens = tokens.select(F.col(column).alias(column)).filter(F.col(column).isNotNull()).distinct()
+    small = tokens.limit(MAX_PUSHED_TOKENS + 1).collect()
+    if len(small) <= MAX_PUSHED_TOKENS:
+        return postings.filter(F.col(column).isin([r[0] for r in small]))
+    return postings.join(broadcast_if_bounded(tokens), column, "left_semi") if semi_join else postings
+
+
 def _present(need: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``need`` whose ``keys`` occur in ``have`` (unique on ``keys``).
 
@@ -165,8 +182,9 @@ def identifier_search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, field, gid)`` for queries ``(query_id, value[, field])``;
     a NULL or absent field searches every identifier field."""
     q = queries if "field" in queries.columns else queries.withColumn("field", F.lit(None).cast("string"))
-    q = broadcast_if_bounded(q.select("query_id", F.col("field").alias("qfield"), "value"))
-    hit = index.join(q, "value").filter(F.col("qfield").isNull() | (F.col("qfield") == F.col("field")))
+    q = q.select("query_id", F.col("field").alias("qfield"), "value")
+    index = restrict_to_tokens(index, q, column="value", semi_join=False)
+    hit = index.join(broadcast_if_bounded(q), "value").filter(F.col("qfield").isNull() | (F.col("qfield") == F.col("field")))
     return hit.select("query_id", "field", "gid").distinct()
 
 

@@ -61,3 +61,23 @@ def test_membership_filters_roots_before_deduplicating(spark, iso):
     agg = [i for i, line in enumerate(lines) if "HashAggregate" in line]
     semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
     assert semi and agg and max(semi) > min(agg)  # the semi-join sits below the aggregate
+
+
+def test_published_postings_read_only_queried_buckets(spark, iso):
+    from dictgraph.operators.search import segment_search
+    from dictgraph.plans.publish import drop_dictionary, publish_dictionary
+
+    publish_dictionary(spark, iso["terms"], iso["edges"], prefix="dgp_")
+    try:
+        q = req(spark, [(1, "ISO_639")], "query_id int, text string")
+        out = segment_search(spark.table("dgp_segment_postings"), q, "phrase", materialize=False)
+        text = plan(out)
+        assert "SelectedBucketsCount" in text
+        assert "PushedFilters: [In(token," in text or "PushedFilters: [IsNotNull(token), In(token," in text
+        assert sorted(r.gid for r in out.collect()) == sorted(
+            ["ISO_639_1", "ISO_639_3", "ISO_639_3_eng", "ISO_639_3_ita", "ISO_639_3_aar", "ISO_639_3_epo",
+             "ISO_639_1_en", "ISO_639_1_aa", "ISO_639_1_it", "ISO_639_scope_I", "ISO_639_scope_M", "ISO_639_scope_S",
+             "ISO_639_type_L", "ISO_639_type_C"]
+        )
+    finally:
+        drop_dictionary(spark, prefix="dgp_")
