@@ -25,12 +25,15 @@ from dictgraph.operators.search import (
     identifier_index,
     identifier_search,
     text_index,
+    text_index_frame,
     text_search,
     domain_index,
     domain_filter,
     term_list_view,
 )
-from dictgraph.plans.publish import materialize, drop_materialized
+from dictgraph.plans.publish import materialize, drop_materialized, publish_dictionary, drop_dictionary
+from dictgraph.sources.dictionary import read_terms, read_edges, read_blobs, terms_from_json, prepare_terms
+from dictgraph.sources.sinks import write_json, write_parquet
 
 __all__ = [
     "resolve_alias",
@@ -49,10 +52,20 @@ __all__ = [
     "identifier_index",
     "identifier_search",
     "text_index",
+    "text_index_frame",
     "text_search",
     "domain_index",
     "domain_filter",
     "term_list_view",
     "materialize",
     "drop_materialized",
+    "publish_dictionary",
+    "drop_dictionary",
+    "read_terms",
+    "read_edges",
+    "read_blobs",
+    "terms_from_json",
+    "prepare_terms",
+    "write_json",
+    "write_parquet",
 ]
