@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
-from dictgraph.plans.graph import check_direction, edges_by_root
+from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
@@ -63,6 +63,7 @@ def expand_enum(
     shape: str = "compact",
     max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
     null_missing: bool = False,
+    usable_edges: DataFrame | None = None,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
@@ -72,7 +73,9 @@ def expand_enum(
     ``terms``. By default ``gid`` and ``parent`` are the edge endpoints' key
     and handle whether or not a document exists; ``null_missing=True`` gives
     the document-based form instead (NULL ``gid``/``parent`` when the vertex
-    or parent has no document; rows are kept) and needs ``terms``."""
+    or parent has no document; rows are kept) and needs ``terms``.
+    ``usable_edges`` reads a published ``edges_by_root`` table (O15) instead
+    of exploding ``edges`` again (``edges`` may then be None)."""
     depth = check_levels(levels, MAX_LEVELS, 1)
     direction = check_direction(direction)
     if shape not in SHAPES:
@@ -92,8 +95,12 @@ def expand_enum(
     # Usable edges of the requested graphs, filtered and checkpointed once.
     # Without any bridge edge no path can gain the bridge budget's extra hop
     # (its rows would all have level > levels), so the loop stops a hop early.
+    if usable_edges is not None:
+        usable = usable_from_published(usable_edges, EXPAND_PREDICATES, direction, start.select("root_h"))
+    else:
+        usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
     usable, stats = cut_lineage_observed(
-        edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")),
+        usable,
         bridges=F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0)),
     )
     if stats["bridges"] == 0:

@@ -37,7 +37,7 @@ from dictgraph.functions.constants import (
 )
 from dictgraph.functions.keys import handle
 from dictgraph.operators.expand import check_levels
-from dictgraph.plans.graph import check_direction, edges_by_root
+from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
@@ -55,9 +55,11 @@ def resolve_in_graph(
     levels: int | None = 10,
     with_doc: bool = True,
     max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
+    usable_edges: DataFrame | None = None,
 ) -> DataFrame:
     """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``).
-    ``request_id`` must be unique."""
+    ``request_id`` must be unique. ``usable_edges`` reads a published
+    ``edges_by_root`` table (O15) instead of exploding ``edges`` again."""
     pred = predicate or ENUM_OF
     direction = check_direction(direction)
     trav = list(DEFAULT_TRAVERSE) if not isinstance(traverse, (list, tuple)) else list(traverse)
@@ -69,7 +71,10 @@ def resolve_in_graph(
     ).filter(F.col("root_h").isNotNull() & F.col("target_h").isNotNull())
     req = cut_lineage(req)
 
-    usable = edges_by_root(edges, allowed, direction, req.select("root_h"))
+    if usable_edges is not None:
+        usable = usable_from_published(usable_edges, allowed, direction, req.select("root_h"))
+    else:
+        usable = edges_by_root(edges, allowed, direction, req.select("root_h"))
     usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred))
 
     # Seeds: the target on the leaf end, i.e. the ``far`` end of the walk.

@@ -43,10 +43,13 @@ def edges_by_root(
 ) -> DataFrame:
     """``(root_h, near, far, predicate, ekey, is_bridge)`` for usable edges.
 
-    ``roots`` (a DataFrame with ``root_h``) keeps only the graphs a job asks
-    for; NULL ``_path`` or predicate never qualifies."""
+    ``predicates=None`` keeps every predicate (a published table serves any
+    predicate set). ``roots`` (a DataFrame with ``root_h``) keeps only the
+    graphs a job asks for; NULL ``_path`` or predicate never qualifies."""
     near, far = orient(direction)
-    e = edges.filter(F.col("_predicate").isin(list(predicates)) & F.col("_path").isNotNull())
+    e = edges.filter(F.col("_path").isNotNull() & F.col("_predicate").isNotNull())
+    if predicates is not None:
+        e = e.filter(F.col("_predicate").isin(list(predicates)))
     e = exploded_paths(e.select("_key", "_from", "_to", "_predicate", "_path"))
     if roots is not None:
         e = e.join(roots.select("root_h").distinct(), "root_h", "left_semi")
@@ -93,3 +96,19 @@ def alias_map(terms: DataFrame, edges: DataFrame) -> DataFrame:
     )
     e = e.join(shells, "shell_h", "left_semi")
     return e.groupBy("shell_h").agg(F.min("pick").getField("f").alias("canonical_h"))
+
+
+def usable_from_published(published: DataFrame, predicates, direction: str, roots: DataFrame) -> DataFrame:
+    """Usable edges read from a published ``edges_by_root`` table (built
+    inbound: ``near = _to``, ``far = _from``). Outbound swaps the two ends at
+    read time; only the asked-for predicates and roots are kept, the roots as
+    an ``IN`` filter when the set is small, so a table bucketed on
+    ``(root_h, near)`` is read for those graphs only."""
+    from dictgraph.operators.search import restrict_to_tokens
+
+    u = published
+    if check_direction(direction) == OUTBOUND:
+        u = u.select("root_h", F.col("far").alias("near"), F.col("near").alias("far"), "predicate", "ekey", "is_bridge")
+    u = u.filter(F.col("predicate").isin(list(predicates)))
+    u = restrict_to_tokens(u, roots.select("root_h"), column="root_h")
+    return u.select("root_h", "near", "far", "predicate", "ekey", "is_bridge")
