@@ -36,7 +36,7 @@ from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES,
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage_counted, cut_lineage_observed
-from dictgraph.plans.sizing import LOOP_MAX_BROADCAST_ROWS, broadcast_small
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 20
@@ -85,12 +85,25 @@ def expand_enum(
     max_hops = depth + 1
 
     branch = F.coalesce(F.col("branch"), F.col("root")) if "branch" in requests.columns else F.col("root")
-    start = requests.select(
+    keyed = requests.select(
         "request_id",
         handle("root").alias("root_h"),
         handle(branch).alias("vertex"),
     ).filter(F.col("root_h").isNotNull() & F.col("vertex").isNotNull())
-    start, frontier_rows = cut_lineage_counted(start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex")))
+    keyed, n_requests = cut_lineage_counted(keyed)
+    # Requests sharing (root, branch) expand once: when there are duplicates
+    # the loop runs over distinct pairs (aggregated map-side, so a popular
+    # branch is not walked once per request) and request ids are attached at
+    # the end.
+    pairs, n_pairs = cut_lineage_counted(
+        keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), "root_h", "vertex").distinct()
+    )
+    shared = n_pairs < n_requests
+    if shared:
+        start, frontier_rows = pairs.withColumnRenamed("pair", "request_id"), n_pairs
+    else:
+        start, frontier_rows = keyed, n_requests
+    start = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
 
     # Usable edges of the requested graphs, filtered and checkpointed once.
     # Without any bridge edge no path can gain the bridge budget's extra hop
@@ -167,11 +180,16 @@ def expand_enum(
 
     spark = requests.sparkSession
     if not emitted:
+        key_type = "string" if shared else dict(requests.dtypes)["request_id"]
         out = spark.createDataFrame(
-            [], "request_id " + dict(requests.dtypes)["request_id"] + ", vertex string, predicate string, level int, parent string, hops int"
+            [], "request_id " + key_type + ", vertex string, predicate string, level int, parent string, hops int"
         )
     else:
         out = reduce(DataFrame.unionByName, emitted)
+    if shared:
+        ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
+        ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
+        out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
     gid = key_of("vertex")
     parent = F.col("parent")
     if null_missing:

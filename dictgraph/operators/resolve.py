@@ -36,6 +36,7 @@ from dictgraph.functions.constants import (
     UNRESOLVED,
 )
 from dictgraph.functions.keys import handle
+from dictgraph.operators._util import join_back
 from dictgraph.operators.expand import check_levels
 from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
@@ -58,7 +59,8 @@ def resolve_in_graph(
     usable_edges: DataFrame | None = None,
 ) -> DataFrame:
     """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``).
-    ``request_id`` must be unique. ``usable_edges`` reads a published
+    Requests are keyed by their ``(root, target)``; other columns (such as
+    ``request_id``) are carried through. ``usable_edges`` reads a published
     ``edges_by_root`` table (O15) instead of exploding ``edges`` again."""
     pred = predicate or ENUM_OF
     direction = check_direction(direction)
@@ -66,9 +68,15 @@ def resolve_in_graph(
     allowed = trav if pred in trav else trav + [pred]
     max_levels = check_levels(levels, MAX_LEVELS, 10)
 
-    req = requests.select(
-        "request_id", handle("root").alias("root_h"), handle("target").alias("target_h")
-    ).filter(F.col("root_h").isNotNull() & F.col("target_h").isNotNull())
+    # Requests sharing (root, target) are resolved once: the loop runs over
+    # distinct pairs (aggregated map-side, so a hot target never lands whole
+    # in one task) and the answers are joined back by pair at the end.
+    pair_key = F.concat_ws("\u0001", handle("root"), handle("target"))
+    req = (
+        requests.select(pair_key.alias("request_id"), handle("root").alias("root_h"), handle("target").alias("target_h"))
+        .filter(F.col("root_h").isNotNull() & F.col("target_h").isNotNull())
+        .distinct()
+    )
     req = cut_lineage(req)
 
     if usable_edges is not None:
@@ -152,6 +160,6 @@ def resolve_in_graph(
     cols = ["request_id", F.col("__key").alias("resolved_gid"), status.alias("status"), "hops"]
     if with_doc:
         cols.append("doc")
-    answered = out.select(*cols)
-    result = requests.join(answered, "request_id", "left")
-    return result.withColumn("status", F.coalesce("status", F.lit(NOT_IN_GRAPH)))
+    answered = out.select(*cols).withColumnRenamed("request_id", "__pair")
+    result = join_back(requests.withColumn("__pair", pair_key), answered, "__pair", payload="doc" if with_doc else None)
+    return result.drop("__pair").withColumn("status", F.coalesce("status", F.lit(NOT_IN_GRAPH)))

@@ -158,3 +158,10 @@ def test_null_missing_documents(spark, iso):
     assert keep == [("ISO_639_3_epo", "terms/ISO_639_type_C"), ("deeper", "terms/ghost_leaf"), ("ghost_leaf", "terms/ISO_639_type_C")]
     nulls = rows(expand_enum(r, edges, iso["terms"], levels=2, null_missing=True).fillna("~"), "gid", "parent")
     assert nulls == [("ISO_639_3_epo", "terms/ISO_639_type_C"), ("~", "terms/ISO_639_type_C"), ("~", "~")]
+
+
+def test_shared_branches_expand_once(spark, iso):
+    r = req(spark, [(1, "ISO_639_1", None), (2, "ISO_639_1", None), (3, "ISO_639_3", "ISO_639_type_C"), (4, "ISO_639_1", "ISO_639_1")], REQ)
+    out = rows(expand_enum(r, iso["edges"], levels=1), "request_id", "gid", "parent")
+    one = [(g, "terms/ISO_639_1") for g in ["ISO_639_3_aar", "ISO_639_3_eng", "ISO_639_3_ita"]]
+    assert out == sorted([(i,) + x for i in (1, 2, 4) for x in one] + [(3, "ISO_639_3_epo", "terms/ISO_639_type_C")])
