@@ -572,8 +572,14 @@ def q_fetch_blobs_pages(spark, sf_dir):
     d = dictionary(spark, sf_dir)
     (pages,) = tables(spark, sf_dir, "pages")
     bk = blob_key(F.lit("page"), F.lit("_text_HTML"), F.lit("_media_web"), F.col("page_id").cast("string"))
-    req = pages.select((F.col("page_id") * 2).alias("request_id"), F.when(F.col("page_id") % 2 == 0, bk).otherwise(F.concat(F.lit("blobs/"), bk)).alias("key")).unionByName(
-        pages.select((F.col("page_id") * 2 + 1).alias("request_id"), F.md5("url").alias("key"))
+    # every page three times: bare key, handle form, and a key that misses
+    req = reduce(
+        DataFrame.unionByName,
+        [
+            pages.select((F.col("page_id") * 3).alias("request_id"), bk.alias("key")),
+            pages.select((F.col("page_id") * 3 + 1).alias("request_id"), F.concat(F.lit("blobs/"), bk).alias("key")),
+            pages.select((F.col("page_id") * 3 + 2).alias("request_id"), F.md5("url").alias("key")),
+        ],
     )
     out = fetch_blobs(req, d["blobs"])
     return out.select(
@@ -587,10 +593,9 @@ ORACLE_FETCH_BLOBS = osql.with_(
 SELECT CAST(q.request_id AS BIGINT) AS request_id, q.key, CASE WHEN b._key IS NULL THEN 'not_found' ELSE 'ok' END AS status,
        b._blob_identifier, CAST(length(b._blob_content) AS BIGINT) AS content_chars, md5(b._blob_content) AS content_md5
 FROM (
-  SELECT page_id * 2 AS request_id,
-         CASE WHEN page_id % 2 = 0 THEN md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING)))
-              ELSE concat('blobs/', md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING)))) END AS key FROM pages
-  UNION ALL SELECT page_id * 2 + 1, md5(url) FROM pages
+  SELECT page_id * 3 AS request_id, md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING))) AS key FROM pages
+  UNION ALL SELECT page_id * 3 + 1, concat('blobs/', md5(concat('page/_text_HTML/_media_web/', CAST(page_id AS STRING)))) FROM pages
+  UNION ALL SELECT page_id * 3 + 2, md5(url) FROM pages
 ) q LEFT JOIN blobs b ON b._key = regexp_replace(q.key, '^blobs/', '')"""
 )
 
