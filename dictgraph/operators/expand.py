@@ -90,16 +90,20 @@ def expand_enum(
         handle("root").alias("root_h"),
         handle(branch).alias("vertex"),
     ).filter(F.col("root_h").isNotNull() & F.col("vertex").isNotNull())
-    keyed, n_requests = cut_lineage_counted(keyed)
-    # Requests sharing (root, branch) expand once: when there are duplicates
-    # the loop runs over distinct pairs (aggregated map-side, so a popular
-    # branch is not walked once per request) and request ids are attached at
-    # the end.
-    pairs, n_pairs = cut_lineage_counted(
-        keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), "root_h", "vertex").distinct()
+    # Requests sharing (root, branch) expand once: when there are clearly
+    # duplicates (an approximate distinct count, observed during the
+    # checkpoint, is enough: de-duplicating never changes the result) the loop
+    # runs over distinct pairs, aggregated map-side so a popular branch is not
+    # walked once per request, and request ids are attached at the end.
+    keyed, kstats = cut_lineage_observed(
+        keyed, pairs=F.approx_count_distinct(F.concat_ws("\u0001", "root_h", "vertex"))
     )
-    shared = n_pairs < n_requests
+    n_requests = kstats["rows"]
+    shared = kstats["pairs"] < 0.9 * n_requests
     if shared:
+        pairs, n_pairs = cut_lineage_counted(
+            keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), "root_h", "vertex").distinct()
+        )
         start, frontier_rows = pairs.withColumnRenamed("pair", "request_id"), n_pairs
     else:
         start, frontier_rows = keyed, n_requests
