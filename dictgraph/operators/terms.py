@@ -15,15 +15,31 @@ from dictgraph.functions.constants import NOT_FOUND, OK
 from dictgraph.functions.keys import handle
 from dictgraph.operators._util import join_back
 from dictgraph.plans.graph import alias_map
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
 from dictgraph.sources.dictionary import prepare_terms
 
 
 def resolve_keys(gids: DataFrame, terms: DataFrame, edges: DataFrame, with_doc: bool = True) -> DataFrame:
     """``(gid, resolved_gid, status[, doc])`` for a DataFrame of distinct ``gid``."""
     t = prepare_terms(terms)
-    present = t.select(F.col("_key").alias("gid"), "is_alias")
+    # The dictionary side is usually small next to a large set of request
+    # keys: broadcast it so the keys are never shuffled. One aggregate over
+    # the terms bounds every dictionary side: the key table and the alias map
+    # (at most one row per term) by the row count, the documents also by
+    # their JSON size.
+    stats = t.select(
+        F.count(F.lit(1)).alias("rows"),
+        (F.coalesce(F.sum(F.length(F.to_json("doc")) + 64), F.lit(0)) if with_doc else F.lit(0)).alias("bytes"),
+    ).first()
+    narrow_ok = stats["rows"] <= DEFAULT_MAX_BROADCAST_ROWS
+    docs_ok = narrow_ok and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+
+    def side(df, ok):
+        return F.broadcast(df) if ok else df
+
+    present = side(t.select(F.col("_key").alias("gid"), "is_alias"), narrow_ok)
     step = gids.join(present, "gid", "left")
-    amap = alias_map(t, edges)
+    amap = side(alias_map(t, edges), narrow_ok)
     step = step.join(amap, handle("gid") == amap.shell_h, "left")
     canonical = F.when(
         F.col("canonical_h").startswith("terms/"), F.expr("substr(canonical_h, 7)")
@@ -38,7 +54,7 @@ def resolve_keys(gids: DataFrame, terms: DataFrame, edges: DataFrame, with_doc:
     payload = [F.col("_key").alias("target"), F.col("_key").alias("resolved_gid")]
     if with_doc:
         payload.append(F.col("doc"))
-    out = step.join(t.select(*payload), "target", "left")
+    out = step.join(side(t.select(*payload), docs_ok if with_doc else narrow_ok), "target", "left")
     cols = [
         "gid",
         "resolved_gid",

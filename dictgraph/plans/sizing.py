@@ -51,3 +51,4 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     except Exception:  # Spark Connect exposes no partition count
         return df
     return df.repartition(slots) if narrow else df
+
