@@ -45,6 +45,12 @@ def membership_pairs(
         m = membership_relation(edges, direction, roots=root_keys).join(F.broadcast(root_keys), "root_h")
     else:
         m = membership_relation(edges, direction).join(root_keys, "root_h")
+    # Members of the asked-for roots, counted at their checkpoint: within
+    # bound they are broadcast and the (possibly large) term list is joined
+    # map-side.
+    m, n_members = cut_lineage_counted(m)
+    if n_members <= DEFAULT_MAX_BROADCAST_ROWS:
+        m = F.broadcast(m)
     term_keys = terms.select(F.col(gid_col).alias("term")).filter(F.col("term").isNotNull()).distinct()
     return term_keys.join(m, handle("term") == m.leaf).select("term", "root")
 

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from dictgraph import fetch_blobs, membership_pairs, validate_column
+from dictgraph import fetch_blobs, validate_column
 from dictgraph.functions.keys import blob_key
 from dictgraph.sources.derived import derive_dictionary
 from tests.fixtures import req
@@ -54,9 +54,10 @@ def test_bounded_blob_fetch_streams_the_blob_table(spark):
 
 
 def test_membership_filters_roots_before_deduplicating(spark, iso):
-    t = req(spark, [(0, "ISO_639_3_eng")], "pos int, gid string")
-    r = req(spark, [(0, "ISO_639_3")], "pos int, gid string")
-    text = plan(membership_pairs(t, r, iso["edges"]))
+    from dictgraph.plans.graph import membership_relation
+
+    roots = req(spark, [("terms/ISO_639_3",)], "root_h string")
+    text = plan(membership_relation(iso["edges"], roots=roots))
     lines = tree(text)
     agg = [i for i, line in enumerate(lines) if "HashAggregate" in line]
     semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
