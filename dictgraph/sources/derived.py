@@ -45,26 +45,58 @@ def _edge(df: DataFrame, f, t, p: str, g: str) -> DataFrame:
     return df.select(f.alias("f"), t.alias("t"), F.lit(p).alias("p"), F.lit(g).alias("g"))
 
 
+def _edges_per_row(df: DataFrame, *specs) -> DataFrame:
+    """Several edges from each row of one scan: ``explode`` over an array of
+    ``(f, t, p, g)`` structs."""
+    structs = [
+        F.struct(f.alias("f"), t.alias("t"), F.lit(p).alias("p"), F.lit(g).alias("g")) for f, t, p, g in specs
+    ]
+    return df.select(F.explode(F.array(*structs)).alias("e")).select("e.f", "e.t", "e.p", "e.g")
+
+
 def derive_edges(t: dict[str, DataFrame]) -> DataFrame:
     region, nation, customer = t["region"], t["nation"], t["customer"]
     supplier, orders, part, events = t["supplier"], t["orders"], t["part"], t["events"]
     h = handle
+    region_h = h(F.concat(F.lit("geo_region_"), _s("r_regionkey")))
+    nation_h = h(F.concat(F.lit("geo_nation_"), _s("n_nationkey")))
+    code_h = h(F.concat(F.lit("nation_code_"), _s("n_nationkey")))
+    cust_h = h(F.concat(F.lit("cust_"), _s("c_custkey")))
+    mkt_h = h(F.concat(F.lit("mkt_"), F.col("c_mktsegment")))
+    item_h = h(F.concat(F.lit("part_item_"), _s("p_partkey")))
+    type_h = h(F.concat(F.lit("part_type_"), F.col("p_type")))
+    brand_h = h(F.concat(F.lit("part_brand_"), F.col("p_brand")))
     parts = [
-        _edge(region, h(F.concat(F.lit("geo_region_"), _s("r_regionkey"))), F.lit("terms/geo"), SECTION_OF, "terms/geo"),
-        _edge(region, h(F.concat(F.lit("geo_region_"), _s("r_regionkey"))), F.lit("terms/supply"), SECTION_OF, "terms/supply"),
-        _edge(nation, h(F.concat(F.lit("geo_nation_"), _s("n_nationkey"))), h(F.concat(F.lit("geo_region_"), _s("n_regionkey"))), ENUM_OF, "terms/geo,terms/supply"),
-        _edge(nation, h(F.concat(F.lit("geo_nation_"), _s("n_nationkey"))), h(F.concat(F.lit("nation_code_"), _s("n_nationkey"))), ENUM_OF, "terms/nation_code"),
-        _edge(nation, h(F.concat(F.lit("nation_code_"), _s("n_nationkey"))), F.lit("terms/nation_code"), BRIDGE_OF, "terms/nation_code"),
-        _edge(nation, h(F.concat(F.lit("geo_nation_"), _s("n_nationkey"))), F.lit("terms/geo"), FIELD_OF, "terms/geo"),
-        _edge(customer, h(F.concat(F.lit("cust_"), _s("c_custkey"))), h(F.concat(F.lit("geo_nation_"), _s("c_nationkey"))), ENUM_OF, "terms/geo"),
+        _edges_per_row(
+            region,
+            (region_h, F.lit("terms/geo"), SECTION_OF, "terms/geo"),
+            (region_h, F.lit("terms/supply"), SECTION_OF, "terms/supply"),
+        ),
+        _edges_per_row(
+            nation,
+            (nation_h, h(F.concat(F.lit("geo_region_"), _s("n_regionkey"))), ENUM_OF, "terms/geo,terms/supply"),
+            (nation_h, code_h, ENUM_OF, "terms/nation_code"),
+            (code_h, F.lit("terms/nation_code"), BRIDGE_OF, "terms/nation_code"),
+            (nation_h, F.lit("terms/geo"), FIELD_OF, "terms/geo"),
+        ),
+        _edges_per_row(
+            customer,
+            (cust_h, h(F.concat(F.lit("geo_nation_"), _s("c_nationkey"))), ENUM_OF, "terms/geo"),
+            (cust_h, mkt_h, ENUM_OF, "terms/mkt"),
+        ),
+        _edge(customer, mkt_h, F.lit("terms/mkt"), SECTION_OF, "terms/mkt").distinct(),
         _edge(supplier, h(F.concat(F.lit("supp_"), _s("s_suppkey"))), h(F.concat(F.lit("geo_nation_"), _s("s_nationkey"))), ENUM_OF, "terms/supply"),
-        _edge(customer, h(F.concat(F.lit("mkt_"), F.col("c_mktsegment"))), F.lit("terms/mkt"), SECTION_OF, "terms/mkt").distinct(),
-        _edge(customer, h(F.concat(F.lit("cust_"), _s("c_custkey"))), h(F.concat(F.lit("mkt_"), F.col("c_mktsegment"))), ENUM_OF, "terms/mkt"),
         _edge(orders, h(F.concat(F.lit("order_"), _s("o_orderkey"))), h(F.concat(F.lit("cust_"), _s("o_custkey"))), ENUM_OF, "terms/geo"),
-        _edge(part, h(F.concat(F.lit("part_type_"), F.col("p_type"))), F.lit("terms/part"), SECTION_OF, "terms/part").distinct(),
-        _edge(part, h(F.concat(F.lit("part_brand_"), F.col("p_brand"))), F.lit("terms/part"), SECTION_OF, "terms/part").distinct(),
-        _edge(part, h(F.concat(F.lit("part_item_"), _s("p_partkey"))), h(F.concat(F.lit("part_type_"), F.col("p_type"))), ENUM_OF, "terms/part"),
-        _edge(part, h(F.concat(F.lit("part_item_"), _s("p_partkey"))), h(F.concat(F.lit("part_brand_"), F.col("p_brand"))), ENUM_OF, "terms/part"),
+        _edges_per_row(
+            part,
+            (item_h, type_h, ENUM_OF, "terms/part"),
+            (item_h, brand_h, ENUM_OF, "terms/part"),
+        ),
+        _edges_per_row(
+            part,
+            (type_h, F.lit("terms/part"), SECTION_OF, "terms/part"),
+            (brand_h, F.lit("terms/part"), SECTION_OF, "terms/part"),
+        ).distinct(),
         _edge(events.filter(F.col("event_type") != "error"), h(F.concat(F.lit("event_kind_"), F.col("event_type"))), F.lit("terms/event_kind"), ENUM_OF, "terms/event_kind").distinct(),
     ]
     raw = reduce(DataFrame.unionByName, parts)
