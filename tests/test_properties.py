@@ -190,3 +190,38 @@ def test_segment_search_matches_brute_force(spark, seed, mode):
     terms = make_terms(spark, [{"_code": {"_gid": g}} for g in gids])
     out = segment_search(segment_index(terms), req(spark, queries, "query_id int, text string"), mode)
     assert sorted((r.query_id, r.gid) for r in out.collect()) == brute_search(gids, queries, mode)
+
+
+@pytest.mark.parametrize("seed", [71, 72])
+def test_larger_random_graphs_match_brute_force(spark, seed):
+    from dictgraph import expand_enum, resolve_in_graph
+    from tests.test_expand import PREDS as ALL_PREDS
+    from tests.test_expand import brute_bfs
+    from tests.test_resolve import brute_resolve
+
+    rng = random.Random(seed)
+    vs = [f"v{i}" for i in range(20)]
+    spec = []
+    for _ in range(60):
+        f, t = rng.sample(vs, 2)
+        spec.append((f, rng.choice(ALL_PREDS), t, rng.sample(["R1", "R2"], rng.randint(1, 2))))
+    edges = make_edges(spark, spec)
+    erows = [(r["_key"], r["_from"], r["_to"], r["_predicate"], r["_path"]) for r in edges.collect()]
+    terms = make_terms(spark, [{"_code": {"_gid": v}, "_info": {}} for v in vs])
+    levels = 4
+    data = [(i, r, v) for i, (r, v) in enumerate((r, v) for r in ("R1", "R2") for v in vs)]
+    for direction in ("inbound", "outbound"):
+        expected = sorted(
+            (rid,) + row for rid, r, v in data for row in brute_bfs(erows, f"terms/{r}", f"terms/{v}", levels, direction)
+        )
+        out = expand_enum(req(spark, data, "request_id long, root string, branch string"), edges, levels=levels, direction=direction)
+        got = sorted((r.request_id, r.gid, r.predicate, r.level, r.parent, r.hops) for r in out.collect())
+        assert got == expected
+        res = resolve_in_graph(req(spark, data, "request_id long, root string, target string"), edges, terms, levels=levels, direction=direction, with_doc=False)
+        gotr = {r.request_id: (r.resolved_gid, r.status, r.hops) for r in res.collect()}
+        for rid, r, v in data:
+            ans, how = brute_resolve(erows, f"terms/{r}", f"terms/{v}", levels, direction)
+            if ans is None:
+                assert gotr[rid][:2] == (None, how), rid
+            else:
+                assert gotr[rid] == (ans.split("/", 1)[1], "ok", how), rid
