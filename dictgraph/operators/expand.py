@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
+from dictgraph.operators.search import restrict_to_tokens
 from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, LOOP_MAX_BROADCAST_ROWS, broadcast_small
@@ -113,15 +114,18 @@ def expand_enum(
     # Without any bridge edge no path can gain the bridge budget's extra hop
     # (its rows would all have level > levels), so the loop stops a hop early.
     if usable_edges is not None:
-        usable = usable_from_published(usable_edges, EXPAND_PREDICATES, direction, start.select("root_h"))
+        # A published table (bucketed on ``near``) is read per hop: a small
+        # frontier becomes an IN filter on ``near``, so a hop reads only the
+        # buckets of its vertices instead of the whole edge table.
+        published = usable_from_published(usable_edges, EXPAND_PREDICATES, direction, start.select("root_h"))
+        usable = None
     else:
-        usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
-    usable, stats = cut_lineage_observed(
-        usable,
-        bridges=F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0)),
-    )
-    if stats["bridges"] == 0:
-        max_hops = depth
+        usable, stats = cut_lineage_observed(
+            edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")),
+            bridges=F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0)),
+        )
+        if stats["bridges"] == 0:
+            max_hops = depth
 
     visited = [start.select("request_id", "vertex")]
     frontier = start
@@ -131,16 +135,17 @@ def expand_enum(
         # place; beyond it both sides shuffle on (root, vertex) and AQE can
         # split a hub vertex's partition.
         fr = broadcast_small(frontier, frontier_rows, max_broadcast_rows)
-        step = fr.join(usable, (fr.root_h == usable.root_h) & (fr.vertex == usable.near)).select(
+        hop_edges = usable if usable is not None else restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near")
+        step = fr.join(hop_edges, (fr.root_h == hop_edges.root_h) & (fr.vertex == hop_edges.near)).select(
             fr.request_id,
             fr.root_h,
-            usable.far.alias("vertex"),
-            usable.is_bridge,
-            (fr.level + F.when(usable.is_bridge, 0).otherwise(1)).alias("level"),
+            hop_edges.far.alias("vertex"),
+            hop_edges.is_bridge,
+            (fr.level + F.when(hop_edges.is_bridge, 0).otherwise(1)).alias("level"),
             fr.anchor.alias("parent"),
-            usable.ekey,
-            F.when(usable.is_bridge, fr.anchor).otherwise(usable.far).alias("anchor"),
-            usable.predicate,
+            hop_edges.ekey,
+            F.when(hop_edges.is_bridge, fr.anchor).otherwise(hop_edges.far).alias("anchor"),
+            hop_edges.predicate,
         )
         # Visit-once and the tie-break in one aggregation: candidates and the
         # visited set meet in the same group; groups holding a visited row

@@ -102,8 +102,8 @@ def usable_from_published(published: DataFrame, predicates, direction: str, root
     """Usable edges read from a published ``edges_by_root`` table (built
     inbound: ``near = _to``, ``far = _from``). Outbound swaps the two ends at
     read time; only the asked-for predicates and roots are kept, the roots as
-    an ``IN`` filter when the set is small, so a table bucketed on
-    ``(root_h, near)`` is read for those graphs only."""
+    an ``IN`` filter when the set is small (row groups of other graphs are
+    skipped on a table sorted by root)."""
     from dictgraph.operators.search import restrict_to_tokens
 
     u = published
