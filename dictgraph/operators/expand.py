@@ -16,13 +16,17 @@ Per request ``(request_id, root, branch)``:
 * several usable edges reaching one vertex at the same hop: non-bridge first,
   then smaller level, then smaller parent handle, then smaller edge key.
 
-The loop runs all requests together: one equi-join of the frontier with the
-usable edges per hop, then a single aggregation per (request, vertex) that
-both drops already-visited vertices and applies the tie-break as a
-``min(struct)`` (combined map-side, so a hub vertex does not collect in one
-task). Each hop is checkpointed into the
-session's reliable checkpoint folder; the loop stops on an empty frontier or
-after ``levels + 1`` hops.
+The loop runs all requests together (once per distinct (root, branch) when
+requests share one): one equi-join of the frontier with the usable edges per
+hop, then a single aggregation per (request, vertex) that both drops
+already-visited vertices and applies the tie-break as a ``min(struct)``
+(combined map-side, so a hub vertex does not collect in one task). Each hop is
+checkpointed into the session's reliable checkpoint folder, its row count
+observed on the way; the loop stops on an empty frontier or after
+``levels + 1`` hops (``levels`` when the graphs have no bridge edge, which
+then cannot change the result). Edges come either from ``edges`` (filtered
+and checkpointed once) or from a published ``edges_by_root`` table read per
+hop with the frontier pushed into the scan.
 """
 
 from __future__ import annotations
