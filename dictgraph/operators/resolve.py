@@ -13,10 +13,12 @@ Per request ``(request_id, root, target)`` inside the graph of ``root``:
    smallest handle. Nothing within ``levels`` -> ``unresolved``.
 
 Only non-functional edges are walked between hops (the first functional
-edge on a path ends it). The frontier keeps one row per (request, vertex):
-the one with the smallest path; the path array enforces per-path
-uniqueness for candidates. Requests that found their answer leave the
-frontier by an anti-join. Every hop is checkpointed.
+edge on a path ends it). The loop runs once per distinct (root, target)
+pair, and the answers are joined back to the requests at the end. The
+frontier keeps one row per (pair, vertex): the one with the smallest path;
+the path array enforces per-path uniqueness for candidates. Pairs that found
+their answer leave the frontier by an anti-join. Every hop is checkpointed,
+and its row count and path bytes are observed to size the next broadcast.
 """
 
 from __future__ import annotations
