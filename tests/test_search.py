@@ -72,3 +72,23 @@ def test_term_list_view(spark):
     assert ("_lid", "n1", "Local identifier") in got
     by_title = [r.title for r in term_list_view(_terms(spark), order="title").collect()]
     assert by_title[:4] == sorted(t for t in by_title if t is not None)[:4]
+
+
+def test_token_pushdown_fallback_gives_same_result(spark, monkeypatch):
+    import dictgraph.operators.search as S
+
+    idx = segment_index(_terms(spark))
+    q = req(spark, [(1, "ISO_3166"), (2, "639_3"), (3, "code")], "query_id int, text string")
+    expected = {m: rows(segment_search(idx, q, m), "query_id", "gid") for m in ("any", "all", "phrase")}
+    monkeypatch.setattr(S, "MAX_PUSHED_TOKENS", 1)  # force the semi-join path
+    for m, exp in expected.items():
+        assert rows(segment_search(idx, q, m), "query_id", "gid") == exp
+
+
+def test_spreading_narrow_text_input_keeps_postings(spark):
+    from dictgraph.operators.search import text_index_frame
+
+    docs = req(spark, [(1, "Alpha beta, gamma"), (2, "beta  delta")], "doc_id long, text string").coalesce(1)
+    a = rows(text_index_frame(docs, "doc_id", "text", spread=True), "doc", "token", "pos")
+    b = rows(text_index_frame(docs, "doc_id", "text", spread=False), "doc", "token", "pos")
+    assert a == b == [(1, "alpha", 0), (1, "beta", 1), (1, "gamma", 2), (2, "beta", 0), (2, "delta", 1)]
