@@ -40,6 +40,7 @@ from dictgraph.functions.constants import (
 from dictgraph.functions.keys import handle
 from dictgraph.operators._util import join_back
 from dictgraph.operators.expand import check_levels
+from dictgraph.operators.search import restrict_to_tokens
 from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, LOOP_MAX_BROADCAST_ROWS, broadcast_small
@@ -82,14 +83,21 @@ def resolve_in_graph(
     req = cut_lineage(req)
 
     if usable_edges is not None:
-        usable = usable_from_published(usable_edges, allowed, direction, req.select("root_h"))
+        # A published table is read per step with the vertices pushed into
+        # the scan (targets for the seeds, the frontier for each hop).
+        published = usable_from_published(usable_edges, allowed, direction, req.select("root_h")).withColumn(
+            "functional", F.col("predicate") == pred
+        )
+        usable = None
+        seed_edges = restrict_to_tokens(published, req.select(F.col("target_h").alias("far")), column="far")
     else:
         usable = edges_by_root(edges, allowed, direction, req.select("root_h"))
-    usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred))
+        usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred))
+        seed_edges = usable
 
     # Seeds: the target on the leaf end, i.e. the ``far`` end of the walk.
     seeds = req.join(
-        usable.select("root_h", F.col("far").alias("target_h"), "functional"), ["root_h", "target_h"]
+        seed_edges.select("root_h", F.col("far").alias("target_h"), "functional"), ["root_h", "target_h"]
     ).groupBy("request_id").agg(F.max("functional").alias("functional_seed"))
     seeded = cut_lineage(req.join(seeds, "request_id", "left"))
 
@@ -99,7 +107,7 @@ def resolve_in_graph(
     frontier = seeded.filter(~F.col("functional_seed")).select(
         "request_id", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path")
     )
-    walk = usable.select("root_h", "near", "far", "functional")
+    walk_all = usable.select("root_h", "near", "far", "functional") if usable is not None else None
     found = []
     # Frontier rows carry their path (up to ``levels`` handles): the
     # broadcast check counts rows and path bytes, both observed at the
@@ -112,6 +120,12 @@ def resolve_in_graph(
             break
         small = stats["rows"] <= max_broadcast_rows and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
         fr = F.broadcast(frontier) if small else frontier
+        if walk_all is not None:
+            walk = walk_all
+        else:
+            walk = restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near").select(
+                "root_h", "near", "far", "functional"
+            )
         step = fr.join(walk, (fr.root_h == walk.root_h) & (fr.vertex == walk.near)).select(
             fr.request_id, fr.root_h, walk.far, walk.functional, fr.path
         ).filter(~F.array_contains("path", F.col("far")))
