@@ -96,7 +96,10 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     if mode == "all":
         cands = cands.select("query_id", "doc", "n_tok").distinct()
         need = cands.join(broadcast_if_bounded(qdistinct), "query_id")
-        ok = _present(need, postings.select("doc", "token").distinct(), ["doc", "token"])
+        # a token can occur several times in a doc: de-duplicate the matched
+        # rows (few), not the posting list
+        ok = _present(need, postings.select("doc", "token"), ["doc", "token"])
+        ok = ok.select("query_id", "doc", "n_tok", "token").distinct()
         return ok.groupBy("query_id", "doc", "n_tok").agg(F.count(F.lit(1)).alias("n")).filter(
             F.col("n") == F.col("n_tok")
         ).select("query_id", "doc")
