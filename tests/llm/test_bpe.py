@@ -1,0 +1,131 @@
+"""Token counts, encoding and decoding against the tokenizers library."""
+
+import random
+from hashlib import sha256
+
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
+from dictgraph.llm import bpe, lexicon  # noqa: E402
+from dictgraph.llm.bpe_codec import encode_texts, frequent_words  # noqa: E402
+from dictgraph.llm.token_count import count_tokens  # noqa: E402
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "\n\n  \t x",
+    "a" * 5000,
+    "don't we'll I'M  'S",
+    "Ünïcödé ñ 日本語 ² ½ Ⅷ 🙂🙂 é​՘꟎",
+    "x<|endoftext|>y <|endoftext|><|endoftext|>",
+    "tab\there\x1c\x1d\x85\xa0end  ",
+    "the the the of and",
+    "the the the of and",
+    "long " * 3000,
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def merges():
+    with open(PATH, "rb") as f:
+        return bpe.load(f.read())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "clash", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", "clash", 2), (0, "id again", None, 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, size int").repartition(3)
+
+
+def _expected(library, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return ids, library.decode(ids, skip_special_tokens=False)
+
+
+def test_splitting_equals_the_library_for_every_code_point(library):
+    for cp in [*range(0x3000), *range(0xA000, 0xD800, 3), *range(0xE000, 0x20000, 3)]:
+        text = f"a{chr(cp)}1 {chr(cp)} \n{chr(cp)}é"
+        want = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert bpe.split_words(text) == want, hex(cp)
+
+
+def test_merging_equals_the_library_on_random_text(library, merges):
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("abethinor  .,'\néñß12") for _ in range(rng.randrange(200)))
+        ids = [i for w in bpe.split_words(text) for i in merges.encode(w)]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_counts_equal_the_library(docs, library):
+    got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(docs, PATH, limit=100).collect()}
+    want = set()
+    for r in docs.collect():
+        n = len(_expected(library, r.text)[0])
+        want.add((r.doc_id, len((r.text or "").encode()), n, n > 100))
+    assert got == want
+
+
+def test_codec_equals_the_library(docs, library):
+    rows = encode_texts(docs, PATH, lexicon_words=5).collect()
+    got = {(r.doc_id, tuple(r.ids), r.decoded) for r in rows}
+    want = {(r.doc_id, tuple(_expected(library, r.text)[0]), _expected(library, r.text)[1]) for r in docs.collect()}
+    assert got == want and len(rows) == docs.count()
+
+
+@pytest.mark.parametrize("fn", [count_tokens, encode_texts])
+def test_empty_table(docs, fn):
+    assert fn(docs.limit(0), PATH).collect() == []
+
+
+def test_queries_on_the_given_table(spark, library):
+    from dictgraph.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = {r.doc_id: _expected(library, r.text) for r in docs}
+    for r in QUERIES["op7_token_counts"](spark, SF).collect():
+        assert r.n_tokens == len(want[r.doc_id][0]) and r.over_limit == (r.n_tokens > 1024)
+    for r in QUERIES["op8_bpe_codec"](spark, SF).collect():
+        ids, text = want[r.doc_id]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == sha256(text.encode()).hexdigest()
+
+
+def test_lexicon_is_minimal_and_exact(tmp_path):
+    rng = random.Random(3)
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(7))): [rng.randrange(99) for _ in range(rng.randrange(1, 4))] for _ in range(400)}
+    path = tmp_path / "x.bin"
+    path.write_bytes(lexicon.build(words))
+    lex = lexicon.Lexicon(str(path))
+    for w, ids in words.items():
+        assert lex.ids(w) == ids
+    for _ in range(500):
+        w = bytes(rng.choice(b"abcd") for _ in range(rng.randrange(8)))
+        assert lex.ids(w) == words.get(w)
+    # as many states as there are different sets of continuations
+    rights = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for x in words for p in (x[:i] for i in range(len(x) + 1))}
+    assert lex.states == len(rights)
+
+
+def test_empty_lexicon(tmp_path):
+    path = tmp_path / "x.bin"
+    path.write_bytes(lexicon.build({}))
+    assert lexicon.Lexicon(str(path)).ids(b"a") is None
+
+
+def test_frequent_words_counts_all_texts(spark):
+    docs = spark.createDataFrame([("the cat",), ("a the",), (None,)] * 20, "text string").repartition(4)
+    top = frequent_words(docs, 1).collect()
+    assert [(r.piece, r.n) for r in top] == [(" the", 40)]
