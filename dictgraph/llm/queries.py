@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dictgraph.llm.bpe_codec import encode_texts
 from dictgraph.llm.common import table
+from dictgraph.llm.license_texts import KNOWN
+from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
+from dictgraph.llm.sharding import shard_by_bytes
 from dictgraph.llm.token_count import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licenses that every document, or a line of it, equals."""
+    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight contiguous shards of near-equal bytes."""
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by heap-and-linked-list merging."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
@@ -23,7 +36,20 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {}
+_KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+ORACLE: dict[str, str] = {
+    "op4_license_scan": f"""
+WITH known(license_id, text) AS (VALUES {_KNOWN_ROWS}),
+names AS (SELECT sha256(c) AS digest, min(license_id) AS license_id
+          FROM (SELECT license_id, {canonical_sql("text")} AS c FROM known) WHERE c <> '' GROUP BY 1),
+lines AS (SELECT doc_id, sha256({canonical_sql("line")}) AS digest
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+found AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM lines JOIN names USING (digest) GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
+SELECT whole.doc_id, whole.digest, names.license_id, coalesce(found.notices, CAST([] AS VARCHAR[])) AS notices
+FROM whole LEFT JOIN names USING (digest) LEFT JOIN found ON found.doc_id = whole.doc_id
+""",
+}
