@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dictgraph.llm.bpe_codec import encode_texts
 from dictgraph.llm.common import table
+from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
 from dictgraph.llm.sharding import shard_by_bytes
@@ -36,7 +38,21 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        items_digest(F.col("items")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_hit",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)

@@ -1,0 +1,114 @@
+"""Contamination against comparing every window of every item."""
+
+import random
+import re
+from hashlib import sha256
+
+import pytest
+
+from dictgraph.llm.decontaminate import Automaton, find_contamination, match_batch, remove_contamination, words_of
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(text, items, window=10):
+    doc = words(text)
+    hit, names = set(), set()
+    for name, item in items:
+        w = words(item)
+        size = min(window, len(w))
+        if not size:
+            continue
+        grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        for i in range(len(doc) - size + 1):
+            if tuple(doc[i : i + size]) in grams:
+                hit.update(range(i, i + size))
+                names.add("" if name is None else str(name))
+    return len(doc), len(hit), sorted(names)
+
+
+def random_text(rng, n, vocabulary):
+    return "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "--"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_automaton_on_small_alphabets(seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "B", "c3", "é", "ñé"][: rng.randrange(1, 6)]
+    items = [(str(rng.randrange(9)), random_text(rng, rng.randrange(rng.choice([6, 25])), vocabulary)) for _ in range(rng.randrange(6))]
+    window = rng.choice([2, 4, 10])
+    automaton = Automaton([(n, words_of(t.encode())) for n, t in items], window)
+    texts = [random_text(rng, rng.randrange(60), vocabulary + ["zz"] * rng.randrange(2)) for _ in range(8)]
+    for text, (hit, names) in zip(texts, match_batch(automaton, [t.encode() for t in texts])):
+        assert (len(hit), int(hit.sum()), sorted(names)) == brute(text, items, window)
+
+
+ITEMS = [
+    (1, "One two three four five six seven eight nine ten eleven twelve"),
+    (2, "short item here"),
+    (3, None),
+    (4, ""),
+    (1, "one two three four five six seven eight nine ten eleven twelve"),
+    (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"),
+    (5, "... !!"),
+]
+DOCS = [
+    (1, "x ONE, two three-four five six seven eight nine ten y"),
+    (2, "one two three four five six seven eight nine"),
+    (3, "a short   item, here b short item"),
+    (4, None),
+    (5, ""),
+    (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"),
+    (1, "same id, nothing"),
+    (7, "word " * 20_000 + "two three four five six seven eight nine ten eleven twelve"),
+    (8, "one two three four five short item here six seven eight nine ten"),
+    (9, "short item here"),
+    (9, "short item here"),
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs = spark.createDataFrame([(*r, 3) for r in DOCS], "doc_id long, text string, n_hit int").repartition(3)
+    return docs, spark.createDataFrame([(*r, 0) for r in ITEMS], "item_id long, text string, doc_id int")
+
+
+@pytest.mark.parametrize("block_words", [4, 250_000])
+def test_report_equals_brute_force(tables, block_words):
+    got = [(r.doc_id, r.n_words, r.n_hit, r.items) for r in find_contamination(*tables, block_words=block_words).collect()]
+    want = [(i, *brute(t, ITEMS)) for i, t in DOCS]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_removal_leaves_no_window_and_clean_rows_alone(tables):
+    docs, items = tables
+    rows = [(r.doc_id, r.text) for r in remove_contamination(docs, items, max_coverage=0.95).collect()]
+    assert all(brute(t, ITEMS)[1] == 0 for _, t in rows)
+    assert (2, DOCS[1][1]) in rows and (4, None) in rows and (5, "") in rows and (1, DOCS[6][1]) in rows
+    assert sorted(t for i, t in rows if i == 1) == ["same id, nothing", "x  y"]
+    assert not any(i in (9, None) for i, _ in rows)  # wholly hit
+    assert next(t for i, t in rows if i == 8).split() == []  # cut again where the cut joined a window
+
+
+def test_empty_tables(tables):
+    docs, items = tables
+    assert find_contamination(docs.limit(0), items).collect() == []
+    assert {r.n_hit for r in find_contamination(docs, items.limit(0)).collect()} == {0}
+
+
+def test_query_equals_brute_force(spark):
+    from dictgraph.llm.queries import QUERIES
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op10_decontamination"](spark, SF).collect()
+    assert len(rows) == len(docs) and any(r.contaminated for r in rows)
+    for r in rows:
+        n, hit, names = brute(docs[r.doc_id], items)
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(names), hit > 0)
+        assert r.items_sha256 == sha256(",".join(names).encode()).hexdigest()
