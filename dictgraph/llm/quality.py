@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from dictgraph.llm.common import texts_of
+from dictgraph.llm.common import cut, ship_package, texts_of
 
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -17,6 +22,24 @@ _SPACES = b" \t\n\x0b\x0c\r"
 _LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") - set(range(0xC0, 0x100)))
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+STATISTICS = [*BASE, "n_lines", "n_letter_bytes"]
+
+# The transformed statistics: name, SQL, and the least standard deviation that
+# counts (a group where nearly all texts agree has none of its own).
+FEATURES = [
+    ("word_length", "ln(word_chars / n_words)", 0.05),
+    ("symbol_rate", "sqrt(n_symbols / n_words)", 0.1),
+    ("dup_line_share", "n_dup_lines / n_lines", 0.15),
+    ("repeat_share", "n_repeat_words / n_words", 0.15),
+    ("letter_share", "n_letter_bytes / word_chars", 0.05),
+    ("line_length", "ln(n_words / n_lines)", 0.5),
+]
+P = len(FEATURES)
+SUBSET = 0.75  # share of a group's rows that the determinant is least for
+REJECT = 1e-6  # share of a normal group's rows beyond the cut
+MIN_ROWS = 200  # a smaller group is pooled: first by language, then with all
+STEPS = 8
+BROADCAST_GROUPS = 20_000  # rows of about 300 bytes
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -38,9 +61,10 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def statistics(text: str) -> tuple[int, ...]:
+    """The values of ``STATISTICS`` for a whole text."""
     data = text.encode()
     words = data.split()  # of bytes: splits on ASCII white space alone
-    chars = len(data) - len(data) + len(data.translate(None, _CONTINUATION + _SPACES))
+    chars = len(data.translate(None, _CONTINUATION + _SPACES))
     seen: set[bytes] = set()
     dup = lines = 0
     for line in data.split(b"\n"):
@@ -52,3 +76,242 @@ def statistics(text: str) -> tuple[int, ...]:
                 seen.add(line)
     letters = len(data.translate(None, _LETTERS))
     return len(words), chars, len(data.translate(None, _NOT_SYMBOLS)), dup, repeated_words(words), lines, letters
+
+
+def _statistics(text_at, batches):
+    for batch in batches:
+        values = np.array([statistics(t) for t in texts_of(batch.column(text_at))], np.int64).reshape(-1, len(STATISTICS))
+        struct = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATISTICS))], names=STATISTICS)
+        yield batch.append_column("_q", struct)
+
+
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` and a struct ``_q`` of ``STATISTICS`` of each whole text."""
+    ship_package(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema += ", _q struct<" + ", ".join(f"{c}: bigint" for c in STATISTICS) + ">"
+    return docs.mapInArrow(partial(_statistics, docs.columns.index(text_col)), schema)
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def chi2_cdf(x: float, k: int) -> float:
+    """Chi-squared distribution of an even number ``k`` of degrees."""
+    term = total = 1.0
+    for i in range(1, k // 2):
+        term *= x / 2 / i
+        total += term
+    return 1 - math.exp(-x / 2) * total
+
+
+def chi2_cut(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, k) < p else (low, mid)
+    return high
+
+
+_X = [f"x{i}" for i in range(P)]
+_M = [f"m{i}" for i in range(P)]
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_A = [f"a{i}_{j}" for i, j in _PAIRS]
+_PARAMS = "g string, start int, n double, " + ", ".join(f"{c} double" for c in [*_M, *_A]) + ", logdet double"
+
+
+def distance(prefix: str = "") -> Column:
+    """Squared Mahalanobis distance of columns x to means m, inverse a."""
+    d = [F.col(f"x{i}") - F.col(f"{prefix}m{i}") for i in range(P)]
+    terms = [(1 if i == j else 2) * F.col(f"{prefix}a{i}_{j}") * d[i] * d[j] for i, j in _PAIRS]
+    return sum(terms[1:], terms[0])
+
+
+def _estimate(scale, sums):
+    """Means and inverse covariances from counts, sums and sums of products;
+    the least variances are added to the covariance's diagonal."""
+    floor = np.diag([f[2] ** 2 for f in FEATURES])
+    for batch in sums:
+        out = []
+        for r in batch.to_dict("records"):
+            mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
+            cov = np.empty((P, P))
+            for i, j in _PAIRS:
+                cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r["n"] - mean[i] * mean[j]
+            cov = cov * scale + floor
+            inverse = np.linalg.inv(cov)
+            out.append([r["g"], r["start"], r["n"], *mean, *(inverse[i, j] for i, j in _PAIRS), np.linalg.slogdet(cov)[1]])
+        yield pd.DataFrame(out, columns=["g", "start", "n", *_M, *_A, "logdet"])
+
+
+def _moments(rows: DataFrame, scale: float = 1.0) -> DataFrame:
+    sums = [F.sum(c).alias(f"s{c[1:]}") for c in _X]
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    return (
+        rows.groupBy("g", "start")
+        .agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *products)
+        .mapInPandas(partial(_estimate, scale), _PARAMS)
+    )
+
+
+def _groups(stats: DataFrame, min_rows: int) -> DataFrame:
+    """(lang, source) to the group whose estimate judges it: its own, that of
+    the language's small sources, or that of all that is still too small."""
+    counts = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") < min_rows
+    by_lang = counts.where(small).groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    lang = F.col("l.lang").eqNullSafe(F.col("c.lang"))
+    return (
+        counts.alias("c")
+        .join(by_lang.alias("l"), lang, "left")
+        .select(
+            "c.lang",
+            "c.source",
+            F.when(~small, F.to_json(F.struct(F.col("c.lang").alias("lang"), F.col("c.source").alias("source"))))
+            .when(F.col("n_lang") >= min_rows, F.to_json(F.struct(F.col("c.lang").alias("lang"), F.lit(True).alias("rest"))))
+            .otherwise("rest")
+            .alias("g"),
+        )
+    )
+
+
+def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Minimum-covariance-determinant estimates of the transformed statistics
+    per language and source: one row for each (``lang``, ``source``) with the
+    means ``m``, the inverse covariance ``a`` and the group ``g`` it is from.
+
+    ``stats`` has ``lang``, ``source`` and ``STATISTICS``; rows that fail the
+    base rules take no part. Each group starts from its medians and median
+    deviations and, apart from that, from its plain moments; concentration
+    steps follow: the three quarters of the rows with the least distances
+    (their quantile by a mergeable summary) give the next estimate, as sums over
+    all rows, until no determinant shrinks any more. The start with the least
+    determinant wins. No group is gathered anywhere.
+    """
+    usable = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    xs = [F.expr(sql).alias(c) for c, (_, sql, _) in zip(_X, FEATURES)]
+    groups = cut(_groups(usable, min_rows))
+    few = groups.count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda df: df)
+    same = F.col("v.lang").eqNullSafe(F.col("k.lang")) & F.col("v.source").eqNullSafe(F.col("k.source"))
+    rows = cut(usable.select("lang", "source", *xs).alias("v").join(small(groups.alias("k")), same).select("g", *_X))
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("g")
+
+    medians = rows.join(small(counts), "g").groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(_X, _M)])
+    spread = (
+        rows.join(small(medians), "g")
+        .groupBy("g", *_M)
+        .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 1000).alias(f"d{x[1:]}") for x, m in zip(_X, _M)])
+    )
+    variance = [F.pow(1.4826 * F.col(f"d{i}"), 2) + FEATURES[i][2] ** 2 for i in range(P)]
+    robust = spread.select(
+        "g",
+        F.lit(0).alias("start"),
+        F.lit(0.0).alias("n"),
+        *_M,
+        *[(1 / variance[i] if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in _PAIRS],
+        F.lit(None).cast("double").alias("logdet"),
+    )
+    plain = _moments(rows.join(small(counts), "g").withColumn("start", F.lit(1)))
+    params = cut(robust.unionByName(plain))
+    before = None
+    for _ in range(STEPS):
+        near = rows.join(small(params), "g").select("g", "start", *_X, distance().alias("d2"))
+        reach = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("reach"))
+        params = cut(_moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach")))
+        total = params.agg(F.sum("logdet")).first()[0] or 0.0
+        if before is not None and abs(total - before) < 1e-6 * max(1.0, abs(total)):
+            break
+        before = total
+    # covariances of a subset are too small by a known factor for normal rows
+    scale = SUBSET / chi2_cdf(chi2_cut(SUBSET, P), P + 2)
+    near = rows.join(small(params), "g").select("g", "start", *_X, distance().alias("d2"))
+    reach = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("reach"))
+    final = _moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach"), scale)
+    best = final.groupBy("g").agg(F.min_by(F.struct(*_M, *_A), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    return cut(groups.join(best, "g"))
+
+
+def outlier_distance(stats: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``stats`` with ``distance2``; null where base rules fail or where no
+    group had rows enough."""
+    few = fitted.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    side = fitted.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*_M, *_A).alias("_fit"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    joined = stats.join(F.broadcast(side) if few else side, same, "left")
+    ok = ~base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))
+    xs = {c: F.when(ok, F.expr(sql_in_struct(sql))) for c, (_, sql, _) in zip(_X, FEATURES)}
+    return joined.withColumns(xs).withColumn("distance2", distance("_fit.")).drop(*_X, "_lang", "_source", "_fit")
+
+
+def sql_in_struct(sql: str) -> str:
+    for c in STATISTICS:
+        sql = sql.replace(c, f"_q.{c}")
+    return sql
+
+
+def judge(docs: DataFrame, fitted: DataFrame, reject: float = REJECT) -> DataFrame:
+    """``docs`` (with ``_q``), ``base_failed``, ``distance2`` and ``kept``."""
+    out = outlier_distance(docs, fitted)
+    failed = base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))
+    near = F.coalesce(F.col("distance2") <= chi2_cut(1 - reject, P), F.lit(True))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & near})
+
+
+def quality_rules(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    min_rows: int = MIN_ROWS,
+    reject: float = REJECT,
+) -> DataFrame:
+    """Every row's ``id_col``, ``BASE`` statistics, ``base_failed``, ``kept``
+    and ``distance2`` (squared robust Mahalanobis distance to its language and
+    source).
+
+    Words are what white space of ASCII parts. A row fails the base rules with
+    under 50 words or over half its words in repeated windows of three; another
+    is rejected if its transformed statistics lie farther from its group's
+    minimum-covariance-determinant estimate than all but a share ``reject`` of
+    a normal group's rows.
+
+    A null text has no words and fails; null languages and sources are values
+    of their own; groups under ``min_rows`` are judged with the rest of their
+    language, then with all such rests, and if these are too few by the base
+    rules alone. Repeated rows and null ids are kept, one result each; an empty
+    table gives an empty result.
+    """
+    chosen = docs.select(
+        F.col(id_col).alias("_id"),
+        F.col(text_col).cast("string").alias("_t"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(source_col).cast("string").alias("source"),
+    )
+    stats = cut(with_statistics(chosen, "_t").drop("_t"))
+    fitted = fit_outliers(stats.select("lang", "source", "_q.*"), min_rows)
+    return judge(stats, fitted, reject).select(
+        F.col("_id").alias(id_col), *[F.col(f"_q.{c}").alias(c) for c in BASE], "base_failed", "kept", "distance2"
+    )
+
+
+def keep_quality(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, reject: float = REJECT
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps. The statistics of all
+    texts are gathered first (numbers only), then each text is judged where it
+    is read."""
+    chosen = docs.select(
+        F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")
+    )
+    stats = cut(with_statistics(chosen, "_t").select("lang", "source", "_q.*"))
+    fitted = fit_outliers(stats, min_rows)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col(text_col).cast("string").alias("_t"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(source_col).cast("string").alias("source"),
+    )
+    return judge(with_statistics(rows, "_t"), fitted, reject).where("kept").select("_row.*")

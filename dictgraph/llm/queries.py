@@ -12,12 +12,18 @@ from dictgraph.llm.common import table
 from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
+from dictgraph.llm.quality import quality_rules
 from dictgraph.llm.sharding import shard_by_bytes
 from dictgraph.llm.token_count import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics of every document and whether it is kept."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licenses that every document, or a line of it, equals."""
     return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
@@ -52,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
