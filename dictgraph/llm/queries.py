@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dictgraph.llm.bpe_codec import encode_texts
 from dictgraph.llm.common import table
 from dictgraph.llm.decontaminate import find_contamination, items_digest
+from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
 from dictgraph.llm.quality import quality_rules
@@ -44,6 +45,14 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digests=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    trees = fit_languages(docs.where(~held_out(F.col("doc_id"))))
+    found = predict_languages(docs, trees)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
