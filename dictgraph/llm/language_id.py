@@ -88,7 +88,7 @@ class Trees:
                     n = row.sum()
                     share[i, :, j] = np.where(row > 0, row / (n + seen), seen / (n + seen) * shorter[:, j])
         self.go = go.ravel()
-        self.bits = -np.log2(share).astype(np.float32).reshape(-1, len(self.languages))
+        self.bits = -np.log2(share).astype(np.float32).reshape(go.size, len(self.languages))
 
     def code_lengths(self, data: bytes, starts: np.ndarray) -> np.ndarray:
         """Bits of the texts that begin at ``starts`` of ``data`` (ORDER zero

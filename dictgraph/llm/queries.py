@@ -13,6 +13,7 @@ from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
+from dictgraph.llm.pii import pii_report
 from dictgraph.llm.quality import quality_rules
 from dictgraph.llm.sharding import shard_by_bytes
 from dictgraph.llm.token_count import count_tokens
@@ -20,6 +21,17 @@ from dictgraph.llm.token_count import count_tokens
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of the pseudonyms: set ``spark.dictgraph.pii.key`` in a real
+    run; without it a fixed one is used, which hides nothing from its reader."""
+    return spark.conf.get("spark.dictgraph.pii.key", "dictgraph test key").encode()
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced."""
+    return pii_report(table(spark, sf_dir, "documents"), pii_key(spark))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics of every document and whether it is kept."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -67,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
