@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictgraph.llm.bpe_codec import encode_texts
+from dictgraph.llm.chosen_path import similarity_join
 from dictgraph.llm.common import table
 from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
@@ -42,6 +43,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document by 5-word n-grams."""
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near-equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
@@ -79,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op4_license_scan, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op4_license_scan, op5_chosen_path_join, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
