@@ -14,6 +14,7 @@ from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
+from dictgraph.llm.masked_lm import pseudo_likelihood
 from dictgraph.llm.pii import pii_report
 from dictgraph.llm.quality import quality_rules
 from dictgraph.llm.sharding import shard_by_bytes
@@ -38,6 +39,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all."""
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licenses that every document, or a line of it, equals."""
     return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
@@ -85,7 +91,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op4_license_scan, op5_chosen_path_join, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op3_masked_lm, op4_license_scan, op5_chosen_path_join, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
