@@ -14,11 +14,18 @@ Per request ``(request_id, root, target)`` inside the graph of ``root``:
 
 Only non-functional edges are walked between hops (the first functional
 edge on a path ends it). The loop runs once per distinct (root, target)
-pair, and the answers are joined back to the requests at the end. The
-frontier keeps one row per (pair, vertex): the one with the smallest path;
-the path array enforces per-path uniqueness for candidates. Pairs that found
-their answer leave the frontier by an anti-join. Every hop is checkpointed,
-and its row count and path bytes are observed to size the next broadcast.
+pair, and the answers are joined back to the requests at the end.
+
+The walk visits a vertex once per pair and keeps its smallest path. That path
+may hold the far end of a functional edge although another path to the same
+vertex avoids it. Such an edge is put aside as ``(pair, far)`` and decided by
+a second walk that leaves out the vertex ``far``: its first arrival at a
+functional edge into ``far`` is the shortest path with unique vertices that
+ends there, so one visit per vertex is exact in it. An answer of either walk
+counts; fewest hops win.
+
+Every hop is one aggregation (hits, edges put aside and the next frontier
+together) and one checkpoint, whose observed counts size the next broadcast.
 """
 
 from __future__ import annotations
@@ -42,13 +49,89 @@ from dictgraph.operators._util import join_back
 from dictgraph.operators.expand import check_levels
 from dictgraph.operators.search import restrict_to_tokens
 from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 100
 
 
+def _walk(frontier: DataFrame, edges_at, max_levels: int, max_broadcast_rows: int):
+    """Hits ``(request_id, canonical_h, hops)`` of each hop, and the functional
+    edges put aside as ``(request_id, avoid)`` (None without any).
+
+    With a column ``avoid`` in the frontier, each ``(request_id, avoid)`` walks
+    by itself around that vertex, and only functional edges into it are hits."""
+    around = "avoid" in frontier.columns
+    keys = ["request_id", "avoid"] if around else ["request_id"]
+    size = F.coalesce(F.sum(64 + 48 * F.size("path")), F.lit(0))
+    frontier, stats = cut_lineage_observed(frontier, bytes=size, walks=F.count(F.lit(1)))
+    visited = [frontier.select(*keys, "vertex")]
+    found, aside = [], []
+    for hop in range(1, max_levels + 1):
+        if stats["walks"] == 0:
+            break
+        # Frontier rows carry their path (up to ``levels`` handles): the
+        # broadcast check takes rows and path bytes.
+        small = stats["walks"] <= max_broadcast_rows and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+        fr = F.broadcast(frontier) if small else frontier
+        edges = edges_at(frontier)
+        step = fr.join(edges, (fr.root_h == edges.root_h) & (fr.vertex == edges.near)).select(
+            *[fr[k] for k in keys], fr.root_h, edges.far, edges.functional, fr.path
+        )
+        onto = F.array_contains("path", F.col("far"))
+        hit = F.col("functional") & ((F.col("far") == F.col("avoid")) if around else ~onto)
+        put_aside = F.lit(False) if around else F.col("functional") & onto
+        walked = ~F.col("functional") & ~onto
+        if around:
+            walked = walked & (F.col("far") != F.col("avoid"))
+        path = F.array() if around else F.concat("path", F.array("far"))  # the second walk needs no path
+        cand = step.select(
+            *keys,
+            F.col("far").alias("vertex"),
+            F.when(walked, F.struct(path.cast("array<string>").alias("path"), "root_h")).alias("b"),
+            hit.alias("hit"),
+            put_aside.alias("aside"),
+            F.lit(False).alias("seen"),
+        )
+        seen = reduce(DataFrame.unionByName, visited).select(
+            *keys,
+            "vertex",
+            F.lit(None).cast(cand.schema["b"].dataType).alias("b"),
+            F.lit(False).alias("hit"),
+            F.lit(False).alias("aside"),
+            F.lit(True).alias("seen"),
+        )
+        # One aggregation: visited vertices are dropped, the smallest path per
+        # (pair, vertex) is kept, and hits are flagged on their far end.
+        merged = (
+            cand.unionByName(seen)
+            .groupBy(*keys, "vertex")
+            .agg(F.max("hit").alias("hit"), F.max("aside").alias("aside"), F.max("seen").alias("seen"), F.min("b").alias("b"))
+            .withColumn("walk", ~F.col("seen") & F.col("b").isNotNull())
+            .filter("hit or aside or walk")
+        )
+        merged, stats = cut_lineage_observed(
+            merged,
+            hits=F.count(F.when(F.col("hit"), 1)),
+            aside=F.count(F.when(F.col("aside"), 1)),
+            walks=F.count(F.when(F.col("walk"), 1)),
+            bytes=F.coalesce(F.sum(F.when(F.col("walk"), 64 + 48 * F.size("b.path"))), F.lit(0)),
+        )
+        frontier = merged.filter("walk").select(*keys, F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
+        if stats["aside"]:
+            aside.append(merged.filter("aside").select("request_id", F.col("vertex").alias("avoid")))
+        if stats["hits"]:
+            found.append(
+                merged.filter("hit").groupBy("request_id").agg(F.min("vertex").alias("canonical_h")).withColumn("hops", F.lit(hop))
+            )
+            # pairs resolved at this hop leave the frontier
+            done = broadcast_small(merged.filter("hit").select(*keys).distinct(), stats["hits"], max_broadcast_rows)
+            frontier = frontier.join(done, keys, "left_anti")
+        visited.append(frontier.select(*keys, "vertex"))
+    return found, reduce(DataFrame.unionByName, aside).distinct() if aside else None
+
+
 def resolve_in_graph(
     requests: DataFrame,
     edges: DataFrame,
@@ -108,59 +191,29 @@ def resolve_in_graph(
         "request_id", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path")
     )
     walk_all = usable.select("root_h", "near", "far", "functional") if usable is not None else None
-    found = []
-    # Frontier rows carry their path (up to ``levels`` handles): the
-    # broadcast check counts rows and path bytes, both observed at the
-    # checkpoint.
-    frontier_size = F.coalesce(F.sum(64 + 48 * F.size("path")), F.lit(0))
-    frontier, stats = cut_lineage_observed(frontier, bytes=frontier_size)
-    visited = [frontier.select("request_id", "vertex")]
-    for hop in range(1, max_levels + 1):
-        if stats["rows"] == 0:
-            break
-        small = stats["rows"] <= max_broadcast_rows and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
-        fr = F.broadcast(frontier) if small else frontier
+
+    def edges_at(frontier: DataFrame) -> DataFrame:
         if walk_all is not None:
-            walk = walk_all
-        else:
-            walk = restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near").select(
-                "root_h", "near", "far", "functional"
-            )
-        step = fr.join(walk, (fr.root_h == walk.root_h) & (fr.vertex == walk.near)).select(
-            fr.request_id, fr.root_h, walk.far, walk.functional, fr.path
-        ).filter(~F.array_contains("path", F.col("far")))
-        hits, n_hits = cut_lineage_counted(
-            step.filter("functional")
-            .groupBy("request_id")
-            .agg(F.min("far").alias("canonical_h"))
-            .withColumn("hops", F.lit(hop))
+            return walk_all
+        return restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near").select(
+            "root_h", "near", "far", "functional"
         )
-        nxt = step.filter(~F.col("functional"))
-        if n_hits:
-            found.append(hits)
-            # requests resolved at this hop leave the frontier
-            done = broadcast_small(hits.select("request_id"), n_hits, max_broadcast_rows)
-            nxt = nxt.join(done, "request_id", "left_anti")
-        # Drop visited vertices and keep the smallest path per (request,
-        # vertex) in one aggregation (see expand_enum).
-        cand = nxt.select(
-            "request_id", F.col("far").alias("vertex"),
-            F.struct(F.concat("path", F.array("far")).alias("path"), "root_h").alias("b"), F.lit(False).alias("seen"),
-        )
-        seen = reduce(DataFrame.unionByName, visited).select(
-            "request_id", "vertex", F.lit(None).cast(cand.schema["b"].dataType).alias("b"), F.lit(True).alias("seen")
-        )
-        nxt = (
-            cand.unionByName(seen)
-            .groupBy("request_id", "vertex")
-            .agg(F.max("seen").alias("seen"), F.min("b").alias("b"))
-            .filter(~F.col("seen"))
-            .select("request_id", F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
+
+    found, aside = _walk(frontier, edges_at, max_levels, max_broadcast_rows)
+    if aside is not None:
+        again = (
+            aside.join(seeded.select("request_id", "root_h", "target_h"), "request_id")
+            .filter(F.col("avoid") != F.col("target_h"))  # the start is on every path
+            .select("request_id", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path"), "avoid")
         )
-        frontier, stats = cut_lineage_observed(nxt, bytes=frontier_size)
-        visited.append(frontier.select("request_id", "vertex"))
+        found += _walk(again, edges_at, max_levels, max_broadcast_rows)[0]
 
-    answers = reduce(DataFrame.unionByName, [direct] + found)
+    answers = (
+        reduce(DataFrame.unionByName, [direct] + found)
+        .groupBy("request_id")
+        .agg(F.min(F.struct("hops", "canonical_h")).alias("best"))
+        .select("request_id", "best.*")
+    )
     out = seeded.join(answers, "request_id", "left")
     docs = prepare_terms(terms)
     payload = [handle("_key").alias("canonical_h"), F.col("_key").alias("__key")]

@@ -79,7 +79,39 @@ def test_levels_bound_and_traverse(spark):
         _resolve(spark, d, [(1, "R", "t")], levels=101)
 
 
+def test_far_end_on_the_kept_path(spark):
+    """The far end lies on the smallest path to v, but not on another one."""
+    terms = make_terms(spark, [_doc(g) for g in "scuv"])
+    spec = [
+        ("s", SECTION_OF, "R", ["R"]),
+        ("c", SECTION_OF, "s", ["R"]),
+        ("u", SECTION_OF, "s", ["R"]),
+        ("v", SECTION_OF, "c", ["R"]),
+        ("v", SECTION_OF, "u", ["R"]),
+        ("c", ENUM_OF, "v", ["R"]),
+    ]
+    d = {"terms": terms, "edges": make_edges(spark, spec)}
+    assert _resolve(spark, d, [(1, "R", "s")])[1] == ("c", "ok", 3)
+    assert _resolve(spark, d, [(1, "R", "s")], levels=2)[1] == (None, "unresolved", None)
+    d["edges"] = make_edges(spark, spec[:4] + spec[5:])
+    assert _resolve(spark, d, [(1, "R", "s")])[1] == (None, "unresolved", None)
+
+
+def test_longer_way_around_the_far_end(spark):
+    """Only a longer path avoids the far end; a later hit elsewhere loses."""
+    terms = make_terms(spark, [_doc(g) for g in "scuwvxyz"])
+    spec = [("s", SECTION_OF, "R", ["R"])]
+    spec += [(f, SECTION_OF, t, ["R"]) for f, t in ["cs", "vc", "us", "wu", "vw", "xs", "yx", "zy"]]
+    spec += [("c", ENUM_OF, "v", ["R"]), ("a", ENUM_OF, "z", ["R"])]
+    d = {"terms": terms, "edges": make_edges(spark, spec)}
+    # s, u, w, v, c and s, x, y, z, a both take four hops: the smaller handle
+    assert _resolve(spark, d, [(1, "R", "s")])[1] == (None, "not_found", 4)
+    d["edges"] = make_edges(spark, spec[:-1])
+    assert _resolve(spark, d, [(1, "R", "s")])[1] == ("c", "ok", 4)
+
+
 def brute_resolve(edges, root, target, levels, direction, pred=ENUM_OF, allowed=(SECTION_OF, BRIDGE_OF, ENUM_OF)):
+    """Every path with unique vertices, one after another."""
     usable = [(f, t, p) for _k, f, t, p, path in edges if path and root in path and p in allowed]
     near_far = [((t, f) if direction == "inbound" else (f, t)) + (p,) for f, t, p in usable]
     seeds = [p for near, far, p in near_far if far == target]
@@ -87,41 +119,38 @@ def brute_resolve(edges, root, target, levels, direction, pred=ENUM_OF, allowed=
         return None, "not_in_graph"
     if pred in seeds:
         return target, 0
-    frontier = {target: [target]}
-    visited = {target}
+    paths = [[target]]
     for hop in range(1, levels + 1):
-        hits, nxt = [], {}
-        for v, path in frontier.items():
-            for near, far, p in near_far:
-                if near != v or far in path:
-                    continue
-                if p == pred:
-                    hits.append(far)
-                elif far not in visited:
-                    cand = path + [far]
-                    if far not in nxt or cand < nxt[far]:
-                        nxt[far] = cand
+        hits = [far for path in paths for near, far, p in near_far if near == path[-1] and far not in path and p == pred]
         if hits:
             return min(hits), hop
-        if not nxt:
-            break
-        frontier = nxt
-        visited |= set(nxt)
+        paths = [path + [far] for path in paths for near, far, p in near_far if near == path[-1] and far not in path and p != pred]
     return None, "unresolved"
 
 
-@pytest.mark.parametrize("seed", [4, 5, 6])
+def cyclic_graph(rng):
+    """Few functional edges among many others, with cycles and diamonds."""
+    spec = []
+    for root in [f"R{i}" for i in range(12)]:
+        for f, t in {tuple(rng.sample(range(9), 2)) for _ in range(16)}:
+            spec.append((f"v{f}", rng.choice([SECTION_OF, BRIDGE_OF]), f"v{t}", [root]))
+        for f, t in {tuple(rng.sample(range(9), 2)) for _ in range(2)}:
+            spec.append((f"v{f}", ENUM_OF, f"v{t}", [root]))
+    return spec
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6, 7, 8, 9])
 @pytest.mark.parametrize("direction", ["inbound", "outbound"])
 def test_matches_brute_force(spark, seed, direction):
     rng = random.Random(seed)
-    spec = random_graph(rng)
+    spec = random_graph(rng) if seed < 6 else cyclic_graph(rng)
     edges = make_edges(spark, spec)
     erows = [(r["_key"], r["_from"], r["_to"], r["_predicate"], r["_path"]) for r in edges.collect()]
     terms = make_terms(spark, [_doc(f"v{i}") for i in range(9)])
-    levels = rng.randint(1, 4)
+    levels = rng.randint(1, 4) if seed < 6 else rng.randint(3, 6)
     data, expected = [], {}
     rid = 0
-    for root in ["R1", "R2"]:
+    for root in sorted({r for *_, path in spec for r in path or []}):
         for b in range(9):
             rid += 1
             data.append((rid, root, f"v{b}"))
