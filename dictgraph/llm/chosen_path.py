@@ -18,18 +18,18 @@ from dictgraph.llm.decontaminate import words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-COORDINATES = 128  # minhash values that stand for a set in the paths
+COORDINATES = 64  # minhash values that stand for a set in the paths
 FANOUT = 2  # coordinates on which a large bucket is split
 TARGET_RECALL = 0.9999  # for a pair right at the threshold
 BUCKET = 64  # a bucket up to this size is compared at once
 BLOCK = 1024  # sets of a larger one that meet in one comparison
-SLACK = 0.16  # share of agreeing coordinates below the threshold that is still verified
+SLACK = 0.2  # share of agreeing coordinates below the threshold that is still verified
 BROADCAST_KEYS = 500_000  # rows of about 50 bytes
 
 _rng = np.random.default_rng(20240229)
 _WORD_FACTORS = _rng.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_word_hashes = Memo(xxhash.xxh3_64_intdigest)
+_word_hashes = Memo(xxhash.xxh3_64_intdigest, size=300_000)
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, fanout: int = FANOUT) -> int:

@@ -123,7 +123,7 @@ def test_sketches_estimate_similarity():
     b = a[:1800] + [f"{rng.random()}".encode() for _ in range(200)]
     x, y = C.shingles(a), C.shingles(b)
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    assert abs((C.sketch(x) == C.sketch(y)).mean() - true) < 0.12
+    assert abs((C.sketch(x) == C.sketch(y)).mean() - true) < 0.16
 
 
 def test_query_equals_all_pairs(spark):
