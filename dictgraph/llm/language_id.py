@@ -16,7 +16,7 @@ ORDER = 3  # bytes of the longest context
 SAMPLE_ROWS = 1_000  # labelled rows a language is learned from, at most
 SAMPLE_BYTES = 20_000  # of each such row's text (the classifier's sample only)
 MIN_CONTEXT = 4  # a context seen less often is not in the tree
-PIECE = 1 << 20  # bytes scored at a time
+PIECE = 1 << 18  # bytes scored at a time
 
 
 def grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +93,12 @@ class Trees:
     def code_lengths(self, data: bytes, starts: np.ndarray) -> np.ndarray:
         """Bits of the texts that begin at ``starts`` of ``data`` (ORDER zero
         bytes stand before each), a row per text and a column per language."""
-        x = self.symbol[np.frombuffer(data, np.uint8)].astype(np.int32)
+        x = self.symbol[np.frombuffer(data, np.uint8)]
         out = np.zeros((len(starts), len(self.languages)))
         ends = np.append(starts[1:] - ORDER, len(x))
         size = self.symbols
         for at in range(ORDER, len(x), PIECE):
-            part = x[at - ORDER : at + PIECE]
+            part = x[at - ORDER : at + PIECE].astype(np.int32)
             n = len(part) - ORDER
             state = np.zeros(n, np.int32)
             for k in range(ORDER):  # the context depends on the last ORDER bytes alone
