@@ -20,10 +20,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64  # minhash values that stand for a set in the paths
 FANOUT = 2  # coordinates on which a large bucket is split
-TARGET_RECALL = 0.9999  # for a pair right at the threshold
+TARGET_RECALL = 0.999999  # for a pair right at the threshold
 BUCKET = 64  # a bucket up to this size is compared at once
 BLOCK = 1024  # sets of a larger one that meet in one comparison
-SLACK = 0.2  # share of agreeing coordinates below the threshold that is still verified
+SLACK = 0.25  # share of agreeing coordinates below the threshold that is still verified
 BROADCAST_KEYS = 500_000  # rows of about 50 bytes
 
 _rng = np.random.default_rng(20240229)
