@@ -133,7 +133,7 @@ class Memo(dict):
 
     def __missing__(self, word):
         value = self.fn(word)
-        if len(word) <= self.longest:
+        if word is None or len(word) <= self.longest:
             if len(self) >= self.size:
                 self.clear()
             self[word] = value

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.llm import bpe, lexicon
-from dictgraph.llm.common import ship_package, texts_of
+from dictgraph.llm.common import cut, most_frequent, ship_package, texts_of
 
 # A word is a candidate if some task sees it in this share of its own words.
 # Every word with that share of the whole corpus has it in at least one task,
@@ -90,14 +90,8 @@ def _candidates(batches):
 def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS, text_col: str = "text") -> DataFrame:
     """The ``size`` most frequent pieces (``piece``, ``n``) over all texts."""
     ship_package(docs.sparkSession)
-    return (
-        docs.select(F.col(text_col).cast("string"))
-        .mapInArrow(_candidates, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(size)
-    )
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(_candidates, "piece string, n long")
+    return most_frequent(cut(found.groupBy("piece").agg(F.sum("n").alias("n"))), size, "piece")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, size: int = LEXICON_WORDS, text_col: str = "text") -> bytes:

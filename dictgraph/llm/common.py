@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import dictgraph
 from dictgraph.session import ensure_checkpoint_dir
@@ -46,6 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def most_frequent(counts: DataFrame, size: int, key: str, n: str = "n") -> DataFrame:
+    """The ``size`` rows of the largest ``n`` (ties: the least ``key``). A
+    histogram of the counts' logarithms finds a count that only a few more rows
+    than ``size`` reach; the rest is dropped before anything is ranked, so that
+    what a ranking sends does not grow with the number of partitions."""
+    step = F.floor(F.log2(F.col(n)) * 8)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect()
+    least, seen = 0, 0
+    for r in histogram:  # a few hundred rows at most
+        least, seen = r.step, seen + r.rows
+        if seen >= size:
+            break
+    return counts.where(step >= least).orderBy(F.desc(n), key).limit(size)
+
+
 def texts_of(column) -> list[str]:
     """Arrow string column to a list; a null text counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
