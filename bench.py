@@ -1,8 +1,9 @@
 """Benchmark: run the registered queries at $BENCH_SF_DIR on local[$BENCH_CPUS]
 and print one JSON line with per-query wall time (seconds).
 
-Each query is fully executed (rows are counted on the executors, nothing is
-collected). Figures are our own; the original service publishes none.
+Each query is written to Spark's ``noop`` sink, so that every column of every
+row is produced and nothing is pruned or collected. Figures are our own; the
+original service publishes none.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ WARMUP = [
 ]
 
 
+def produce(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -45,14 +50,14 @@ def main() -> None:
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
     for name in WARMUP:
-        registry.QUERIES[name](spark, warm_dir).count()
+        produce(registry.QUERIES[name](spark, warm_dir))
     times = {}
-    rows = {}
     # The derived dictionary (terms + edges), written once per session like a
     # loaded collection; every query below reads it.
     t0 = time.perf_counter()
     d = registry.dictionary(spark, sf_dir)
-    rows["derive_dictionary"] = d["edges"].count()
+    produce(d["terms"])
+    produce(d["edges"])
     times["derive_dictionary"] = round(time.perf_counter() - t0, 3)
     # Each query runs BENCH_REPEAT times (default 2); the fastest run is
     # reported, which damps noise from other tenants of the host.
@@ -63,14 +68,13 @@ def main() -> None:
         try:
             for _ in range(repeat):
                 t0 = time.perf_counter()
-                n = registry.QUERIES[name](spark, sf_dir).count()
+                produce(registry.QUERIES[name](spark, sf_dir))
                 took = time.perf_counter() - t0
                 best = took if best is None else min(best, took)
         except Exception as exc:  # keep benchmarking the others; report it
             errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
             continue
         times[name] = round(best, 3)
-        rows[name] = n
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(
         json.dumps(
@@ -79,7 +83,6 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "rows": rows,
                 "sf": sf,
                 "repeat": repeat,
                 "stat": "min",

@@ -1,5 +1,5 @@
 from dictgraph.functions.keys import handle, key_of, blob_key, strip_collection
-from dictgraph.functions.variant import has_field, is_truthy, variant_kind
+from dictgraph.functions.variant import has_field, is_array, is_object, is_string, is_truthy
 from dictgraph.functions.tokens import segment_tokens, word_tokens
 
 __all__ = [
@@ -8,8 +8,10 @@ __all__ = [
     "blob_key",
     "strip_collection",
     "has_field",
+    "is_array",
+    "is_object",
+    "is_string",
     "is_truthy",
-    "variant_kind",
     "segment_tokens",
     "word_tokens",
 ]

@@ -17,10 +17,12 @@ def handle(key, collection: str = TERMS) -> Column:
     return F.concat(F.lit(collection + "/"), _col(key))
 
 
-def key_of(h) -> Column:
-    """Key part of a handle: everything after the first ``/``."""
+def key_of(h, collection: str = TERMS) -> Column:
+    """Key part of a handle of ``collection``: what follows its prefix (a key
+    may hold ``/`` itself). Anything else is returned as it is."""
     h = _col(h)
-    return F.when(h.contains("/"), F.substring_index(h, "/", -1)).otherwise(h)
+    prefix = collection + "/"
+    return F.when(h.startswith(prefix), F.substring(h, len(prefix) + 1, 1 << 30)).otherwise(h)
 
 
 def strip_collection(value, collection: str) -> Column:

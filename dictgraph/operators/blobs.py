@@ -1,10 +1,11 @@
 """O8 ``fetch_blobs``: content-addressed blob lookup.
 
 A request key may be bare or a ``blobs/<key>`` handle. Found keys return the
-whole document, others ``not_found``. When the request set is within the
-broadcast bound, the blob table is streamed through a map-side join and its
-(possibly large) content is never shuffled; misses come from an anti-join
-over the key column alone (a pruned scan).
+whole document, others ``not_found``. The distinct request keys (nothing else
+of the requests) are broadcast when their rows and bytes are within bound, so
+the blob table streams past them in one scan and only found documents move;
+beyond the bound, keys are matched first and content is attached last. Misses
+are the requests without a found document: no second scan.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import BLOBS, NOT_FOUND, OK
 from dictgraph.functions.keys import strip_collection
-from dictgraph.plans.sizing import is_bounded
+from dictgraph.plans.lineage import cut_lineage_observed
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
 
 BLOB_COLUMNS = ["_blob_item", "_blob_type", "_blob_kind", "_blob_identifier", "_blob_content"]
 
@@ -22,17 +24,16 @@ BLOB_COLUMNS = ["_blob_item", "_blob_type", "_blob_kind", "_blob_identifier", "_
 def fetch_blobs(requests: DataFrame, blobs: DataFrame, key_col: str = "key", max_broadcast_rows: int | None = None) -> DataFrame:
     """Requests plus ``_key``, the blob columns and ``status``."""
     req = requests.withColumn("_key", strip_collection(F.col(key_col), BLOBS))
-    if max_broadcast_rows is None:
-        bounded = is_bounded(req)
-    else:
-        bounded = max_broadcast_rows > 0 and is_bounded(req, max_broadcast_rows)
+    limit = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    keys, stats = cut_lineage_observed(
+        req.select("_key").filter(F.col("_key").isNotNull()).distinct(),
+        bytes=F.coalesce(F.sum(F.octet_length("_key") + 64), F.lit(0)),
+    )
     payload = blobs.select("_key", *BLOB_COLUMNS)
-    if not bounded:
-        out = req.join(payload.withColumn("status", F.lit(OK)), "_key", "left")
-        return out.withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
-    found = payload.join(F.broadcast(req), "_key").withColumn("status", F.lit(OK))
-    missing = req.join(blobs.select("_key"), "_key", "left_anti")
-    for c in BLOB_COLUMNS:
-        missing = missing.withColumn(c, F.lit(None).cast("string"))
-    missing = missing.withColumn("status", F.lit(NOT_FOUND))
-    return found.unionByName(missing)
+    if stats["rows"] <= limit and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES:
+        found = payload.join(F.broadcast(keys), "_key", "left_semi")
+    else:
+        matched = blobs.select("_key").join(keys, "_key", "left_semi")
+        found = payload.join(matched, "_key", "left_semi")
+    out = req.join(found.withColumn("status", F.lit(OK)), "_key", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))

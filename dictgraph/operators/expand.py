@@ -16,8 +16,7 @@ Per request ``(request_id, root, branch)``:
 * several usable edges reaching one vertex at the same hop: non-bridge first,
   then smaller level, then smaller parent handle, then smaller edge key.
 
-The loop runs all requests together (once per distinct (root, branch) when
-requests share one): one equi-join of the frontier with the usable edges per
+The loop runs all requests together (once per distinct (root, branch)): one equi-join of the frontier with the usable edges per
 hop, then a single aggregation per (request, vertex) that both drops
 already-visited vertices and applies the tie-break as a ``min(struct)``
 (combined map-side, so a hub vertex does not collect in one task). Each hop is
@@ -95,23 +94,13 @@ def expand_enum(
         handle("root").alias("root_h"),
         handle(branch).alias("vertex"),
     ).filter(F.col("root_h").isNotNull() & F.col("vertex").isNotNull())
-    # Requests sharing (root, branch) expand once: when there are clearly
-    # duplicates (an approximate distinct count, observed during the
-    # checkpoint, is enough: de-duplicating never changes the result) the loop
-    # runs over distinct pairs, aggregated map-side so a popular branch is not
-    # walked once per request, and request ids are attached at the end.
-    keyed, kstats = cut_lineage_observed(
-        keyed, pairs=F.approx_count_distinct(F.concat_ws("\u0001", "root_h", "vertex"))
+    # The loop runs over distinct (root, branch) pairs, aggregated map-side so
+    # that a popular branch is not walked once per request; request ids are
+    # attached at the end, once per row of the requests.
+    keyed, n_requests = cut_lineage_counted(keyed)
+    start, frontier_rows = cut_lineage_counted(
+        keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("request_id"), "root_h", "vertex").distinct()
     )
-    n_requests = kstats["rows"]
-    shared = kstats["pairs"] < 0.9 * n_requests
-    if shared:
-        pairs, n_pairs = cut_lineage_counted(
-            keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), "root_h", "vertex").distinct()
-        )
-        start, frontier_rows = pairs.withColumnRenamed("pair", "request_id"), n_pairs
-    else:
-        start, frontier_rows = keyed, n_requests
     start = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
 
     # Usable edges of the requested graphs, filtered and checkpointed once.
@@ -193,16 +182,14 @@ def expand_enum(
 
     spark = requests.sparkSession
     if not emitted:
-        key_type = "string" if shared else dict(requests.dtypes)["request_id"]
         out = spark.createDataFrame(
-            [], "request_id " + key_type + ", vertex string, predicate string, level int, parent string, hops int"
+            [], "request_id string, vertex string, predicate string, level int, parent string, hops int"
         )
     else:
         out = reduce(DataFrame.unionByName, emitted)
-    if shared:
-        ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
-        ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
-        out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
+    ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
+    ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
+    out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
     gid = key_of("vertex")
     parent = F.col("parent")
     if null_missing:

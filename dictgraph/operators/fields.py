@@ -27,25 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import MALFORMED, NOT_OBJECT, OK
-from dictgraph.functions.variant import is_truthy
+from dictgraph.functions.variant import is_array, is_string, is_truthy
 from dictgraph.operators.terms import resolve_keys
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 
-MAX_NESTING = 10_000
-
 
 def _vget(v, path: str):
     return F.try_variant_get(v, path, "variant")
 
 
-def _is_array(v):
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-
-
-def _is_string(v):
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-
-
 def _items(df: DataFrame, array_col: str, keep) -> DataFrame:
     """Explode a variant array column into ``(…, pos, item)``."""
     return df.select(*keep, F.posexplode(F.try_variant_get(F.col(array_col), "$", "array<variant>")).alias("pos", "item"))
@@ -68,7 +58,7 @@ def descriptor_fields(requests: DataFrame, terms: DataFrame, edges: DataFrame, g
         "gid",
         F.when(F.col("status") != OK, F.col("status"))
         .when(~is_truthy("__obj"), F.lit(NOT_OBJECT))
-        .when((is_truthy(req) & ~_is_array(req)) | (is_truthy(rec) & ~_is_array(rec)), F.lit(MALFORMED))
+        .when((is_truthy(req) & ~is_array(req)) | (is_truthy(rec) & ~is_array(rec)), F.lit(MALFORMED))
         .otherwise(F.lit(OK))
         .alias("status"),
         req.alias("req"),
@@ -78,19 +68,17 @@ def descriptor_fields(requests: DataFrame, terms: DataFrame, edges: DataFrame, g
     ok = staged.filter(F.col("status") == OK)
 
     # Required: every entry's _selection, when it is an array.
-    entries = _items(ok.filter(_is_array(F.col("req"))), "req", ["gid"])
+    entries = _items(ok.filter(is_array(F.col("req"))), "req", ["gid"])
     sel = entries.select("gid", F.array(F.lit(0), "pos").alias("sort_path"), _vget("item", "$._selection").alias("v"))
-    pending, n_pending = cut_lineage_counted(sel.filter(_is_array(F.col("v"))))
+    pending, n_pending = cut_lineage_counted(sel.filter(is_array(F.col("v"))))
     emitted = []
-    for _ in range(MAX_NESTING):
-        if n_pending == 0:
-            break
+    while n_pending:
         kids = _items(pending, "v", ["gid", "sort_path"]).select(
             "gid", F.concat("sort_path", F.array("pos")).alias("sort_path"), F.col("item").alias("v")
         )
-        kids = kids.withColumn("is_array", _is_array(F.col("v")))
+        kids = kids.withColumn("is_array", is_array(F.col("v")))
         kids, stats = cut_lineage_observed(
-            kids.filter(F.col("is_array") | _is_string(F.col("v"))),
+            kids.filter(F.col("is_array") | is_string(F.col("v"))),
             arrays=F.coalesce(F.sum(F.col("is_array").cast("long")), F.lit(0)),
         )
         emitted.append(
@@ -100,9 +88,9 @@ def descriptor_fields(requests: DataFrame, terms: DataFrame, edges: DataFrame, g
         )
         pending, n_pending = kids.filter("is_array").drop("is_array"), stats["arrays"]
 
-    recommended = _items(ok.filter(_is_array(F.col("rec"))), "rec", ["gid"])
+    recommended = _items(ok.filter(is_array(F.col("rec"))), "rec", ["gid"])
     emitted.append(
-        recommended.filter(_is_string(F.col("item"))).select(
+        recommended.filter(is_string(F.col("item"))).select(
             "gid",
             F.array(F.lit(1), "pos").alias("sort_path"),
             F.try_variant_get("item", "$", "string").alias("field_gid"),

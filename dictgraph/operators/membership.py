@@ -20,7 +20,7 @@ from dictgraph.functions.keys import handle
 from dictgraph.operators._util import as_col
 from dictgraph.plans.graph import check_direction, membership_relation
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, broadcast_small
 
 VALIDATE_MODES = ("flag", "valid", "invalid")
 
@@ -33,15 +33,21 @@ def _require_rows(df: DataFrame, what: str) -> None:
 def membership_pairs(
     terms: DataFrame,
     roots: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     direction: str = INBOUND,
     gid_col: str = "gid",
+    membership: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct accepted ``(term, root)`` pairs of two request lists."""
+    """Distinct accepted ``(term, root)`` pairs of two request lists.
+    ``membership`` is a published ``(leaf, root_h)`` table (O15, inbound) to
+    read instead of ``edges``."""
     direction = check_direction(direction)
     root_keys = roots.select(F.col(gid_col).alias("root")).filter(F.col("root").isNotNull()).distinct()
     root_keys, n_roots = cut_lineage_counted(root_keys.select("root", handle("root").alias("root_h")))
-    if n_roots <= DEFAULT_MAX_BROADCAST_ROWS:
+    if membership is not None:
+        _inbound(direction)
+        m = membership.join(broadcast_small(root_keys, n_roots), "root_h")
+    elif n_roots <= DEFAULT_MAX_BROADCAST_ROWS:
         m = membership_relation(edges, direction, roots=root_keys).join(F.broadcast(root_keys), "root_h")
     else:
         m = membership_relation(edges, direction).join(root_keys, "root_h")
@@ -55,14 +61,20 @@ def membership_pairs(
     return term_keys.join(m, handle("term") == m.leaf).select("term", "root")
 
 
+def _inbound(direction: str) -> None:
+    if direction != INBOUND:
+        raise ValueError("a published membership table is inbound; pass edges for outbound")
+
+
 def check_membership(
     terms: DataFrame,
     roots: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     direction: str = INBOUND,
     gid_col: str = "gid",
     pos_col: str = "pos",
     repeat_duplicates: bool = False,
+    membership: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct input term: ``(gid, pos, occurrences, roots)``.
 
@@ -79,7 +91,7 @@ def check_membership(
     dterms = cut_lineage(
         terms.groupBy(F.col(gid_col).alias("gid")).agg(F.min(pos_col).alias("pos"), F.count(F.lit(1)).alias("occurrences"))
     )
-    pairs = membership_pairs(dterms, roots.withColumnRenamed(gid_col, "gid"), edges, direction, "gid")
+    pairs = membership_pairs(dterms, roots.withColumnRenamed(gid_col, "gid"), edges, direction, "gid", membership)
     root_occ = broadcast_if_bounded(roots.select(F.col(gid_col).alias("root"), F.col(pos_col).alias("rpos")))
     accepted = (
         pairs.join(root_occ, "root")
@@ -97,31 +109,38 @@ def validate_column(
     fact: DataFrame,
     code,
     root: str,
-    edges: DataFrame,
+    edges: DataFrame | None,
     mode: str = "flag",
     direction: str = INBOUND,
     flag_col: str = "is_valid",
     max_broadcast_rows: int | None = None,
+    membership: DataFrame | None = None,
 ) -> DataFrame:
     """Flag, keep or reject rows of a large (batch or streaming) fact table by
     literal membership of ``code`` (a gid expression) in ``root``.
 
     The members of one root are a narrow key set; it is broadcast when its
     size is within bound, so the fact side is scanned once and never
-    shuffled. A NULL code is invalid."""
+    shuffled. A NULL code is invalid. ``membership`` is a published ``(leaf,
+    root_h)`` table (O15, inbound) to read instead of ``edges``. On a stream the
+    members are part of each micro-batch's plan and are not frozen when the
+    query is defined."""
     if mode not in VALIDATE_MODES:
         raise ValueError(f"mode must be one of {VALIDATE_MODES}, got {mode!r}")
     root_h = "terms/" + root
-    members = membership_relation(edges, direction, F.col("root_h") == F.lit(root_h)).select(
-        F.col("leaf").alias("__member")
-    ).distinct()
+    if membership is not None:
+        _inbound(direction)
+        members = membership.filter(F.col("root_h") == F.lit(root_h))
+    else:
+        members = membership_relation(edges, direction, F.col("root_h") == F.lit(root_h))
+    members = members.select(F.col("leaf").alias("__member")).distinct()
     limit = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     key = handle(as_col(code))
-    if limit > 0 and not members.isStreaming:
+    if limit > 0 and not members.isStreaming and not fact.isStreaming:
         members, n_members = cut_lineage_counted(members)
         if n_members <= limit:
             members = F.broadcast(members)
-        elif not fact.isStreaming:
+        else:
             return _validate_by_codes(fact, key, members, mode, flag_col, limit)
     if mode == "valid":
         return fact.join(members, key == members["__member"], "left_semi")
@@ -179,6 +198,7 @@ def resolve_then_check(
     res = resolve_in_graph(reqs, edges, terms, direction=direction, with_doc=False, **resolve_kwargs)
     answers = res.select(F.col("target").alias("__code"), F.col("resolved_gid").alias(resolved_col))
     checked = validate_column(answers, resolved_col, root, edges, "flag", direction, flag_col)
-    checked = broadcast_if_bounded(checked)
+    checked, n_checked = cut_lineage_counted(checked)
+    checked = broadcast_small(checked, n_checked)
     out = fact.join(checked, as_col(code) == checked["__code"], "left").drop("__code")
     return out.withColumn(flag_col, F.coalesce(F.col(flag_col), F.lit(False)))

@@ -28,6 +28,7 @@ from dictgraph.functions.constants import (
     TEXT_LANG_FIELDS,
 )
 from dictgraph.functions.tokens import segment_tokens, word_tokens
+from dictgraph.functions.variant import is_array, is_container, is_json_null, is_object, is_string
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, spread_if_narrow
 from dictgraph.sources.dictionary import prepare_terms
@@ -43,13 +44,11 @@ def _check_mode(mode: str) -> str:
 
 def _elements(v):
     """A variant as ``array<variant>``: arrays as they are, scalars wrapped."""
-    return F.when(
-        F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")
-    ).when(v.isNotNull(), F.array(v))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v)))
 
 
 def _string_of(v):
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
 
 
 # ---------------------------------------------------------------- matching
@@ -115,7 +114,7 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     ok = _present(need, postings.select("doc", "unit", "token", "pos"), ["doc", "unit", "token", "pos"])
     return (
         ok.groupBy("query_id", "doc", "unit", "start", "n_pos")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.countDistinct("pos").alias("n"))  # equal rows of one doc have equal postings
         .filter(F.col("n") == F.col("n_pos"))
         .select("query_id", "doc")
         .distinct()
@@ -214,9 +213,11 @@ def text_values(terms: DataFrame, lang: str = ENGLISH) -> DataFrame:
 def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True) -> DataFrame:
     """Word postings ``(doc, unit, token, pos)`` over any text column.
 
-    With ``spread`` an input with fewer partitions than task slots is
-    spread out first, so tokenizing is not left to a few tasks."""
-    unit = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in unit_cols]) if unit_cols else F.lit("")
+    Every text is a unit of its own (its hash is part of the unit), so a phrase
+    never spans two rows of one ``doc``. With ``spread`` an input with fewer
+    partitions than task slots is spread out first, so tokenizing is not left
+    to a few tasks."""
+    unit = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in unit_cols], F.hex(F.xxhash64(text_col)))
     df = df.select(doc_col, text_col, *unit_cols)
     if spread:
         df = spread_if_narrow(df)
@@ -234,37 +235,73 @@ def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None) -> DataFrame:
     return text_index_frame(vals, "gid", "text", ("field", "elem"))
 
 
-def text_search(index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True) -> DataFrame:
-    """``(query_id, doc)`` for ``(query_id, text)`` queries."""
+def text_search(
+    index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True, fields=None
+) -> DataFrame:
+    """``(query_id, doc)`` for ``(query_id, text)`` queries; ``fields`` searches
+    only these fields of an index made by ``text_index``."""
+    if fields is not None:
+        index = index.filter(F.substring_index("unit", "\u001f", 1).isin(list(fields)))
     return match(index, query_tokens(queries, word_tokens), mode, materialize)
 
 
+def phrase_search_texts(df: DataFrame, queries: DataFrame, doc_col: str, text_col: str, spread: bool = True) -> DataFrame:
+    """``(query_id, doc)``: rows of a text table that hold each query's words in
+    order and adjacent, without an index.
+
+    One pass counts the texts of each query word (words of no query are dropped
+    before they are exploded); a second takes the texts with a query's rarest
+    word and looks for the phrase in their words. No postings are written, and
+    a common word alone brings no candidates."""
+    qt, n_tokens = cut_lineage_counted(query_tokens(queries, word_tokens))
+    texts = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    if spread:
+        texts = spread_if_narrow(texts)
+    words = F.transform(word_tokens(F.col("text")), lambda t: t["token"])
+    rows = texts.select("doc", words.alias("words"))
+    wanted = qt.select("token").distinct()
+
+    def having(tokens: DataFrame, *keep) -> DataFrame:
+        """(token, *keep) of the texts that have one of ``tokens``."""
+        small = tokens.select("token").distinct().limit(MAX_PUSHED_TOKENS + 1).collect()
+        own = F.array_distinct("words")
+        if len(small) <= MAX_PUSHED_TOKENS:
+            own = F.array_intersect(own, F.array(*[F.lit(r[0]) for r in small]).cast("array<string>"))
+            return rows.select(*keep, F.explode(own).alias("token"))
+        return rows.select(*keep, F.explode(own).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+
+    freq = having(wanted).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = qt.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qpos", "token"))), lambda t: t["token"]), " ")
+    anchors = ranked.groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("a"), phrase.alias("phrase"))
+    anchors, n = cut_lineage_counted(anchors.select("query_id", F.col("a.token").alias("token"), "phrase"))
+    side = F.broadcast(anchors) if n <= DEFAULT_MAX_BROADCAST_ROWS else anchors
+    within = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    return having(anchors, "doc", "words").join(side, "token").filter(within).select("query_id", "doc").distinct()
+
+
 # ---------------------------------------------------------------- O13 domain facets
 
-def domain_index(terms: DataFrame, max_depth: int = 64) -> DataFrame:
+def domain_index(terms: DataFrame) -> DataFrame:
     """``(path, value, gid)``: every scalar under ``_domn`` with its dotted
     path; arrays contribute each element under the array's path; nested
     objects are walked level by level until no container is left."""
     start = terms.select(
         F.col("_key").alias("gid"), F.lit("").alias("path"), F.try_variant_get("doc", "$._domn", "variant").alias("v")
-    ).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    ).filter(is_object("v"))
     pending, n_pending = cut_lineage_counted(start)
     leaves = []
-    for _ in range(max_depth):
-        if n_pending == 0:
-            break
-        kind = F.schema_of_variant("v")
-        objs = pending.filter(kind.startswith("OBJECT")).select(
+    while n_pending:
+        objs = pending.filter(is_object("v")).select(
             "gid", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v")
         ).select("gid", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v")
-        arrs = pending.filter(kind.startswith("ARRAY")).select(
+        arrs = pending.filter(is_array("v")).select(
             "gid", "path", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
         )
-        k2 = F.schema_of_variant("v")
-        nxt = objs.unionByName(arrs).withColumn("container", k2.startswith("OBJECT") | k2.startswith("ARRAY"))
+        nxt = objs.unionByName(arrs).withColumn("container", is_container("v"))
         nxt, stats = cut_lineage_observed(nxt, containers=F.coalesce(F.sum(F.col("container").cast("long")), F.lit(0)))
         leaves.append(
-            nxt.filter(~F.col("container") & (k2 != "VOID")).select(
+            nxt.filter(~F.col("container") & F.col("v").isNotNull() & ~is_json_null("v")).select(
                 "path", F.try_variant_get("v", "$", "string").alias("value"), "gid"
             )
         )
@@ -276,15 +313,19 @@ def domain_index(terms: DataFrame, max_depth: int = 64) -> DataFrame:
     return reduce(DataFrame.unionByName, leaves).distinct()
 
 
-def domain_filter(index: DataFrame, queries: DataFrame) -> DataFrame:
+def domain_filter(index: DataFrame, queries: DataFrame, materialize: bool = True) -> DataFrame:
     """``(query_id, gid)``: terms matching every ``(path, value)`` condition
-    listed under the same ``query_id``."""
+    listed under the same ``query_id``. Small sets of paths and values are
+    pushed into the scan of the index as filters on its own columns; pass
+    ``materialize=False`` for a published index."""
+    index = restrict_to_tokens(index, queries, column="value", semi_join=False)
+    index = restrict_to_tokens(index, queries, column="path", semi_join=False)
     postings = index.select(
         F.col("gid").alias("doc"), F.lit("").alias("unit"),
         F.concat_ws("\u001f", "path", "value").alias("token"), F.lit(0).alias("pos"),
     )
     qt = queries.select("query_id", F.lit(0).alias("qpos"), F.concat_ws("\u001f", "path", "value").alias("token"))
-    return match(postings, qt, "all").withColumnRenamed("doc", "gid")
+    return match(postings, qt, "all", materialize).withColumnRenamed("doc", "gid")
 
 
 # ---------------------------------------------------------------- O14 list view

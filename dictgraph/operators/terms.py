@@ -14,47 +14,61 @@ from pyspark.sql import functions as F
 from dictgraph.functions.constants import NOT_FOUND, OK
 from dictgraph.functions.keys import handle
 from dictgraph.operators._util import join_back
-from dictgraph.plans.graph import alias_map
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
+from dictgraph.operators.search import MAX_PUSHED_TOKENS, restrict_to_tokens
+from dictgraph.plans.graph import alias_edges, alias_map_of
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
+from dictgraph.plans.sizing import broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 
-def resolve_keys(gids: DataFrame, terms: DataFrame, edges: DataFrame, with_doc: bool = True) -> DataFrame:
-    """``(gid, resolved_gid, status[, doc])`` for a DataFrame of distinct ``gid``."""
+def resolve_keys(
+    gids: DataFrame, terms: DataFrame, edges: DataFrame | None, with_doc: bool = True, alias_table: DataFrame | None = None
+) -> DataFrame:
+    """``(gid, resolved_gid, status[, doc])`` for a DataFrame of distinct ``gid``.
+
+    The dictionary is read for the requested keys only: a small set is pushed
+    into its scans as an ``IN`` filter, a bounded one is a broadcast semi-join,
+    a larger one a shuffle join of the narrow columns. Documents are read last,
+    for the resolved keys. ``alias_table`` is a published ``(shell_h,
+    canonical_h)`` table (O15) to read instead of ``edges``."""
     t = prepare_terms(terms)
-    # The dictionary side is usually small next to a large set of request
-    # keys: broadcast it so the keys are never shuffled. One aggregate over
-    # the terms bounds every dictionary side: the key table and the alias map
-    # (at most one row per term) by the row count, the documents also by
-    # their JSON size.
-    stats = t.select(
-        F.count(F.lit(1)).alias("rows"),
-        (F.coalesce(F.sum(F.length(F.to_json("doc")) + 64), F.lit(0)) if with_doc else F.lit(0)).alias("bytes"),
-    ).first()
-    narrow_ok = stats["rows"] <= DEFAULT_MAX_BROADCAST_ROWS
-    docs_ok = narrow_ok and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+    gids, n = cut_lineage_counted(gids.select("gid"))
 
-    def side(df, ok):
-        return F.broadcast(df) if ok else df
+    def of(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+        """Rows of the dictionary side ``df`` whose ``column`` is in ``keys``."""
+        if n <= MAX_PUSHED_TOKENS:
+            return restrict_to_tokens(df, keys, column)
+        return df.join(broadcast_small(keys.select(column).distinct(), n), column, "left_semi")
 
-    present = side(t.select(F.col("_key").alias("gid"), "is_alias"), narrow_ok)
-    step = gids.join(present, "gid", "left")
-    amap = side(alias_map(t, edges), narrow_ok)
-    step = step.join(amap, handle("gid") == amap.shell_h, "left")
-    canonical = F.when(
-        F.col("canonical_h").startswith("terms/"), F.expr("substr(canonical_h, 7)")
+    present = of(t.select(F.col("_key").alias("gid"), "is_alias"), gids, "gid")
+    step, shells = cut_lineage_observed(
+        gids.join(present, "gid", "left").withColumn("shell_h", F.when(F.col("is_alias"), handle("gid"))),
+        n=F.count(F.when(F.col("is_alias"), 1)),
     )
-    step = step.select(
-        "gid",
-        F.when(F.col("is_alias").isNull(), F.lit(None))
-        .when(F.col("is_alias"), canonical)
-        .otherwise(F.col("gid"))
-        .alias("target"),
+    if shells["n"]:
+        asked = step.filter("is_alias").select("shell_h")
+        if alias_table is not None:
+            amap = of(alias_table.select("shell_h", "canonical_h"), asked, "shell_h")
+        else:
+            amap = alias_map_of(asked, of(alias_edges(edges), asked, "shell_h"))
+        step = step.join(amap, "shell_h", "left")
+    else:
+        step = step.withColumn("canonical_h", F.lit(None).cast("string"))
+    canonical = F.when(F.col("canonical_h").startswith("terms/"), F.expr("substr(canonical_h, 7)"))
+    step = cut_lineage(
+        step.select(
+            "gid",
+            F.when(F.col("is_alias").isNull(), F.lit(None))
+            .when(F.col("is_alias"), canonical)
+            .otherwise(F.col("gid"))
+            .alias("target"),
+        )
     )
     payload = [F.col("_key").alias("target"), F.col("_key").alias("resolved_gid")]
     if with_doc:
         payload.append(F.col("doc"))
-    out = step.join(side(t.select(*payload), docs_ok if with_doc else narrow_ok), "target", "left")
+    targets = step.select("target").filter(F.col("target").isNotNull()).distinct()
+    out = step.join(of(t.select(*payload), targets, "target"), "target", "left")
     cols = [
         "gid",
         "resolved_gid",
@@ -68,17 +82,19 @@ def resolve_keys(gids: DataFrame, terms: DataFrame, edges: DataFrame, with_doc:
 def resolve_alias(
     requests: DataFrame,
     terms: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     gid_col: str = "gid",
     with_doc: bool = True,
     max_broadcast_rows: int | None = None,
+    alias_table: DataFrame | None = None,
 ) -> DataFrame:
-    """Requests plus ``resolved_gid``, ``status`` (and ``doc``).
+    """Requests plus ``resolved_gid``, ``status`` (and ``doc``). A published
+    alias map (``alias_table``) is read instead of ``edges``.
 
     The lookup runs once per distinct gid; the answers are joined back, by
     broadcast when their count is within bound."""
     gids = requests.select(F.col(gid_col).alias("gid")).filter(F.col("gid").isNotNull()).distinct()
-    answers = resolve_keys(gids, terms, edges, with_doc=with_doc)
+    answers = resolve_keys(gids, terms, edges, with_doc=with_doc, alias_table=alias_table)
     if gid_col != "gid":
         answers = answers.withColumnRenamed("gid", gid_col)
     out = join_back(requests, answers, gid_col, max_broadcast_rows, payload="doc" if with_doc else None)

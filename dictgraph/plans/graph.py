@@ -86,24 +86,33 @@ def membership_relation(
     return m.filter(F.col("root_h").isNotNull()).distinct()
 
 
+def alias_edges(edges: DataFrame) -> DataFrame:
+    """``(shell_h, f, k)`` of the enum-of edges: the end an alias is, the end it
+    stands for, the edge's key."""
+    e = edges.filter(F.col("_predicate") == ENUM_OF)
+    return e.select(F.col("_to").alias("shell_h"), F.col("_from").alias("f"), F.col("_key").alias("k"))
+
+
+def alias_map_of(shells: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(shell_h, canonical_h)`` for ``shells`` (``shell_h``): the ``f`` end of
+    the candidate (see ``alias_edges``) with the smallest ``(f, k)``. Unfiltered
+    by graph; one hop."""
+    e = candidates.join(shells, "shell_h", "left_semi")
+    return e.groupBy("shell_h").agg(F.min(F.struct("f", "k")).getField("f").alias("canonical_h"))
+
+
 def alias_map(terms: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(shell_h, canonical_h)``: for every alias shell with at least one
-    enum-of edge pointing at it, the ``_from`` end of the edge with the
-    smallest ``(_from, _key)``. Unfiltered by graph; one hop."""
+    """``alias_map_of`` every alias shell of the dictionary."""
     shells = terms.filter("is_alias").select(F.concat(F.lit("terms/"), "_key").alias("shell_h"))
-    e = edges.filter(F.col("_predicate") == ENUM_OF).select(
-        F.col("_to").alias("shell_h"), F.struct(F.col("_from").alias("f"), F.col("_key").alias("k")).alias("pick")
-    )
-    e = e.join(shells, "shell_h", "left_semi")
-    return e.groupBy("shell_h").agg(F.min("pick").getField("f").alias("canonical_h"))
+    return alias_map_of(shells, alias_edges(edges))
 
 
 def usable_from_published(published: DataFrame, predicates, direction: str, roots: DataFrame) -> DataFrame:
     """Usable edges read from a published ``edges_by_root`` table (built
     inbound: ``near = _to``, ``far = _from``). Outbound swaps the two ends at
     read time; only the asked-for predicates and roots are kept, the roots as
-    an ``IN`` filter when the set is small (row groups of other graphs are
-    skipped on a table sorted by root)."""
+    an ``IN`` filter when the set is small. The table is bucketed and sorted by
+    ``near``, which is what a loop's frontier prunes on."""
     from dictgraph.operators.search import restrict_to_tokens
 
     u = published

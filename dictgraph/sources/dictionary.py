@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dictgraph.functions.variant import has_field
+from dictgraph.functions.variant import has_field, is_object
 from dictgraph.functions.constants import ENGLISH
 
 EDGE_SCHEMA = T.StructType(
@@ -41,11 +41,24 @@ def terms_from_json(df: DataFrame, doc_col: str = "doc", key_col: str | None = "
     """``(_key, doc VARIANT)`` from a DataFrame holding JSON text.
 
     Without a key column the key is taken from ``_code._gid`` (the dictionary
-    guarantees ``_key == _code._gid``)."""
-    doc = F.parse_json(F.col(doc_col))
-    if key_col is None:
-        return df.select(F.try_variant_get(doc, "$._code._gid", "string").alias("_key"), doc.alias("doc"))
-    return df.select(F.col(key_col).alias("_key"), doc.alias("doc"))
+    guarantees ``_key == _code._gid``). Text that is no JSON object with a key
+    is left out here and kept by ``rejected_terms``."""
+    return _parsed(df, doc_col, key_col).filter(~_rejected()).select("_key", "doc")
+
+
+def rejected_terms(df: DataFrame, doc_col: str = "doc", key_col: str | None = "_key") -> DataFrame:
+    """``(_key, text)`` of the rows that ``terms_from_json`` leaves out."""
+    return _parsed(df, doc_col, key_col).filter(_rejected()).select("_key", "text")
+
+
+def _parsed(df: DataFrame, doc_col: str, key_col: str | None) -> DataFrame:
+    doc = F.try_parse_json(F.col(doc_col))
+    key = F.try_variant_get(doc, "$._code._gid", "string") if key_col is None else F.col(key_col)
+    return df.select(key.alias("_key"), doc.alias("doc"), F.col(doc_col).alias("text"))
+
+
+def _rejected():
+    return F.col("_key").isNull() | F.col("doc").isNull() | ~is_object("doc")
 
 
 def read_terms(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
@@ -59,6 +72,11 @@ def read_terms(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
     return df.select("_key", "doc")
 
 
+def read_rejected_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``(_key, text)`` of the JSON lines that ``read_terms`` leaves out."""
+    return rejected_terms(spark.read.text(path).withColumnRenamed("value", "doc"), key_col=None)
+
+
 def read_edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "jsonl":
         return spark.read.schema(EDGE_SCHEMA).json(path)

@@ -4,8 +4,10 @@ Literal validation (O4c), alias resolution (O1) and blob lookup (O8) are a
 join of the request side with a static dictionary relation, so the request
 side may be a Structured Streaming DataFrame: Spark plans a stream-static
 join (left, left-semi and left-anti are all supported with the stream on
-the left). The static side is computed from the dictionary once per
-micro-batch plan; publish it with ``plans.publish`` to read it from a table.
+the left). The static side is part of every micro-batch's plan, but a plain
+file source lists its files once, when the DataFrame is made; to see a
+dictionary that is replaced while the stream runs, ``validate_each_batch``
+reads the members anew for every micro-batch.
 
 The looping operators (O3 expansion, O5 graph resolution) need actions per
 hop and are batch-only; ``for_each_batch`` runs any batch operator on every
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import BLOBS, NOT_FOUND, OK
@@ -26,11 +28,29 @@ from dictgraph.operators.terms import resolve_keys
 
 
 def validate_stream(stream: DataFrame, code, root: str, edges: DataFrame, mode: str = "flag", **kw) -> DataFrame:
-    """``validate_column`` on a streaming fact table (stream-static join; the
-    member set is broadcast when its size check passes)."""
+    """``validate_column`` on a streaming fact table (stream-static join)."""
     return validate_column(stream, code, root, edges, mode=mode, **kw)
 
 
+def validate_each_batch(
+    code,
+    root: str,
+    load_membership: Callable[[SparkSession], DataFrame],
+    sink: Callable[[DataFrame, int], None],
+    mode: str = "flag",
+    **kw,
+):
+    """A ``foreachBatch`` function that validates every micro-batch against the
+    membership relation as it is then: ``load_membership(spark)`` gives
+    ``(leaf, root_h)``, for example from a published table."""
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        members = load_membership(batch.sparkSession)
+        sink(validate_column(batch, code, root, None, mode=mode, membership=members, **kw), epoch_id)
+
+    return run
+
+
 def resolve_alias_stream(stream: DataFrame, terms: DataFrame, edges: DataFrame, gid_col: str = "gid") -> DataFrame:
     """O1 on a stream: the resolution of every dictionary key is the static
     side; stream rows pick theirs up by a left stream-static join."""

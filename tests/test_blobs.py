@@ -26,3 +26,15 @@ def test_fetch(spark, iso):
     assert out.filter(F.col("status") == "ok").filter(F.length("_blob_content") > 0).count() == 2
     unbounded = fetch_blobs(r, iso["blobs"], max_broadcast_rows=0)
     assert rows(unbounded, "id", "status") == rows(out, "id", "status")
+
+
+def test_plan_moves_keys_first_and_content_last(spark, iso):
+    wide = req(spark, [(i, ANDORRA, "x" * 1000) for i in range(50)], "id int, key string, wide string")
+    out = fetch_blobs(wide, iso["blobs"])
+    assert out.filter("status = 'ok' and length(wide) = 1000").count() == 50
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and "wide" not in plan.split("LeftSemi")[1]
+    above = fetch_blobs(wide, iso["blobs"], max_broadcast_rows=0)
+    plan = above._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "_blob_content" not in plan.rsplit("LeftSemi", 1)[1].split("Project", 1)[1].split("\n")[0]
+    assert above.filter("status = 'ok' and length(wide) = 1000").count() == 50

@@ -165,3 +165,14 @@ def test_shared_branches_expand_once(spark, iso):
     out = rows(expand_enum(r, iso["edges"], levels=1), "request_id", "gid", "parent")
     one = [(g, "terms/ISO_639_1") for g in ["ISO_639_3_aar", "ISO_639_3_eng", "ISO_639_3_ita"]]
     assert out == sorted([(i,) + x for i in (1, 2, 4) for x in one] + [(3, "ISO_639_3_epo", "terms/ISO_639_type_C")])
+
+
+@pytest.mark.parametrize("others", [1, 10_000])
+def test_repeated_request_ids_do_not_depend_on_the_other_requests(spark, others):
+    """Two rows of one id ask for different branches; each is answered."""
+    edges = make_edges(spark, [("a", ENUM_OF, "x", ["R"]), ("b", ENUM_OF, "y", ["R"]), ("a", ENUM_OF, "y", ["R"])])
+    data = [(1, "R", "x"), (1, "R", "y"), (2, "R", "x"), (2, "R", "x")] + [(100 + i, "R", f"z{i}") for i in range(others)]
+    out = expand_enum(req(spark, data, "request_id long, root string, branch string"), edges).filter("request_id < 100")
+    assert sorted((r.request_id, r.gid, r.parent) for r in out.collect()) == [
+        (1, "a", "terms/x"), (1, "a", "terms/y"), (1, "b", "terms/y"), (2, "a", "terms/x"), (2, "a", "terms/x")
+    ]

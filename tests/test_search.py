@@ -92,3 +92,43 @@ def test_spreading_narrow_text_input_keeps_postings(spark):
     a = rows(text_index_frame(docs, "doc_id", "text", spread=True), "doc", "token", "pos")
     b = rows(text_index_frame(docs, "doc_id", "text", spread=False), "doc", "token", "pos")
     assert a == b == [(1, "alpha", 0), (1, "beta", 1), (1, "gamma", 2), (2, "beta", 0), (2, "delta", 1)]
+
+
+def test_phrases_stay_within_one_row_of_a_doc(spark):
+    from dictgraph.operators.search import phrase_search_texts, text_index_frame, text_search
+
+    rows = [("a", "alpha beta"), ("a", "alpha beta"), ("b", "alpha x"), ("b", "y beta"), ("c", "beta alpha beta"), ("d", None)]
+    texts = spark.createDataFrame(rows, "doc string, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "alpha zeta"), (4, "beta alpha beta")], "query_id int, text string")
+    index = text_index_frame(texts, "doc", "text")
+    want = {(1, "a"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (4, "c")}
+    assert {tuple(r) for r in text_search(index, q, "phrase").collect()} == want
+    assert {tuple(r) for r in phrase_search_texts(texts, q, "doc", "text").collect()} == want
+
+
+def test_search_of_given_fields(spark, iso):
+    from dictgraph.operators.search import text_index, text_search, text_values
+
+    values = text_values(iso["terms"]).limit(200).collect()
+    index = text_index(iso["terms"])
+    assert values
+    for field in {v.field for v in values}:
+        word = next(v.text for v in values if v.field == field).split()[0]
+        q = spark.createDataFrame([(1, word)], "query_id int, text string")
+        one = {r.doc for r in text_search(text_index(iso["terms"], fields=[field]), q, "all").collect()}
+        assert {r.doc for r in text_search(index, q, "all", fields=[field]).collect()} == one
+
+
+def test_facets_below_any_depth(spark):
+    from dictgraph.operators.search import domain_filter, domain_index
+    from tests.fixtures import make_terms
+
+    deep = {"leaf": "x"}
+    for k in range(66):
+        deep = {f"k{k}": deep} if k else {f"k{k}": [deep, {"other": k}]}
+    terms = make_terms(spark, [{"_code": {"_gid": "t"}, "_domn": deep}])
+    index = domain_index(terms.coalesce(1))
+    path = ".".join(f"k{k}" for k in reversed(range(66))) + ".leaf"
+    assert index.filter(index.path == path).count() == 1
+    q = spark.createDataFrame([(1, path, "x")], "query_id int, path string, value string")
+    assert [tuple(r) for r in domain_filter(index, q).collect()] == [(1, "t")]

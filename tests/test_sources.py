@@ -38,3 +38,38 @@ def test_read_terms_jsonl_keeps_null_vs_missing(spark):
     blobs_df = spark.createDataFrame([("k", "i", "t", "kd", "id", "x")], "_key string, _blob_item string, _blob_type string, _blob_kind string, _blob_identifier string, _blob_content string")
     blobs_df.write.parquet(folder + "/blobs")
     assert read_blobs(spark, folder + "/blobs").count() == 1
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path):
+    from dictgraph.sources.dictionary import read_rejected_terms, read_terms
+
+    lines = ['{"_code":{"_gid":"a/b"}}', '{"_code":', "[1]", "null", '{"_info":1}', ""]
+    (tmp_path / "t.jsonl").write_text("\n".join(lines) + "\n")
+    assert [r._key for r in read_terms(spark, str(tmp_path / "t.jsonl")).collect()] == ["a/b"]
+    rejected = {r.text for r in read_rejected_terms(spark, str(tmp_path / "t.jsonl")).collect()}
+    assert rejected == set(lines[1:])
+
+
+def test_key_of_strips_the_collection_only(spark):
+    from pyspark.sql import functions as F
+
+    from dictgraph.functions.keys import key_of
+
+    df = spark.createDataFrame([("terms/a/b",), ("terms/a",), ("a/b",), ("a",), (None,)], "h string")
+    assert [r.k for r in df.select(key_of(F.col("h")).alias("k")).collect()] == ["a/b", "a", "a/b", "a", None]
+
+
+def test_variant_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from dictgraph.functions.variant import is_array, is_json_null, is_object, is_string, is_truthy
+
+    values = ["[]", "[1]", "{}", '{"a":1}', '""', '"x"', '"[1]"', '"0"', "0", "0.0", "-1", "1e3", "true", "false", "null", None]
+    df = spark.createDataFrame([(v,) for v in values], "t string").select("t", F.parse_json("t").alias("v"))
+    got = {r.t: (r.a, r.o, r.s, r.n, r.y) for r in df.select(
+        "t", is_array("v").alias("a"), is_object("v").alias("o"), is_string("v").alias("s"), is_json_null("v").alias("n"), is_truthy("v").alias("y")
+    ).collect()}
+    for v in values:
+        first = (v or " ")[0]
+        falsy = v in ('""', "0", "0.0", "false", "null", None)
+        assert got[v] == (first == "[", first == "{", first == '"', v == "null", not falsy), v

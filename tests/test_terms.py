@@ -75,3 +75,18 @@ def test_gap_cases(spark):
         ("shell_no_edge", None, "not_found"),
         ("shell_two", "canon_a", "ok"),  # smallest _from, any graph
     ]
+
+
+def test_small_requests_read_only_their_keys(spark, tmp_path):
+    """One requested key is pushed into the scans; documents are read for it alone."""
+    from dictgraph.operators.terms import resolve_keys
+    from dictgraph.sources.dictionary import terms_from_json
+
+    docs = spark.range(500).selectExpr("concat('k', id) AS _key", "concat('{\"_info\":{\"n\":', id, '}}') AS doc")
+    terms_from_json(docs).write.parquet(str(tmp_path / "t"))
+    terms = spark.read.parquet(str(tmp_path / "t"))
+    edges = make_edges(spark, [("k1", ENUM_OF, "k2", ["R"])])
+    out = resolve_keys(spark.createDataFrame([("k7",)], "gid string"), terms, edges)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "EqualTo(_key,k7)" in plan or "In(_key, [k7])" in plan
+    assert [(r.gid, r.status) for r in out.select("gid", "status").collect()] == [("k7", "ok")]
