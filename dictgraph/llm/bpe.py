@@ -127,7 +127,7 @@ class Memo(dict):
     """Results of a function of a word, at most ``size`` of them; words longer
     than ``longest`` are worked out anew each time."""
 
-    def __init__(self, fn, size: int = 1_000_000, longest: int = 64):
+    def __init__(self, fn, size: int = 400_000, longest: int = 64):
         super().__init__()
         self.fn, self.size, self.longest = fn, size, longest
 
@@ -138,14 +138,3 @@ class Memo(dict):
                 self.clear()
             self[word] = value
         return value
-
-
-_loaded: dict[int, Merges] = {}
-
-
-def load(data: bytes) -> Merges:
-    """One copy of the rules per worker process."""
-    key = hash(data)
-    if key not in _loaded:
-        _loaded[key] = Merges(data)
-    return _loaded[key]

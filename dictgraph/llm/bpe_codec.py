@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.llm import bpe, lexicon
-from dictgraph.llm.common import cut, most_frequent, ship_package, texts_of
+from dictgraph.llm.common import cut, held, most_frequent, ship_package, texts_of
 
 # A word is a candidate if some task sees it in this share of its own words.
 # Every word with that share of the whole corpus has it in at least one task,
@@ -24,9 +24,6 @@ SHARE = 5e-6
 # Words in the lexicon. It only decides how a word's ids are found, never which.
 LEXICON_WORDS = 32_768
 
-_codecs: dict[str, Codec] = {}
-
-
 class Codec:
     """Encoder and decoder of one worker process."""
 
@@ -96,19 +93,19 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS, text_col: str = "
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, size: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
     """Transducer block for the frequent words; ``size`` bounds what the driver holds."""
-    merges = bpe.load(vocabulary)
+    merges = bpe.Merges(vocabulary)
     words = [r.piece for r in frequent_words(docs, size, text_col).collect()]
     return lexicon.build({w.encode(): merges.encode(w) for w in words})
 
 
 def codec(vocabulary: bytes, block_name: str | None) -> Codec:
     """The worker's codec; the lexicon file is memory-mapped where Spark put it."""
-    key = f"{hash(vocabulary)}/{block_name}"
-    if key not in _codecs:
-        _codecs.clear()
+
+    def make() -> Codec:
         words = lexicon.Lexicon(SparkFiles.get(block_name)) if block_name else None
-        _codecs[key] = Codec(bpe.load(vocabulary), words)
-    return _codecs[key]
+        return Codec(bpe.Merges(vocabulary), words)
+
+    return held(("codec", hash(vocabulary), block_name), make)
 
 
 def _encode(vocabulary, block_name, digests, batches):

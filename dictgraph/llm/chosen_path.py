@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.bpe import Memo
 from dictgraph.llm.common import cut, ship_package, texts_of
 from dictgraph.llm.decontaminate import words_of
 
@@ -29,7 +28,6 @@ BROADCAST_KEYS = 500_000  # rows of about 50 bytes
 _rng = np.random.default_rng(20240229)
 _WORD_FACTORS = _rng.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_word_hashes = Memo(xxhash.xxh3_64_intdigest, size=300_000)
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, fanout: int = FANOUT) -> int:
@@ -48,7 +46,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     not none, is one n-gram."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, len(h) if len(h) < SHINGLE else SHINGLE, np.uint64)
     for k in range(min(SHINGLE, len(h))):

@@ -13,7 +13,21 @@ from pyspark.sql import functions as F
 import dictgraph
 from dictgraph.session import ensure_checkpoint_dir
 
+# Text that one Arrow batch takes to a Python worker, whatever the rows' sizes.
+BATCH_BYTES = 8 << 20
+_DEFAULT_BATCH = str(64 << 20)  # Spark's own limit; another one is left as it is
+
 _shipped: set[str] = set()
+_held: dict = {}
+
+
+def held(key, make):
+    """The object of ``key`` in this worker process. Spark reuses workers for
+    other operators, so only the last object asked for is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that
-    functions run in tasks can import it wherever the executors are."""
+    functions run in tasks can import it wherever the executors are; bound the
+    batches that go to Python workers by bytes."""
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in (_DEFAULT_BATCH, _DEFAULT_BATCH + "b"):
+        spark.conf.set(size, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(dictgraph.__file__))

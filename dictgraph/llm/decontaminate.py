@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import ship_package, texts_of
+from dictgraph.llm.common import held, ship_package, texts_of
 
 WINDOW = 10
 # Words of one automaton (a few hundred bytes each in a worker); a larger
@@ -172,16 +172,9 @@ def match_batch(automaton: Automaton, texts: list[bytes], found: list[tuple[np.n
     return out if found is None else [(h | g, s | t) for (h, s), (g, t) in zip(out, found)]
 
 
-_automata: dict[tuple, Automaton] = {}
-
-
 def automaton_of(block, window: int) -> Automaton:
     """The worker keeps the automaton it used last."""
-    key = (block.id if hasattr(block, "id") else id(block), window)
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = Automaton([(name, words.split()) for name, words in block.value], window)
-    return _automata[key]
+    return held(("automaton", block.id, window), lambda: Automaton([(name, words.split()) for name, words in block.value], window))
 
 
 def match(blocks, window: int, texts: list[bytes]):

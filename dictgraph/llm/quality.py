@@ -308,10 +308,7 @@ def keep_quality(
     )
     stats = cut(with_statistics(chosen, "_t").select("lang", "source", "_q.*"))
     fitted = fit_outliers(stats, min_rows)
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"),
-        F.col(text_col).cast("string").alias("_t"),
-        F.col(lang_col).cast("string").alias("lang"),
-        F.col(source_col).cast("string").alias("source"),
-    )
-    return judge(with_statistics(rows, "_t"), fitted, reject).where("kept").select("_row.*")
+    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with those added
+    rows = with_statistics(docs.toDF(*at.values()).withColumn(at[text_col], F.col(at[text_col]).cast("string")), at[text_col])
+    named = rows.withColumns({"lang": F.col(at[lang_col]).cast("string"), "source": F.col(at[source_col]).cast("string")})
+    return judge(named, fitted, reject).where("kept").select(*[F.col(b).alias(a) for a, b in at.items()])

@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.llm import bpe
-from dictgraph.llm.common import ship_package, texts_of
-
-_memos: dict[int, bpe.Memo] = {}
-
+from dictgraph.llm.common import held, ship_package, texts_of
 
 def count_text(text: str, merges: bpe.Merges, memo: bpe.Memo) -> int:
     total = 0
@@ -21,9 +18,13 @@ def count_text(text: str, merges: bpe.Merges, memo: bpe.Memo) -> int:
     return total
 
 
+def _counter(data: bytes):
+    merges = bpe.Merges(data)
+    return merges, bpe.Memo(merges.count)
+
+
 def _count(vocabulary, batches):
-    merges = bpe.load(vocabulary.value)
-    memo = _memos.setdefault(id(merges), bpe.Memo(merges.count))
+    merges, memo = held(("token counts", hash(vocabulary.value)), lambda: _counter(vocabulary.value))
     for batch in batches:
         texts = texts_of(batch.column(1))
         yield pa.RecordBatch.from_arrays(

@@ -39,7 +39,7 @@ def library():
 @pytest.fixture(scope="module")
 def merges():
     with open(PATH, "rb") as f:
-        return bpe.load(f.read())
+        return bpe.Merges(f.read())
 
 
 @pytest.fixture(scope="module")
