@@ -82,11 +82,30 @@ resolved AS (
 )"""
 
 
-def expand_sql(req_sql: str, levels: int, direction: str = "inbound") -> str:
+def expand_ctes(req_sql: str, levels: int, direction: str = "inbound") -> str:
+    """``best``: the rows of an expansion, each vertex visited once. One CTE per
+    hop takes the best edge into each vertex that no earlier hop has visited."""
     near, far = ("_to", "_from") if direction == "inbound" else ("_from", "_to")
-    depth = levels
-    max_hops = levels + 1
-    extra = f"""
+    hops = [
+        """hop0 AS (
+  SELECT DISTINCT request_id, concat('terms/', root) AS root_h, concat('terms/', coalesce(branch, root)) AS vertex, 0 AS level,
+         concat('terms/', coalesce(branch, root)) AS anchor, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS predicate,
+         false AS is_bridge, 0 AS hops FROM req
+)"""
+    ]
+    for h in range(1, levels + 2):
+        seen = " UNION ALL ".join(f"SELECT request_id, vertex FROM hop{k}" for k in range(h))
+        hops.append(f"""hop{h} AS (
+  SELECT request_id, root_h, vertex, level, anchor, parent, predicate, is_bridge, {h} AS hops FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id, vertex ORDER BY is_bridge, level, parent, ekey, anchor, predicate) AS rn FROM (
+      SELECT w.request_id, w.root_h, e.far AS vertex, w.level + CASE WHEN e.is_bridge THEN 0 ELSE 1 END AS level,
+             CASE WHEN e.is_bridge THEN w.anchor ELSE e.far END AS anchor, w.anchor AS parent, e.predicate, e.is_bridge, e.ekey
+      FROM hop{h - 1} w JOIN ebr e ON e.root_h = w.root_h AND e.near = w.vertex
+    ) step WHERE NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.request_id = step.request_id AND v.vertex = step.vertex)
+  ) WHERE rn = 1
+)""")
+    best = " UNION ALL ".join(f"SELECT * FROM hop{k}" for k in range(1, levels + 2))
+    return f"""
 req AS ({req_sql}),
 ebr AS (
   SELECT root_h, near, far, predicate, ekey, predicate = '_predicate_bridge-of' AS is_bridge FROM (
@@ -94,25 +113,19 @@ ebr AS (
     FROM edges WHERE _predicate IN ('_predicate_enum-of', '_predicate_section-of', '_predicate_bridge-of')
   )
 ),
-walk(request_id, root_h, start_h, vertex, hops, level, anchor, parent, predicate, ekey, is_bridge) AS (
-  SELECT request_id, concat('terms/', root), concat('terms/', coalesce(branch, root)), concat('terms/', coalesce(branch, root)),
-         0, 0, concat('terms/', coalesce(branch, root)), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false
-  FROM req
-  UNION ALL
-  SELECT w.request_id, w.root_h, w.start_h, e.far, w.hops + 1, w.level + CASE WHEN e.is_bridge THEN 0 ELSE 1 END,
-         CASE WHEN e.is_bridge THEN w.anchor ELSE e.far END, w.anchor, e.predicate, e.ekey, e.is_bridge
-  FROM walk w JOIN ebr e ON e.root_h = w.root_h AND e.near = w.vertex
-  WHERE w.hops < {max_hops} AND e.far <> w.start_h
-),
-best AS (
-  SELECT *, row_number() OVER (PARTITION BY request_id, vertex ORDER BY hops, is_bridge, level, parent, ekey) AS rn
-  FROM walk WHERE hops > 0
-)"""
-    body = f"""
+{", ".join(hops)},
+best AS ({best})"""
+
+
+def expand_body(levels: int) -> str:
+    return f"""
 SELECT CAST(request_id AS BIGINT) AS request_id, substr(vertex, 7) AS gid, predicate, CAST(level AS BIGINT) AS level,
        parent, CAST(hops AS BIGINT) AS hops
-FROM best WHERE rn = 1 AND NOT is_bridge AND level <= {depth}"""
-    return with_(body, recursive=True, extra=extra)
+FROM best WHERE NOT is_bridge AND level <= {levels}"""
+
+
+def expand_sql(req_sql: str, levels: int, direction: str = "inbound") -> str:
+    return with_(expand_body(levels), extra=expand_ctes(req_sql, levels, direction))
 
 
 def resolve_sql(req_sql: str, levels: int = 10, predicate: str = "_predicate_enum-of", direction: str = "inbound",

@@ -57,6 +57,14 @@ from dictgraph.registry.graph import (
     q_resolve_nation_code,
     q_resolve_then_check_customers,
 )
+from dictgraph.registry import web
+from dictgraph.registry.published import (
+    ORACLE_FACETS,
+    q_domain_facets_nested,
+    q_published_alias,
+    q_published_expand,
+    q_published_validate,
+)
 from dictgraph.registry.documents import (
     ORACLE_BLOB_KEYS,
     ORACLE_FETCH_BLOBS,
@@ -123,6 +131,11 @@ QUERIES = {
     "text_search_documents": q_text_search_documents,
     "domain_filter": q_domain_filter,
     "term_list_view": q_term_list_view,
+    "domain_facets_nested": q_domain_facets_nested,
+    "published_expand": q_published_expand,
+    "published_validate": q_published_validate,
+    "published_alias": q_published_alias,
+    **web.QUERIES,
 }
 
 ORACLE = {
@@ -162,4 +175,9 @@ ORACLE = {
     "text_search_documents": ORACLE_TEXT_DOCUMENTS,
     "domain_filter": ORACLE_DOMAIN,
     "term_list_view": ORACLE_TERM_LIST,
+    "domain_facets_nested": ORACLE_FACETS,
+    "published_expand": osql.expand_sql(EXPAND_REGIONS_REQ, 3),
+    "published_validate": osql.with_(ORACLE_VALIDATE["flag"]),
+    "published_alias": ORACLE_RESOLVE_ALIAS,
+    **web.ORACLE,
 }

@@ -116,7 +116,7 @@ def oracle_expand_geo_full() -> str:
     head, body = sql.rsplit("SELECT CAST(request_id AS BIGINT) AS request_id", 1)
     return head + """SELECT CAST(b.request_id AS BIGINT) AS request_id, substr(b.vertex, 7) AS gid, b.predicate, CAST(b.level AS BIGINT) AS level,
        b.parent, json_extract_string(t.doc, '$._info._title.ISO_639_3_eng') AS title, t._key IS NOT NULL AS has_term
-FROM best b LEFT JOIN terms t ON concat('terms/', t._key) = b.vertex WHERE b.rn = 1 AND NOT b.is_bridge AND b.level <= 2"""
+FROM best b LEFT JOIN terms t ON concat('terms/', t._key) = b.vertex WHERE NOT b.is_bridge AND b.level <= 2"""
 
 
 def q_expand_outbound_orders(spark, sf_dir):

@@ -14,7 +14,7 @@ from dictgraph.operators.search import (
     segment_search,
     term_list_view,
     text_index,
-    text_index_frame,
+    phrase_search_texts,
     text_search,
 )
 
@@ -110,9 +110,8 @@ JOIN (SELECT _key, regexp_extract_all(lower(json_extract_string(doc, '$._info._t
 
 def q_text_search_documents(spark, sf_dir):
     documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
-    index = text_index_frame(documents, "doc_id", "text")
     q = benchmark.select(F.col("item_id").alias("query_id"), "text")
-    out = text_search(index, q, "phrase")
+    out = phrase_search_texts(documents, q, "doc_id", "text")
     return out.select(*_long("query_id"), F.col("doc").cast("long").alias("doc_id"))
 
 
