@@ -46,7 +46,8 @@ def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licenses that every document, or a line of it, equals."""
-    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+    found = license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ lines AS (SELECT doc_id, sha256({canonical_sql("line")}) AS digest
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 found AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM lines JOIN names USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
-SELECT whole.doc_id, whole.digest, names.license_id, coalesce(found.notices, CAST([] AS VARCHAR[])) AS notices
+SELECT whole.doc_id, whole.digest, names.license_id, coalesce(array_to_string(found.notices, ','), '') AS notices
 FROM whole LEFT JOIN names USING (digest) LEFT JOIN found ON found.doc_id = whole.doc_id
 """,
 }
