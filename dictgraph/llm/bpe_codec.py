@@ -9,6 +9,7 @@ from collections import Counter
 from functools import partial
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -29,8 +30,7 @@ class Codec:
 
     def __init__(self, merges: bpe.Merges, words: lexicon.Lexicon | None):
         self.merges, self.words = merges, words
-        self.memo = bpe.Memo(self._joined)
-        self.back = bpe.Memo(self._decoded)
+        self.memo = bpe.Memo(self._piece, size=300_000)
 
     def _ids(self, word: str) -> list[int]:
         if self.words is not None:
@@ -39,31 +39,30 @@ class Codec:
                 return ids
         return self.merges.encode(word)
 
-    def _joined(self, word: str) -> str:
-        return ",".join(map(str, self._ids(word)))
+    def _piece(self, word: str) -> tuple[str, bytes]:
+        ids = self._ids(word)
+        return ",".join(map(str, ids)), self.decode(ids)
 
-    def _decoded(self, ids: str) -> bytes:
-        return b"".join(self.merges.id_bytes[int(i)] for i in ids.split(","))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.merges.id_bytes[i] for i in ids])
 
-    def encode(self, text: str) -> list[str]:
-        """Decimal ids joined by commas, one string for each piece."""
-        out: list[str] = []
+    def pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """For each piece of the text its ids, joined by commas, and the bytes
+        that these ids decode to."""
+        out: list[tuple[str, bytes]] = []
         for i, part in enumerate(self.merges.sections(text)):
             if i % 2:
-                out.append(str(self.merges.special[part]))
+                at = self.merges.special[part]
+                out.append((str(at), self.decode([at])))
             else:
                 out.extend(map(self.memo.__getitem__, bpe.split_words(part)))
         return out
 
-    def decode(self, pieces: list[str]) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.back.__getitem__, pieces)).decode("utf-8", "replace")
-
 
 def _candidates(batches):
     """Counts of a task's frequent words, as pieces with their leading space."""
     seen: Counter[bytes] = Counter()
-    total, room = 0, 2_000_000
+    total, room = 0, 300_000
     floor = 0
     for batch in batches:
         for text in texts_of(batch.column(0)):
@@ -113,15 +112,15 @@ def _encode(vocabulary, block_name, digests, batches):
     for batch in batches:
         n, ids, decoded = [], [], []
         for text in texts_of(batch.column(1)):
-            pieces = coder.encode(text)
-            joined = ",".join(pieces)
-            back = coder.decode(pieces)
+            pieces = coder.pieces(text)
+            joined = ",".join([p[0] for p in pieces])
+            back = b"".join([p[1] for p in pieces]).decode("utf-8", "replace")  # as the library: no UTF-8 gives U+FFFD
             n.append(joined.count(",") + 1 if joined else 0)
             if digests:
                 ids.append(sha256(joined.encode()).hexdigest())
                 decoded.append(sha256(back.encode()).hexdigest())
             else:
-                ids.append([int(i) for i in joined.split(",")] if joined else [])
+                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
                 decoded.append(back)
         kind = pa.string() if digests else pa.list_(pa.int32())
         names = [batch.schema.field(0).name, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
