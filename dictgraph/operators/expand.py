@@ -68,9 +68,14 @@ def expand_enum(
     max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
     null_missing: bool = False,
     usable_edges: DataFrame | None = None,
+    by_pair: bool = False,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
+    With ``by_pair`` the rows carry ``root`` and ``branch`` instead of
+    ``request_id``, once per distinct pair: where many requests share a large
+    branch, its rows are not copied to each of them.
+
     ``requests`` holds ``request_id``, ``root`` and an optional ``branch``
     (NULL or absent means the root). ``shape='full'`` attaches the term
     document as ``term`` (NULL for an endpoint without a document) and needs
@@ -187,9 +192,15 @@ def expand_enum(
         )
     else:
         out = reduce(DataFrame.unionByName, emitted)
-    ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
-    ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
-    out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
+    if by_pair:
+        ends = F.split("request_id", "\u0001")
+        out = out.withColumns({"root": key_of(ends[0]), "branch": key_of(ends[1])}).drop("request_id")
+        keys = ["root", "branch"]
+    else:
+        ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
+        ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
+        out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
+        keys = ["request_id"]
     gid = key_of("vertex")
     parent = F.col("parent")
     if null_missing:
@@ -199,8 +210,8 @@ def expand_enum(
         gid = F.when(F.col("__v"), gid)
         parent = F.when(F.col("__p"), parent)
     if shape == "compact":
-        return out.select("request_id", gid.alias("gid"), "predicate", "level", parent.alias("parent"), "hops")
+        return out.select(*keys, gid.alias("gid"), "predicate", "level", parent.alias("parent"), "hops")
     docs = prepare_terms(terms).select(handle("_key").alias("vertex"), F.col("doc").alias("term"))
     return out.join(docs, "vertex", "left").select(
-        "request_id", gid.alias("gid"), "term", "predicate", "level", parent.alias("parent"), "hops"
+        *keys, gid.alias("gid"), "term", "predicate", "level", parent.alias("parent"), "hops"
     )

@@ -176,3 +176,10 @@ def test_repeated_request_ids_do_not_depend_on_the_other_requests(spark, others)
     assert sorted((r.request_id, r.gid, r.parent) for r in out.collect()) == [
         (1, "a", "terms/x"), (1, "a", "terms/y"), (1, "b", "terms/y"), (2, "a", "terms/x"), (2, "a", "terms/x")
     ]
+
+
+def test_rows_by_pair_are_not_copied_to_requests(spark):
+    edges = make_edges(spark, [("a", ENUM_OF, "x", ["R"]), ("b", ENUM_OF, "x", ["R"])])
+    data = [(i, "R", "x") for i in range(50)]
+    out = expand_enum(req(spark, data, "request_id long, root string, branch string"), edges, by_pair=True)
+    assert sorted((r.root, r.branch, r.gid) for r in out.collect()) == [("R", "x", "a"), ("R", "x", "b")]
