@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.llm import bpe, lexicon
-from dictgraph.llm.common import cut, held, most_frequent, ship_package, texts_of
+from dictgraph.llm.common import cut, held, most_frequent, release, ship_package, texts_of
 
 # A word is a candidate if some task sees it in this share of its own words.
 # Every word with that share of the whole corpus has it in at least one task,
@@ -61,6 +61,7 @@ class Codec:
 
 def _candidates(batches):
     """Counts of a task's frequent words, as pieces with their leading space."""
+    release()
     seen: Counter[bytes] = Counter()
     total, room = 0, 300_000
     floor = 0

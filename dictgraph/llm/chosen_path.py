@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import cut, ship_package, texts_of
+from dictgraph.llm.common import cut, release, ship_package, texts_of
 from dictgraph.llm.decontaminate import words_of
 
 SHINGLE = 5
@@ -67,6 +67,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
+    release()
     for batch in batches:
         keys, sizes, rows = [], [], []
         for text in texts_of(batch.column(2)):
@@ -159,6 +160,7 @@ def _grouped(batches, columns):
 def _alike(least, batches):
     """The sets of each comparison that agree with another on enough coordinates
     and have a size that allows the similarity."""
+    release()
     for (leaf, i, j), g in _grouped(batches, ["own", "key", "n", "sketch"]):
         s = np.array(g["sketch"], np.int32)
         n = np.array(g["n"], np.int64)
@@ -193,6 +195,7 @@ def _alike(least, batches):
 
 
 def _grams(batches):
+    release()
     for batch in batches:
         packed = [shingles(words_of(t.encode())).tobytes() for t in texts_of(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "grams"])
@@ -226,6 +229,7 @@ def _verified(batches):
     """Exact links of each comparison: per set the number of documents it links
     to and the least key of those it hangs together with. A pair that meets in
     several leaves is counted in the least of them."""
+    release()
     for (leaf, i, j), g in _grouped(batches, ["own", "key", "grams", "copies", "leaves"]):
         m = len(g["key"])
         own = np.array(g["own"])

@@ -30,6 +30,11 @@ def held(key, make):
     return _held[key]
 
 
+def release() -> None:
+    """Drop the held object, in functions that hold none."""
+    _held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

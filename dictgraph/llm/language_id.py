@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import ship_package, texts_of
+from dictgraph.llm.common import release, ship_package, texts_of
 
 ORDER = 3  # bytes of the longest context
 SAMPLE_ROWS = 1_000  # labelled rows a language is learned from, at most
@@ -160,6 +160,7 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col:
 
 
 def _predict(model, batches):
+    release()
     trees = model.value
     for batch in batches:
         column = batch.column(1)

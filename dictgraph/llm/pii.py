@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import ship_package
+from dictgraph.llm.common import release, ship_package
 
 ROUNDS = 10
 
@@ -269,6 +269,7 @@ def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[str]]:
 
 
 def _replace(key, step, text_at, with_kinds, batches):
+    release()
     for batch in batches:
         texts, kinds = [], []
         for text in batch.column(text_at).to_pylist():

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import cut, ship_package, texts_of
+from dictgraph.llm.common import cut, release, ship_package, texts_of
 
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -79,6 +79,7 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def _statistics(text_at, batches):
+    release()
     for batch in batches:
         values = np.array([statistics(t) for t in texts_of(batch.column(text_at))], np.int64).reshape(-1, len(STATISTICS))
         struct = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATISTICS))], names=STATISTICS)
