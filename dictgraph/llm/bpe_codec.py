@@ -28,9 +28,9 @@ LEXICON_WORDS = 32_768
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, merges: bpe.Merges, words: lexicon.Lexicon | None):
+    def __init__(self, merges: bpe.Merges, words: lexicon.Lexicon | None, memo_words: int = 1_000_000):
         self.merges, self.words = merges, words
-        self.memo = bpe.Memo(self._piece, size=300_000)
+        self.memo = bpe.Memo(self._piece, size=memo_words)
 
     def _ids(self, word: str) -> list[int]:
         if self.words is not None:
@@ -98,18 +98,18 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, size: int = LEXICON_WORDS,
     return lexicon.build({w.encode(): merges.encode(w) for w in words})
 
 
-def codec(vocabulary: bytes, block_name: str | None) -> Codec:
+def codec(vocabulary: bytes, block_name: str | None, memo_words: int) -> Codec:
     """The worker's codec; the lexicon file is memory-mapped where Spark put it."""
 
     def make() -> Codec:
         words = lexicon.Lexicon(SparkFiles.get(block_name)) if block_name else None
-        return Codec(bpe.Merges(vocabulary), words)
+        return Codec(bpe.Merges(vocabulary), words, memo_words)
 
-    return held(("codec", hash(vocabulary), block_name), make)
+    return held(("codec", hash(vocabulary), block_name, memo_words), make)
 
 
-def _encode(vocabulary, block_name, digests, batches):
-    coder = codec(vocabulary.value, block_name)
+def _encode(vocabulary, block_name, memo_words, digests, batches):
+    coder = codec(vocabulary.value, block_name, memo_words)
     for batch in batches:
         n, ids, decoded = [], [], []
         for text in texts_of(batch.column(1)):
@@ -135,6 +135,7 @@ def encode_texts(
     vocabulary_path: str,
     lexicon_words: int = LEXICON_WORDS,
     digests: bool = False,
+    memo_words: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -146,7 +147,8 @@ def encode_texts(
     The frequent words of all texts are compiled with their ids into a minimal
     acyclic transducer; Spark hands its file to every executor, where workers
     memory-map it. Other words are merged pair by pair. Decoding joins the
-    bytes of the ids.
+    bytes of the ids. A worker remembers the ids of at most ``memo_words`` words
+    (about 330 bytes each), which decides its memory and never the result.
 
     A null text counts as empty (no ids, empty text); repeated rows and null
     ids are kept, one result each; an empty table gives an empty result.
@@ -164,4 +166,4 @@ def encode_texts(
     spark.sparkContext.addFile(path)
     out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, {out}"
-    return rows.mapInArrow(partial(_encode, spark.sparkContext.broadcast(data), name, digests), schema)
+    return rows.mapInArrow(partial(_encode, spark.sparkContext.broadcast(data), name, memo_words, digests), schema)
