@@ -1,5 +1,7 @@
 """Known license texts and notices (public, as published)."""
 
+from pathlib import Path
+
 _AS_IS = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
@@ -97,3 +99,58 @@ KNOWN = [
     ("Zlib", _ZLIB),
     ("Zlib", f"zlib License\n\n{_ZLIB}"),
 ]
+
+# Whole texts as published, in the files of ``published_licenses`` (from
+# Debian's common-licenses). A text that serves both "only" and "or later"
+# goes by "only".
+_PUBLISHED = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "BSD": "BSD-3-Clause",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2-only",
+    "GFDL-1.3": "GFDL-1.3-only",
+    "GPL-1": "GPL-1.0-only",
+    "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only",
+    "LGPL-2": "LGPL-2.0-only",
+    "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-3": "LGPL-3.0-only",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+PUBLISHED = {f: (Path(__file__).parent / "published_licenses" / f"{f}.txt").read_text("utf-8") for f in _PUBLISHED}
+_END = "END OF TERMS AND CONDITIONS"
+_APACHE_OWNER = "Copyright [yyyy] [name of copyright owner]"  # a copyright line once it is filled in
+
+
+def _writings(text: str) -> list[str]:
+    """The text, without its owner line, without the appendix on how to apply
+    it, with and without the words that end the terms, and older links."""
+    terms = text.split(_END)[0]
+    found = [text, text.replace(_APACHE_OWNER, ""), terms, terms + _END]
+    return list(dict.fromkeys(x for t in found for x in (t, t.replace("https://", "http://"))))
+
+
+def _notice(file: str, first: str, last: str) -> list[str]:
+    """A notice that a published text gives for use in files."""
+    text = PUBLISHED[file]
+    at = text.rindex(first)
+    notice = text[at : text.index(last, at) + len(last)]
+    return list(dict.fromkeys([notice, notice.replace("https://", "http://")]))
+
+
+KNOWN += [(i, t) for f, i in _PUBLISHED.items() for t in _writings(PUBLISHED[f])]
+KNOWN += [("GPL-2.0-or-later", t) for t in _notice("GPL-2", "This program is free software", "USA.")]
+KNOWN += [("GPL-3.0-or-later", t) for t in _notice("GPL-3", "This program is free software", "licenses/>.")]
+KNOWN += [("MPL-2.0", t) for t in _notice("MPL-2.0", "This Source Code Form is subject to", "MPL/2.0/.")]
+
+# Identifiers that are also found in a line of their own.
+_TAGS = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Artistic-1.0-Perl Artistic-2.0 BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 "
+    "CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.2-only "
+    "GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-or-later GPL-3.0-or-later ISC "
+    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT-0 MPL-1.1 OFL-1.1 "
+    "Unlicense WTFPL Zlib"
+)
+KNOWN += [(i, f"SPDX-License-Identifier: {i}") for i in _TAGS.split()]

@@ -50,6 +50,7 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9©\n]*(?:copyright[^a-z0-9©\n]*(?:\(c\)|©|[12][0-9]{3}|by\b)|\(c\)[ \t]*(?:copyright|[12][0-9]{3})|©)[^\n]*$"
 RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+BLANK_LINE = r"(?m)^[^\p{L}\p{N}\n]+$"
 
 # Known texts up to this many are sent to every executor (a digest and a name
 # each); more are joined by shuffling digests.
@@ -81,16 +82,52 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id string, text string")
 
 
+def blocks(text: Column) -> Column:
+    """The canonical paragraphs, without those that canonicalise to nothing. A
+    line without letters and digits parts paragraphs, as in comments."""
+    parts = F.split(F.regexp_replace(text, BLANK_LINE, ""), "\n\n+")
+    return F.filter(F.transform(parts, canonical), lambda c: c != "")
+
+
+def passages(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """For ``rows`` (``_id``, ``_h``, ``_t``) the sorted ids of the known texts
+    whose paragraphs follow one another in the text (``_id2``, ``_h2``,
+    ``passages``), however their lines are wrapped; rows without any are left
+    out. Every paragraph's digest is looked up by itself; the matches of a
+    known text are counted by the place where it would begin, so no text is
+    carried along."""
+    texts = (
+        known.select("license_id", F.transform(blocks(F.col("text")), lambda c: F.sha2(c, 256)).alias("d"))
+        .groupBy("d")
+        .agg(F.min("license_id").alias("license_id"))
+    )
+    parts = texts.select("license_id", F.hash("d").alias("v"), F.size("d").alias("n"), F.posexplode("d").alias("j", "digest"))
+    if parts.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        parts = F.broadcast(parts)
+    found = rows.select("_id", "_h", F.posexplode(blocks(F.col("_t"))).alias("at", "c"))
+    return (
+        found.select("_id", "_h", "at", F.sha2("c", 256).alias("digest"))
+        .join(parts, "digest")
+        .groupBy("_id", "_h", "license_id", "v", "n", (F.col("at") - F.col("j")).alias("start"))
+        .agg(F.count_distinct("j").alias("matched"))
+        .where("matched = n")
+        .groupBy("_id", "_h")
+        .agg(F.sort_array(F.collect_set("license_id")).alias("passages"))
+        .select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "passages")
+    )
+
+
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``id_col``, ``digest`` (SHA-256 of the canonical text),
-    ``license_id`` of the known text that the whole text equals, and
-    ``notices``: sorted ids of the known texts that a line of it equals.
+    ``license_id`` of the known text that the whole text equals,
+    ``notices``: sorted ids of the known texts that a line of it equals, and
+    ``passages``: sorted ids of those that a run of its paragraphs equals.
 
-    Texts and lines are looked up by digest in ``known`` (``license_id``,
+    Texts, lines and paragraphs are looked up by digest in ``known`` (``license_id``,
     ``text``), canonicalised alike; where known texts agree, the least id is
     given. Known texts that canonicalise to nothing are left out.
 
-    A null text has a null digest, no license and no notices; an empty text
+    A null text has a null digest, no license, notices or passages; an empty text
     has the digest of the empty string. Repeated rows and null ids are kept,
     one result each. Long texts are split into lines inside their row; only
     lines that match leave it, so that no key gathers more than the matches.
@@ -114,9 +151,13 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
         .agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
         .select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "notices")
     )
-    return whole.join(lines, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").select(
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))
+    out = whole.join(lines, same, "left").drop("_id2", "_h2")
+    none = F.array().cast("array<string>")
+    return out.join(passages(rows.select("_id", key, "_t"), known), same, "left").select(
         F.col("_id").alias(id_col),
         "digest",
         "license_id",
-        F.coalesce("notices", F.array().cast("array<string>")).alias("notices"),
+        F.coalesce("notices", none).alias("notices"),
+        F.coalesce("passages", none).alias("passages"),
     )

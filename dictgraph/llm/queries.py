@@ -47,7 +47,7 @@ def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licenses that every document, or a line of it, equals."""
     found = license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
-    return found.withColumn("notices", F.array_join("notices", ","))
+    return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))  # the columns of its SQL
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

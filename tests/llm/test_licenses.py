@@ -63,3 +63,47 @@ def test_query_equals_sql(spark):
     want = con.execute(ORACLE["op4_license_scan"]).fetchall()
     assert sorted((r.doc_id, r.digest, r.license_id or "", r.notices) for r in df.collect()) == sorted((a, b, c or "", d) for a, b, c, d in want)
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+FULL = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "CC0-1.0": "CC0-1.0",
+    "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only",
+    "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-3": "LGPL-3.0-only",
+    "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_whole_published_texts_are_found(spark):
+    from dictgraph.llm.license_texts import PUBLISHED
+
+    rows = [(f, PUBLISHED[f]) for f in FULL]
+    rows += [("cut", PUBLISHED["GPL-3"].split("END OF TERMS")[0]), ("owner", PUBLISHED["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A"))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in license_scan(docs, known_licenses(spark)).collect()}
+    assert got == {**FULL, "cut": "GPL-3.0-only", "owner": "Apache-2.0"}
+
+
+def test_wrapped_notices_inside_longer_texts(spark):
+    from dictgraph.llm.license_texts import PUBLISHED
+
+    text = PUBLISHED["Apache-2.0"]
+    notice = text[text.rindex("Licensed under") :].rstrip()
+    comment = "\n".join(" * " + x.strip() for x in notice.split("\n"))
+    rows = [
+        (1, f"A tool.\n\nCopyright 2020 A\n\n{notice}\n\nUsage: run it."),
+        (2, f"/*\n * Copyright 2020 A\n *\n{comment}\n */\n\nimport x\n"),
+        (3, notice.split("Unless")[0] + "\n\nAnd more.\n\nUnless" + notice.split("Unless")[1]),
+        (4, "Read me\n\n" + MIT + "\n\n" + PUBLISHED["MPL-2.0"]),
+        (5, "\n" * 50_000 + "x"),
+        (None, f"x\n\n{notice}"),
+        (None, f"x\n\n{notice}"),
+        (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = sorted(((r.doc_id or 0, r.passages) for r in license_scan(docs, known_licenses(spark)).collect()))
+    apache = ["Apache-2.0"]
+    assert found == [(0, apache), (0, apache), (1, apache), (2, apache), (3, []), (4, ["MIT", "MPL-2.0"]), (5, []), (6, [])]
