@@ -51,6 +51,7 @@ COPYRIGHT_LINE = r"(?m)^[^a-z0-9©\n]*(?:copyright[^a-z0-9©\n]*(?:\(c\)|©|[12]
 RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 BLANK_LINE = r"(?m)^[^\p{L}\p{N}\n]+$"
+HAS_BLANK_LINE = r"\n[^\p{L}\p{N}\n]*\n"
 
 # Known texts up to this many are sent to every executor (a digest and a name
 # each); more are joined by shuffling digests.
@@ -121,7 +122,8 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     """Every row's ``id_col``, ``digest`` (SHA-256 of the canonical text),
     ``license_id`` of the known text that the whole text equals,
     ``notices``: sorted ids of the known texts that a line of it equals, and
-    ``passages``: sorted ids of those that a run of its paragraphs equals.
+    ``passages``: sorted ids of those that a run of its paragraphs (or the
+    whole text) equals.
 
     Texts, lines and paragraphs are looked up by digest in ``known`` (``license_id``,
     ``text``), canonicalised alike; where known texts agree, the least id is
@@ -154,10 +156,12 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))
     out = whole.join(lines, same, "left").drop("_id2", "_h2")
     none = F.array().cast("array<string>")
-    return out.join(passages(rows.select("_id", key, "_t"), known), same, "left").select(
+    parted = rows.where(F.col("_t").rlike(HAS_BLANK_LINE))  # any other text is a single paragraph, looked up whole
+    own = F.array_compact(F.array("license_id"))
+    return out.join(passages(parted.select("_id", key, "_t"), known), same, "left").select(
         F.col("_id").alias(id_col),
         "digest",
         "license_id",
         F.coalesce("notices", none).alias("notices"),
-        F.coalesce("passages", none).alias("passages"),
+        F.sort_array(F.array_union(F.coalesce("passages", none), own)).alias("passages"),
     )
