@@ -23,13 +23,24 @@ _SECRET = re.compile(
 )
 _NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\w|\.\d)"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])"
+    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}(?P<s5>[ .-])\d{3}(?P=s5)\d{4})(?![\w-]|\.\d)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w/.-])(?P<date>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\w|[-/.]\d)"
+    r"|(?<![\w/.-])(?P<date>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!(?!T\d)\w|[-/.]\d)"
     r"|(?<![\w-])(?P<card>\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5}|\d{13,19})(?![\w-])"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
 )
 
+# Lengths of IBANs by country (public registry).
+_IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 "
+        "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+        "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 "
+        "VA22 VG24 XK20"
+    ).split()
+}
+
 
 class Permutation:
     """Keyed permutation of 0..size-1 without fixed points.
@@ -237,14 +248,40 @@ def pseudonym(kind: str, value: str, key: bytes, step: int = 1) -> str | None:
     return _KINDS[kind](value, key, step)
 
 
-def _spans(text: str):
+_WORD = re.compile(r"\w+")
+
+
+def _ends(kind: str, found: str) -> list[int]:
+    """Where a candidate may end, in the order of trial: it can have taken in a
+    word that follows the value. What decides (the form, the country of an
+    IBAN, the first digit of a phone number) is the same in the pseudonym."""
+    ends = [m.end() for m in _WORD.finditer(found)][::-1]
+    if kind == "iban":
+        size = _IBAN_LENGTHS.get(found[:2])
+        return [e for e in ends if size in (None, e - found.count(" ", 0, e))]
+    if kind == "phone" and found[0] == "+":
+        # plans of one length and one-digit codes; else the longest that counts as a number
+        plan = [e for e in ends if found[1] in "17" and sum(map(str.isdigit, found[:e])) == 11]
+        return plan + ends
+    return [len(found)]
+
+
+def _spans(text: str, valid):
     """Candidates as (start, end, end of what they are part of, kind)."""
     if "@" in text:
         yield from ((*m.span(1), m.end(), "email") for m in _EMAIL.finditer(text))
     if "=" in text or ":" in text:
         yield from ((*m.span(1), m.end(1), "secret") for m in _SECRET.finditer(text))
-    for m in _NUMBER.finditer(text):
-        yield *m.span(), m.end(), next(k for k in _NUMBER_KINDS if m.group(k) is not None)
+    at = 0
+    while m := _NUMBER.search(text, at):
+        kind = next(k for k in _NUMBER_KINDS if m.group(k) is not None)
+        start = m.start()
+        end = next((e for e in _ends(kind, m.group()) if valid(kind, m.group()[:e])), None)
+        if end is None:  # its first word begins no value, but the next may
+            at = _WORD.search(text, start).end()
+        else:
+            at = start + end
+            yield start, at, at, kind
 
 
 _DIGIT = re.compile("[0-9]")
@@ -255,7 +292,7 @@ def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[str]]:
     if "@" not in text and not _DIGIT.search(text):
         return text, []
     found = []
-    for rank, (start, end, whole, kind) in enumerate(_spans(text)):
+    for rank, (start, end, whole, kind) in enumerate(_spans(text, lambda kind, value: pseudonym(kind, value, key, step) is not None)):
         new = pseudonym(kind, text[start:end], key, step)
         if new is not None:
             found.append((start, rank, end, whole, kind, new))

@@ -123,3 +123,35 @@ def test_query_on_the_given_table(spark):
             assert m not in r.text
         if not r.n_values:
             assert r.text == docs[r.doc_id]
+
+
+IN_CONTEXT = [
+    ("iban", "ES91 2100 0418 4502 0005 1332", " USD"),
+    ("iban", "AT611904300234573201", " BIC"),
+    ("iban", "PL61109010140000071219812874", " 2024"),
+    ("iban", "DE89370400440532013000", " EUR 100"),
+    ("phone", "+1 555-123-4567", " 2024"),
+    ("phone", "+44 20 7946 0958", " 20245"),
+    ("phone", "555.123.4567", "."),
+    ("phone", "555 123 4567", ", home"),
+    ("phone", "(555) 123 4567", " 2024"),
+    ("phone", "(555) 123-4567", ""),
+    ("date", "2024-01-05", "T10:00:00Z"),
+]
+
+
+@pytest.mark.parametrize("kind,value,after", IN_CONTEXT)
+def test_values_before_other_words(kind, value, after):
+    new, kinds = pii.pseudonymise(f"at {value}{after}", KEY)
+    assert kinds == [kind] and new == f"at {pii.pseudonym(kind, value, KEY)}{after}"
+    assert pii.pseudonymise(new, KEY, -1)[0] == f"at {value}{after}"
+
+
+def test_phones_link_whatever_follows():
+    texts = ["+1 555-123-4567 2024", "+1 555-123-4567", "555.123.4567", "555 123 4567", "(555) 123 4567"]
+    assert len({re.sub(r"\D", "", pii.pseudonymise(t, KEY)[0])[-14:].removesuffix("2024")[-10:] for t in texts}) == 1
+
+
+def test_a_value_behind_a_failed_one_is_found():
+    text = "AB12 4111 1111 1111 1111 and AT611904300234573201 ES9121000418450200051332"
+    assert pii.pseudonymise(text, KEY)[1] == ["card", "iban", "iban"]
