@@ -35,7 +35,8 @@ FEATURES = [
     ("line_length", "ln(n_words / n_lines)", 0.5),
 ]
 P = len(FEATURES)
-SUBSET = 0.75  # share of a group's rows that the determinant is least for
+SUBSET = 0.5  # share of a group's rows that the determinant is least for
+REWEIGHT = 0.975  # share of a normal group's rows that the last estimate is from
 REJECT = 1e-6  # share of a normal group's rows beyond the cut
 MIN_ROWS = 200  # a smaller group is pooled: first by language, then with all
 STEPS = 8
@@ -115,6 +116,12 @@ def chi2_cut(p: float, k: int) -> float:
     return high
 
 
+def consistency(share: float) -> float:
+    """The factor by which covariances of the nearest ``share`` of normal rows
+    are too small."""
+    return share / chi2_cdf(chi2_cut(share, P), P + 2)
+
+
 _X = [f"x{i}" for i in range(P)]
 _M = [f"m{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -185,10 +192,12 @@ def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     ``stats`` has ``lang``, ``source`` and ``STATISTICS``; rows that fail the
     base rules take no part. Each group starts from its medians and median
     deviations and, apart from that, from its plain moments; concentration
-    steps follow: the three quarters of the rows with the least distances
+    steps follow: the half of the rows with the least distances
     (their quantile by a mergeable summary) give the next estimate, as sums over
     all rows, until no determinant shrinks any more. The start with the least
-    determinant wins. No group is gathered anywhere.
+    determinant wins. So up to half of a group may be outliers; since half of
+    the rows alone give a rough estimate, all rows that lie within its cut for
+    a share REWEIGHT give the last one. No group is gathered anywhere.
     """
     usable = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     xs = [F.expr(sql).alias(c) for c, (_, sql, _) in zip(_X, FEATURES)]
@@ -225,13 +234,13 @@ def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         if before is not None and abs(total - before) < 1e-6 * max(1.0, abs(total)):
             break
         before = total
-    # covariances of a subset are too small by a known factor for normal rows
-    scale = SUBSET / chi2_cdf(chi2_cut(SUBSET, P), P + 2)
     near = rows.join(small(params), "g").select("g", "start", *_X, distance().alias("d2"))
     reach = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("reach"))
-    final = _moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach"), scale)
+    final = _moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach"), consistency(SUBSET))
     best = final.groupBy("g").agg(F.min_by(F.struct(*_M, *_A), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
-    return cut(groups.join(best, "g"))
+    raw = rows.join(small(cut(best)), "g").select("g", F.lit(0).alias("start"), *_X, distance().alias("d2"))
+    last = _moments(raw.where(F.col("d2") <= chi2_cut(REWEIGHT, P)), consistency(REWEIGHT)).select("g", *_M, *_A)
+    return cut(groups.join(last, "g"))
 
 
 def outlier_distance(stats: DataFrame, fitted: DataFrame) -> DataFrame:

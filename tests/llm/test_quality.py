@@ -141,3 +141,12 @@ def test_query_statistics_on_the_given_table(spark):
         n, chars, symbols, dup, repeat = want = brute(docs[r.doc_id])[:5] if len(docs[r.doc_id]) < 4000 else Q.statistics(docs[r.doc_id])[:5]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.kept and r.base_failed)
+
+
+@pytest.mark.parametrize("every", [3, 5])
+def test_one_kind_of_junk_in_a_third_of_a_group_and_more(spark, every):
+    rng = random.Random(5)
+    junk = {i for i in range(400) if (i % 3 == 0 if every == 3 else i % 5 < 2)}
+    rows = [(i, prose(rng, rng.randrange(60, 200), junk=i in junk), "en", "hot") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    assert {r.doc_id for r in Q.quality_rules(docs).collect() if not r.kept} == junk
