@@ -15,6 +15,7 @@ from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
 from dictgraph.llm.masked_lm import pseudo_likelihood
+from dictgraph.llm.neighbours import nearest_neighbours
 from dictgraph.llm.pii import pii_report
 from dictgraph.llm.quality import quality_rules
 from dictgraph.llm.sharding import shard_by_bytes
@@ -92,7 +93,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_rules, op3_masked_lm, op4_license_scan, op5_chosen_path_join, op6_byte_shards, op7_token_counts, op8_bpe_codec, op9_language_id, op10_decontamination)}
+def op13_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found of every vector whose id 100 divides."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+_ALL = (
+    op1_pii_pseudonyms,
+    op2_quality_rules,
+    op3_masked_lm,
+    op4_license_scan,
+    op5_chosen_path_join,
+    op6_byte_shards,
+    op7_token_counts,
+    op8_bpe_codec,
+    op9_language_id,
+    op10_decontamination,
+    op13_multi_index_hashing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 # DuckDB SQL of the queries that SQL can express over whole tables.
 _KNOWN_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
