@@ -18,6 +18,7 @@ from dictgraph.llm.masked_lm import pseudo_likelihood
 from dictgraph.llm.neighbours import nearest_neighbours
 from dictgraph.llm.pii import pii_report
 from dictgraph.llm.quality import quality_rules
+from dictgraph.llm.runs import periodic_runs
 from dictgraph.llm.sharding import shard_by_bytes
 from dictgraph.llm.token_count import count_tokens
 
@@ -93,6 +94,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every text whose id's CRC-32 ten divides
+    repeats some of its own words from one word on, as the query's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    rows = docs.select("doc_id", "text", h.alias("h")).select("doc_id", "text", F.expr("h div 10").alias("g"), F.when(F.col("h") % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("a", F.expr("cast(if(size(words) > 0, g % size(words), null) as int)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)"))
+    planted = F.expr("array_join(concat(slice(words, 1, a), transform(sequence(a, size(words) - 1), i -> words[a + (i - a) % p])), ' ')")
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, with planted ones."""
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("b", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b.start")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found of every vector whose id 100 divides."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -110,6 +140,7 @@ _ALL = (
     op8_bpe_codec,
     op9_language_id,
     op10_decontamination,
+    op12_periodic_runs,
     op13_multi_index_hashing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
