@@ -12,6 +12,7 @@ from dictgraph.llm.chosen_path import similarity_join
 from dictgraph.llm.common import table
 from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
+from dictgraph.llm.lexical import ranked_search
 from dictgraph.llm.license_texts import KNOWN
 from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
 from dictgraph.llm.masked_lm import pseudo_likelihood
@@ -94,6 +95,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    found = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``, where every text whose id's CRC-32 ten divides
     repeats some of its own words from one word on, as the query's contract says."""
@@ -140,6 +147,7 @@ _ALL = (
     op8_bpe_codec,
     op9_language_id,
     op10_decontamination,
+    op11_norm_bucket_search,
     op12_periodic_runs,
     op13_multi_index_hashing,
 )
@@ -158,5 +166,23 @@ found AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM li
 whole AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
 SELECT whole.doc_id, whole.digest, names.license_id, coalesce(array_to_string(found.notices, ','), '') AS notices
 FROM whole LEFT JOIN names USING (digest) LEFT JOIN found ON found.doc_id = whole.doc_id
+""",
+    "op11_norm_bucket_search": r"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents) WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+items AS (SELECT DISTINCT q, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS q, item_id,
+            regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+       WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, total GROUP BY term, n_docs),
+scores AS (SELECT q, item_id, r, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM tf JOIN w USING (term) JOIN items USING (term), total GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
 """,
 }

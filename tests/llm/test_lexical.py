@@ -1,0 +1,116 @@
+"""Ranked lexical search against a plain scorer."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dictgraph.llm import lexical as L
+from dictgraph.llm.queries import op11_norm_bucket_search
+
+SF = "/root/testdata/sf0.001"
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items, k=10):
+    """Rows (item_id, rank, doc_id, score) by scoring every document."""
+    split = [(i, Counter(terms(t))) for i, t in docs]
+    split = [(i, c, sum(c.values())) for i, c in split if c]
+    n_docs, n_terms = len(split), sum(n for _, _, n in split)
+    df = Counter(t for _, c, _ in split for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c, n in split:
+            m = 100 - 90 + (90 * n * n_docs) // n_terms
+            s = 0
+            for t in set(terms(text)) & c.keys():
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                s += w * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+            if s > 0:
+                scored.append((-s, i is None, i or 0, i))
+        out += [(item, rank, r[3], -r[0]) for rank, r in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_terms():
+    for text in ("Ab-c 9_x", "Éa ÀB\u0085c d", "日本語。x", "\x00a\x7fb", "", "--"):
+        assert [t.decode() for t in L.terms_of(text.encode())] == terms(text)
+
+
+def random_tables(seed, n_docs, n_items):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    common = [1 / (i + 1) for i in range(300)]
+    text = lambda n: " ".join(rng.choices(words, common, k=n))
+    items = [(i, text(rng.randrange(1, 40))) for i in range(n_items)]
+    docs = [(i, text(rng.choice([3, 20, 60, 400]))) for i in range(n_docs)]
+    docs += [(n_docs + i, items[i % n_items][1].upper() + "; " + text(30)) for i in range(n_items)]
+    return docs + [(10_000 + i, docs[0][1]) for i in range(60)], items  # copies tie
+
+
+@pytest.mark.parametrize("seed,block_terms", [(1, L.BLOCK_TERMS), (2, 100)])
+def test_equals_brute_force(spark, monkeypatch, seed, block_terms):
+    monkeypatch.setattr(L, "SEEDS", 20)
+    docs, items = random_tables(seed, 400, 25)
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    right = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    assert got(L.ranked_search(left, right, block_terms=block_terms)) == brute(docs, items)
+
+
+def test_buckets_pass_over_what_cannot_win():
+    """Bounds drop most pairs, and what they drop has no better score."""
+    rng = np.random.default_rng(3)
+    weight = np.sort(rng.integers(1, 9000, 500))[::-1].copy()
+    wanted = [np.sort(rng.choice(500, 20, replace=False)) for _ in range(30)]
+    vectors = [np.unique(np.concatenate([rng.choice(500, 40), wanted[i % 30][: 15 if i < 600 else 0]])) for i in range(4000)]
+    impacts = [weight[v] * rng.integers(300_000, 500_000, len(v)) for v in vectors]
+    best, rescored = L.Best(10, np.zeros(30, np.int64)), 0
+    block = L.Block(wanted, weight, 4)
+    for s in range(0, 4000, 1000):
+        own, xs = vectors[s : s + 1000], impacts[s : s + 1000]
+        starts = np.cumsum([0] + [len(v) for v in own])
+        rescored += L.scan(block, best, list(range(s, s + 1000)), starts, np.concatenate(own), np.concatenate(xs), bucket=50)
+    assert rescored < 30 * 4000 / 5
+    for q in range(30):
+        has = set(wanted[q].tolist())
+        exact = sorted((-int(sum(x for t, x in zip(v, xs) if t in has)), i) for i, (v, xs) in enumerate(zip(vectors, impacts)))[:10]
+        assert [(r[0], r[3]) for r in best.rows[q]] == exact
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert got(op11_norm_bucket_search(spark, SF)) == brute(docs, items)
+
+
+def test_odd_rows(spark):
+    docs = [(1, None), (2, ""), (3, "... !"), (None, "alpha"), (4, "alpha"), (4, "Alpha beta " * 3000), (5, "ALPHA"), (6, "é ß")]
+    items = [(1, None), (2, "-"), (3, "alpha alpha BETA"), (3, "alpha"), (None, "é ß"), (7, "missing")]
+    left = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id long, text string, rank int, score int, q int")
+    right = spark.createDataFrame(items, "item_id long, text string").withColumns({"id": F.lit(0), "terms": F.lit("x")})
+    assert got(L.ranked_search(left, right)) == brute(docs, items)
+    empty = left.limit(0)
+    assert L.ranked_search(empty, right).collect() == [] and L.ranked_search(left, right.limit(0)).collect() == []
+    assert L.ranked_search(left.where("doc_id < 4"), right).collect() == []
+
+
+def test_string_ids(spark):
+    docs = [("b", "x y"), ("a", "x y"), (None, "x y"), ("c", "z")]
+    left = spark.createDataFrame(docs, "name string, body string")
+    right = spark.createDataFrame([("i", "x")], "item string, text string")
+    rows = L.ranked_search(left, right, id_col="name", text_col="body", item_col="item").orderBy("rank").collect()
+    assert [(r["item"], r["rank"], r["name"]) for r in rows] == [("i", 1, "a"), ("i", 2, "b"), ("i", 3, None)]
