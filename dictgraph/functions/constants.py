@@ -27,6 +27,9 @@ IDENTIFIER_FIELDS = ("_lid", "_nid", "_uri", "_aid", "_pid", "_name", "_symbol_p
 TEXT_LANG_FIELDS = ("_title", "_definition", "_description", "_examples", "_methods", "_uses", "_notes")
 TEXT_ARRAY_FIELDS = ("_citation", "_provider", "_url")
 
+# Language of text that belongs to no language: found whatever language is asked.
+ANY_LANGUAGE = "any"
+
 # Row status values (the request/response codes of the original service).
 OK = "ok"
 NOT_FOUND = "not_found"

@@ -28,6 +28,17 @@ def word_tokens(value) -> Column:
     return F.transform(words, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
 
 
+def adjacent_pairs(tokens, sep: str) -> Column:
+    """``array<struct<pos, token>>`` of adjacent tokens at the place of the
+    first, joined by ``sep``, which no token may hold."""
+    t = _col(tokens)
+    return F.zip_with(
+        F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
+        F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+        lambda a, b: F.struct(a["pos"].alias("pos"), F.concat_ws(sep, a["token"], b["token"]).alias("token")),
+    )
+
+
 def _quote(delimiter: str) -> str:
     special = set("\\^$.|?*+()[]{}")
     return "".join("\\" + ch if ch in special else ch for ch in delimiter)

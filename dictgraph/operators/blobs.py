@@ -3,7 +3,9 @@
 A request key may be bare or a ``blobs/<key>`` handle. Found keys return the
 whole document, others ``not_found``. The distinct request keys (nothing else
 of the requests) are broadcast when their rows and bytes are within bound, so
-the blob table streams past them in one scan and only found documents move;
+the blob table streams past them in one scan and only found documents move; a
+small set is also pushed into that scan, where a table in key order with Bloom
+filters on the key (O15) passes over row groups without them;
 beyond the bound, keys are matched first and content is attached last. Misses
 are the requests without a found document: no second scan.
 """
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import BLOBS, NOT_FOUND, OK
 from dictgraph.functions.keys import strip_collection
+from dictgraph.operators.search import MAX_PUSHED_TOKENS, restrict_to_tokens
 from dictgraph.plans.lineage import cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
 
@@ -31,6 +34,8 @@ def fetch_blobs(requests: DataFrame, blobs: DataFrame, key_col: str = "key", max
     )
     payload = blobs.select("_key", *BLOB_COLUMNS)
     if stats["rows"] <= limit and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES:
+        if stats["rows"] <= MAX_PUSHED_TOKENS:
+            payload = restrict_to_tokens(payload, keys, "_key")
         found = payload.join(F.broadcast(keys), "_key", "left_semi")
     else:
         matched = blobs.select("_key").join(keys, "_key", "left_semi")

@@ -16,16 +16,19 @@ Per request ``(request_id, root, branch)``:
 * several usable edges reaching one vertex at the same hop: non-bridge first,
   then smaller level, then smaller parent handle, then smaller edge key.
 
-The loop runs all requests together (once per distinct (root, branch)): one equi-join of the frontier with the usable edges per
-hop, then a single aggregation per (request, vertex) that both drops
-already-visited vertices and applies the tie-break as a ``min(struct)``
-(combined map-side, so a hub vertex does not collect in one task). Each hop is
-checkpointed into the session's reliable checkpoint folder, its row count
-observed on the way; the loop stops on an empty frontier or after
-``levels + 1`` hops (``levels`` when the graphs have no bridge edge, which
-then cannot change the result). Edges come either from ``edges`` (filtered
-and checkpointed once) or from a published ``edges_by_root`` table read per
-hop with the frontier pushed into the scan.
+The loop runs all requests together (once per distinct (root, branch)). Vertices
+are numbered in the order of their handles and pairs by a long of their own; a
+hop joins the frontier with the usable edges where those lie, then one
+aggregation per (pair, vertex) applies the tie-break as a ``min(struct)``
+(combined map-side, so a hub vertex does not collect in one task), and rows of
+vertices visited before are dropped by joins with the earlier hops' rows, which
+lie bucketed on the same key and do not move. Each hop is written once into the
+session's reliable checkpoint folder, its row count observed on the way; the
+loop stops on an empty frontier or after ``levels + 1`` hops (``levels`` when the
+graphs have no bridge edge, which then cannot change the result). Edges come
+either from ``edges`` (filtered, numbered and bucketed once) or from a published
+``edges_by_root`` table, which, where it is large, is read per hop with the
+frontier pushed into the scan.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
-from dictgraph.operators.search import restrict_to_tokens
-from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
-from dictgraph.plans.lineage import cut_lineage_counted, cut_lineage_observed
+from dictgraph.plans.graph import PublishedEdges, check_direction, edges_by_root, is_large, usable_from_published
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.loopstate import HUB_EDGES, LoopTables, Visited, prepare
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -69,6 +72,7 @@ def expand_enum(
     null_missing: bool = False,
     usable_edges: DataFrame | None = None,
     by_pair: bool = False,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """``(request_id, gid | term, predicate, level, parent, hops)``.
 
@@ -84,14 +88,14 @@ def expand_enum(
     the document-based form instead (NULL ``gid``/``parent`` when the vertex
     or parent has no document; rows are kept) and needs ``terms``.
     ``usable_edges`` reads a published ``edges_by_root`` table (O15) instead
-    of exploding ``edges`` again (``edges`` may then be None)."""
+    of exploding ``edges`` again (``edges`` may then be None). The edges of a
+    vertex with more than ``hub_edges`` are dealt over several buckets."""
     depth = check_levels(levels, MAX_LEVELS, 1)
     direction = check_direction(direction)
     if shape not in SHAPES:
         raise ValueError(f"shape must be one of {SHAPES}, got {shape!r}")
     if (shape == "full" or null_missing) and terms is None:
         raise ValueError("shape='full' and null_missing need the terms DataFrame")
-    max_hops = depth + 1
 
     branch = F.coalesce(F.col("branch"), F.col("root")) if "branch" in requests.columns else F.col("root")
     keyed = requests.select(
@@ -103,104 +107,28 @@ def expand_enum(
     # that a popular branch is not walked once per request; request ids are
     # attached at the end, once per row of the requests.
     keyed, n_requests = cut_lineage_counted(keyed)
-    start, frontier_rows = cut_lineage_counted(
-        keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("request_id"), "root_h", "vertex").distinct()
+    pairs, n_pairs = cut_lineage_counted(
+        keyed.select("root_h", "vertex").distinct().withColumn("pair", F.monotonically_increasing_id())
     )
-    start = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
-
-    # Usable edges of the requested graphs, filtered and checkpointed once.
-    # Without any bridge edge no path can gain the bridge budget's extra hop
-    # (its rows would all have level > levels), so the loop stops a hop early.
-    if usable_edges is not None:
-        # A published table (bucketed on ``near``) is read per hop: a small
-        # frontier becomes an IN filter on ``near``, so a hop reads only the
-        # buckets of its vertices instead of the whole edge table.
-        published = usable_from_published(usable_edges, EXPAND_PREDICATES, direction, start.select("root_h"))
-        usable = None
-    else:
-        usable, stats = cut_lineage_observed(
-            edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h")),
-            bridges=F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0)),
-        )
-        if stats["bridges"] == 0:
-            max_hops = depth
-
-    visited = [start.select("request_id", "vertex")]
-    frontier = start
-    emitted = []
-    for hop in range(1, max_hops + 1):
-        # A frontier within bound is broadcast and the edges are scanned in
-        # place; beyond it both sides shuffle on (root, vertex) and AQE can
-        # split a hub vertex's partition.
-        fr = broadcast_small(frontier, frontier_rows, max_broadcast_rows)
-        hop_edges = usable if usable is not None else restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near")
-        step = fr.join(hop_edges, (fr.root_h == hop_edges.root_h) & (fr.vertex == hop_edges.near)).select(
-            fr.request_id,
-            fr.root_h,
-            hop_edges.far.alias("vertex"),
-            hop_edges.is_bridge,
-            (fr.level + F.when(hop_edges.is_bridge, 0).otherwise(1)).alias("level"),
-            fr.anchor.alias("parent"),
-            hop_edges.ekey,
-            F.when(hop_edges.is_bridge, fr.anchor).otherwise(hop_edges.far).alias("anchor"),
-            hop_edges.predicate,
-        )
-        # Visit-once and the tie-break in one aggregation: candidates and the
-        # visited set meet in the same group; groups holding a visited row
-        # are dropped. Candidates combine map-side before the shuffle.
-        cand = step.select(
-            "request_id", "vertex",
-            F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate", "root_h").alias("b"),
-            F.lit(False).alias("seen"),
-        )
-        seen = reduce(DataFrame.unionByName, visited).select(
-            "request_id", "vertex", F.lit(None).cast(cand.schema["b"].dataType).alias("b"), F.lit(True).alias("seen")
-        )
-        best = (
-            cand.unionByName(seen)
-            .groupBy("request_id", "vertex")
-            .agg(F.max("seen").alias("seen"), F.min("b").alias("b"))
-            .filter(~F.col("seen"))
-        )
-        new, frontier_rows = cut_lineage_counted(
-            best.select(
-                "request_id",
-                F.col("b.root_h").alias("root_h"),
-                "vertex",
-                F.col("b.is_bridge").alias("is_bridge"),
-                F.col("b.level").alias("level"),
-                F.col("b.parent").alias("parent"),
-                F.col("b.anchor").alias("anchor"),
-                F.col("b.predicate").alias("predicate"),
-                F.lit(hop).alias("hops"),
-            )
-        )
-        if frontier_rows == 0:
-            break
-        emitted.append(
-            new.filter(F.col("predicate").isin(list(EMITTED_PREDICATES)) & (F.col("level") <= depth)).select(
-                "request_id", "vertex", "predicate", "level", "parent", "hops"
-            )
-        )
-        visited.append(new.select("request_id", "vertex"))
-        frontier = new.select("request_id", "root_h", "vertex", "level", "anchor")
-
-    spark = requests.sparkSession
-    if not emitted:
-        out = spark.createDataFrame(
-            [], "request_id string, vertex string, predicate string, level int, parent string, hops int"
-        )
-    else:
-        out = reduce(DataFrame.unionByName, emitted)
-    if by_pair:
-        ends = F.split("request_id", "\u0001")
-        out = out.withColumns({"root": key_of(ends[0]), "branch": key_of(ends[1])}).drop("request_id")
-        keys = ["root", "branch"]
-    else:
-        ids = keyed.select(F.concat_ws("\u0001", "root_h", "vertex").alias("pair"), F.col("request_id").alias("__rid"))
-        ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
-        out = out.withColumnRenamed("request_id", "pair").join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
-        keys = ["request_id"]
+    tables = LoopTables(requests.sparkSession)
+    try:
+        out = _loop(tables, pairs, n_pairs, edges, usable_edges, depth, direction, max_broadcast_rows, hub_edges)
+        names = pairs.select("pair", F.col("root_h").alias("__root"), F.col("vertex").alias("__branch"))
+        if by_pair:
+            out = out.join(broadcast_small(names, n_pairs), "pair")
+            out = out.withColumns({"root": key_of("__root"), "branch": key_of("__branch")}).drop("pair", "__root", "__branch")
+            keys = ["root", "branch"]
+        else:
+            same = (F.col("root_h") == F.col("__root")) & (F.col("vertex") == F.col("__branch"))
+            ids = keyed.join(broadcast_small(names, n_pairs), same).select("pair", F.col("request_id").alias("__rid"))
+            ids = broadcast_small(ids, n_requests, DEFAULT_MAX_BROADCAST_ROWS)
+            out = out.join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
+            keys = ["request_id"]
+        out = out.select(*keys, "vertex", "predicate", "level", "parent", "hops")
+        if tables.made:  # before their files go
+            out = cut_lineage(out)
+    finally:
+        tables.close()
     gid = key_of("vertex")
     parent = F.col("parent")
     if null_missing:
@@ -215,3 +143,60 @@ def expand_enum(
     return out.join(docs, "vertex", "left").select(
         *keys, gid.alias("gid"), "term", "predicate", "level", parent.alias("parent"), "hops"
     )
+
+
+def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadcast_rows, hub_edges) -> DataFrame:
+    """``(pair, vertex, predicate, level, parent, hops)`` of the distinct pairs,
+    with handles."""
+    max_hops = depth + 1
+    start = pairs.select("pair", "root_h", "vertex")
+    frontier_rows = n_pairs
+    numbers = None
+    if published is not None and is_large(published):
+        # numbering would read a graph of which the hops need little
+        graph = PublishedEdges(usable_from_published(published, EXPAND_PREDICATES, direction, start.select("root_h")))
+    else:
+        if published is not None:
+            usable = usable_from_published(published, EXPAND_PREDICATES, direction, start.select("root_h"))
+        else:
+            usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
+        bridges = F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0))
+        graph, start, numbers = prepare(tables, usable, start, n_pairs, hub_edges, max_broadcast_rows, bridges=bridges)
+        # Without any bridge edge no path can gain the bridge budget's extra hop
+        # (its rows would all have level > levels), so the loop stops a hop early.
+        if graph.stats["bridges"] == 0:
+            max_hops = depth
+    keys = ["pair", "vertex"]
+    frontier = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
+    visited = Visited(tables, keys)
+    visited.add(frontier, n_pairs)
+    emitted = []
+    for hop in range(1, max_hops + 1):
+        step = graph.step(frontier, frontier_rows <= max_broadcast_rows).select(
+            "pair",
+            "root_h",
+            F.col("far").alias("vertex"),
+            "is_bridge",
+            (F.col("level") + F.when(F.col("is_bridge"), 0).otherwise(1)).alias("level"),
+            F.col("anchor").alias("parent"),
+            "ekey",
+            F.when(F.col("is_bridge"), F.col("anchor")).otherwise(F.col("far")).alias("anchor"),
+            "predicate",
+        )
+        best = visited.aggregate(step, b=F.min(F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate", "root_h"))).filter(~F.col("seen"))
+        new, stats = visited.keep(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("root_h", "level", "parent", "anchor", "predicate")]))
+        frontier_rows = stats["rows"]
+        if frontier_rows == 0:
+            break
+        emitted.append(
+            new.filter(F.col("predicate").isin(list(EMITTED_PREDICATES)) & (F.col("level") <= depth)).select(
+                *keys, "predicate", "level", "parent", F.lit(hop).alias("hops")
+            )
+        )
+        frontier = new.select("pair", "root_h", "vertex", "level", "anchor")
+        if hop < max_hops:
+            visited.add(new, frontier_rows)
+    if not emitted:
+        return tables.spark.createDataFrame([], "pair long, vertex string, predicate string, level int, parent string, hops int")
+    out = reduce(DataFrame.unionByName, emitted)
+    return numbers.back(out, "vertex", "parent") if numbers else out

@@ -25,7 +25,9 @@ ends there, so one visit per vertex is exact in it. An answer of either walk
 counts; fewest hops win.
 
 Every hop is one aggregation (hits, edges put aside and the next frontier
-together) and one checkpoint, whose observed counts size the next broadcast.
+together), written once; its observed counts size the next broadcast. Vertices
+are numbers in the order of their handles, paths arrays of them, and what a hop
+visited stays in its buckets (see ``plans/loopstate.py``).
 """
 
 from __future__ import annotations
@@ -48,87 +50,76 @@ from dictgraph.functions.keys import handle
 from dictgraph.operators._util import join_back
 from dictgraph.operators.expand import check_levels
 from dictgraph.operators.search import restrict_to_tokens
-from dictgraph.plans.graph import check_direction, edges_by_root, usable_from_published
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_observed
+from dictgraph.plans.graph import PublishedEdges, check_direction, edges_by_root, is_large, usable_from_published
+from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
+from dictgraph.plans.loopstate import HUB_EDGES, LoopTables, Visited, prepare
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
 MAX_LEVELS = 100
+PATH_STEP_BYTES = 48  # of a path's vertex: a handle, where vertices are no numbers
 
 
-def _walk(frontier: DataFrame, edges_at, max_levels: int, max_broadcast_rows: int):
-    """Hits ``(request_id, canonical_h, hops)`` of each hop, and the functional
-    edges put aside as ``(request_id, avoid)`` (None without any).
+def _walk(tables: LoopTables, frontier: DataFrame, graph, max_levels: int, max_broadcast_rows: int):
+    """Hits ``(pair, canonical_h, hops)`` of each hop, and the functional edges
+    put aside as ``(pair, avoid)`` (None without any).
 
-    With a column ``avoid`` in the frontier, each ``(request_id, avoid)`` walks
-    by itself around that vertex, and only functional edges into it are hits."""
+    With a column ``avoid`` in the frontier, each ``(pair, avoid)`` walks by
+    itself around that vertex, and only functional edges into it are hits."""
     around = "avoid" in frontier.columns
-    keys = ["request_id", "avoid"] if around else ["request_id"]
-    size = F.coalesce(F.sum(64 + 48 * F.size("path")), F.lit(0))
+    keys = ["pair", "avoid"] if around else ["pair"]
+    size = F.coalesce(F.sum(64 + PATH_STEP_BYTES * F.size("path")), F.lit(0))
     frontier, stats = cut_lineage_observed(frontier, bytes=size, walks=F.count(F.lit(1)))
-    visited = [frontier.select(*keys, "vertex")]
+    visited = Visited(tables, [*keys, "vertex"])
+    visited.add(frontier, stats["rows"])
     found, aside = [], []
     for hop in range(1, max_levels + 1):
         if stats["walks"] == 0:
             break
-        # Frontier rows carry their path (up to ``levels`` handles): the
+        # Frontier rows carry their path (up to ``levels`` numbers): the
         # broadcast check takes rows and path bytes.
         small = stats["walks"] <= max_broadcast_rows and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
-        fr = F.broadcast(frontier) if small else frontier
-        edges = edges_at(frontier)
-        step = fr.join(edges, (fr.root_h == edges.root_h) & (fr.vertex == edges.near)).select(
-            *[fr[k] for k in keys], fr.root_h, edges.far, edges.functional, fr.path
-        )
+        step = graph.step(frontier, small)
         onto = F.array_contains("path", F.col("far"))
         hit = F.col("functional") & ((F.col("far") == F.col("avoid")) if around else ~onto)
         put_aside = F.lit(False) if around else F.col("functional") & onto
         walked = ~F.col("functional") & ~onto
         if around:
             walked = walked & (F.col("far") != F.col("avoid"))
-        path = F.array() if around else F.concat("path", F.array("far"))  # the second walk needs no path
+        path = F.slice("path", 1, 0) if around else F.concat("path", F.array("far"))  # the second walk needs no path
         cand = step.select(
             *keys,
             F.col("far").alias("vertex"),
-            F.when(walked, F.struct(path.cast("array<string>").alias("path"), "root_h")).alias("b"),
+            F.when(walked, F.struct(path.alias("path"), "root_h")).alias("b"),
             hit.alias("hit"),
             put_aside.alias("aside"),
-            F.lit(False).alias("seen"),
-        )
-        seen = reduce(DataFrame.unionByName, visited).select(
-            *keys,
-            "vertex",
-            F.lit(None).cast(cand.schema["b"].dataType).alias("b"),
-            F.lit(False).alias("hit"),
-            F.lit(False).alias("aside"),
-            F.lit(True).alias("seen"),
         )
-        # One aggregation: visited vertices are dropped, the smallest path per
-        # (pair, vertex) is kept, and hits are flagged on their far end.
+        # One aggregation: the smallest path per (pair, vertex) is kept, and hits
+        # are flagged on their far end; vertices visited before walk no further.
         merged = (
-            cand.unionByName(seen)
-            .groupBy(*keys, "vertex")
-            .agg(F.max("hit").alias("hit"), F.max("aside").alias("aside"), F.max("seen").alias("seen"), F.min("b").alias("b"))
+            visited.aggregate(cand, hit=F.max("hit"), aside=F.max("aside"), b=F.min("b"))
             .withColumn("walk", ~F.col("seen") & F.col("b").isNotNull())
             .filter("hit or aside or walk")
+            .select(*keys, "vertex", "hit", "aside", "walk", F.col("b.root_h").alias("root_h"), F.col("b.path").alias("path"))
         )
-        merged, stats = cut_lineage_observed(
+        merged, stats = visited.keep(
             merged,
             hits=F.count(F.when(F.col("hit"), 1)),
             aside=F.count(F.when(F.col("aside"), 1)),
             walks=F.count(F.when(F.col("walk"), 1)),
-            bytes=F.coalesce(F.sum(F.when(F.col("walk"), 64 + 48 * F.size("b.path"))), F.lit(0)),
+            bytes=F.coalesce(F.sum(F.when(F.col("walk"), 64 + PATH_STEP_BYTES * F.size("path"))), F.lit(0)),
         )
-        frontier = merged.filter("walk").select(*keys, F.col("b.root_h").alias("root_h"), "vertex", F.col("b.path").alias("path"))
+        frontier = merged.filter("walk").select(*keys, "root_h", "vertex", "path")
         if stats["aside"]:
-            aside.append(merged.filter("aside").select("request_id", F.col("vertex").alias("avoid")))
+            aside.append(merged.filter("aside").select("pair", F.col("vertex").alias("avoid")))
         if stats["hits"]:
             found.append(
-                merged.filter("hit").groupBy("request_id").agg(F.min("vertex").alias("canonical_h")).withColumn("hops", F.lit(hop))
+                merged.filter("hit").groupBy("pair").agg(F.min("vertex").alias("canonical_h")).withColumn("hops", F.lit(hop))
             )
             # pairs resolved at this hop leave the frontier
             done = broadcast_small(merged.filter("hit").select(*keys).distinct(), stats["hits"], max_broadcast_rows)
             frontier = frontier.join(done, keys, "left_anti")
-        visited.append(frontier.select(*keys, "vertex"))
+        visited.add(merged.filter("walk"), stats["walks"])
     return found, reduce(DataFrame.unionByName, aside).distinct() if aside else None
 
 
@@ -143,6 +134,7 @@ def resolve_in_graph(
     with_doc: bool = True,
     max_broadcast_rows: int = LOOP_MAX_BROADCAST_ROWS,
     usable_edges: DataFrame | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """Requests plus ``resolved_gid``, ``status``, ``hops`` (and ``doc``).
     Requests are keyed by their ``(root, target)``; other columns (such as
@@ -163,58 +155,58 @@ def resolve_in_graph(
         .filter(F.col("root_h").isNotNull() & F.col("target_h").isNotNull())
         .distinct()
     )
-    req = cut_lineage(req)
+    req, n_pairs = cut_lineage_counted(req.withColumn("pair", F.monotonically_increasing_id()))
+    tables = LoopTables(requests.sparkSession)
+    try:
+        answered = _answers(tables, req, n_pairs, edges, usable_edges, terms, pred, allowed, direction, max_levels, max_broadcast_rows, with_doc, hub_edges)
+        result = join_back(requests.withColumn("__pair", pair_key), answered, "__pair", payload="doc" if with_doc else None)
+    finally:
+        tables.close()  # join_back has written the answers elsewhere
+    return result.drop("__pair").withColumn("status", F.coalesce("status", F.lit(NOT_IN_GRAPH)))
 
-    if usable_edges is not None:
-        # A published table is read per step with the vertices pushed into
-        # the scan (targets for the seeds, the frontier for each hop).
-        published = usable_from_published(usable_edges, allowed, direction, req.select("root_h")).withColumn(
-            "functional", F.col("predicate") == pred
-        )
-        usable = None
-        seed_edges = restrict_to_tokens(published, req.select(F.col("target_h").alias("far")), column="far")
+
+def _answers(tables, req, n_pairs, edges, published, terms, pred, allowed, direction, max_levels, max_broadcast_rows, with_doc, hub_edges) -> DataFrame:
+    """``(__pair, resolved_gid, status, hops[, doc])`` of the distinct pairs."""
+    numbers = None
+    pairs = req.select("pair", "root_h", "target_h")
+    roots = pairs.select("root_h")
+    functional = F.col("predicate") == pred
+    if published is not None and is_large(published):
+        # read per step with the vertices pushed into the scan (targets for the
+        # seeds, the frontier for each hop)
+        usable = usable_from_published(published, allowed, direction, roots).withColumn("functional", functional)
+        graph = PublishedEdges(usable.select("root_h", "near", "far", "functional"))
+        seed_edges = restrict_to_tokens(usable, pairs.select(F.col("target_h").alias("far")), column="far")
     else:
-        usable = edges_by_root(edges, allowed, direction, req.select("root_h"))
-        usable = cut_lineage(usable.withColumn("functional", F.col("predicate") == pred))
-        seed_edges = usable
+        usable = usable_from_published(published, allowed, direction, roots) if published is not None else edges_by_root(edges, allowed, direction, roots)
+        usable = usable.select("root_h", "near", "far", functional.alias("functional"))
+        graph, started, numbers = prepare(tables, usable, pairs.withColumnRenamed("target_h", "vertex"), n_pairs, hub_edges, max_broadcast_rows)
+        pairs = started.withColumnRenamed("vertex", "target_h")
+        seed_edges = graph.rows
 
     # Seeds: the target on the leaf end, i.e. the ``far`` end of the walk.
-    seeds = req.join(
+    seeds = pairs.join(
         seed_edges.select("root_h", F.col("far").alias("target_h"), "functional"), ["root_h", "target_h"]
-    ).groupBy("request_id").agg(F.max("functional").alias("functional_seed"))
-    seeded = cut_lineage(req.join(seeds, "request_id", "left"))
+    ).groupBy("pair").agg(F.max("functional").alias("functional_seed"))
+    seeded = cut_lineage(pairs.join(seeds, "pair", "left"))
 
-    direct = seeded.filter(F.col("functional_seed")).select(
-        "request_id", F.col("target_h").alias("canonical_h"), F.lit(0).alias("hops")
-    )
-    frontier = seeded.filter(~F.col("functional_seed")).select(
-        "request_id", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path")
-    )
-    walk_all = usable.select("root_h", "near", "far", "functional") if usable is not None else None
-
-    def edges_at(frontier: DataFrame) -> DataFrame:
-        if walk_all is not None:
-            return walk_all
-        return restrict_to_tokens(published, frontier.select(F.col("vertex").alias("near")), column="near").select(
-            "root_h", "near", "far", "functional"
-        )
-
-    found, aside = _walk(frontier, edges_at, max_levels, max_broadcast_rows)
+    direct = seeded.filter(F.col("functional_seed")).select("pair", F.col("target_h").alias("canonical_h"), F.lit(0).alias("hops"))
+    start = seeded.select("pair", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path"), "functional_seed")
+    found, aside = _walk(tables, start.filter(~F.col("functional_seed")).drop("functional_seed"), graph, max_levels, max_broadcast_rows)
     if aside is not None:
-        again = (
-            aside.join(seeded.select("request_id", "root_h", "target_h"), "request_id")
-            .filter(F.col("avoid") != F.col("target_h"))  # the start is on every path
-            .select("request_id", "root_h", F.col("target_h").alias("vertex"), F.array("target_h").alias("path"), "avoid")
-        )
-        found += _walk(again, edges_at, max_levels, max_broadcast_rows)[0]
+        again = aside.join(start.drop("functional_seed"), "pair").filter(F.col("avoid") != F.col("vertex"))  # the start is on every path
+        found += _walk(tables, again.select("pair", "avoid", "root_h", "vertex", "path"), graph, max_levels, max_broadcast_rows)[0]
 
     answers = (
         reduce(DataFrame.unionByName, [direct] + found)
-        .groupBy("request_id")
+        .groupBy("pair")
         .agg(F.min(F.struct("hops", "canonical_h")).alias("best"))
-        .select("request_id", "best.*")
+        .select("pair", "best.*")
     )
-    out = seeded.join(answers, "request_id", "left")
+    if numbers is not None:
+        answers = numbers.back(answers, "canonical_h")
+    seeded = req.select("request_id", "pair").join(seeded.select("pair", "functional_seed"), "pair")
+    out = seeded.join(answers, "pair", "left")
     docs = prepare_terms(terms)
     payload = [handle("_key").alias("canonical_h"), F.col("_key").alias("__key")]
     if with_doc:
@@ -229,6 +221,4 @@ def resolve_in_graph(
     cols = ["request_id", F.col("__key").alias("resolved_gid"), status.alias("status"), "hops"]
     if with_doc:
         cols.append("doc")
-    answered = out.select(*cols).withColumnRenamed("request_id", "__pair")
-    result = join_back(requests.withColumn("__pair", pair_key), answered, "__pair", payload="doc" if with_doc else None)
-    return result.drop("__pair").withColumn("status", F.coalesce("status", F.lit(NOT_IN_GRAPH)))
+    return out.select(*cols).withColumnRenamed("request_id", "__pair")

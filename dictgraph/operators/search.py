@@ -5,7 +5,8 @@
 * ``text_index`` / ``text_search``  word search over English ``_info`` text
   (``text_index_frame`` builds the same postings over any text table)
 * ``domain_index`` / ``domain_filter``  every ``_domn`` sub-field as a facet
-* ``term_list_view``  the covered list projection, sorted by gid or title
+* ``term_list_view``  the covered list projection, sorted by gid or title;
+  ``list_page`` reads one page of a published one
 
 Postings are ``(doc, unit, token, pos)``: ``doc`` is the matched key, ``unit``
 the text value positions count within (phrases never span two values).
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import (
+    ANY_LANGUAGE,
     ENGLISH,
     IDENTIFIER_FIELDS,
     TEXT_ARRAY_FIELDS,
     TEXT_LANG_FIELDS,
 )
-from dictgraph.functions.tokens import segment_tokens, word_tokens
+from dictgraph.functions.tokens import adjacent_pairs, segment_tokens, word_tokens
 from dictgraph.functions.variant import is_array, is_container, is_json_null, is_object, is_string
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, spread_if_narrow
@@ -121,6 +123,24 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     )
 
 
+def phrase_match(postings: DataFrame, pairs: DataFrame, qtokens: DataFrame, sep: str, materialize: bool = True) -> DataFrame:
+    """Distinct ``(query_id, doc)`` of phrases, found by adjacent pairs.
+
+    ``pairs`` are postings whose token is two adjacent tokens joined by ``sep``.
+    A phrase of two tokens or more is searched as the phrase of its pairs: it
+    starts from its rarest pair, so two common words that seldom meet make few
+    candidates, and every further pair must stand at its place. The pair itself
+    is the key, so there is nothing to verify afterwards. A phrase of one token
+    is looked up in ``postings``."""
+    by_query = qtokens.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("qpos").alias("pos"), "token"))).alias("t"))
+    by_query = cut_lineage(by_query)
+    one = by_query.filter(F.size("t") == 1).select("query_id", F.lit(0).alias("qpos"), F.col("t")[0]["token"].alias("token"))
+    more = by_query.select("query_id", F.explode(adjacent_pairs("t", sep)).alias("t")).select(
+        "query_id", F.col("t.pos").alias("qpos"), F.col("t.token").alias("token")
+    )
+    return match(pairs, more, "phrase", materialize).unionByName(match(postings, one, "any"))
+
+
 # Query-token sets up to this size are also pushed into the postings scan as
 # an ``IN`` filter: on a published table bucketed and sorted by token (O15)
 # it prunes buckets and row groups, so only the queried tokens are read.
@@ -150,19 +170,26 @@ def _present(need: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- O10 segments
 
-def segment_index(terms: DataFrame, delimiter: str = "_") -> DataFrame:
-    """``(doc, unit, token, pos)`` over the gid segments of every term."""
-    return terms.select(F.col("_key").alias("doc"), F.explode(segment_tokens("_key", delimiter)).alias("t")).select(
+def segment_index(terms: DataFrame, delimiter: str = "_", pairs: bool = False) -> DataFrame:
+    """``(doc, unit, token, pos)`` over the gid segments of every term; with
+    ``pairs`` over adjacent segments, joined by the delimiter."""
+    tokens = segment_tokens("_key", delimiter)
+    if pairs:
+        tokens = adjacent_pairs(tokens, delimiter)
+    return terms.select(F.col("_key").alias("doc"), F.explode(tokens).alias("t")).select(
         "doc", F.col("doc").alias("unit"), F.col("t.token").alias("token"), F.col("t.pos").alias("pos")
     )
 
 
 def segment_search(
-    index: DataFrame, queries: DataFrame, mode: str = "any", delimiter: str = "_", materialize: bool = True
+    index: DataFrame, queries: DataFrame, mode: str = "any", delimiter: str = "_", materialize: bool = True, pairs: DataFrame | None = None
 ) -> DataFrame:
     """``(query_id, gid)``: terms whose gid segments match the query text
-    (segmented with the same delimiter)."""
+    (segmented with the same delimiter). With ``pairs`` (an index of adjacent
+    segments) phrases start from their rarest pair."""
     qt = query_tokens(queries, lambda c: segment_tokens(c, delimiter))
+    if mode == "phrase" and pairs is not None:
+        return phrase_match(index, pairs, qt, delimiter, materialize).withColumnRenamed("doc", "gid")
     return match(index, qt, mode, materialize).withColumnRenamed("doc", "gid")
 
 
@@ -210,39 +237,80 @@ def text_values(terms: DataFrame, lang: str = ENGLISH) -> DataFrame:
     return long.select("gid", "field", "elem", text.alias("text")).filter(F.col("text").isNotNull())
 
 
-def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True) -> DataFrame:
-    """Word postings ``(doc, unit, token, pos)`` over any text column.
+def text_values_by_language(terms: DataFrame) -> DataFrame:
+    """``(gid, lang, field, elem, text)``: the ``_info`` texts of every language,
+    each document's language maps exploded once. Texts of fields without
+    languages get the language ``ANY_LANGUAGE``."""
+    fields = [(f, True) for f in TEXT_LANG_FIELDS] + [(f, False) for f in TEXT_ARRAY_FIELDS]
+    per_field = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.lit(keyed).alias("keyed"), F.try_variant_get("doc", f"$._info.{f}", "variant").alias("v")) for f, keyed in fields]
+    )
+    long = terms.select(F.col("_key").alias("gid"), F.explode(per_field).alias("fv")).select(
+        "gid", F.col("fv.field").alias("field"), F.col("fv.keyed").alias("keyed"), F.posexplode(_elements(F.col("fv.v"))).alias("elem", "e")
+    )
+    keyed = long.filter("keyed").select("gid", "field", "elem", F.explode(F.try_variant_get("e", "$", "map<string,variant>")).alias("lang", "v")).select(
+        "gid", "lang", "field", "elem", F.try_variant_get("v", "$", "string").alias("text")
+    )
+    plain = long.filter(~F.col("keyed")).select("gid", F.lit(ANY_LANGUAGE).alias("lang"), "field", "elem", _string_of(F.col("e")).alias("text"))
+    return keyed.unionByName(plain).filter(F.col("text").isNotNull())
+
+
+def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True, pairs: bool = False, keep=()) -> DataFrame:
+    """Word postings ``(doc, unit, token, pos)`` over any text column; with
+    ``pairs`` postings of adjacent words, joined by a blank. ``keep`` columns
+    (such as a language) stay with every posting.
 
     Every text is a unit of its own (its hash is part of the unit), so a phrase
     never spans two rows of one ``doc``. With ``spread`` an input with fewer
     partitions than task slots is spread out first, so tokenizing is not left
     to a few tasks."""
     unit = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in unit_cols], F.hex(F.xxhash64(text_col)))
-    df = df.select(doc_col, text_col, *unit_cols)
+    df = df.select(*dict.fromkeys([doc_col, text_col, *unit_cols, *keep]))
     if spread:
         df = spread_if_narrow(df)
-    return df.select(
-        F.col(doc_col).alias("doc"), unit.alias("unit"), F.explode(word_tokens(F.col(text_col))).alias("t")
-    ).select("doc", "unit", F.col("t.token").alias("token"), F.col("t.pos").alias("pos"))
+    tokens = word_tokens(F.col(text_col))
+    if pairs:
+        tokens = adjacent_pairs(tokens, " ")
+    return df.select(*keep, F.col(doc_col).alias("doc"), unit.alias("unit"), F.explode(tokens).alias("t")).select(
+        *keep, "doc", "unit", F.col("t.token").alias("token"), F.col("t.pos").alias("pos")
+    )
 
 
-def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None) -> DataFrame:
-    """Word postings over the English text fields of every term; ``fields``
-    restricts the indexed fields."""
+def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None, pairs: bool = False) -> DataFrame:
+    """Word postings over the text fields of every term in one language;
+    ``fields`` restricts the indexed fields."""
     vals = text_values(terms, lang)
     if fields is not None:
         vals = vals.filter(F.col("field").isin(list(fields)))
-    return text_index_frame(vals, "gid", "text", ("field", "elem"))
+    return text_index_frame(vals, "gid", "text", ("field", "elem"), pairs=pairs)
+
+
+def text_index_languages(terms: DataFrame, pairs: bool = False) -> DataFrame:
+    """``(lang, doc, unit, token, pos)``: word postings of all languages, made in
+    one pass. ``in_language`` picks one; a table partitioned by ``lang`` then
+    reads that partition alone."""
+    return text_index_frame(text_values_by_language(terms), "gid", "text", ("field", "elem"), pairs=pairs, keep=("lang",))
+
+
+def in_language(index: DataFrame, lang: str = ENGLISH) -> DataFrame:
+    """The postings of ``lang``, and those that belong to no language."""
+    return index.filter(F.col("lang").isin(lang, ANY_LANGUAGE)).drop("lang")
 
 
 def text_search(
-    index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True, fields=None
+    index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True, fields=None, pairs: DataFrame | None = None
 ) -> DataFrame:
     """``(query_id, doc)`` for ``(query_id, text)`` queries; ``fields`` searches
-    only these fields of an index made by ``text_index``."""
-    if fields is not None:
-        index = index.filter(F.substring_index("unit", "\u001f", 1).isin(list(fields)))
-    return match(index, query_tokens(queries, word_tokens), mode, materialize)
+    only these fields of an index made by ``text_index``. With ``pairs`` (an
+    index of adjacent words) phrases start from their rarest pair."""
+
+    def within(df: DataFrame) -> DataFrame:
+        return df if fields is None else df.filter(F.substring_index("unit", "\u001f", 1).isin(list(fields)))
+
+    qt = query_tokens(queries, word_tokens)
+    if mode == "phrase" and pairs is not None:
+        return phrase_match(within(index), within(pairs), qt, " ", materialize)
+    return match(within(index), qt, mode, materialize)
 
 
 def phrase_search_texts(df: DataFrame, queries: DataFrame, doc_col: str, text_col: str, spread: bool = True) -> DataFrame:
@@ -347,3 +415,30 @@ def term_list_view(terms: DataFrame, order: str = "gid", lang: str = ENGLISH, so
     if not sort:
         return view
     return view.orderBy("gid") if order == "gid" else view.orderBy(F.col("title").asc_nulls_last(), "gid")
+
+
+def list_page(view: DataFrame, page: int | None = None, size: int = 50, after=None, order: str = "gid") -> DataFrame:
+    """One page of a published list view (``gid, nid, title, term_roles, row``,
+    whose ``row`` counts from 0 in its order): by number (``page`` from 0), or
+    the rows behind a key: ``after`` is a gid, or with ``order='title'`` a pair
+    (title, gid). The range of rows becomes a filter on ``row``, in which the
+    table is sorted, so a page reads the few files and row groups that hold it
+    and is never sorted again. An unknown key gives an empty page."""
+    if order not in ("gid", "title"):
+        raise ValueError(f"order must be 'gid' or 'title', got {order!r}")
+    if (page is None) == (after is None):
+        raise ValueError("a page is asked for by its number or by the key before it")
+    if size < 1 or (page is not None and page < 0):
+        raise ValueError("a page has at least one row and a number from 0")
+    if after is not None:
+        title, gid = after if order == "title" else (None, after)
+        at = view.filter(F.col("gid") == gid)
+        if order == "title":
+            at = at.filter(F.col("title").eqNullSafe(F.lit(title)))
+        found = at.select("row").first()
+        first = found["row"] + 1 if found else None
+    else:
+        first = page * size
+    if first is None:
+        return view.limit(0)
+    return view.filter((F.col("row") >= first) & (F.col("row") < first + size))

@@ -121,3 +121,31 @@ def usable_from_published(published: DataFrame, predicates, direction: str, root
     u = u.filter(F.col("predicate").isin(list(predicates)))
     u = restrict_to_tokens(u, roots.select("root_h"), column="root_h")
     return u.select("root_h", "near", "far", "predicate", "ekey", "is_bridge")
+
+
+# A published table of more bytes is read per hop, for its frontier's vertices
+# alone; a smaller one is read whole once, which costs less than a scan a hop.
+LARGE_TABLE_BYTES = 256 << 20
+
+
+def is_large(df: DataFrame) -> bool:
+    """Whether a table's files exceed LARGE_TABLE_BYTES (unknown: no)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE_TABLE_BYTES
+    except Exception:  # Spark Connect shows no plan
+        return False
+
+
+class PublishedEdges:
+    """Edges of a loop, read per hop from a published table in the order of
+    ``near``: a small frontier is an ``IN`` filter on it."""
+
+    def __init__(self, published: DataFrame):
+        self.published = published
+
+    def step(self, frontier: DataFrame, small: bool) -> DataFrame:
+        from dictgraph.operators.search import restrict_to_tokens
+
+        fr = frontier.withColumnRenamed("vertex", "near")
+        edges = restrict_to_tokens(self.published, fr.select("near"), column="near")
+        return (F.broadcast(fr) if small else fr).join(edges, ["root_h", "near"])

@@ -59,11 +59,23 @@ from dictgraph.registry.graph import (
 )
 from dictgraph.registry import web
 from dictgraph.registry.published import (
+    ORACLE_BLOBS,
     ORACLE_FACETS,
+    ORACLE_FRENCH,
+    ORACLE_LIST_BY_TITLE,
+    ORACLE_LIST_PAGE,
     q_domain_facets_nested,
     q_published_alias,
+    q_published_blobs,
+    q_published_domain,
     q_published_expand,
+    q_published_list_by_title,
+    q_published_list_page,
+    q_published_phrase_documents,
+    q_published_segment_phrase,
+    q_published_text_titles,
     q_published_validate,
+    q_text_search_french,
 )
 from dictgraph.registry.documents import (
     ORACLE_BLOB_KEYS,
@@ -135,6 +147,14 @@ QUERIES = {
     "published_expand": q_published_expand,
     "published_validate": q_published_validate,
     "published_alias": q_published_alias,
+    "published_segment_phrase": q_published_segment_phrase,
+    "published_text_titles": q_published_text_titles,
+    "published_domain": q_published_domain,
+    "published_phrase_documents": q_published_phrase_documents,
+    "published_list_by_title": q_published_list_by_title,
+    "published_list_page": q_published_list_page,
+    "published_blobs": q_published_blobs,
+    "text_search_french": q_text_search_french,
     **web.QUERIES,
 }
 
@@ -179,5 +199,13 @@ ORACLE = {
     "published_expand": osql.expand_sql(EXPAND_REGIONS_REQ, 3),
     "published_validate": osql.with_(ORACLE_VALIDATE["flag"]),
     "published_alias": ORACLE_RESOLVE_ALIAS,
+    "published_segment_phrase": ORACLE_SEGMENT_PHRASE,
+    "published_text_titles": ORACLE_TEXT_TITLES,
+    "published_domain": ORACLE_DOMAIN,
+    "published_phrase_documents": ORACLE_TEXT_DOCUMENTS,
+    "published_list_by_title": ORACLE_LIST_BY_TITLE,
+    "published_list_page": ORACLE_LIST_PAGE,
+    "published_blobs": ORACLE_BLOBS,
+    "text_search_french": ORACLE_FRENCH,
     **web.ORACLE,
 }
