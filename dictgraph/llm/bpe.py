@@ -124,17 +124,22 @@ class Merges:
 
 
 class Memo(dict):
-    """Results of a function of a word, at most ``size`` of them; words longer
-    than ``longest`` are worked out anew each time."""
+    """Results of a function of a word, of about ``size`` bytes at most; words
+    longer than ``longest`` are worked out anew each time."""
 
-    def __init__(self, fn, size: int = 400_000, longest: int = 64):
+    ENTRY = 180  # of a word and its place in the table, beside letters and result
+
+    def __init__(self, fn, size: int = 32 << 20, longest: int = 64):
         super().__init__()
-        self.fn, self.size, self.longest = fn, size, longest
+        self.fn, self.size, self.longest, self.used = fn, size, longest, 0
 
     def __missing__(self, word):
         value = self.fn(word)
         if word is None or len(word) <= self.longest:
-            if len(self) >= self.size:
+            cost = self.ENTRY + (len(word) if word else 0) + (len(value) if isinstance(value, bytes) else 0)
+            if self.used + cost > self.size:
                 self.clear()
+                self.used = 0
+            self.used += cost
             self[word] = value
         return value

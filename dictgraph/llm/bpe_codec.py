@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections import Counter
 from functools import partial
 from hashlib import sha256
@@ -16,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.llm import bpe, lexicon
-from dictgraph.llm.common import cut, held, most_frequent, release, ship_package, texts_of
+from dictgraph.llm.common import at_end, cut, held, most_frequent, release, ship_file, ship_package, texts_of
 
 # A word is a candidate if some task sees it in this share of its own words.
 # Every word with that share of the whole corpus has it in at least one task,
@@ -24,39 +21,34 @@ from dictgraph.llm.common import cut, held, most_frequent, release, ship_package
 SHARE = 5e-6
 # Words in the lexicon. It only decides how a word's ids are found, never which.
 LEXICON_WORDS = 32_768
+# What a worker remembers of words' ids.
+MEMO_BYTES = 48 << 20
+
 
 class Codec:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, merges: bpe.Merges, words: lexicon.Lexicon | None, memo_words: int = 1_000_000):
+    def __init__(self, merges: bpe.Merges, words: lexicon.Lexicon | None, memo_bytes: int = MEMO_BYTES):
         self.merges, self.words = merges, words
-        self.memo = bpe.Memo(self._piece, size=memo_words)
-
-    def _ids(self, word: str) -> list[int]:
-        if self.words is not None:
-            ids = self.words.ids(word.encode())
-            if ids is not None:
-                return ids
-        return self.merges.encode(word)
-
-    def _piece(self, word: str) -> tuple[str, bytes]:
-        ids = self._ids(word)
-        return ",".join(map(str, ids)), self.decode(ids)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.merges.id_bytes[i] for i in ids])
-
-    def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        """For each piece of the text its ids, joined by commas, and the bytes
-        that these ids decode to."""
-        out: list[tuple[str, bytes]] = []
+        self.memo = bpe.Memo(self._packed, memo_bytes)
+
+    def _packed(self, word: str) -> bytes:
+        ids = self.words.ids(word.encode()) if self.words is not None else None
+        return np.array(self.merges.encode(word) if ids is None else ids, np.int32).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        out: list[bytes] = []
         for i, part in enumerate(self.merges.sections(text)):
             if i % 2:
-                at = self.merges.special[part]
-                out.append((str(at), self.decode([at])))
+                out.append(np.int32(self.merges.special[part]).tobytes())
             else:
                 out.extend(map(self.memo.__getitem__, bpe.split_words(part)))
-        return out
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def decode(self, ids: list[int]) -> str:
+        """As the library: bytes that are no UTF-8 give U+FFFD."""
+        return b"".join(map(self.merges.id_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _candidates(batches):
@@ -98,36 +90,40 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, size: int = LEXICON_WORDS,
     return lexicon.build({w.encode(): merges.encode(w) for w in words})
 
 
-def codec(vocabulary: bytes, block_name: str | None, memo_words: int) -> Codec:
+def codec(vocabulary: bytes, block_name: str | None, memo_bytes: int) -> Codec:
     """The worker's codec; the lexicon file is memory-mapped where Spark put it."""
 
     def make() -> Codec:
         words = lexicon.Lexicon(SparkFiles.get(block_name)) if block_name else None
-        return Codec(bpe.Merges(vocabulary), words, memo_words)
+        return Codec(bpe.Merges(vocabulary), words, memo_bytes)
 
-    return held(("codec", hash(vocabulary), block_name, memo_words), make)
+    return held(("codec", hash(vocabulary), block_name, memo_bytes), make)
 
 
-def _encode(vocabulary, block_name, memo_words, digests, batches):
-    coder = codec(vocabulary.value, block_name, memo_words)
-    for batch in batches:
+def _encode(vocabulary, block_name, memo_bytes, digests, batches):
+    coder = codec(vocabulary.value, block_name, memo_bytes)
+    for batch in at_end(batches):
+        column = batch.column(1)
         n, ids, decoded = [], [], []
-        for text in texts_of(batch.column(1)):
-            pieces = coder.pieces(text)
-            joined = ",".join([p[0] for p in pieces])
-            back = b"".join([p[1] for p in pieces]).decode("utf-8", "replace")  # as the library: no UTF-8 gives U+FFFD
-            n.append(joined.count(",") + 1 if joined else 0)
+        for i in range(len(column)):  # one text at a time, as its parts take many times its size
+            found = coder.encode(column[i].as_py() or "")
+            n.append(len(found))
+            listed = found.tolist()
+            back = coder.decode(listed)
             if digests:
-                ids.append(sha256(joined.encode()).hexdigest())
+                ids.append(sha256(",".join(map(str, listed)).encode()).hexdigest())
                 decoded.append(sha256(back.encode()).hexdigest())
             else:
-                ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
+                ids.append(found)
                 decoded.append(back)
-        kind = pa.string() if digests else pa.list_(pa.int32())
+        if digests:
+            ids = pa.array(ids, pa.string())
+        else:
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate([np.empty(0, np.int32), *ids])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
         names = [batch.schema.field(0).name, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names=names
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ids, pa.array(decoded, pa.string())], names=names)
 
 
 def encode_texts(
@@ -135,7 +131,7 @@ def encode_texts(
     vocabulary_path: str,
     lexicon_words: int = LEXICON_WORDS,
     digests: bool = False,
-    memo_words: int = 1_000_000,
+    memo_bytes: int = MEMO_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -147,11 +143,13 @@ def encode_texts(
     The frequent words of all texts are compiled with their ids into a minimal
     acyclic transducer; Spark hands its file to every executor, where workers
     memory-map it. Other words are merged pair by pair. Decoding joins the
-    bytes of the ids. A worker remembers the ids of at most ``memo_words`` words
-    (about 330 bytes each), which decides its memory and never the result.
+    bytes of the ids. A worker remembers words' ids in about ``memo_bytes``,
+    which decides its memory and never the result.
 
     A null text counts as empty (no ids, empty text); repeated rows and null
-    ids are kept, one result each; an empty table gives an empty result.
+    ids are kept, one result each; of words that are equally frequent the least
+    in order come into the lexicon; an empty table gives an empty result. A very
+    long text is held whole by its task, with its ids.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -159,11 +157,7 @@ def encode_texts(
         data = f.read()
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     block = build_lexicon(rows, data, lexicon_words, text_col)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="dictgraph-"), name)
-    with open(path, "wb") as f:
-        f.write(block)
-    spark.sparkContext.addFile(path)
+    name = ship_file(spark, "lexicon", block)
     out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, {out}"
-    return rows.mapInArrow(partial(_encode, spark.sparkContext.broadcast(data), name, memo_words, digests), schema)
+    return rows.mapInArrow(partial(_encode, spark.sparkContext.broadcast(data), name, memo_bytes, digests), schema)

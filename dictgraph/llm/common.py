@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import zipfile
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,10 @@ import dictgraph
 from dictgraph.session import ensure_checkpoint_dir
 
 # Text that one Arrow batch takes to a Python worker, whatever the rows' sizes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _DEFAULT_BATCH = str(64 << 20)  # Spark's own limit; another one is left as it is
 
-_shipped: set[str] = set()
+_shipped: set = set()
 _held: dict = {}
 
 
@@ -25,14 +28,30 @@ def held(key, make):
     """The object of ``key`` in this worker process. Spark reuses workers for
     other operators, so only the last object asked for is kept."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Drop the held object, in functions that hold none."""
+    """Drop the held object, in functions that hold none, and give freed memory
+    back to the system: a reused worker would keep it for the next operator."""
     _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def at_end(batches):
+    """``batches``; after the last of a task, freed memory goes back."""
+    yield from batches
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +83,20 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def ship_file(spark: SparkSession, kind: str, data: bytes) -> str:
+    """Name under which Spark hands ``data`` as a file to every executor. The
+    name is of the content, so equal files are sent and kept once."""
+    sc = spark.sparkContext
+    name = f"{kind}-{sha256(data).hexdigest()[:32]}.bin"
+    if (sc.applicationId, name) not in _shipped:
+        path = os.path.join(tempfile.mkdtemp(prefix="dictgraph-"), name)
+        with open(path, "wb") as f:
+            f.write(data)
+        sc.addFile(path)
+        _shipped.add((sc.applicationId, name))
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them from there."""
     ensure_checkpoint_dir(df.sparkSession)
