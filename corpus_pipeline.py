@@ -53,7 +53,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text decoded from them."""
-    return encode_texts(docs.select(COLUMNS), public_tokenizers.path(BYTE_BPE), memo_words=300_000)
+    return encode_texts(docs.select(COLUMNS), public_tokenizers.path(BYTE_BPE), memo_bytes=16 << 20)
 
 
 STAGES = [
