@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ P = len(FEATURES)
 SUBSET = 0.5  # share of a group's rows that the determinant is least for
 REWEIGHT = 0.975  # share of a normal group's rows that the last estimate is from
 REJECT = 1e-6  # share of a normal group's rows beyond the cut
-MIN_ROWS = 200  # a smaller group is pooled: first by language, then with all
-STEPS = 8
+MIN_ROWS = 10 * P  # a smaller group cannot carry an estimate: pooled by language, then with all
+SHRINKS = 1e-5  # a logarithm of a determinant that falls by less stands still
 BROADCAST_GROUPS = 20_000  # rows of about 300 bytes
 
 
@@ -116,6 +115,44 @@ def chi2_cut(p: float, k: int) -> float:
     return high
 
 
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 0.0
+    f = 1.0
+    for i in range(500):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / ((1 + step * d) or tiny)
+        c = (1 + step / c) or tiny
+        f *= c * d
+        if i and abs(1 - c * d) < 1e-13:
+            break
+    return front * (f - 1)
+
+
+def outlier_cut(n: float, reject: float) -> float:
+    """Squared distance that a share ``reject`` of normal rows exceeds, for an
+    estimate from ``n`` other rows: a scaled F distribution with P and n - P
+    degrees of freedom, chi-squared for very many rows."""
+    if n - P < 1:
+        return math.inf
+    low, high = 0.0, 1.0  # F = (n - P) v / (P (1 - v)) for v of the beta distribution
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - beta_cdf(mid, P / 2, (n - P) / 2) > reject else (low, mid)
+    return (n + 1) / n * (n - 1) * high / max(1 - high, 1e-300)
+
+
 def consistency(share: float) -> float:
     """The factor by which covariances of the nearest ``share`` of normal rows
     are too small."""
@@ -142,7 +179,7 @@ def _estimate(scale, sums):
     floor = np.diag([f[2] ** 2 for f in FEATURES])
     for batch in sums:
         out = []
-        for r in batch.to_dict("records"):
+        for r in batch.to_pylist():
             mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
             cov = np.empty((P, P))
             for i, j in _PAIRS:
@@ -150,7 +187,28 @@ def _estimate(scale, sums):
             cov = cov * scale + floor
             inverse = np.linalg.inv(cov)
             out.append([r["g"], r["start"], r["n"], *mean, *(inverse[i, j] for i, j in _PAIRS), np.linalg.slogdet(cov)[1]])
-        yield pd.DataFrame(out, columns=["g", "start", "n", *_M, *_A, "logdet"])
+        yield _params_batch(out)
+
+
+def _params_batch(rows) -> pa.RecordBatch:
+    names = ["g", "start", "n", *_M, *_A, "logdet"]
+    kinds = [pa.string(), pa.int32(), *[pa.float64()] * (len(names) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def _sign_shape(sums):
+    """Starts from the covariance of the rows' directions, seen from the medians
+    in units of the median deviations: a far outlier weighs as much as any row."""
+    for batch in sums:
+        out = []
+        for r in batch.to_pylist():
+            shape = np.empty((P, P))
+            for i, j in _PAIRS:
+                shape[i, j] = shape[j, i] = r[f"s{i}_{j}"] / r["n"]
+            unit = np.array([r[f"u{i}"] for i in range(P)])
+            inverse = np.linalg.inv(shape + np.eye(P) * 1e-3 / P) / np.outer(unit, unit)
+            out.append([r["g"], 2, 0.0, *(r[m] for m in _M), *(inverse[i, j] for i, j in _PAIRS), None])
+        yield _params_batch(out)
 
 
 def _moments(rows: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -159,7 +217,7 @@ def _moments(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     return (
         rows.groupBy("g", "start")
         .agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *products)
-        .mapInPandas(partial(_estimate, scale), _PARAMS)
+        .mapInArrow(partial(_estimate, scale), _PARAMS)
     )
 
 
@@ -184,20 +242,23 @@ def _groups(stats: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS, reject: float = REJECT) -> DataFrame:
     """Minimum-covariance-determinant estimates of the transformed statistics
     per language and source: one row for each (``lang``, ``source``) with the
-    means ``m``, the inverse covariance ``a`` and the group ``g`` it is from.
+    means ``m``, the inverse covariance ``a``, the group ``g`` it is from, and ``cut``.
 
     ``stats`` has ``lang``, ``source`` and ``STATISTICS``; rows that fail the
-    base rules take no part. Each group starts from its medians and median
-    deviations and, apart from that, from its plain moments; concentration
-    steps follow: the half of the rows with the least distances
-    (their quantile by a mergeable summary) give the next estimate, as sums over
-    all rows, until no determinant shrinks any more. The start with the least
-    determinant wins. So up to half of a group may be outliers; since half of
-    the rows alone give a rough estimate, all rows that lie within its cut for
-    a share REWEIGHT give the last one. No group is gathered anywhere.
+    base rules take no part. Each group has three starts: its medians and median
+    deviations, its plain moments, and the covariance of directions from the
+    medians. Concentration steps follow: the half of the rows with the least
+    distances (their quantile by a mergeable summary) give the next estimate, as
+    sums over all rows, until the determinant stops to shrink; groups that have
+    come to rest take no part in further steps. The start with the least
+    determinant wins. So up to half of a group may be outliers. Half of the rows
+    alone give a rough estimate: its distances are scaled to the median of a
+    normal group, and all rows that lie within the cut for a share REWEIGHT give
+    the last one. ``cut`` is the distance that a share ``reject`` of normal rows
+    exceeds under an estimate from so many rows. No group is gathered anywhere.
     """
     usable = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     xs = [F.expr(sql).alias(c) for c, (_, sql, _) in zip(_X, FEATURES)]
@@ -209,50 +270,68 @@ def fit_outliers(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("g")
 
     medians = rows.join(small(counts), "g").groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(_X, _M)])
-    spread = (
+    spread = cut(
         rows.join(small(medians), "g")
         .groupBy("g", *_M)
         .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 1000).alias(f"d{x[1:]}") for x, m in zip(_X, _M)])
     )
-    variance = [F.pow(1.4826 * F.col(f"d{i}"), 2) + FEATURES[i][2] ** 2 for i in range(P)]
-    robust = spread.select(
+    units = spread.select("g", *_M, *[F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FEATURES[i][2] ** 2).alias(f"u{i}") for i in range(P)])
+    robust = units.select(
         "g",
         F.lit(0).alias("start"),
         F.lit(0.0).alias("n"),
         *_M,
-        *[(1 / variance[i] if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in _PAIRS],
+        *[(1 / F.pow(F.col(f"u{i}"), 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in _PAIRS],
         F.lit(None).cast("double").alias("logdet"),
     )
     plain = _moments(rows.join(small(counts), "g").withColumn("start", F.lit(1)))
-    params = cut(robust.unionByName(plain))
-    before = None
-    for _ in range(STEPS):
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"u{i}") for i in range(P)]
+    norm = F.greatest(sum((c * c for c in z[1:]), z[0] * z[0]), F.lit(1e-12))  # a row at the medians has no direction
+    signs = (
+        rows.join(small(units), "g")
+        .groupBy("g", *_M, *[f"u{i}" for i in range(P)])
+        .agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(z[i] * z[j] / norm).alias(f"s{i}_{j}") for i, j in _PAIRS])
+        .mapInArrow(_sign_shape, _PARAMS)
+    )
+    params = cut(robust.unionByName(plain).unionByName(signs))
+    at_rest = []
+    while True:
         near = rows.join(small(params), "g").select("g", "start", *_X, distance().alias("d2"))
         reach = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("reach"))
-        params = cut(_moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach")))
-        total = params.agg(F.sum("logdet")).first()[0] or 0.0
-        if before is not None and abs(total - before) < 1e-6 * max(1.0, abs(total)):
+        after = _moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach"))
+        before = params.select("g", "start", F.col("logdet").alias("before"))
+        after = cut(after.join(small(before), ["g", "start"]).withColumn("moves", F.col("before").isNull() | (F.col("logdet") < F.col("before") - SHRINKS)))
+        at_rest.append(after.where(~F.col("moves")).drop("before", "moves"))
+        params = after.where("moves").drop("before", "moves")
+        if params.isEmpty():
             break
-        before = total
-    near = rows.join(small(params), "g").select("g", "start", *_X, distance().alias("d2"))
-    reach = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("reach"))
-    final = _moments(near.join(small(reach), ["g", "start"]).where("d2 <= reach"), consistency(SUBSET))
-    best = final.groupBy("g").agg(F.min_by(F.struct(*_M, *_A), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
-    raw = rows.join(small(cut(best)), "g").select("g", F.lit(0).alias("start"), *_X, distance().alias("d2"))
-    last = _moments(raw.where(F.col("d2") <= chi2_cut(REWEIGHT, P)), consistency(REWEIGHT)).select("g", *_M, *_A)
+    least = reduce(DataFrame.unionByName, at_rest)
+    best = cut(least.groupBy("g").agg(F.min_by(F.struct(*_M, *_A), F.struct("logdet", "start")).alias("b")).select("g", "b.*"))
+    # the estimate so far is that of half of the rows: its covariance is too small by a constant
+    shrink = consistency(SUBSET)
+    raw = rows.join(small(best), "g").select("g", F.lit(0).alias("start"), *_X, (distance() / shrink).alias("d2"))
+    middle = raw.groupBy("g").agg((F.percentile_approx("d2", 0.5, 1000) / chi2_cut(0.5, P)).alias("unit"))
+    inner = raw.join(small(middle), "g").where(F.col("d2") <= chi2_cut(REWEIGHT, P) * F.greatest("unit", F.lit(1.0)))
+    last = _moments(inner, consistency(REWEIGHT)).mapInArrow(partial(_with_cut, reject), _PARAMS + ", cut double").select("g", *_M, *_A, "cut")
     return cut(groups.join(last, "g"))
 
 
+def _with_cut(reject, batches):
+    for batch in batches:
+        known = {n: outlier_cut(n, reject) for n in set(batch.column("n").to_pylist())}
+        yield batch.append_column("cut", pa.array([known[n] for n in batch.column("n").to_pylist()], pa.float64()))
+
+
 def outlier_distance(stats: DataFrame, fitted: DataFrame) -> DataFrame:
-    """``stats`` with ``distance2``; null where base rules fail or where no
-    group had rows enough."""
+    """``stats`` with ``distance2`` and the cut ``cut2``; null where base rules
+    fail or where no group had rows enough."""
     few = fitted.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    side = fitted.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*_M, *_A).alias("_fit"))
+    side = fitted.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*_M, *_A, "cut").alias("_fit"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     joined = stats.join(F.broadcast(side) if few else side, same, "left")
     ok = ~base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))
     xs = {c: F.when(ok, F.expr(sql_in_struct(sql))) for c, (_, sql, _) in zip(_X, FEATURES)}
-    return joined.withColumns(xs).withColumn("distance2", distance("_fit.")).drop(*_X, "_lang", "_source", "_fit")
+    return joined.withColumns(xs).withColumns({"distance2": distance("_fit."), "cut2": F.when(ok, F.col("_fit.cut"))}).drop(*_X, "_lang", "_source", "_fit")
 
 
 def sql_in_struct(sql: str) -> str:
@@ -261,11 +340,11 @@ def sql_in_struct(sql: str) -> str:
     return sql
 
 
-def judge(docs: DataFrame, fitted: DataFrame, reject: float = REJECT) -> DataFrame:
-    """``docs`` (with ``_q``), ``base_failed``, ``distance2`` and ``kept``."""
+def judge(docs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``docs`` (with ``_q``), ``base_failed``, ``distance2``, ``cut2`` and ``kept``."""
     out = outlier_distance(docs, fitted)
     failed = base_failed(F.col("_q.n_words"), F.col("_q.n_repeat_words"))
-    near = F.coalesce(F.col("distance2") <= chi2_cut(1 - reject, P), F.lit(True))
+    near = F.coalesce(F.col("distance2") <= F.col("cut2"), F.lit(True))
     return out.withColumns({"base_failed": failed, "kept": ~failed & near})
 
 
@@ -279,8 +358,8 @@ def quality_rules(
     reject: float = REJECT,
 ) -> DataFrame:
     """Every row's ``id_col``, ``BASE`` statistics, ``base_failed``, ``kept``
-    and ``distance2`` (squared robust Mahalanobis distance to its language and
-    source).
+    ``distance2`` (squared robust Mahalanobis distance to its language and
+    source) and ``cut2`` (the distance up to which a row is kept).
 
     Words are what white space of ASCII parts. A row fails the base rules with
     under 50 words or over half its words in repeated windows of three; another
@@ -292,7 +371,7 @@ def quality_rules(
     of their own; groups under ``min_rows`` are judged with the rest of their
     language, then with all such rests, and if these are too few by the base
     rules alone. Repeated rows and null ids are kept, one result each; an empty
-    table gives an empty result.
+    table gives an empty result. A very long text is held whole by its task.
     """
     chosen = docs.select(
         F.col(id_col).alias("_id"),
@@ -301,9 +380,9 @@ def quality_rules(
         F.col(source_col).cast("string").alias("source"),
     )
     stats = cut(with_statistics(chosen, "_t").drop("_t"))
-    fitted = fit_outliers(stats.select("lang", "source", "_q.*"), min_rows)
-    return judge(stats, fitted, reject).select(
-        F.col("_id").alias(id_col), *[F.col(f"_q.{c}").alias(c) for c in BASE], "base_failed", "kept", "distance2"
+    fitted = fit_outliers(stats.select("lang", "source", "_q.*"), min_rows, reject)
+    return judge(stats, fitted).select(
+        F.col("_id").alias(id_col), *[F.col(f"_q.{c}").alias(c) for c in BASE], "base_failed", "kept", "distance2", "cut2"
     )
 
 
@@ -317,8 +396,8 @@ def keep_quality(
         F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")
     )
     stats = cut(with_statistics(chosen, "_t").select("lang", "source", "_q.*"))
-    fitted = fit_outliers(stats, min_rows)
+    fitted = fit_outliers(stats, min_rows, reject)
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with those added
     rows = with_statistics(docs.toDF(*at.values()).withColumn(at[text_col], F.col(at[text_col]).cast("string")), at[text_col])
     named = rows.withColumns({"lang": F.col(at[lang_col]).cast("string"), "source": F.col(at[source_col]).cast("string")})
-    return judge(named, fitted, reject).where("kept").select(*[F.col(b).alias(a) for a, b in at.items()])
+    return judge(named, fitted).where("kept").select(*[F.col(b).alias(a) for a, b in at.items()])
