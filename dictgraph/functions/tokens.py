@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,40 @@ def segment_tokens(value, delimiter: str = "_") -> Column:
     return F.transform(kept, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
 
 
-def word_tokens(value) -> Column:
-    """English word tokens: lower-cased runs of letters or digits.
+def word_tokens(value, fold: bool = False) -> Column:
+    """English word tokens: lower-cased runs of letters or digits; with ``fold``
+    without accents.
 
     Returns ``array<struct<pos:int, token:string>>``."""
-    words = F.regexp_extract_all(F.lower(_col(value)), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    text = F.lower(_col(value))
+    if fold:
+        text = fold_accents(text)
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
     return F.transform(words, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
 
 
+def _accents() -> tuple[str, str]:
+    """Letters that are one base character with marks, and these bases; then the
+    marks themselves, which ``translate`` drops because no base is left for them.
+    The table is Unicode's own canonical decomposition."""
+    letters, bases = [], []
+    for c in map(chr, range(0x80, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and all(map(unicodedata.combining, parts[1:])):
+            letters.append(c)
+            bases.append(parts[0])
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    return "".join(letters + marks), "".join(bases)
+
+
+def fold_accents(value) -> Column:
+    """The text without accents: México is Mexico. Letters of their own, such as
+    ß, ø and ł, stay."""
+    letters, bases = _accents()
+    text = _col(value)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, letters, bases)).otherwise(text)
+
+
 def adjacent_pairs(tokens, sep: str) -> Column:
     """``array<struct<pos, token>>`` of adjacent tokens at the place of the
     first, joined by ``sep``, which no token may hold."""

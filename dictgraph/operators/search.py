@@ -29,10 +29,11 @@ from dictgraph.functions.constants import (
     TEXT_ARRAY_FIELDS,
     TEXT_LANG_FIELDS,
 )
+from dictgraph.functions.stemming import with_stems
 from dictgraph.functions.tokens import adjacent_pairs, segment_tokens, word_tokens
 from dictgraph.functions.variant import is_array, is_container, is_json_null, is_object, is_string
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted, cut_lineage_observed
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, spread_if_narrow
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, broadcast_small, spread_if_narrow
 from dictgraph.sources.dictionary import prepare_terms
 
 MODES = ("any", "all", "phrase")
@@ -255,10 +256,22 @@ def text_values_by_language(terms: DataFrame) -> DataFrame:
     return keyed.unionByName(plain).filter(F.col("text").isNotNull())
 
 
-def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True, pairs: bool = False, keep=()) -> DataFrame:
+def stemmed(rows: DataFrame, column: str = "token") -> DataFrame:
+    """``rows`` (postings, query tokens) with ``column`` replaced by its English
+    stem. Each distinct token is stemmed once and its stem joined back."""
+    stems = with_stems(rows.select(F.col(column).alias("__token")).distinct(), "__token", "__stem")
+    stems, n = cut_lineage_counted(stems)
+    out = rows.join(broadcast_small(stems, n), F.col(column) == F.col("__token"))
+    return out.withColumn(column, F.col("__stem")).drop("__token", "__stem")
+
+
+def text_index_frame(
+    df: DataFrame, doc_col: str, text_col: str, unit_cols=(), spread: bool = True, pairs: bool = False, keep=(), fold: bool = False
+) -> DataFrame:
     """Word postings ``(doc, unit, token, pos)`` over any text column; with
     ``pairs`` postings of adjacent words, joined by a blank. ``keep`` columns
-    (such as a language) stay with every posting.
+    (such as a language) stay with every posting. ``fold`` drops accents;
+    ``stemmed`` turns the postings into those of stems.
 
     Every text is a unit of its own (its hash is part of the unit), so a phrase
     never spans two rows of one ``doc``. With ``spread`` an input with fewer
@@ -268,7 +281,7 @@ def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), s
     df = df.select(*dict.fromkeys([doc_col, text_col, *unit_cols, *keep]))
     if spread:
         df = spread_if_narrow(df)
-    tokens = word_tokens(F.col(text_col))
+    tokens = word_tokens(F.col(text_col), fold)
     if pairs:
         tokens = adjacent_pairs(tokens, " ")
     return df.select(*keep, F.col(doc_col).alias("doc"), unit.alias("unit"), F.explode(tokens).alias("t")).select(
@@ -276,20 +289,20 @@ def text_index_frame(df: DataFrame, doc_col: str, text_col: str, unit_cols=(), s
     )
 
 
-def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None, pairs: bool = False) -> DataFrame:
+def text_index(terms: DataFrame, lang: str = ENGLISH, fields=None, pairs: bool = False, fold: bool = False) -> DataFrame:
     """Word postings over the text fields of every term in one language;
-    ``fields`` restricts the indexed fields."""
+    ``fields`` restricts the indexed fields, ``fold`` drops accents."""
     vals = text_values(terms, lang)
     if fields is not None:
         vals = vals.filter(F.col("field").isin(list(fields)))
-    return text_index_frame(vals, "gid", "text", ("field", "elem"), pairs=pairs)
+    return text_index_frame(vals, "gid", "text", ("field", "elem"), pairs=pairs, fold=fold)
 
 
-def text_index_languages(terms: DataFrame, pairs: bool = False) -> DataFrame:
+def text_index_languages(terms: DataFrame, pairs: bool = False, fold: bool = False) -> DataFrame:
     """``(lang, doc, unit, token, pos)``: word postings of all languages, made in
     one pass. ``in_language`` picks one; a table partitioned by ``lang`` then
     reads that partition alone."""
-    return text_index_frame(text_values_by_language(terms), "gid", "text", ("field", "elem"), pairs=pairs, keep=("lang",))
+    return text_index_frame(text_values_by_language(terms), "gid", "text", ("field", "elem"), pairs=pairs, keep=("lang",), fold=fold)
 
 
 def in_language(index: DataFrame, lang: str = ENGLISH) -> DataFrame:
@@ -298,16 +311,28 @@ def in_language(index: DataFrame, lang: str = ENGLISH) -> DataFrame:
 
 
 def text_search(
-    index: DataFrame, queries: DataFrame, mode: str = "any", materialize: bool = True, fields=None, pairs: DataFrame | None = None
+    index: DataFrame,
+    queries: DataFrame,
+    mode: str = "any",
+    materialize: bool = True,
+    fields=None,
+    pairs: DataFrame | None = None,
+    fold: bool = False,
+    stem: bool = False,
 ) -> DataFrame:
     """``(query_id, doc)`` for ``(query_id, text)`` queries; ``fields`` searches
     only these fields of an index made by ``text_index``. With ``pairs`` (an
-    index of adjacent words) phrases start from their rarest pair."""
+    index of adjacent words) phrases start from their rarest pair. ``fold`` and
+    ``stem`` treat the queries' words as those of the index were."""
+    if stem and pairs is not None:
+        raise ValueError("pairs hold words, not stems")
 
     def within(df: DataFrame) -> DataFrame:
         return df if fields is None else df.filter(F.substring_index("unit", "\u001f", 1).isin(list(fields)))
 
-    qt = query_tokens(queries, word_tokens)
+    qt = query_tokens(queries, lambda c: word_tokens(c, fold))
+    if stem:
+        qt = stemmed(qt)
     if mode == "phrase" and pairs is not None:
         return phrase_match(within(index), within(pairs), qt, " ", materialize)
     return match(within(index), qt, mode, materialize)
@@ -317,35 +342,40 @@ def phrase_search_texts(df: DataFrame, queries: DataFrame, doc_col: str, text_co
     """``(query_id, doc)``: rows of a text table that hold each query's words in
     order and adjacent, without an index.
 
-    One pass counts the texts of each query word (words of no query are dropped
-    before they are exploded); a second takes the texts with a query's rarest
-    word and looks for the phrase in their words. No postings are written, and
-    a common word alone brings no candidates."""
+    One pass counts the texts of each query word, a second finds the keys of the
+    texts with a query's rarest word, a third reads these texts and looks for
+    the phrase in their words. No postings are written, no text is copied beside
+    its words, and a common word alone brings no candidates."""
     qt, n_tokens = cut_lineage_counted(query_tokens(queries, word_tokens))
     texts = df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
     if spread:
         texts = spread_if_narrow(texts)
+    # Words are exploded beside a key of their text, never beside the text, and
+    # cut to the queries' words where they arise. Texts come last, for the keys
+    # that hold an anchor. Equal texts of one doc share a key and an answer.
+    texts = texts.select("doc", "text", F.xxhash64("text").alias("at"))
     words = F.transform(word_tokens(F.col("text")), lambda t: t["token"])
-    rows = texts.select("doc", words.alias("words"))
-    wanted = qt.select("token").distinct()
-
-    def having(tokens: DataFrame, *keep) -> DataFrame:
-        """(token, *keep) of the texts that have one of ``tokens``."""
-        small = tokens.select("token").distinct().limit(MAX_PUSHED_TOKENS + 1).collect()
-        own = F.array_distinct("words")
-        if len(small) <= MAX_PUSHED_TOKENS:
-            own = F.array_intersect(own, F.array(*[F.lit(r[0]) for r in small]).cast("array<string>"))
-            return rows.select(*keep, F.explode(own).alias("token"))
-        return rows.select(*keep, F.explode(own).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
-
-    freq = having(wanted).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    own = texts.select("doc", "at", F.explode(F.array_distinct(words)).alias("token"))
+    freq = restrict_to_tokens(own, qt.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = qt.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qpos", "token"))), lambda t: t["token"]), " ")
     anchors = ranked.groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("a"), phrase.alias("phrase"))
-    anchors, n = cut_lineage_counted(anchors.select("query_id", F.col("a.token").alias("token"), "phrase"))
-    side = F.broadcast(anchors) if n <= DEFAULT_MAX_BROADCAST_ROWS else anchors
-    within = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    return having(anchors, "doc", "words").join(side, "token").filter(within).select("query_id", "doc").distinct()
+    anchors = anchors.select("query_id", F.col("a.token").alias("token"), "phrase", F.col("a.df").alias("df")).filter("df > 0")
+    anchors, n = cut_lineage_counted(anchors)
+
+    def bytes_of(c: str):
+        return F.coalesce(F.sum(F.octet_length(F.col(c).cast("string")) + 64), F.lit(0))
+
+    def bounded(df: DataFrame, stats: dict) -> DataFrame:
+        fits = stats["rows"] <= DEFAULT_MAX_BROADCAST_ROWS and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+        return F.broadcast(df) if fits else df
+
+    asked = restrict_to_tokens(own, anchors).join(broadcast_small(anchors.select("token", "query_id"), n), "token").select("doc", "at", "query_id")
+    asked, stats = cut_lineage_observed(asked.distinct(), bytes=bytes_of("doc"))
+    phrases, of_phrases = cut_lineage_observed(anchors.select("query_id", "phrase"), bytes=bytes_of("phrase"))
+    found = texts.join(bounded(asked, stats), ["doc", "at"]).join(bounded(phrases, of_phrases), "query_id")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return found.filter(line.contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("query_id", "doc").distinct()
 
 
 # ---------------------------------------------------------------- O13 domain facets

@@ -58,6 +58,7 @@ from dictgraph.registry.graph import (
     q_resolve_then_check_customers,
 )
 from dictgraph.registry import web
+from dictgraph.registry.forms import ORACLE_FORMS, ORACLE_IDENTIFIERS, q_descriptor_forms, q_identifier_fields
 from dictgraph.registry.published import (
     ORACLE_BLOBS,
     ORACLE_FACETS,
@@ -94,7 +95,10 @@ from dictgraph.registry.search import (
     ORACLE_SEGMENT_ANY,
     ORACLE_SEGMENT_PHRASE,
     ORACLE_TERM_LIST,
+    ORACLE_STEMS,
     ORACLE_TEXT_DOCUMENTS,
+    ORACLE_TEXT_FOLDED,
+    ORACLE_TEXT_STEMMED,
     ORACLE_TEXT_TITLES,
     q_domain_filter,
     q_identifier_search,
@@ -102,7 +106,10 @@ from dictgraph.registry.search import (
     q_segment_search_any,
     q_segment_search_phrase,
     q_term_list_view,
+    q_stems,
     q_text_search_documents,
+    q_text_search_folded,
+    q_text_search_stemmed,
     q_text_search_titles,
 )
 
@@ -133,14 +140,19 @@ QUERIES = {
     "resolve_then_check_customers": q_resolve_then_check_customers,
     "descriptor_fields_parts": q_descriptor_fields_parts,
     "descriptor_fields_status": q_descriptor_fields_status,
+    "descriptor_forms": q_descriptor_forms,
     "blob_keys": q_blob_keys,
     "fetch_blobs_pages": q_fetch_blobs_pages,
     "segment_search_phrase": q_segment_search_phrase,
     "segment_search_all": q_segment_search_all,
     "segment_search_any": q_segment_search_any,
     "identifier_search": q_identifier_search,
+    "identifier_fields": q_identifier_fields,
     "text_search_titles": q_text_search_titles,
     "text_search_documents": q_text_search_documents,
+    "text_search_folded": q_text_search_folded,
+    "text_search_stemmed": q_text_search_stemmed,
+    "stems": q_stems,
     "domain_filter": q_domain_filter,
     "term_list_view": q_term_list_view,
     "domain_facets_nested": q_domain_facets_nested,
@@ -185,14 +197,19 @@ ORACLE = {
     "resolve_then_check_customers": ORACLE_RESOLVE_THEN_CHECK,
     "descriptor_fields_parts": ORACLE_FIELDS_PARTS,
     "descriptor_fields_status": ORACLE_FIELDS_STATUS,
+    "descriptor_forms": ORACLE_FORMS,
     "blob_keys": ORACLE_BLOB_KEYS,
     "fetch_blobs_pages": ORACLE_FETCH_BLOBS,
     "segment_search_phrase": ORACLE_SEGMENT_PHRASE,
     "segment_search_all": ORACLE_SEGMENT_ALL,
     "segment_search_any": ORACLE_SEGMENT_ANY,
     "identifier_search": ORACLE_IDENTIFIER,
+    "identifier_fields": ORACLE_IDENTIFIERS,
     "text_search_titles": ORACLE_TEXT_TITLES,
     "text_search_documents": ORACLE_TEXT_DOCUMENTS,
+    "text_search_folded": ORACLE_TEXT_FOLDED,
+    "text_search_stemmed": ORACLE_TEXT_STEMMED,
+    "stems": ORACLE_STEMS,
     "domain_filter": ORACLE_DOMAIN,
     "term_list_view": ORACLE_TERM_LIST,
     "domain_facets_nested": ORACLE_FACETS,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dictgraph import oracle_sql as osql
+from dictgraph.functions.stemming import stem_sql, with_stems
 from dictgraph.operators.search import (
     domain_filter,
     domain_index,
@@ -14,7 +15,9 @@ from dictgraph.operators.search import (
     segment_search,
     term_list_view,
     text_index,
+    text_index_frame,
     phrase_search_texts,
+    stemmed,
     text_search,
 )
 
@@ -122,6 +125,56 @@ SELECT CAST(b.item_id AS BIGINT) AS query_id, CAST(d.doc_id AS BIGINT) AS doc_id
 FROM b JOIN d ON len(b.toks) > 0 AND contains(d.norm, concat(' ', array_to_string(b.toks, ' '), ' '))"""
 
 
+def q_text_search_folded(spark, sf_dir):
+    """Every benchmark passage as a phrase without accents and in small letters,
+    in documents indexed the same way."""
+    documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    upper = F.translate("text", "éèêüaeiou", "eeeuAEIOU")  # asked without some accents and partly in capitals
+    q = benchmark.select(F.col("item_id").alias("query_id"), upper.alias("text"))
+    index, pairs = (text_index_frame(documents, "doc_id", "text", fold=True, pairs=p) for p in (False, True))
+    out = text_search(index, q, "phrase", pairs=pairs, fold=True)
+    return out.select(*_long("query_id"), F.col("doc").cast("long").alias("doc_id"))
+
+
+ORACLE_TEXT_FOLDED = """
+WITH d AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' '), ' ') AS norm FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(strip_accents(lower(translate(text, 'éèêüaeiou', 'eeeuAEIOU'))), '[\\p{L}\\p{N}]+') AS toks FROM benchmark)
+SELECT DISTINCT CAST(b.item_id AS BIGINT) AS query_id, CAST(d.doc_id AS BIGINT) AS doc_id
+FROM b JOIN d ON len(b.toks) > 0 AND contains(d.norm, concat(' ', array_to_string(b.toks, ' '), ' '))"""
+
+
+def q_text_search_stemmed(spark, sf_dir):
+    """Documents that have the stems of all words of a benchmark passage."""
+    documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    q = benchmark.select(F.col("item_id").alias("query_id"), "text")
+    out = text_search(stemmed(text_index_frame(documents, "doc_id", "text")), q, "all", stem=True)
+    return out.select(*_long("query_id"), F.col("doc").cast("long").alias("doc_id"))
+
+
+ORACLE_TEXT_STEMMED = f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents),
+     b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM benchmark),
+     words AS (SELECT token FROM d UNION SELECT token FROM b),
+     stems AS ({stem_sql("words")}),
+     ds AS (SELECT DISTINCT doc_id, stem FROM d JOIN stems USING (token)),
+     bs AS (SELECT DISTINCT item_id, stem FROM b JOIN stems USING (token)),
+     need AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT CAST(item_id AS BIGINT) AS query_id, CAST(doc_id AS BIGINT) AS doc_id
+FROM (SELECT item_id, doc_id, count(*) AS n FROM bs JOIN ds USING (stem) GROUP BY item_id, doc_id) JOIN need USING (item_id, n)"""
+
+
+def q_stems(spark, sf_dir):
+    """The stem of every distinct word of the documents."""
+    (documents,) = tables(spark, sf_dir, "documents")
+    words = text_index_frame(documents, "doc_id", "text").select("token").distinct()
+    return with_stems(words)
+
+
+ORACLE_STEMS = f"""
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents)
+{stem_sql("words")}"""
+
+
 def q_domain_filter(spark, sf_dir):
     d = dictionary(spark, sf_dir)
     (part,) = tables(spark, sf_dir, "part")

@@ -77,18 +77,51 @@ def read_rejected_terms(spark: SparkSession, path: str) -> DataFrame:
     return rejected_terms(spark.read.text(path).withColumnRenamed("value", "doc"), key_col=None)
 
 
+_BROKEN = "__broken"
+
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType, needed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines in ``schema``, and the text of the lines that give
+    none: no JSON object, a field of another kind, or a needed field missing."""
+    wide = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    lines = spark.read.text(path).select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": _BROKEN}).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{_BROKEN}").isNotNull()
+    for name in needed:
+        bad = bad | F.col(f"r.{name}").isNull()
+    return lines.filter(~bad).select(*[f"r.{f.name}" for f in schema.fields]), lines.filter(bad).select(F.col("value").alias("text"))
+
+
+_EDGE_NEEDS = ("_key", "_from", "_to")
+_BLOB_NEEDS = ("_key",)
+
+
 def read_edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Edges from Parquet or JSON lines. A line that is no edge (unreadable, or
+    without key or ends) is left out and kept by ``read_rejected_edges``; an edge
+    without predicate or path is read and never usable."""
     if fmt == "jsonl":
-        return spark.read.schema(EDGE_SCHEMA).json(path)
+        return _json_lines(spark, path, EDGE_SCHEMA, _EDGE_NEEDS)[0]
     return spark.read.schema(EDGE_SCHEMA).parquet(path)
 
 
+def read_rejected_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(text)`` of the JSON lines that ``read_edges`` leaves out."""
+    return _json_lines(spark, path, EDGE_SCHEMA, _EDGE_NEEDS)[1]
+
+
 def read_blobs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Blobs from Parquet or JSON lines; a line without a key is left out and
+    kept by ``read_rejected_blobs``."""
     if fmt == "jsonl":
-        return spark.read.schema(BLOB_SCHEMA).json(path)
+        return _json_lines(spark, path, BLOB_SCHEMA, _BLOB_NEEDS)[0]
     return spark.read.schema(BLOB_SCHEMA).parquet(path)
 
 
+def read_rejected_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """``(text)`` of the JSON lines that ``read_blobs`` leaves out."""
+    return _json_lines(spark, path, BLOB_SCHEMA, _BLOB_NEEDS)[1]
+
+
 def prepare_terms(terms: DataFrame) -> DataFrame:
     """Derive the plain columns the hot operators use, once, at ingest.
 

@@ -4,10 +4,14 @@ Literal validation (O4c), alias resolution (O1) and blob lookup (O8) are a
 join of the request side with a static dictionary relation, so the request
 side may be a Structured Streaming DataFrame: Spark plans a stream-static
 join (left, left-semi and left-anti are all supported with the stream on
-the left). The static side is part of every micro-batch's plan, but a plain
-file source lists its files once, when the DataFrame is made; to see a
-dictionary that is replaced while the stream runs, ``validate_each_batch``
-reads the members anew for every micro-batch.
+the left). Such a plan takes the dictionary as it was when the query was
+defined: a plain file source lists its files once, and ``resolve_alias_stream``
+resolves every key of the dictionary at that moment.
+
+A dictionary that is replaced while the stream runs is followed by the
+``…_each_batch`` functions, for ``foreachBatch``: every micro-batch reads the
+tables as they are then (``current_table``), and only for its own distinct
+keys, which are pushed into the published alias map, terms and blobs.
 
 The looping operators (O3 expansion, O5 graph resolution) need actions per
 hop and are batch-only; ``for_each_batch`` runs any batch operator on every
@@ -23,8 +27,15 @@ from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import BLOBS, NOT_FOUND, OK
 from dictgraph.functions.keys import strip_collection
+from dictgraph.operators.blobs import fetch_blobs
 from dictgraph.operators.membership import validate_column
-from dictgraph.operators.terms import resolve_keys
+from dictgraph.operators.terms import resolve_alias, resolve_keys
+
+
+def current_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table as it is now, also if it was replaced since it was last read."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def validate_stream(stream: DataFrame, code, root: str, edges: DataFrame, mode: str = "flag", **kw) -> DataFrame:
@@ -60,6 +71,33 @@ def resolve_alias_stream(stream: DataFrame, terms: DataFrame, edges: DataFrame,
     return out.withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
 
 
+def resolve_alias_each_batch(
+    load: Callable[[SparkSession], tuple[DataFrame, DataFrame]],
+    sink: Callable[[DataFrame, int], None],
+    gid_col: str = "gid",
+    with_doc: bool = False,
+):
+    """A ``foreachBatch`` function for O1 under a dictionary that changes:
+    ``load(spark)`` gives the terms and the published alias map as they are at
+    each micro-batch. Only the batch's distinct keys are looked up."""
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        terms, aliases = load(batch.sparkSession)
+        sink(resolve_alias(batch, terms, None, gid_col=gid_col, with_doc=with_doc, alias_table=aliases), epoch_id)
+
+    return run
+
+
+def fetch_blobs_each_batch(load: Callable[[SparkSession], DataFrame], sink: Callable[[DataFrame, int], None], key_col: str = "key"):
+    """A ``foreachBatch`` function for O8 under blobs that change: ``load(spark)``
+    gives them as they are at each micro-batch; only its keys are looked up."""
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        sink(fetch_blobs(batch, load(batch.sparkSession), key_col=key_col), epoch_id)
+
+    return run
+
+
 def fetch_blobs_stream(stream: DataFrame, blobs: DataFrame, key_col: str = "key") -> DataFrame:
     """O8 on a stream of keys."""
     req = stream.withColumn("_key", strip_collection(F.col(key_col), BLOBS))
