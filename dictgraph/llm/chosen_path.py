@@ -19,7 +19,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64  # minhash values that stand for a set in the paths
 FANOUT = 2  # coordinates on which a large bucket is split
-TARGET_RECALL = 0.999999  # for a pair right at the threshold
+TARGET_RECALL = 0.99995  # for a pair right at the threshold, over the spread of its coordinates
 BUCKET = 64  # a bucket up to this size is compared at once
 BLOCK = 1024  # sets of a larger one that meet in one comparison
 SLACK = 0.25  # share of agreeing coordinates below the threshold that is still verified
@@ -30,15 +30,41 @@ _WORD_FACTORS = _rng.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.
 _FACTORS = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs_needed(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, fanout: int = FANOUT) -> int:
-    """Runs after which a pair at the threshold has met in some leaf with the
-    wanted probability. A run's first coordinate agrees with probability t;
-    below it a pair stays together for good with the probability s that solves
-    s = 1 - (1 - t s) ** fanout."""
+def stays_together(t: float, fanout: int = FANOUT) -> float:
+    """Probability that a pair with a share ``t`` of agreeing coordinates meets in
+    a leaf of one run, however deep: the first coordinate agrees with probability
+    t; below it the pair survives with the s that solves s = 1 - (1 - t s) ** fanout."""
     s = 1.0
     for _ in range(1000):
-        s = 1 - (1 - threshold * s) ** fanout
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * s))
+        s = 1 - (1 - t * s) ** fanout
+    return t * s
+
+
+def recall_of(runs: int, threshold: float = THRESHOLD, fanout: int = FANOUT) -> float:
+    """Probability that a pair right at the threshold meets in some leaf. All runs
+    draw on the same COORDINATES, of which a binomial number agrees, so it is the
+    mean over that number; a pair with fewer agreeing ones than ``_least`` asks
+    for is not verified either."""
+    total = 0.0
+    for k in range(_least(), COORDINATES + 1):
+        share = math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        total += share * (1 - (1 - stays_together(k / COORDINATES, fanout)) ** runs)
+    return total
+
+
+def runs_needed(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, fanout: int = FANOUT) -> int:
+    """The least number of runs with the wanted recall at the threshold."""
+    runs = 1
+    while recall_of(runs, threshold, fanout) < recall:
+        runs += 1
+        if runs > 200:
+            raise ValueError("so few coordinates cannot give this recall")
+    return runs
+
+
+def _least() -> int:
+    """Agreeing coordinates from which on a pair is verified."""
+    return math.floor((THRESHOLD - SLACK) * COORDINATES)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -85,8 +111,9 @@ def _sketches(batches):
                 pa.array(keys, pa.string()),
                 pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array([None if r is None else r.astype(np.uint8).tobytes() for r in rows], pa.binary()),
             ],
-            names=["_id", "text_key", "key", "n", "sketch"],
+            names=["_id", "text_key", "key", "n", "sketch", "low"],
         )
 
 
@@ -97,7 +124,9 @@ def _leaves(sets: DataFrame, total: int, runs: int) -> DataFrame:
     Buckets of one set end, small ones are leaves, larger ones are split on
     FANOUT coordinates that the path's hash chooses, unless the last split left
     more than half of its bucket together: these sets are alike, and more
-    splitting would only copy them."""
+    splitting would only copy them (also pages of one template, 0.62 alike:
+    splitting 600 of them down to BUCKET makes 167 million comparisons, where
+    all pairs are 180 thousand)."""
     roots = [F.struct(F.xxhash64(F.lit(r), F.col("sketch")[r % COORDINATES]).alias("path")) for r in range(runs)]
     level = sets.select("key", F.explode(F.array(*roots)).alias("r")).select("r.path", "key", F.lit(total).cast("long").alias("above"))
     found = []
@@ -159,10 +188,11 @@ def _grouped(batches, columns):
 
 def _alike(least, batches):
     """The sets of each comparison that agree with another on enough coordinates
-    and have a size that allows the similarity."""
+    (their lowest bytes: others agree by chance once in 256 times) and have a
+    size that allows the similarity."""
     release()
-    for (leaf, i, j), g in _grouped(batches, ["own", "key", "n", "sketch"]):
-        s = np.array(g["sketch"], np.int32)
+    for (leaf, i, j), g in _grouped(batches, ["own", "key", "n", "low"]):
+        s = np.frombuffer(b"".join(g["low"]), np.uint8).reshape(-1, COORDINATES)
         n = np.array(g["n"], np.int64)
         own = np.array(g["own"])
         hit = np.zeros(len(n), bool)
@@ -300,17 +330,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, runs: int | None) -> Data
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("_id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
-    rows = cut(source.mapInArrow(_sketches, f"_id {kind}, text_key string, key string, n long, sketch array<int>"))
+    rows = cut(source.mapInArrow(_sketches, f"_id {kind}, text_key string, key string, n long, sketch array<int>, low binary"))
     # equal words are one set: it is sketched, placed and compared once
     sets = cut(
         rows.where("key is not null")
         .groupBy("key")
-        .agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"))
+        .agg(F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"))
     )
     leaves = cut(_leaves(sets, sets.count(), runs or runs_needed()))
-    compared = _by_comparison(_comparisons(leaves).join(sets.select("key", "n", "sketch"), "key"))
-    least = math.floor((THRESHOLD - SLACK) * COORDINATES)
-    alike = cut(compared.mapInArrow(partial(_alike, least), "leaf long, i int, j int, own int, key string"))
+    compared = _by_comparison(_comparisons(leaves).join(sets.select("key", "n", "low"), "key"))
+    alike = cut(compared.mapInArrow(partial(_alike, _least()), "leaf long, i int, j int, own int, key string"))
 
     wanted = sets.join(alike.select("key").distinct(), "key", "left_semi").select("key", "text_key", "copies")
     wanted = cut(wanted)

@@ -113,8 +113,56 @@ def test_empty_table(docs):
 
 
 def test_runs_reach_the_recall():
+    """Trees simulated on pairs with their own number of agreeing coordinates."""
     runs = C.runs_needed()
-    assert runs <= C.COORDINATES and (1 - 0.8 * 0.9375) ** runs <= 1 - C.TARGET_RECALL
+    assert C.recall_of(runs) >= C.TARGET_RECALL > C.recall_of(runs - 1)
+    rng = np.random.default_rng(1)
+
+    def meets(agree, depth=12):
+        """Whether a pair that agrees on these coordinates stays together."""
+        todo = [(agree[rng.integers(len(agree))], depth)]
+        while todo:
+            ok, left = todo.pop()
+            if ok and left == 0:
+                return True
+            if ok:
+                todo += [(agree[rng.integers(len(agree))], left - 1) for _ in range(C.FANOUT)]
+        return False
+
+    pairs = [rng.random(C.COORDINATES) < 0.8 for _ in range(1500)]
+    found = np.mean([any(meets(p) for _ in range(2)) for p in pairs])
+    assert abs(found - C.recall_of(2)) < 0.03
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """Every pair with a similarity of 0.80 to 0.85, among texts that share words."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    while pairs < 400:
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(80, 160))]
+        other = edited(rng, base, rng.randrange(1, 5))
+        a, b = grams(" ".join(base)), grams(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sum(r.class_id == r.doc_id - 1 for r in C.similarity_join(df).collect() if r.doc_id % 2)
+    assert found >= 399
+
+
+def test_comparisons_of_pages_of_a_template(spark):
+    """600 sets about 0.62 alike, below the threshold, among others: what a run
+    compares stays about all pairs of the group, since splitting on costs more."""
+    rng = random.Random(8)
+    shared = [f"t{i}" for i in range(154)]
+    texts = [" ".join(shared + [f"x{rng.randrange(10**9)}" for _ in range(44)]) for _ in range(600)]
+    a, b = grams(texts[0]), grams(texts[1])
+    assert 0.55 < len(a & b) / len(a | b) < 0.7
+    texts += [" ".join(f"y{rng.randrange(10**9)}" for _ in range(60)) for _ in range(2400)]
+    sets = spark.createDataFrame([(str(i), C.sketch(C.shingles(words_of(t.encode()))).tolist()) for i, t in enumerate(texts)], "key string, sketch array<int>")
+    runs = C.runs_needed()
+    sizes = {r.leaf: r.n for r in C._leaves(sets, len(texts), runs).collect()}
+    assert sum(n * (n - 1) // 2 for n in sizes.values()) < 2 * runs * 600 * 599 / 2
 
 
 def test_sketches_estimate_similarity():
