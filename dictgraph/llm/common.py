@@ -118,6 +118,14 @@ def most_frequent(counts: DataFrame, size: int, key: str, n: str = "n") -> DataF
     return counts.where(step >= least).orderBy(F.desc(n), key).limit(size)
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Place of a column, by its exact name or else whatever its capitals, as
+    Spark resolves it."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def texts_of(column) -> list[str]:
     """Arrow string column to a list; a null text counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

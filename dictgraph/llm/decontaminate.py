@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import held, ship_package, texts_of
+from dictgraph.llm.common import held, place_of, ship_package, texts_of
 
 WINDOW = 10
 # Words of one automaton (a few hundred bytes each in a worker); a larger
@@ -340,7 +340,7 @@ def remove_contamination(
     null texts and clean rows stay as they are."""
     blocks = benchmark_blocks(benchmark, window, block_words, item_col, item_text_col)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(partial(_clean, blocks, window, max_coverage, rows.columns.index(text_col)), rows.schema)
+    return rows.mapInArrow(partial(_clean, blocks, window, max_coverage, place_of(rows, text_col)), rows.schema)
 
 
 def items_digest(items) -> Column:

@@ -12,22 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import release, ship_package
+from dictgraph.llm.common import place_of, release, ship_package
 
 ROUNDS = 10
 
+# Digits are those of ASCII throughout: other scripts' digits make no value.
+_DIGITS = "0123456789"
+
 # Candidates; what they must satisfy besides is checked in the functions below.
 _EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(
     r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|(?:api|access|private)[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([a-z0-9+/_-]{8,})"
 )
 _NUMBER = re.compile(
-    r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\w|\.\d)"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}(?P<s5>[ .-])\d{3}(?P=s5)\d{4})(?![\w-]|\.\d)"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w/.-])(?P<date>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!(?!T\d)\w|[-/.]\d)"
-    r"|(?<![\w-])(?P<card>\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5}|\d{13,19})(?![\w-])"
-    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+    r"(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\w|\.[0-9])"
+    r"|(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<s5>[ .-])[0-9]{3}(?P=s5)[0-9]{4})(?![\w-]|\.[0-9])"
+    r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
+    r"|(?<![\w/.-])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?!(?!T[0-9])\w|[-/.][0-9])"
+    r"|(?<![\w-])(?P<card>[0-9]{4}(?P<s3>[ .-])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{1,7}|[0-9]{4}(?P<s4>[ .-])[0-9]{6}(?P=s4)[0-9]{5}|[0-9]{13,19})(?![\w-]|\.[0-9])"
+    r"|(?<!\w)(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
 )
 
 # Lengths of IBANs by country (public registry).
@@ -41,6 +44,38 @@ _IBAN_LENGTHS = {
     ).split()
 }
 
+# Digits of a phone number after its country code, at the most, by code (public
+# numbering plans). Under other codes a number has 15 digits in all at the most.
+_PHONE_LENGTHS = {
+    c.split(":")[0]: int(c.split(":")[1])
+    for c in (
+        "1:10 7:10 20:10 27:9 30:10 31:9 32:9 33:9 34:9 36:9 39:11 40:9 41:9 43:13 44:10 45:8 46:9 47:8 48:9 49:11 51:9 52:10 53:8 54:11 "
+        "55:11 56:9 57:10 58:10 60:10 61:9 62:12 63:10 64:10 65:8 66:9 81:10 82:11 84:10 86:11 90:10 91:10 92:10 93:9 94:9 95:10 98:10 "
+        "212:9 213:9 216:8 218:9 234:10 254:10 351:9 352:11 353:9 354:9 358:12 359:9 370:8 371:8 372:8 380:9 381:9 385:9 386:8 420:9 421:9 "
+        "852:8 853:8 855:9 880:10 886:9 960:7 961:8 962:9 963:9 964:10 965:8 966:9 968:8 971:9 972:9 973:8 974:8 977:10 992:9 994:9 995:9 "
+        "996:9 998:9"
+    ).split()
+}
+
+# Names of the months, in full and, in English, their first letters.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "en short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+# A name that two lists share counts for the first of them.
+_MONTH_OF: dict[str, tuple[str, int]] = {}
+for _list, _names in _MONTHS.items():
+    for _at, _name in enumerate(_names):
+        _MONTH_OF.setdefault(_name, (_list, _at + 1))
+_MONTH = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+_NAMED = re.compile(
+    rf"(?<![\w.,/-])(?P<d1>[0-9]{{1,2}})(?:st|nd|rd|th|\.|er)?(?: de)? (?P<m1>{_MONTH})\.?(?: de|,)? (?P<y1>[0-9]{{4}})(?![\w-])"
+    rf"|(?<!\w)(?P<m2>{_MONTH})\.? (?P<d2>[0-9]{{1,2}})(?:st|nd|rd|th)?,? (?P<y2>[0-9]{{4}})(?![\w-])"
+)
+
 
 class Permutation:
     """Keyed permutation of 0..size-1 without fixed points.
@@ -109,11 +144,11 @@ def iban_check(country: str, body: str) -> int:
 def _fill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in _DIGITS else c for c in shape)
 
 
 def _card(text: str, key: bytes, step: int) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub("[^0-9]", "", text)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
         return None
     n = len(digits) - 2
@@ -134,14 +169,24 @@ def _iban(text: str, key: bytes, step: int) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+def _country(digits: str) -> tuple[str, int]:
+    """Country code and the most digits that can follow it."""
+    for n in (1, 2, 3):
+        if digits[:n] in _PHONE_LENGTHS:
+            return digits[:n], _PHONE_LENGTHS[digits[:n]]
+    return digits[:1], 14
+
+
 def _phone(text: str, key: bytes, step: int) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    """The country code stays, as it decides how long a number can be."""
+    digits = re.sub("[^0-9]", "", text)
     if not text.startswith("+"):
         digits = "1" + digits  # a number of ten digits is the same with or without +1
-    if not 8 <= len(digits) <= 15:
+    code, most = _country(digits)
+    n = len(digits) - len(code)
+    if len(digits) < 8 or n > most:
         return None
-    n = len(digits) - 1
-    new = digits[0] + str(_permutation(key, f"phone{n}{digits[0]}", 10**n)(int(digits[1:]), step)).zfill(n)
+    new = code + str(_permutation(key, f"phone{n}{code}", 10**n)(int(digits[len(code) :]), step)).zfill(n)
     return _fill(text, new if text.startswith("+") else new[1:])
 
 
@@ -176,7 +221,7 @@ def _date(text: str, key: bytes, step: int) -> str | None:
     """A day of 1900 to 2099. With the year last, dots mean day first; slashes
     and hyphens mean month first where that is a date, else day first (such
     dates stay among those that can only be read so)."""
-    sep = re.search(r"\D", text).group()
+    sep = re.search("[^0-9]", text).group()
     parts = text.split(sep)
     if len(parts[0]) == 4:
         order = (0, 1, 2)
@@ -204,6 +249,34 @@ def _date(text: str, key: bytes, step: int) -> str | None:
     return sep.join(out)
 
 
+def _named_date(text: str, key: bytes, step: int) -> str | None:
+    """A day of 1900 to 2099 with its month in letters. The new month is written
+    in the same list of names, among the names that are read as of that list."""
+    m = _NAMED.fullmatch(text)
+    k = "1" if m.group("m1") else "2"
+    names, month = _MONTH_OF[m.group("m" + k)]
+    try:
+        day = date(int(m.group("y" + k)), month, int(m.group("d" + k)))
+    except ValueError:
+        return None
+    x = day.toordinal() - _FIRST
+    if not 0 <= x < _DAYS:
+        return None
+    permute = _permutation(key, "date", _DAYS)
+    while True:
+        x = permute(x, step)
+        day = date.fromordinal(x + _FIRST)
+        if _MONTH_OF[name := _MONTHS[names][day.month - 1]][0] == names:
+            break
+    wide = 2 if m.group("d" + k)[0] == "0" else 1
+    new = {"d" + k: str(day.day).zfill(wide), "m" + k: name, "y" + k: f"{day.year:04d}"}
+    out, at = [], 0
+    for group in sorted(new, key=m.start):
+        out += [text[at : m.start(group)], new[group]]
+        at = m.end(group)
+    return "".join([*out, text[at:]])
+
+
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 
@@ -227,18 +300,21 @@ def _characters(text: str, tweak: str, key: bytes, step: int, alphabet: str | No
 
 
 def _secret(text: str, key: bytes, step: int) -> str | None:
-    if not any(c.isdigit() for c in text):
+    if not any(c in _DIGITS for c in text):
         return None
     hexes = next((a for a in ("0123456789abcdef", "0123456789ABCDEF") if set(text) <= set(a)), None)
     return _characters(text, "secret", key, step, hexes)
 
 
 def _email(text: str, key: bytes, step: int) -> str | None:
-    return _characters(text, "email", key, step)
+    """Small and capital letters are one class here: addresses that differ in
+    them alone are one person's, and so are their pseudonyms."""
+    new = _characters(text.lower(), "email", key, step)
+    return new and "".join(c.upper() if old.isupper() else c for c, old in zip(new, text))
 
 
 _NUMBER_KINDS = ("ip", "phone", "ssn", "date", "card", "iban")
-_KINDS = {"ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card, "iban": _iban, "email": _email, "secret": _secret}
+_KINDS = {"ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card, "iban": _iban, "email": _email, "secret": _secret, "named date": _named_date}
 
 
 @lru_cache(65_536)
@@ -254,15 +330,14 @@ _WORD = re.compile(r"\w+")
 def _ends(kind: str, found: str) -> list[int]:
     """Where a candidate may end, in the order of trial: it can have taken in a
     word that follows the value. What decides (the form, the country of an
-    IBAN, the first digit of a phone number) is the same in the pseudonym."""
+    IBAN, the country code of a phone number) is the same in the pseudonym."""
     ends = [m.end() for m in _WORD.finditer(found)][::-1]
     if kind == "iban":
         size = _IBAN_LENGTHS.get(found[:2])
         return [e for e in ends if size in (None, e - found.count(" ", 0, e))]
     if kind == "phone" and found[0] == "+":
-        # plans of one length and one-digit codes; else the longest that counts as a number
-        plan = [e for e in ends if found[1] in "17" and sum(map(str.isdigit, found[:e])) == 11]
-        return plan + ends
+        # the longest that its country's plan allows; a longer one is another number's
+        return ends
     return [len(found)]
 
 
@@ -272,6 +347,7 @@ def _spans(text: str, valid):
         yield from ((*m.span(1), m.end(), "email") for m in _EMAIL.finditer(text))
     if "=" in text or ":" in text:
         yield from ((*m.span(1), m.end(1), "secret") for m in _SECRET.finditer(text))
+    yield from ((m.start(), m.end(), m.end(), "named date") for m in _NAMED.finditer(text))
     at = 0
     while m := _NUMBER.search(text, at):
         kind = next(k for k in _NUMBER_KINDS if m.group(k) is not None)
@@ -300,7 +376,7 @@ def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[str]]:
     for start, _, end, whole, kind, new in sorted(found):
         if start >= taken:  # an address or credential begins before a number inside it
             out += [text[at:start], new]
-            kinds.append(kind)
+            kinds.append("date" if kind == "named date" else kind)
             at, taken = end, whole
     return "".join([*out, text[at:]]), kinds
 
@@ -326,11 +402,15 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text")
     Feistel permutation of all values of their format under ``key``: the result
     is valid in the same format and written the same way, never the value
     itself, and equal values give equal results in every document, however they
-    are grouped. Numbers that are not valid stay as they are.
+    are grouped. Months may be digits or names (English, German, French, Spanish).
+    Numbers that are not valid stay as they are, and so do digits other than
+    those of ASCII. A phone number keeps its country code and ends where its
+    country's plan must end; mail addresses link whatever their capitals.
 
     Null texts stay null, and rows without such values stay as they are, other
-    columns always. Every row is worked on by itself; whoever holds the key can
-    undo it (``restore_documents``).
+    columns always; repeated rows stay repeated, an empty table stays empty. Every
+    row is worked on by itself, a very long text is held whole by its task;
+    whoever holds the key can undo it (``restore_documents``).
     """
     return _mapped(docs, key, 1, text_col)
 
@@ -343,13 +423,14 @@ def restore_documents(docs: DataFrame, key: bytes, text_col: str = "text") -> Da
 def _mapped(docs: DataFrame, key: bytes, step: int, text_col: str) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(partial(_replace, key, step, rows.columns.index(text_col), False), rows.schema)
+    return rows.mapInArrow(partial(_replace, key, step, place_of(rows, text_col), False), rows.schema)
 
 
 def pii_report(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``text`` with pseudonyms, ``n_values`` and ``kinds`` (in the
     order of the text) of every row; see ``pseudonymise_documents``. A null text
-    stays null with no values; repeated rows and null ids are kept."""
+    stays null with no values; repeated rows and null ids are kept, an empty table
+    gives an empty result."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, text string, kinds array<string>"

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import cut, release, ship_package, texts_of
+from dictgraph.llm.common import cut, place_of, release, ship_package, texts_of
 
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -91,7 +91,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ship_package(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema += ", _q struct<" + ", ".join(f"{c}: bigint" for c in STATISTICS) + ">"
-    return docs.mapInArrow(partial(_statistics, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(partial(_statistics, place_of(docs, text_col)), schema)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -397,6 +397,7 @@ def keep_quality(
     )
     stats = cut(with_statistics(chosen, "_t").select("lang", "source", "_q.*"))
     fitted = fit_outliers(stats, min_rows, reject)
+    text_col, lang_col, source_col = (docs.columns[place_of(docs, c)] for c in (text_col, lang_col, source_col))
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with those added
     rows = with_statistics(docs.toDF(*at.values()).withColumn(at[text_col], F.col(at[text_col]).cast("string")), at[text_col])
     named = rows.withColumns({"lang": F.col(at[lang_col]).cast("string"), "source": F.col(at[source_col]).cast("string")})

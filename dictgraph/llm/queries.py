@@ -3,6 +3,8 @@ the whole of its table and with production parameters."""
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,17 @@ from dictgraph.llm.token_count import count_tokens
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+_made_keys: dict[str, bytes] = {}
+
+
 def pii_key(spark: SparkSession) -> bytes:
-    """The secret of the pseudonyms: set ``spark.dictgraph.pii.key`` in a real
-    run; without it a fixed one is used, which hides nothing from its reader."""
-    return spark.conf.get("spark.dictgraph.pii.key", "dictgraph test key").encode()
+    """The secret of the pseudonyms: ``spark.dictgraph.pii.key``. Without it a
+    random one is made for the application: values are then linked within its
+    runs, and nobody can undo them afterwards."""
+    key = spark.conf.get("spark.dictgraph.pii.key", None)
+    if key:
+        return key.encode()
+    return _made_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

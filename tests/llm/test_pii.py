@@ -155,3 +155,87 @@ def test_phones_link_whatever_follows():
 def test_a_value_behind_a_failed_one_is_found():
     text = "AB12 4111 1111 1111 1111 and AT611904300234573201 ES9121000418450200051332"
     assert pii.pseudonymise(text, KEY)[1] == ["card", "iban", "iban"]
+
+
+def test_phones_end_where_their_country_does():
+    alone = pii.pseudonymise("+49 30 1234567", KEY)[0]
+    assert pii.pseudonymise("+49 30 1234567 2024", KEY)[0] == alone + " 2024" and alone.startswith("+49 ")
+    for value, after in (("+351 912 345 678", " 12345"), ("+33 1 42 68 53 00", " 2023"), ("+371 2123 4567", " 99")):
+        assert pii.pseudonymise(value + after, KEY) == (pii.pseudonym("phone", value, KEY) + after, ["phone"])
+
+
+NAMED = ["5 January 2024", "January 5, 2024", "Jan. 5, 2024", "31 Dec 1999", "1. März 2001", "3 février 2010", "2 de mayo de 2015", "May 1st, 2020", "7th August 1985"]
+
+
+@pytest.mark.parametrize("value", NAMED)
+def test_dates_with_names_of_months(value):
+    new, kinds = pii.pseudonymise(f"on {value}, say", KEY)
+    assert kinds == ["date"] and not new.startswith(f"on {value},") and pii.pseudonymise(new, KEY, -1)[0] == f"on {value}, say"
+    assert re.sub(r"[^\W\d]+|\d+", "x", new) == re.sub(r"[^\W\d]+|\d+", "x", f"on {value}, say")
+
+
+def test_dates_link_across_writings():
+    iso = date.fromisoformat(pii.pseudonym("date", "2024-01-05", KEY))
+    assert pii.pseudonym("named date", "5 January 2024", KEY) == f"{iso.day} {iso.strftime('%B')} {iso.year}"
+    for text in ("30 February 2020", "5 January 2250", "January 2024", "5 Marchand 2020"):
+        assert pii.pseudonymise(text, KEY) == (text, [])
+
+
+def test_mail_links_whatever_its_capitals():
+    new = [pii.pseudonymise(f"{x}@mail.example.com", KEY)[0] for x in ("joe.b", "Joe.B", "JOE.B")]
+    assert len({n.lower() for n in new}) == 1 and new[1].split("@")[0].istitle() and new[2].split("@")[0].isupper()
+    assert pii.pseudonymise(new[1], KEY, -1)[0] == "Joe.B@mail.example.com"
+
+
+def test_only_ascii_digits_make_values():
+    for text in ("٤١١١١١١١١١١١١١١١", "٤١١١١١١١١١١١١١١١ and 7", "٢٠٢٤-٠١-٠٥ 1"):
+        assert pii.pseudonymise(text, KEY) == (text, [])
+    assert pii.pseudonymise("4111.1111.1111.1111", KEY)[1] == ["card"]
+
+
+def test_planted_values_and_nothing_else(spark):
+    """Known values among words, numbers and signs: what must come out is put
+    together from their pseudonyms, without looking for them."""
+    rng = random.Random(21)
+    fixed = [(k, v) for k, vs in VALID.items() for v in vs if k not in ("secret",)]
+    noise = ["the", "of", "Zug", "é", "12", "7,", "(a)", "2024", "v1.2", "x9", "A4", "--", "100%", "No.", "3/4", "99999"]
+    bad = {"phone": {"12", "2024", "99999", "7,", "3/4"}, "iban": {"A4", "12", "2024", "99999", "No.", "Zug", "7,", "3/4"}, "card": {"12", "7,", "2024", "99999", "3/4"}, "date": set(), "ip": set(), "ssn": set(), "email": set()}
+    texts, want = [], []
+    for _ in range(300):
+        parts, out = [], []
+        for _ in range(rng.randrange(1, 12)):
+            word = rng.choice(noise)
+            parts.append(word)
+            out.append(word)
+            if rng.random() < 0.4:
+                kind, value = rng.choice(fixed)
+                parts.append(value)
+                local, _, domain = value.partition("@")  # of an address the part before the sign is mapped
+                out.append(pii.pseudonym(kind, local, KEY) + (f"@{domain}" if domain else ""))
+                ends = [w for w in noise if w not in bad[kind] and not w[0].isdigit()]
+                parts.append(follow := rng.choice(ends))
+                out.append(follow)
+                parts[-2] += ";" if kind in ("phone", "card", "iban", "date") else ""
+                out[-2] += ";" if kind in ("phone", "card", "iban", "date") else ""
+                word = "the"  # what stands before a value may be a number too, but not part of it
+            if parts[-1][-1].isdigit() or parts[-1] in ("v1.2", "3/4", "7,"):
+                parts.append("and")
+                out.append("and")
+        texts.append(" ".join(parts))
+        want.append(" ".join(out))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, TEXT string").repartition(3)
+    got = {r.doc_id: r[1] for r in pii.pseudonymise_documents(docs, KEY, "text").collect()}
+    assert {i: (texts[i], got[i], w) for i, w in enumerate(want) if got[i] != w} == {}
+
+
+def test_without_a_key_none_is_known(spark):
+    from dictgraph.llm.queries import pii_key
+
+    assert spark.conf.get("spark.dictgraph.pii.key", None) is None
+    key = pii_key(spark)
+    assert len(key) == 32 and pii_key(spark) == key
+    spark.conf.set("spark.dictgraph.pii.key", "given")
+    try:
+        assert pii_key(spark) == b"given"
+    finally:
+        spark.conf.unset("spark.dictgraph.pii.key")
