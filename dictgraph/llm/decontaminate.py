@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-from functools import partial
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import held, place_of, ship_package, texts_of
+from dictgraph.llm.common import cut, held, place_of, ship_package, texts_of
 
 WINDOW = 10
 # Words of one automaton (a few hundred bytes each in a worker); a larger
-# benchmark is cut into as many as it needs, held one at a time.
+# benchmark is cut into as many as it needs, and each makes its own pass.
 BLOCK_WORDS = 250_000
 CHUNK_WORDS = 5_000
 
@@ -152,9 +153,8 @@ class Automaton:
                         yield at, items
 
 
-def match_batch(automaton: Automaton, texts: list[bytes], found: list[tuple[np.ndarray, set[str]]] | None = None):
-    """For every text its hit words (a mask) and the items whose windows it
-    has, joined with those in ``found`` (of earlier automata)."""
+def match_batch(automaton: Automaton, texts: list[bytes]) -> list[tuple[np.ndarray, set[str]]]:
+    """For every text its hit words (a mask) and the items whose windows it has."""
     get = automaton.word_id.get
     flat: list[int] = []
     starts = [0]
@@ -168,8 +168,7 @@ def match_batch(automaton: Automaton, texts: list[bytes], found: list[tuple[np.n
     ends = np.asarray(starts[1:])
     for at, items in automaton.find(ids, hit):
         own[int(np.searchsorted(ends, at - 1, "right"))] |= items
-    out = [(hit[a : b - 1], s) for a, b, s in zip(starts, starts[1:], own)]
-    return out if found is None else [(h | g, s | t) for (h, s), (g, t) in zip(out, found)]
+    return [(hit[a : b - 1], s) for a, b, s in zip(starts, starts[1:], own)]
 
 
 def automaton_of(block, window: int) -> Automaton:
@@ -177,13 +176,12 @@ def automaton_of(block, window: int) -> Automaton:
     return held(("automaton", block.id, window), lambda: Automaton([(name, words.split()) for name, words in block.value], window))
 
 
-def match(blocks, window: int, texts: list[bytes]):
-    found = None
-    for block in blocks:
-        found = match_batch(automaton_of(block, window), texts, found)
-    if found is None:
-        found = [(np.zeros(len(words_of(t)), bool), set()) for t in texts]
-    return found
+def match(block, window: int, texts: list[bytes]):
+    """For every text its hit words (a mask) and the items it has windows of;
+    without a block nothing is hit."""
+    if block is None:
+        return [(np.zeros(len(words_of(t)), bool), set()) for t in texts]
+    return match_batch(automaton_of(block, window), texts)
 
 
 class _Block:
@@ -216,24 +214,28 @@ def _chunks(window, batches):
 
 def benchmark_blocks(
     benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item_col: str = "item_id", text_col: str = "text"
-) -> list[_Block]:
-    """The benchmark's normalised words as broadcasts of about ``block_words``
-    words, each built by itself. Long items are cut into chunks that overlap by
-    a window less one word, so that each window is whole in one of them."""
+) -> Iterator[tuple[int, _Block]]:
+    """The number of blocks, and one after another as broadcasts, each of about
+    ``block_words`` words of the benchmark, normalised. A block is taken back
+    when the next is asked for, so that the driver and the workers hold one.
+    Long items are cut into chunks that overlap by a window less one word, so
+    that each window is whole in one of them."""
     spark = benchmark.sparkSession
     ship_package(spark)
-    chunks = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
-        partial(_chunks, window), "item string, words binary, n long"
+    chunks = cut(
+        benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
+            partial(_chunks, window), "item string, words binary, n long"
+        )
     )
     total = chunks.agg(F.sum("n")).first()[0] or 0
     n = -(-total // block_words)
     block = F.pmod(F.xxhash64("item", "words"), F.lit(max(n, 1)))
-    out = []
     for k in range(n):
-        rows = [(r.item, bytes(r.words)) for r in chunks.where(block == k).select("item", "words").distinct().collect()]
+        rows = [(r.item, bytes(r.words)) for r in chunks.where(block == k).select("item", "words").distinct().collect()]  # about block_words words
         broadcast = spark.sparkContext.broadcast(rows)
-        out.append(_Block(broadcast, f"{spark.sparkContext.applicationId}/{broadcast._jbroadcast.id()}"))
-    return out
+        yield n, _Block(broadcast, f"{spark.sparkContext.applicationId}/{broadcast._jbroadcast.id()}")
+        if n > 1:
+            broadcast.unpersist()
 
 
 def spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -251,24 +253,64 @@ def cut_words(data: bytes, mask: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _report(blocks, window, batches):
+def _report(block, window, batches):
     for batch in batches:
         texts = [t.encode() for t in texts_of(batch.column(1))]
-        found = match(blocks, window, texts)
-        n_hit = [int(h.sum()) for h, _ in found]
+        yield _report_rows(batch, match(block, window, texts))
+
+
+def _report_rows(batch, found):
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            pa.array([len(h) for h, _ in found], pa.int64()),
+            pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+            pa.array([len(s) for _, s in found], pa.int64()),
+            pa.array([sorted(s) for _, s in found], pa.list_(pa.string())),
+            pa.array([max((b - a for a, b in spans(h)), default=0) for h, _ in found], pa.int64()),
+        ],
+        names=[batch.schema.field(0).name, "n_words", "n_hit", "n_items", "items", "longest_hit"],
+    )
+
+
+def _hits(block, window, batches):
+    """Of the rows (``row``, text) that hit something: the hit spans, one start
+    and end after another, and the items."""
+    for batch in batches:
+        found = match(block, window, [t.encode() for t in texts_of(batch.column(1))])
+        hit = [(row, [x for span in spans(h) for x in span], sorted(s)) for row, (h, s) in zip(batch.column(0).to_pylist(), found) if s]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(h) for h, _ in found], pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([len(s) for _, s in found], pa.int64()),
-                pa.array([sorted(s) for _, s in found], pa.list_(pa.string())),
-                pa.array([max((b - a for a, b in spans(h)), default=0) for h, _ in found], pa.int64()),
-            ],
-            names=[batch.schema.field(0).name, "n_words", "n_hit", "n_items", "items", "longest_hit"],
+            [pa.array([x[0] for x in hit], pa.int64()), pa.array([x[1] for x in hit], pa.list_(pa.int64())), pa.array([x[2] for x in hit], pa.list_(pa.string()))],
+            names=["row", "spans", "items"],
         )
 
 
+def _masks(batch, texts: list[bytes]):
+    """Mask and items of each text from the columns ``spans`` and ``items``."""
+    out = []
+    for text, ends, items in zip(texts, batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+        mask = np.zeros(len(words_of(text)), bool)
+        for a, b in zip((ends or [])[::2], (ends or [])[1::2]):
+            mask[a:b] = True
+        out.append((mask, set(items or [])))
+    return out
+
+
+def _report_merged(batches):
+    for batch in batches:
+        yield _report_rows(batch, _masks(batch, [t.encode() for t in texts_of(batch.column(1))]))
+
+
+def _all_hits(rows: DataFrame, blocks, window: int) -> DataFrame:
+    """``row``, ``spans`` and ``items`` over all blocks of the ``rows`` (``row``,
+    ``text``) that are hit. Every block makes one pass, in which a task builds
+    its automaton once; what it finds is written before the next block comes."""
+    schema = "row long, spans array<bigint>, items array<string>"
+    parts = [cut(rows.mapInArrow(partial(_hits, block, window), schema)) for _, block in blocks]
+    merged = reduce(DataFrame.unionByName, parts).groupBy("row")  # a row for each block at most
+    return merged.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -290,18 +332,26 @@ def find_contamination(
 
     A null text or item has no words; a null item id reads as the empty string;
     items that repeat an id count once; repeated rows and null ids are kept,
-    one result each; without items nothing is hit. Documents are not shuffled.
+    one result each; without items nothing is hit; an empty table gives an empty
+    result. A very long text is held whole by its task. With a benchmark of one
+    block documents are not shuffled; with more, every block passes over the
+    documents and what they hit is merged by row.
     """
-    blocks = benchmark_blocks(benchmark, window, block_words, item_col, item_text_col)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    blocks = lambda: benchmark_blocks(benchmark, window, block_words, item_col, item_text_col)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     schema = (
         f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_words long, n_hit long, n_items long, "
         "items array<string>, longest_hit long"
     )
-    return rows.mapInArrow(partial(_report, blocks, window), schema)
+    n, block = next(blocks(), (0, None))
+    if n < 2:
+        return rows.mapInArrow(partial(_report, block, window), schema)
+    rows = cut(rows.select(F.col(id_col).alias("id"), "text", F.monotonically_increasing_id().alias("row")))
+    merged = _all_hits(rows.select("row", "text"), blocks(), window)
+    return rows.join(merged, "row", "left").select(F.col("id").alias(id_col), "text", "spans", "items").mapInArrow(_report_merged, schema)
 
 
-def _clean(blocks, window, max_coverage, text_at, batches):
+def _clean(block, window, max_coverage, text_at, batches):
     for batch in batches:
         column = batch.column(text_at)
         texts = [t.encode() for t in texts_of(column)]
@@ -309,7 +359,7 @@ def _clean(blocks, window, max_coverage, text_at, batches):
         todo = list(range(len(texts)))
         first = True
         while todo:  # a cut brings words together, so what was cut is read again
-            found = match(blocks, window, [out[i] for i in todo])
+            found = match(block, window, [out[i] for i in todo])
             again = []
             for i, (hit, _) in zip(todo, found):
                 if hit.any():
@@ -324,6 +374,21 @@ def _clean(blocks, window, max_coverage, text_at, batches):
         yield batch.set_column(text_at, batch.schema.field(text_at).name, new).filter(pa.array(keep))
 
 
+def _cut_merged(max_coverage, batches):
+    """``row``, the text without its hit spans, and whether the row stays."""
+    for batch in batches:
+        texts = [t.encode() for t in texts_of(batch.column(1))]
+        masks = [m for m, _ in _masks(batch, texts)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([cut_words(t, m).decode() for t, m in zip(texts, masks)], pa.string()),
+                pa.array([bool(m.mean() <= max_coverage) for m in masks]),
+            ],
+            names=["row", "text", "stays"],
+        )
+
+
 def remove_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -337,10 +402,30 @@ def remove_contamination(
     """``docs`` with every hit span cut out of ``text_col`` (see
     ``find_contamination``); rows of which more than ``max_coverage`` of the
     words are hit go. What is left holds no window of any item. Other columns,
-    null texts and clean rows stay as they are."""
-    blocks = benchmark_blocks(benchmark, window, block_words, item_col, item_text_col)
+    null texts and clean rows stay as they are; repeated rows are treated alike,
+    an empty table stays empty. A very long text is held whole by its task."""
+    blocks = lambda: benchmark_blocks(benchmark, window, block_words, item_col, item_text_col)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(partial(_clean, blocks, window, max_coverage, place_of(rows, text_col)), rows.schema)
+    n, block = next(blocks(), (0, None))
+    if n < 2:
+        return rows.mapInArrow(partial(_clean, block, window, max_coverage, place_of(rows, text_col)), rows.schema)
+    name = rows.columns[place_of(rows, text_col)]
+    rows = cut(rows.select(F.struct(*rows.columns).alias("all"), F.monotonically_increasing_id().alias("row")))
+    todo = rows.select("row", F.col(f"all.`{name}`").alias("text"))
+    changes, share = [], max_coverage
+    while True:  # a cut brings words together, so what was cut is read again
+        hit = cut(_all_hits(todo, blocks(), window))
+        if hit.isEmpty():
+            break
+        new = cut(todo.join(hit, "row").mapInArrow(partial(_cut_merged, share), "row long, text string, stays boolean"))
+        changes.append(new.withColumn("turn", F.lit(len(changes))))
+        todo, share = new.where("stays").select("row", "text"), 1.0
+    if not changes:
+        return rows.select("all.*")
+    last = reduce(DataFrame.unionByName, changes).groupBy("row").agg(F.max_by(F.struct("text", "stays"), "turn").alias("new"))
+    out = rows.join(last, "row", "left").where(F.coalesce("new.stays", F.lit(True)))
+    text = F.when(F.col("new").isNotNull(), F.col("new.text")).otherwise(F.col(f"all.`{name}`"))
+    return out.select(*[text.alias(c) if c == name else F.col(f"all.`{c}`").alias(c) for c in docs.columns])
 
 
 def items_digest(items) -> Column:

@@ -85,9 +85,12 @@ def test_report_equals_brute_force(tables, block_words):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_removal_leaves_no_window_and_clean_rows_alone(tables):
+@pytest.mark.parametrize("block_words", [4, 250_000])
+def test_removal_leaves_no_window_and_clean_rows_alone(tables, block_words):
     docs, items = tables
-    rows = [(r.doc_id, r.text) for r in remove_contamination(docs, items, max_coverage=0.95).collect()]
+    out = remove_contamination(docs, items, max_coverage=0.95, block_words=block_words)
+    assert out.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in out.collect()]
     assert all(brute(t, ITEMS)[1] == 0 for _, t in rows)
     assert (2, DOCS[1][1]) in rows and (4, None) in rows and (5, "") in rows and (1, DOCS[6][1]) in rows
     assert sorted(t for i, t in rows if i == 1) == ["same id, nothing", "x  y"]
@@ -112,3 +115,30 @@ def test_query_equals_brute_force(spark):
         n, hit, names = brute(docs[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(names), hit > 0)
         assert r.items_sha256 == sha256(",".join(names).encode()).hexdigest()
+
+
+def test_a_task_builds_one_automaton_a_block():
+    """However many batches a task has."""
+    import pyarrow as pa
+
+    from dictgraph.llm import decontaminate as D
+
+    built = []
+
+    class Block:
+        id, value = "b", [("1", b"one two three")]
+
+    make = D.Automaton.__init__
+    D.Automaton.__init__ = lambda self, *a, **k: (built.append(1), make(self, *a, **k))[1]
+    try:
+        batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["x one two three y"])], names=["row", "text"]) for i in range(20)]
+        out = list(D._hits(Block, 10, batches))
+    finally:
+        D.Automaton.__init__ = make
+    assert len(built) == 1 and [b.to_pylist() for b in out] == [[{"row": i, "spans": [1, 4], "items": ["1"]}] for i in range(20)]
+
+
+def test_without_hits_many_blocks_change_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"u{i} v{i} w{i}") for i in range(9)], "item_id long, text string")
+    assert sorted(map(tuple, remove_contamination(docs, items, block_words=4).collect())) == [(1, "a b c"), (2, None)]
