@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dictgraph.llm.common import release, ship_package, texts_of
+from dictgraph.llm.common import cut, most_frequent, release, ship_package, texts_of
 
 ORDER = 3  # bytes of the longest context
-SAMPLE_ROWS = 1_000  # labelled rows a language is learned from, at most
-SAMPLE_BYTES = 20_000  # of each such row's text (the classifier's sample only)
+SAMPLE_ROWS = 1_000  # different labelled texts a language is learned from, at most
+GRAMS = 2_000_000  # most frequent (language, run of bytes) pairs that come to the driver
+MODEL_BYTES = 64 << 20  # of the table of code lengths; the most frequent contexts that fit are kept
+BROADCAST_LANGUAGES = 10_000
 MIN_CONTEXT = 4  # a context seen less often is not in the tree
 PIECE = 1 << 18  # bytes scored at a time
 
@@ -63,7 +65,9 @@ class Trees:
             for order in orders:
                 for context, row in order.items():
                     total[context] = total.get(context, 0) + int(row.sum())
-        kept = {c for c, n in total.items() if n >= min_context or not c}
+        room = max(1, MODEL_BYTES // (4 * size * max(1, len(self.languages))))
+        often = sorted((c for c, n in total.items() if n >= min_context), key=lambda c: (-total[c], len(c), c))
+        kept = {*often[:room], ()}
         kept |= {c[i:] for c in kept for i in range(len(c))} | {c[:i] for c in kept for i in range(len(c))} | {()}
         self.contexts = sorted(kept, key=lambda c: (len(c), c))
         number = {c: i for i, c in enumerate(self.contexts)}
@@ -116,7 +120,7 @@ def _train(batches):
     for batch in batches:
         langs, codes, counts = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            code, n = grams(text.encode()[:SAMPLE_BYTES])
+            code, n = grams(text.encode())
             langs += [lang] * len(code)
             codes.append(code)
             counts.append(n)
@@ -131,30 +135,33 @@ def _train(batches):
 
 
 def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang") -> Trees:
-    """Context trees from at most ``sample_rows`` labelled rows of each
-    language (those with the least hash of the text) and at most
-    ``SAMPLE_BYTES`` bytes of each: the model's size is bounded, whatever the
-    table's. Rows without label or text teach nothing."""
+    """Context trees from at most ``sample_rows`` different labelled texts of
+    each language (those with the least hash), each read whole. Equal texts of a
+    language count as one, so no group of copies fills a sample. The model is
+    bounded by MODEL_BYTES whatever the number of languages and scripts. Rows
+    without label or text teach nothing."""
     ship_package(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(
         "lang is not null and text is not null"
     )
     # a first cut by hash keeps about twice the sample, so that a common
     # language's texts are not all ranked
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))
     sample = (
         rows.withColumn("place", place)
-        .join(F.broadcast(sizes), "lang")  # a row per language
-        .where(F.col("place") * F.col("rows") <= 2 * sample_rows + 20)
+        .join(F.broadcast(sizes) if few else sizes, "lang")
+        .where(F.col("place") * F.col("texts") <= 2 * sample_rows + 20)
+        .dropDuplicates(["lang", "text"])
         .withColumn("rank", rank)
         .where(F.col("rank") <= sample_rows)
         .select("lang", "text")
     )
     counts: dict[str, dict[int, int]] = {}
     found = sample.mapInArrow(_train, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    for r in found.collect():  # bounded by the sample's bytes
+    for r in most_frequent(cut(found), GRAMS, "code").collect():
         counts.setdefault(r.lang, {})[r.code] = r.n
     return Trees(counts)
 
@@ -196,7 +203,8 @@ def predict_languages(docs: DataFrame, trees: Trees, id_col: str = "doc_id", tex
     score is the share of that language when each has weight 2 to the minus its
     code length. A null text, or one without a letter, is ``und`` with score 0,
     as is every text if no language was learned. Repeated rows and null ids are
-    kept; an empty table gives an empty result. No shuffle.
+    kept; an empty table gives an empty result. Very long texts are scored in
+    pieces. No shuffle.
     """
     spark = docs.sparkSession
     ship_package(spark)

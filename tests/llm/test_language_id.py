@@ -109,3 +109,25 @@ def test_held_out_accuracy_on_the_given_table(spark):
     assert len(rows) == len(langs)
     out = [r for r in rows if r.held_out]
     assert out and np.mean([langs[r.doc_id] == r.lang_pred for r in out]) >= 0.95
+
+
+def test_copies_fill_no_sample_and_long_texts_teach_whole(spark):
+    """One text of a language comes a thousand times; another language is only
+    recognised by the end of a long text."""
+    rng = random.Random(3)
+    rows = [(0, "zzz copy zzz " * 4, "aa")] * 1000 + [(1 + i, " ".join(rng.sample(TRAIN["aa"].split(), 12)), "aa") for i in range(30)]
+    rows += [(100, "0 " * 30_000 + TRAIN["bb"], "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trees = fit_languages(docs, sample_rows=20)
+    asked = spark.createDataFrame([(1, "the hat and the cat"), (2, "der Hund und die Katze")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in predict_languages(asked, trees).collect()) == [(1, "aa"), (2, "bb")]
+
+
+def test_the_model_is_bounded(monkeypatch):
+    import dictgraph.llm.language_id as L
+
+    monkeypatch.setattr(L, "MODEL_BYTES", 50_000)
+    trees = Trees(counts_of(TRAIN))
+    assert trees.bits.nbytes <= 3 * 50_000  # contexts' own beginnings and ends are kept with them
+    sums = np.exp2(-trees.bits.astype(float)).reshape(len(trees.contexts), trees.symbols, -1).sum(1)
+    assert (sums <= 1 + 1e-4).all()
