@@ -56,6 +56,9 @@ HAS_BLANK_LINE = r"\n[^\p{L}\p{N}\n]*\n"
 # Known texts up to this many are sent to every executor (a digest and a name
 # each); more are joined by shuffling digests.
 BROADCAST_TEXTS = 100_000
+# First words of the known texts up to this many are looked for before a line is
+# canonicalised.
+FIRST_WORDS = 2_000
 
 
 def canonical(text: Column) -> Column:
@@ -63,10 +66,13 @@ def canonical(text: Column) -> Column:
     one spelling for equivalent ones."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     out = F.regexp_replace(out, RESERVED_LINE, " ")
-    out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    return _spelled(F.trim(F.regexp_replace(out, NOT_WORD, " ")))
+
+
+def _spelled(text: Column) -> Column:
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def canonical_sql(text: str) -> str:
@@ -79,6 +85,15 @@ def canonical_sql(text: str) -> str:
     return out
 
 
+def first_word(text: Column, canonical_text: bool = False) -> Column:
+    """The first word of the canonical text, from the first word alone. Where
+    "sub license" has become one word, its first part counts."""
+    own = F.regexp_extract(text, r"([\p{L}\p{N}]+)", 1)
+    if not canonical_text:
+        own = F.substring_index(_spelled(F.lower(own)), " ", 1)
+    return F.when(own.startswith("sublicense"), F.lit("sub")).otherwise(own)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id string, text string")
 
@@ -134,9 +149,10 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     one result each. Long texts are split into lines inside their row; only
     lines that match leave it, so that no key gathers more than the matches.
     """
+    canon = known.select("license_id", canonical(F.col("text")).alias("c")).where("c <> ''")
+    firsts = [r[0] for r in canon.select(first_word(F.col("c"), canonical_text=True)).distinct().limit(FIRST_WORDS + 1).collect()]
     names = (
-        known.select("license_id", canonical(F.col("text")).alias("c"))
-        .where("c <> ''")
+        canon
         .groupBy(F.sha2("c", 256).alias("digest"))
         .agg(F.min("license_id").alias("license_id"))
     )
@@ -144,9 +160,12 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
         names = F.broadcast(names)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     key = F.xxhash64("_t").alias("_h")
+    begun = rows.select("_id", key, F.explode(F.split("_t", "\n")).alias("line"))
+    if len(firsts) <= FIRST_WORDS:  # most lines begin as no known text does
+        begun = begun.where(first_word(F.col("line")).isin(firsts))
     whole = rows.select("_id", key, F.sha2(canonical(F.col("_t")), 256).alias("digest")).join(names, "digest", "left")
     lines = (
-        rows.select("_id", key, F.explode(F.split("_t", "\n")).alias("line"))
+        begun
         .select("_id", "_h", F.sha2(canonical(F.col("line")), 256).alias("digest"))
         .join(names, "digest")
         .groupBy("_id", "_h")
@@ -165,3 +184,10 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
         F.coalesce("notices", none).alias("notices"),
         F.sort_array(F.array_union(F.coalesce("passages", none), own)).alias("passages"),
     )
+
+
+def blocks_sql(text: str) -> str:
+    """The digests of ``blocks`` as DuckDB SQL."""
+    parts = f"string_split_regex(regexp_replace({text}, '{BLANK_LINE}', '', 'g'), '\n\n+')"
+    found = f"list_filter(list_transform({parts}, lambda c: {canonical_sql('c')}), lambda c: c <> '')"
+    return f"list_transform({found}, lambda c: sha256(c))"

@@ -16,7 +16,7 @@ from dictgraph.llm.decontaminate import find_contamination, items_digest
 from dictgraph.llm.language_id import fit_languages, held_out, predict_languages
 from dictgraph.llm.lexical import ranked_search
 from dictgraph.llm.license_texts import KNOWN
-from dictgraph.llm.licenses import canonical_sql, known_licenses, license_scan
+from dictgraph.llm.licenses import blocks_sql, canonical_sql, known_licenses, license_scan
 from dictgraph.llm.masked_lm import pseudo_likelihood
 from dictgraph.llm.neighbours import nearest_neighbours
 from dictgraph.llm.pii import pii_report
@@ -57,9 +57,9 @@ def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known licenses that every document, or a line of it, equals."""
+    """Known licenses that every document, a line or a run of paragraphs of it equals."""
     found = license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
-    return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))  # the columns of its SQL
+    return found.select("doc_id", "digest", "license_id", *[F.array_join(c, ",").alias(c) for c in ("notices", "passages")])
 
 
 def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +169,20 @@ ORACLE: dict[str, str] = {
 WITH known(license_id, text) AS (VALUES {_KNOWN_ROWS}),
 names AS (SELECT sha256(c) AS digest, min(license_id) AS license_id
           FROM (SELECT license_id, {canonical_sql("text")} AS c FROM known) WHERE c <> '' GROUP BY 1),
-lines AS (SELECT doc_id, sha256({canonical_sql("line")}) AS digest
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-found AS (SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM lines JOIN names USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
-SELECT whole.doc_id, whole.digest, names.license_id, coalesce(array_to_string(found.notices, ','), '') AS notices
-FROM whole LEFT JOIN names USING (digest) LEFT JOIN found ON found.doc_id = whole.doc_id
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (SELECT r, sha256({canonical_sql("line")}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+found AS (SELECT r, list_sort(list(DISTINCT license_id)) AS notices FROM lines JOIN names USING (digest) GROUP BY r),
+whole AS (SELECT r, doc_id, sha256({canonical_sql("text")}) AS digest FROM docs),
+texts AS (SELECT d, min(license_id) AS license_id FROM (SELECT license_id, {blocks_sql("text")} AS d FROM known) WHERE len(d) > 0 GROUP BY d),
+parts AS (SELECT license_id, d, len(d) AS n, unnest(d) AS digest, generate_subscripts(d, 1) AS j FROM texts),
+doc_parts AS (SELECT r, unnest(d) AS digest, generate_subscripts(d, 1) AS place FROM (SELECT r, {blocks_sql("text")} AS d FROM docs)),
+runs AS (SELECT DISTINCT r, license_id FROM (SELECT r, license_id, d, n, place - j AS start, count(DISTINCT j) AS matched
+           FROM doc_parts JOIN parts USING (digest) GROUP BY ALL) WHERE matched = n
+         UNION SELECT r, license_id FROM whole JOIN names USING (digest)),
+passages AS (SELECT r, list_sort(list(DISTINCT license_id)) AS passages FROM runs GROUP BY r)
+SELECT whole.doc_id, whole.digest, names.license_id, coalesce(array_to_string(found.notices, ','), '') AS notices,
+       coalesce(array_to_string(passages.passages, ','), '') AS passages
+FROM whole LEFT JOIN names USING (digest) LEFT JOIN found ON found.r = whole.r LEFT JOIN passages ON passages.r = whole.r
 """,
     "op11_norm_bucket_search": r"""
 WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id,

@@ -61,7 +61,7 @@ def test_query_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     df = QUERIES["op4_license_scan"](spark, SF)
     want = con.execute(ORACLE["op4_license_scan"]).fetchall()
-    assert sorted((r.doc_id, r.digest, r.license_id or "", r.notices) for r in df.collect()) == sorted((a, b, c or "", d) for a, b, c, d in want)
+    assert sorted((r.doc_id, r.digest, r.license_id or "", r.notices, r.passages) for r in df.collect()) == sorted((a, b, c or "", d, e) for a, b, c, d, e in want)
     assert "Python" not in df._jdf.queryExecution().toString()
 
 
@@ -107,3 +107,23 @@ def test_wrapped_notices_inside_longer_texts(spark):
     found = sorted(((r.doc_id or 0, r.passages) for r in license_scan(docs, known_licenses(spark)).collect()))
     apache = ["Apache-2.0"]
     assert found == [(0, apache), (0, apache), (1, apache), (2, apache), (3, []), (4, ["MIT", "MPL-2.0"]), (5, []), (6, [])]
+
+
+def test_first_words_pass_every_line_over_that_could_match(spark):
+    """Lines are canonicalised only where they begin as a known text does: the
+    same notices as without that, also for other spellings and signs before."""
+    from dictgraph.llm import licenses as L
+
+    known = spark.createDataFrame(
+        [("a", "Sublicense freely"), ("b", "Licensed to all"), ("c", "Non commercial use"), ("d", "Copyright 2020 X\nProgram text"), ("e", "sub way")],
+        "license_id string, text string",
+    )
+    lines = ["sub license FREELY", "  // Sub-licence freely", "licenced to all.", "noncommercial use", "Programme text", "sub way", "(c) 2020 Y", "x sublicense freely", "", "é"]
+    docs = spark.createDataFrame([(i, f"other words\n{line}\nend") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in L.license_scan(docs, known).collect()}
+    most, L.FIRST_WORDS = L.FIRST_WORDS, 0  # no first word is looked for
+    try:
+        assert got == {r.doc_id: r.notices for r in L.license_scan(docs, known).collect()}
+    finally:
+        L.FIRST_WORDS = most
+    assert [got[i] for i in range(10)] == [["a"], ["a"], ["b"], ["c"], ["d"], ["e"], [], [], [], []]
