@@ -21,9 +21,9 @@ BUCKETS = 16  # rarer words share vectors by their last two bytes
 CLASSES = 32  # frequent words are predicted by class, then within the class
 WIDTH = 12  # numbers of an input vector
 HIDDEN = 24
-EVERY = 16  # every so many tokens of every text one is trained on
-ROUNDS = 3  # passes over these, with the tasks' networks averaged after each
-BATCH = 256
+PARTS = 8  # rounds of a pass over all tokens, with the tasks' networks averaged after each
+PASSES = 1
+BATCH = 512
 RATE = 0.1
 FLUSH = 250_000  # distinct words that a task counts before it hands them on
 PIECE = 1 << 15  # tokens scored at a time
@@ -113,9 +113,11 @@ class Network:
             rows = windows[order[at : at + BATCH]].astype(np.int64)
             around = rows[:, sides]
             _, g_rows, grads = self.gradients(around, class_of[rows[:, SIDE]])
-            used, back = np.unique(around.ravel(), return_inverse=True)
-            g = np.zeros((len(used), WIDTH), np.float32)
-            np.add.at(g, back, g_rows)
+            flat = around.ravel()
+            by_id = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[by_id], prepend=-1))
+            used = flat[by_id[first]]
+            g = np.add.reduceat(g_rows[by_id], first, axis=0)
             past[0][used] += g * g
             vectors[used] -= RATE * g / np.sqrt(past[0][used])
             for a, s, d in zip(self.arrays[1:], past[1:], grads):
@@ -198,36 +200,38 @@ def fit_vocabulary(texts: DataFrame, words: int = WORDS) -> Vocabulary:
     return Vocabulary([(w, n) for w, n, _ in top], types)
 
 
-def _windows(vocabulary, batches):
+def _encoded(vocabulary, batches):
+    """The ids of each batch's texts one after another, with the places beyond
+    their ends between them."""
     release()
     v = vocabulary.value
     memo = Memo(v.id_of)
     for batch in batches:
-        found = [np.empty((0, 2 * SIDE + 1), np.int64)]
-        for text in texts_of(batch.column(0)):
-            data = text.encode()
-            words = words_of(data)
-            start = zlib.crc32(data) % EVERY
-            n = len(range(start, len(words), EVERY))
-            if n:
-                padded = [None] * SIDE + words + [None] * SIDE
-                places = [map(memo.__getitem__, padded[start + k :: EVERY]) for k in range(2 * SIDE + 1)]
-                found.append(np.stack([np.fromiter(p, np.int64, n) for p in places], 1))
-        flat = np.concatenate(found).astype(np.int16)
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["windows"])
+        ids = [v.encode(words_of((t or "").encode()), memo) for t in texts_of(batch.column(0))]
+        flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int16)
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["ids"])
+
+
+def windows_of(ids: np.ndarray, outside: int, part: int) -> np.ndarray:
+    """The windows (SIDE ids, a token, SIDE ids) of every PARTS-th place from
+    ``part`` on; over all parts each token has one."""
+    if len(ids) < 2 * SIDE + 1:
+        return np.empty((0, 2 * SIDE + 1), ids.dtype)
+    found = np.lib.stride_tricks.sliding_window_view(ids, 2 * SIDE + 1)[part::PARTS]
+    return found[found[:, SIDE] != outside]
 
 
 def _train(vocabulary, start, round_no, batches):
     """The task's network after its windows, with their number."""
     release()
-    class_of = vocabulary.value.class_of
-    network = Network.fresh(vocabulary.value) if start is None else Network.fresh(vocabulary.value).unpack(start.value)
+    v = vocabulary.value
+    network = Network.fresh(v) if start is None else Network.fresh(v).unpack(start.value)
     seen = 0
     for batch in batches:
         for data in batch.column(0).to_pylist():
-            windows = np.frombuffer(data, np.int16).reshape(-1, 2 * SIDE + 1)
+            windows = windows_of(np.frombuffer(data, np.int16), v.outside, round_no % PARTS)
             if len(windows):
-                network.train(windows, class_of, zlib.crc32(data) + round_no)
+                network.train(windows, v.class_of, zlib.crc32(data) + round_no)
                 seen += len(windows)
     if seen:
         data = network.pack()
@@ -250,24 +254,25 @@ def _average(batches):
         )
 
 
-def fit_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Trained on a token in every EVERY of all texts. In each round every task
-    trains the common network on its own windows; their weighted mean, taken in
-    two steps so that no task sees all of them, is the next common network."""
+def fit_network(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Network:
+    """Trained on every token of all texts, ``passes`` times. A pass has PARTS
+    rounds, each on the tokens of its own places. In a round every task trains
+    the common network on its own windows; their weighted mean, taken in two
+    steps so that no task sees all of them, is the next common network."""
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
-    windows = cut(texts.mapInArrow(partial(_windows, shared), "windows binary"))
+    encoded = cut(texts.mapInArrow(partial(_encoded, shared), "ids binary"))
     network = Network.fresh(vocabulary)
     start = None
     schema = "g long, n double, weights binary"
-    tasks = windows.rdd.getNumPartitions()
+    tasks = encoded.rdd.getNumPartitions()
     meet = max(1, int(tasks**0.5))
-    for k in range(rounds):
-        trained = windows.mapInArrow(partial(_train, shared, start, k), schema)
+    for k in range(passes * PARTS):
+        trained = encoded.mapInArrow(partial(_train, shared, start, k), schema)
         some = trained.repartition(meet, "g").mapInArrow(_average, schema)
         last = some.repartition(1).mapInArrow(_average, schema).collect()
-        if not last:
-            break
+        if not last:  # no token at these places
+            continue
         start = sc.broadcast(bytes(last[0].weights))
         network = network.unpack(start.value)
     return network
@@ -290,14 +295,15 @@ def _score(model, batches):
         )
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, passes: int = PASSES) -> DataFrame:
     """Every row's ``id_col``, ``n_tokens``, ``log_likelihood`` (the sum of all
     tokens' log-probabilities given the tokens on both sides, natural log),
     ``mean_log_likelihood`` and ``least_token`` (the lowest of them).
 
     Tokens are runs of letters, digits and bytes above 127, A-Z in lower case.
-    Word counts come from all texts, and the network is trained on a token in
-    every EVERY of all texts; both are learned from ``docs`` themselves.
+    Word counts come from all texts, and the network is trained on every token
+    of all texts; both are learned from ``docs`` themselves. Words that are
+    equally frequent come into the vocabulary by their own order.
 
     A null or empty text has no tokens, a sum of 0 and a null mean; repeated
     rows and null ids are kept, one result each; an empty table gives an empty
@@ -308,7 +314,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     texts = rows.select("text")
     vocabulary = fit_vocabulary(texts, words)
-    network = fit_network(texts, vocabulary, rounds)
+    network = fit_network(texts, vocabulary, passes)
     model = spark.sparkContext.broadcast((vocabulary, network))
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, log_likelihood double, least_token double"
     return rows.mapInArrow(partial(_score, model), schema).withColumn(
