@@ -41,7 +41,7 @@ def test_alias_resolution_follows_a_replaced_dictionary(spark):
     def change():
         replace(spark, "dgc_alias", spark.createDataFrame([("terms/alias", "terms/y")], amap))
         replace(spark, "dgc_terms", make_terms(spark, docs + [{"_code": {"_gid": "z"}, "_info": {}}]))
-        spark.createDataFrame([(3, "alias"), (4, "z")], "id int, gid string").write.mode("append").parquet(folder + "/in")
+        spark.createDataFrame([(3, "alias"), (4, "z")], "id int, gid string").coalesce(1).write.mode("append").parquet(folder + "/in")
 
     try:
         drain(stream, run, folder, [change])
@@ -62,7 +62,7 @@ def test_blob_lookup_follows_replaced_blobs(spark):
 
     def change():
         replace(spark, "dgc_blobs", spark.createDataFrame([("k", "i", "t", "d", "1", "new")], schema))
-        spark.createDataFrame([("k",)], "key string").write.mode("append").parquet(folder + "/in")
+        spark.createDataFrame([("k",)], "key string").coalesce(1).write.mode("append").parquet(folder + "/in")
 
     try:
         drain(stream, run, folder, [change])
