@@ -1,9 +1,9 @@
 """Broadcast only behind a size check.
 
-The check counts at most ``max_rows + 1`` rows of the (usually filtered,
-already small) side. Beyond the bound the plain DataFrame is returned and
-Spark plans a shuffle join; AQE may still turn it into a broadcast from the
-runtime statistics of the shuffle, and splits skewed partitions.
+The check takes the rows and bytes of at most ``max_rows + 1`` rows of the
+(usually filtered, already small) side. Beyond a bound the plain DataFrame is
+returned and Spark plans a shuffle join; AQE may still turn it into a broadcast
+from the runtime statistics of the shuffle, and splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -23,10 +23,15 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 LOOP_MAX_BROADCAST_ROWS = 100_000
 
 
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """Whether a side is within both bounds: rows, and the bytes of its strings
+    beside 16 for each column of a row."""
     if df.isStreaming:
         return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    row = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in text), F.lit(16 * len(df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -83,3 +83,12 @@ def test_published_postings_push_the_queried_tokens(spark, iso):
         )
     finally:
         drop_dictionary(spark, prefix="dgp_")
+
+
+def test_broadcasts_are_bounded_by_rows_and_by_bytes(spark):
+    from dictgraph.plans.sizing import is_bounded
+
+    rows = req(spark, [(i, "x" * 1000) for i in range(100)], "id int, text string")
+    assert is_bounded(rows) and is_bounded(rows, max_rows=100) and not is_bounded(rows, max_rows=99)
+    assert is_bounded(rows, max_bytes=110_000) and not is_bounded(rows, max_bytes=100_000)
+    assert is_bounded(rows.limit(0), max_bytes=0) and is_bounded(req(spark, [(None,)], "text string"))
