@@ -23,7 +23,7 @@ WIDTH = 12  # numbers of an input vector
 HIDDEN = 24
 PARTS = 8  # rounds of a pass over all tokens, with the tasks' networks averaged after each
 PASSES = 1
-BATCH = 512
+BATCH = 1024
 RATE = 0.1
 FLUSH = 250_000  # distinct words that a task counts before it hands them on
 PIECE = 1 << 15  # tokens scored at a time
@@ -107,10 +107,10 @@ class Network:
         the seed gives; steps shrink with each weight's past gradients."""
         vectors = self.arrays[0]
         past = [np.full_like(a, 1e-6) for a in self.arrays]
-        order = np.random.default_rng(seed).permutation(len(windows))
+        windows = windows[np.random.default_rng(seed).permutation(len(windows))]
         sides = [SIDE + k for k in _OFFSETS]
-        for at in range(0, len(order), BATCH):
-            rows = windows[order[at : at + BATCH]].astype(np.int64)
+        for at in range(0, len(windows), BATCH):
+            rows = windows[at : at + BATCH].astype(np.int64)
             around = rows[:, sides]
             _, g_rows, grads = self.gradients(around, class_of[rows[:, SIDE]])
             flat = around.ravel()
@@ -151,19 +151,25 @@ class Scorer:
 
     def token_scores(self, words: list[bytes]) -> np.ndarray:
         """log P(word | SIDE words before and after) for every word."""
+        return self.scores_of(self.vocabulary.encode(words, self.memo))[SIDE : SIDE + len(words)]
+
+    def scores_of(self, ids: np.ndarray) -> np.ndarray:
+        """The same for the places of encoded texts on end; 0 at the places beyond
+        their ends."""
         v = self.vocabulary
-        ids = v.encode(words, self.memo)
-        out = np.empty(len(words))
-        for at in range(0, len(words), PIECE):
-            n = min(PIECE, len(words) - at)
+        out = np.zeros(len(ids))
+        for at in range(SIDE, len(ids) - SIDE, PIECE):
+            n = min(PIECE, len(ids) - SIDE - at)
             h = np.broadcast_to(self.b1, (n, HIDDEN)).copy()
             for table, k in zip(self.places, _OFFSETS):
-                h += table[ids[at + SIDE + k : at + SIDE + k + n]]
+                h += table.take(ids[at + k : at + k + n], axis=0)
             z = np.tanh(h, out=h) @ self.w2 + self.b2
             z -= z.max(1, keepdims=True)
-            own = ids[at + SIDE : at + SIDE + n]
-            picked = z[np.arange(n), v.class_of[own]].astype(float)
-            out[at : at + n] = picked - np.log(np.exp(z, out=z).sum(1, dtype=np.float64)) + v.log_share[own]
+            own = ids[at : at + n]
+            word = np.minimum(own, v.outside - 1)
+            picked = z[np.arange(n), v.class_of[word]].astype(float)
+            score = picked - np.log(np.exp(z, out=z).sum(1).astype(float)) + v.log_share[word]
+            out[at : at + n] = np.where(own == v.outside, 0.0, score)
         return out
 
 
@@ -201,15 +207,18 @@ def fit_vocabulary(texts: DataFrame, words: int = WORDS) -> Vocabulary:
 
 
 def _encoded(vocabulary, batches):
-    """The ids of each batch's texts one after another, with the places beyond
-    their ends between them."""
+    """Each row's id and its text's ids with the places beyond both ends, as
+    bytes: on end they are the texts with such places between them."""
     release()
     v = vocabulary.value
     memo = Memo(v.id_of)
     for batch in batches:
-        ids = [v.encode(words_of((t or "").encode()), memo) for t in texts_of(batch.column(0))]
-        flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int16)
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["ids"])
+        ids = [v.encode(words_of(t.encode()), memo).astype(np.int16).tobytes() for t in texts_of(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+
+def _on_end(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16)
 
 
 def windows_of(ids: np.ndarray, outside: int, part: int) -> np.ndarray:
@@ -228,11 +237,11 @@ def _train(vocabulary, start, round_no, batches):
     network = Network.fresh(v) if start is None else Network.fresh(v).unpack(start.value)
     seen = 0
     for batch in batches:
-        for data in batch.column(0).to_pylist():
-            windows = windows_of(np.frombuffer(data, np.int16), v.outside, round_no % PARTS)
-            if len(windows):
-                network.train(windows, v.class_of, zlib.crc32(data) + round_no)
-                seen += len(windows)
+        ids = _on_end(batch.column(0))
+        windows = windows_of(ids, v.outside, round_no % PARTS)
+        if len(windows):
+            network.train(windows, v.class_of, zlib.crc32(ids.tobytes()) + round_no)
+            seen += len(windows)
     if seen:
         data = network.pack()
         yield pa.RecordBatch.from_arrays(
@@ -254,14 +263,21 @@ def _average(batches):
         )
 
 
-def fit_network(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Network:
-    """Trained on every token of all texts, ``passes`` times. A pass has PARTS
+def encoded_texts(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``rows`` (an id and a text) with their tokens' ids, written: two bytes a
+    token, read by every round and by the scoring."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    return cut(rows.mapInArrow(partial(_encoded, shared), f"id {rows.schema[0].dataType.simpleString()}, ids binary"))
+
+
+def fit_network(encoded: DataFrame, vocabulary: Vocabulary, passes: int = PASSES) -> Network:
+    """Trained on every token of all ``encoded`` texts, ``passes`` times. A pass has PARTS
     rounds, each on the tokens of its own places. In a round every task trains
     the common network on its own windows; their weighted mean, taken in two
     steps so that no task sees all of them, is the next common network."""
-    sc = texts.sparkSession.sparkContext
+    sc = encoded.sparkSession.sparkContext
     shared = sc.broadcast(vocabulary)
-    encoded = cut(texts.mapInArrow(partial(_encoded, shared), "ids binary"))
+    encoded = encoded.select("ids")
     network = Network.fresh(vocabulary)
     start = None
     schema = "g long, n double, weights binary"
@@ -278,20 +294,20 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary, passes: int = PASSES)
     return network
 
 
-def _score(model, batches):
+def _score(name, model, batches):
     release()
     scorer = Scorer(*model.value)
     for batch in batches:
-        n, total, least = [], [], []
-        for text in texts_of(batch.column(1)):
-            words = words_of(text.encode())
-            scores = scorer.token_scores(words)
-            n.append(len(words))
-            total.append(float(scores.sum()))
-            least.append(float(scores.min()) if words else None)
+        sizes = np.array([len(x) // 2 for x in batch.column(1).to_pylist()], np.int64)
+        scores = scorer.scores_of(_on_end(batch.column(1)))
+        starts = np.cumsum(sizes) - sizes
+        n = sizes - 2 * SIDE
+        if len(sizes):
+            total, least = np.add.reduceat(scores, starts), np.minimum.reduceat(scores, starts)
+        else:
+            total = least = np.empty(0)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(least, pa.float64())],
-            names=[batch.schema.field(0).name, "n_tokens", "log_likelihood", "least_token"],
+            [batch.column(0), pa.array(n), pa.array(total), pa.array(least, mask=n == 0)], names=[name, "n_tokens", "log_likelihood", "least_token"]
         )
 
 
@@ -311,12 +327,11 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    texts = rows.select("text")
-    vocabulary = fit_vocabulary(texts, words)
-    network = fit_network(texts, vocabulary, passes)
-    model = spark.sparkContext.broadcast((vocabulary, network))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    vocabulary = fit_vocabulary(rows.select("text"), words)
+    encoded = encoded_texts(rows, vocabulary)
+    model = spark.sparkContext.broadcast((vocabulary, fit_network(encoded, vocabulary, passes)))
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, log_likelihood double, least_token double"
-    return rows.mapInArrow(partial(_score, model), schema).withColumn(
+    return encoded.mapInArrow(partial(_score, id_col, model), schema).withColumn(
         "mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     )

@@ -84,9 +84,9 @@ def test_every_token_is_trained_on_once_a_pass(vocabulary):
         value = vocabulary
 
     texts = ["the cat sat on the mat " * k for k in range(12)] + [None, "", "one"]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
     (out,) = M._encoded(Held, [batch])
-    ids = np.frombuffer(out.column(0)[0].as_py(), np.int16)
+    ids = M._on_end(out.column(1))
     got = [w for part in range(M.PARTS) for w in M.windows_of(ids, vocabulary.outside, part).tolist()]
     want = []
     for t in texts:
@@ -96,6 +96,25 @@ def test_every_token_is_trained_on_once_a_pass(vocabulary):
     assert len(M.windows_of(ids[:3], vocabulary.outside, 0)) == 0
 
 
+def test_scores_of_texts_on_end(vocabulary):
+    """One sum and least score for each text, whatever stands beside it."""
+    import pyarrow as pa
+
+    class Held:
+        value = vocabulary
+
+    class Model:
+        value = (vocabulary, M.Network.fresh(vocabulary))
+
+    texts = ["the cat", None, "sat on the mat the end", "", "x", "the " * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    (out,) = M._score("doc", Model, M._encoded(Held, [batch]))
+    for r, t in zip(out.to_pylist(), texts):
+        scores = brute_scores(*Model.value, (t or "").encode().split())
+        assert r["n_tokens"] == len(scores) and r["log_likelihood"] == pytest.approx(sum(scores), abs=1e-4)
+        assert (r["least_token"] is None) if not scores else r["least_token"] == pytest.approx(min(scores), abs=1e-5)
+
+
 def chain(rng, n):
     """Words that follow one another in a fixed circle, with some noise."""
     out, at = [], rng.randrange(40)
