@@ -26,7 +26,7 @@ PASSES = 1
 BATCH = 1024
 RATE = 0.1
 FLUSH = 250_000  # distinct words that a task counts before it hands them on
-PIECE = 1 << 15  # tokens scored at a time
+PIECE = 1 << 13  # tokens scored at a time, so that their numbers stay in the cache
 
 
 def bucket_of(word: bytes) -> int:
@@ -70,6 +70,14 @@ class Vocabulary:
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
+def bounded(z: np.ndarray, w2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Scores whose exponentials are finite: less their row's greatest, where the
+    weights (of inputs between -1 and 1) allow scores that are too large."""
+    if (np.abs(w2).sum(0) + np.abs(b2)).max() > 80:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
 class Network:
     """Window network: input vectors of the neighbours, one hidden layer, and
     a softmax over the classes of the word between them."""
@@ -89,11 +97,9 @@ class Network:
         """Mean loss of windows and its gradients; those of the vectors as rows
         for each neighbour."""
         vectors, w1, b1, w2, b2 = self.arrays
-        x = vectors[around].reshape(len(around), -1)
+        x = vectors.take(around.ravel(), axis=0).reshape(len(around), -1)
         h = np.tanh(x @ w1 + b1)
-        z = h @ w2 + b2
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
+        p = np.exp(bounded(h @ w2 + b2, w2, b2))
         p /= p.sum(1, keepdims=True)
         at = np.arange(len(classes))
         loss = -np.log(p[at, classes] + 1e-30).mean()
@@ -114,12 +120,14 @@ class Network:
             around = rows[:, sides]
             _, g_rows, grads = self.gradients(around, class_of[rows[:, SIDE]])
             flat = around.ravel()
-            by_id = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.diff(flat[by_id], prepend=-1))
-            used = flat[by_id[first]]
-            g = np.add.reduceat(g_rows[by_id], first, axis=0)
-            past[0][used] += g * g
-            vectors[used] -= RATE * g / np.sqrt(past[0][used])
+            by_id = np.argsort(flat.astype(np.int16), kind="stable")  # ids have 15 bits
+            flat = flat[by_id]
+            first = np.flatnonzero(np.diff(flat, prepend=-1))
+            used = flat[first]
+            g = np.add.reduceat(g_rows.take(by_id, axis=0), first, axis=0)  # of all places of an id together
+            seen = past[0].take(used, axis=0) + g * g
+            past[0][used] = seen
+            vectors[used] = vectors.take(used, axis=0) - RATE * g / np.sqrt(seen)
             for a, s, d in zip(self.arrays[1:], past[1:], grads):
                 s += d * d
                 a -= RATE * d / np.sqrt(s)
@@ -163,8 +171,7 @@ class Scorer:
             h = np.broadcast_to(self.b1, (n, HIDDEN)).copy()
             for table, k in zip(self.places, _OFFSETS):
                 h += table.take(ids[at + k : at + k + n], axis=0)
-            z = np.tanh(h, out=h) @ self.w2 + self.b2
-            z -= z.max(1, keepdims=True)
+            z = bounded(np.tanh(h, out=h) @ self.w2 + self.b2, self.w2, self.b2)
             own = ids[at : at + n]
             word = np.minimum(own, v.outside - 1)
             picked = z[np.arange(n), v.class_of[word]].astype(float)
