@@ -22,6 +22,9 @@ _S = "\t-\r \u0085 "
 COMMON_PATTERN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
+# Bytes of a word whose pairs are looked through rather than kept in a heap.
+SHORT = 24
+NO_RULE = 1 << 40
 _SPLITTER = ByteLevel(add_prefix_space=False)
 _UNCOMMON = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 
@@ -120,7 +123,29 @@ class Merges:
 
     def encode(self, word: str) -> list[int]:
         ids = self.ids
-        return [ids[s] for s in self.merge(word.encode())[0] if s >= 0]
+        data = word.encode()
+        if len(data) > SHORT:
+            return [ids[s] for s in self.merge(data)[0] if s >= 0]
+        return [ids[s] for s in self.merge_short(data)]
+
+    def merge_short(self, word: bytes) -> list[int]:
+        """Symbols of a short word after merging: its few pairs are looked
+        through for the lowest rule, then the leftmost place, each time."""
+        sym = list(word)
+        get = self.pairs.get
+        rules = [get(a << 20 | b, NO_RULE) for a, b in zip(sym, sym[1:])]
+        while rules:
+            m = min(rules)
+            if m == NO_RULE:
+                break
+            i = rules.index(m)
+            sym[i] = m
+            del sym[i + 1], rules[i]
+            if i < len(rules):
+                rules[i] = get(m << 20 | sym[i + 1], NO_RULE)
+            if i:
+                rules[i - 1] = get(sym[i - 1] << 20 | m, NO_RULE)
+        return sym
 
 
 class Memo(dict):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from functools import partial
 from hashlib import sha256
@@ -22,7 +23,7 @@ SHARE = 5e-6
 # Words in the lexicon. It only decides how a word's ids are found, never which.
 LEXICON_WORDS = 32_768
 # What a worker remembers of words' ids.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 192 << 20
 
 
 class Codec:
@@ -34,14 +35,14 @@ class Codec:
 
     def _packed(self, word: str) -> bytes:
         ids = self.words.ids(word.encode()) if self.words is not None else None
-        return np.array(self.merges.encode(word) if ids is None else ids, np.int32).tobytes()
+        return array("i", self.merges.encode(word) if ids is None else ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         out: list[bytes] = []
         for i, part in enumerate(self.merges.sections(text)):
             if i % 2:
-                out.append(np.int32(self.merges.special[part]).tobytes())
+                out.append(array("i", [self.merges.special[part]]).tobytes())
             else:
                 out.extend(map(self.memo.__getitem__, bpe.split_words(part)))
         return np.frombuffer(b"".join(out), np.int32)
