@@ -49,6 +49,20 @@ def test_identifier_search(spark):
     assert rows(identifier_search(idx, q), "query_id", "field", "gid") == [(1, "_aid", "_lid"), (2, "_nid", "_lid")]
 
 
+def test_identifier_answers_are_not_shuffled(spark):
+    index = req(spark, [("_aid", "7", "a"), ("_lid", "7", "a"), ("_aid", "x", "a"), ("_aid", "7", "b")], "field string, value string, gid string")
+    one = req(spark, [(1, "7", None), (2, "7", "_aid"), (2, "7", "_aid"), (None, "x", None)], "query_id int, value string, field string")
+    out = identifier_search(index, one)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # only the index is made distinct, below the join
+    got = {(1, "_aid", "a"), (1, "_lid", "a"), (1, "_aid", "b"), (2, "_aid", "a"), (2, "_aid", "b"), (None, "_aid", "a")}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(got, key=str)
+    # several conditions of a query that find one row give it once
+    more = one.unionByName(req(spark, [(1, "x", "_aid"), (None, "7", "_lid"), (None, "7", "_aid")], one.schema))
+    got |= {(None, "_lid", "a"), (None, "_aid", "b")}
+    assert sorted(map(tuple, identifier_search(index, more).collect()), key=str) == sorted(got, key=str)
+
+
 def test_text_search(spark):
     idx = text_index(_terms(spark))
     q = req(spark, [(1, "local PART"), (2, "unique namespace"), (3, "namespace unique"), (4, "registration"), (5, "ita")], "query_id int, text string")
