@@ -16,9 +16,8 @@ Per request ``(request_id, root, branch)``:
 * several usable edges reaching one vertex at the same hop: non-bridge first,
   then smaller level, then smaller parent handle, then smaller edge key.
 
-The loop runs all requests together (once per distinct (root, branch)). Vertices
-are numbered in the order of their handles and pairs by a long of their own; a
-hop joins the frontier with the usable edges where those lie, then one
+The loop runs all requests together (once per distinct (root, branch)). Pairs
+have a long of their own; a hop joins the frontier with the usable edges where those lie, then one
 aggregation per (pair, vertex) applies the tie-break as a ``min(struct)``
 (combined map-side, so a hub vertex does not collect in one task), and rows of
 vertices visited before are dropped by joins with the earlier hops' rows, which
@@ -26,7 +25,7 @@ lie bucketed on the same key and do not move. Each hop is written once into the
 session's reliable checkpoint folder, its row count observed on the way; the
 loop stops on an empty frontier or after ``levels + 1`` hops (``levels`` when the
 graphs have no bridge edge, which then cannot change the result). Edges come
-either from ``edges`` (filtered, numbered and bucketed once) or from a published
+either from ``edges`` (filtered and bucketed once) or from a published
 ``edges_by_root`` table, which, where it is large, is read per hop with the
 frontier pushed into the scan.
 """
@@ -42,7 +41,7 @@ from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES,
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import PublishedEdges, check_direction, edges_by_root, is_large, usable_from_published
 from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
-from dictgraph.plans.loopstate import HUB_EDGES, LoopTables, Visited, prepare
+from dictgraph.plans.loopstate import HUB_EDGES, LoopEdges, LoopTables, Visited
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
 
@@ -146,14 +145,12 @@ def expand_enum(
 
 
 def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadcast_rows, hub_edges) -> DataFrame:
-    """``(pair, vertex, predicate, level, parent, hops)`` of the distinct pairs,
-    with handles."""
+    """``(pair, vertex, predicate, level, parent, hops)`` of the distinct pairs."""
     max_hops = depth + 1
     start = pairs.select("pair", "root_h", "vertex")
     frontier_rows = n_pairs
-    numbers = None
     if published is not None and is_large(published):
-        # numbering would read a graph of which the hops need little
+        # the hops need little of it
         graph = PublishedEdges(usable_from_published(published, EXPAND_PREDICATES, direction, start.select("root_h")))
     else:
         if published is not None:
@@ -161,7 +158,7 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
         else:
             usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
         bridges = F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0))
-        graph, start, numbers = prepare(tables, usable, start, n_pairs, hub_edges, max_broadcast_rows, bridges=bridges)
+        graph = LoopEdges(tables, usable, hub_edges, max(max_broadcast_rows, 0), bridges=bridges)
         # Without any bridge edge no path can gain the bridge budget's extra hop
         # (its rows would all have level > levels), so the loop stops a hop early.
         if graph.stats["bridges"] == 0:
@@ -198,5 +195,4 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
             visited.add(new, frontier_rows)
     if not emitted:
         return tables.spark.createDataFrame([], "pair long, vertex string, predicate string, level int, parent string, hops int")
-    out = reduce(DataFrame.unionByName, emitted)
-    return numbers.back(out, "vertex", "parent") if numbers else out
+    return reduce(DataFrame.unionByName, emitted)

@@ -1,8 +1,8 @@
 """State of the graph loops (O3, O5): numbered vertices, and rows that stay put.
 
-Inside a loop with many pairs or edges a vertex is a long. Numbers follow the
-order of the handles, so every tie-break on handles holds on numbers; handles
-are attached at the end.
+Inside a loop that carries paths for many pairs a vertex is a long. Numbers
+follow the order of the handles, so every tie-break on handles holds on numbers;
+handles are attached at the end.
 
 While a loop's state is small (LOOSE_ROWS), each hop is a checkpoint, and what
 was visited joins the hop's aggregation. Beyond that, what a hop adds is written
@@ -13,7 +13,8 @@ again nor rewritten. Edges that are too many to broadcast are bucketed on (root,
 near, salt) once a frontier is too large to broadcast. The edges of a hub vertex
 are dealt over several salts and the few frontier rows at a hub are copied to
 each, so no bucket holds a whole hub, and the frontier is the only side that
-moves. Sizes decide where rows lie, never which rows there are.
+moves. Where many frontier rows crowd at a vertex of few edges, these are
+broadcast and the rows stay. Sizes decide where rows lie, never which rows there are.
 """
 
 from __future__ import annotations
@@ -27,18 +28,19 @@ from pyspark.sql import functions as F
 
 from dictgraph.plans.lineage import cut_lineage_observed
 from dictgraph.plans.numbering import ordered_ids
-from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS
+from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 from dictgraph.session import ensure_checkpoint_dir
 
 # Edges of one (root, vertex) in a graph above which they are dealt over salts.
 HUB_EDGES = 200_000
+# Frontier rows at one vertex above which they stay and its edges come to them.
+CROWD_ROWS = 200_000
 # Pieces of the visited set that are looked through before they become one.
 MAX_PIECES = 8
 # Visited rows that a hop may move again.
 LOOSE_ROWS = 2_000_000
-# Pairs, and edges, from which on a loop runs on numbers.
+# Pairs from which on a loop runs on numbers.
 NUMBERED_PAIRS = 1_000_000
-NUMBERED_EDGES = 1_000_000
 
 
 class LoopTables:
@@ -126,20 +128,27 @@ class Visited:
 class Numbers:
     """Longs for handles, in the handles' order."""
 
-    def __init__(self, handles: DataFrame):
-        """``handles``: one column ``h``; nulls get no number."""
+    def __init__(self, handles: DataFrame, roots: DataFrame | None = None):
+        """``handles``: one column ``h``; nulls get no number. ``roots``: all
+        values of a column ``root_h``, few as a rule: a join that dealt a graph's
+        rows by its root would put them into one task."""
         rows, stats = cut_lineage_observed(
             ordered_ids(handles.filter(F.col("h").isNotNull()).distinct(), ("h",), "number"),
             bytes=F.coalesce(F.sum(F.octet_length("h") + 40), F.lit(0)),
         )
         small = stats["rows"] <= DEFAULT_MAX_BROADCAST_ROWS and stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
         self.rows = F.broadcast(rows) if small else rows
+        self.roots = self.rows
+        if roots is not None and not small:
+            asked = broadcast_if_bounded(roots.select(F.col("root_h").alias("h")).distinct())
+            self.roots = broadcast_if_bounded(rows.join(asked, "h", "left_semi"))
 
     def of(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with the handles in ``columns`` replaced by their numbers; rows
         with a handle that has none are dropped."""
         for c in columns:
-            df = df.join(self.rows.select(F.col("h").alias(c), F.col("number").alias("__n")), c).drop(c).withColumnRenamed("__n", c)
+            known = self.roots if c == "root_h" else self.rows
+            df = df.join(known.select(F.col("h").alias(c), F.col("number").alias("__n")), c).drop(c).withColumnRenamed("__n", c)
         return df
 
     def back(self, df: DataFrame, *columns: str) -> DataFrame:
@@ -156,8 +165,9 @@ class LoopEdges:
     def __init__(self, tables: LoopTables, edges: DataFrame, hub_edges: int = HUB_EDGES, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, **metrics):
         self.tables, self.hub_edges = tables, hub_edges
         text = [f.name for f in edges.schema.fields if f.dataType.simpleString() == "string"]
-        size = sum((F.octet_length(c) for c in text), F.lit(100))
-        self.rows, self.stats = cut_lineage_observed(edges, bytes=F.coalesce(F.sum(size), F.lit(0)), **metrics)
+        self.size = sum((F.octet_length(c) for c in text), F.lit(100))
+        self.crowd_rows = CROWD_ROWS
+        self.rows, self.stats = cut_lineage_observed(edges, bytes=F.coalesce(F.sum(self.size), F.lit(0)), **metrics)
         self.small = self.stats["rows"] <= max_broadcast_rows and self.stats["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
         self.bucketed, self.hubs = None, None
 
@@ -179,12 +189,32 @@ class LoopEdges:
     def step(self, frontier: DataFrame, small: bool) -> DataFrame:
         """``frontier`` (``root_h``, ``vertex``, ...) joined with the edges that
         leave its vertices. A small frontier is broadcast, or else few edges;
-        failing that the frontier's rows alone move."""
+        failing that the frontier's rows alone move, but for those that crowd at
+        a vertex: its edges, if few, are broadcast to them."""
         fr = frontier.withColumnRenamed("vertex", "near")
         if small:
             return F.broadcast(fr).join(self.rows, ["root_h", "near"])
         if self.small:
             return fr.join(F.broadcast(self.rows), ["root_h", "near"])
+        crowds, others = self._crowds(fr)
+        if crowds is None:
+            return self._moved(fr)
+        edges, stats = cut_lineage_observed(self.rows.join(crowds, ["root_h", "near"]), bytes=F.coalesce(F.sum(self.size), F.lit(0)))
+        if stats["rows"] > DEFAULT_MAX_BROADCAST_ROWS or stats["bytes"] > DEFAULT_MAX_BROADCAST_BYTES:
+            return self._moved(fr)
+        out = fr.join(F.broadcast(edges), ["root_h", "near"])
+        return out.unionByName(self._moved(fr.join(crowds, ["root_h", "near"], "left_anti"))) if others else out
+
+    def _crowds(self, fr: DataFrame) -> tuple[DataFrame | None, int]:
+        """The vertices at which more than ``crowd_rows`` rows stand (None
+        without any), at most one for each so many, and the rows at others."""
+        n, seen = F.count(F.lit(1)).alias("n"), Observation(f"crowds_{uuid.uuid4().hex}")
+        at = fr.groupBy("root_h", "near").agg(n)
+        at = at.observe(seen, F.sum(F.when(F.col("n") <= self.crowd_rows, F.col("n")).otherwise(0)).alias("others"))
+        crowds, found = cut_lineage_observed(at.filter(F.col("n") > self.crowd_rows).select("root_h", "near"))
+        return (F.broadcast(crowds) if found["rows"] else None), int(seen.get["others"] or 0)
+
+    def _moved(self, fr: DataFrame) -> DataFrame:
         edges = self._bucketed()
         if self.hubs is None:
             return fr.join(edges, ["root_h", "near"])
@@ -198,14 +228,11 @@ def prepare(tables: LoopTables, usable: DataFrame, pairs: DataFrame, n_pairs: in
     ``root_h``, ``vertex``) that start it, and the numbers that both are on
     (None: handles)."""
     bound = max(max_broadcast_rows, 0)
-    numbered = n_pairs > NUMBERED_PAIRS
-    if not numbered:
-        graph = LoopEdges(tables, usable, hub_edges, bound, **metrics)
-        numbered = graph.stats["rows"] > NUMBERED_EDGES
-        usable = graph.rows
-    if not numbered:
-        return graph, pairs, None
+    # Numbering moves every edge once for each end; only many walks with paths
+    # make up for it.
+    if n_pairs <= NUMBERED_PAIRS:
+        return LoopEdges(tables, usable, hub_edges, bound, **metrics), pairs, None
     ends = usable.select(F.explode(F.array("near", "far")).alias("h"))
-    numbers = Numbers(ends.union(pairs.select("root_h")).union(pairs.select("vertex")))
+    numbers = Numbers(ends.union(pairs.select("root_h")).union(pairs.select("vertex")), pairs)
     graph = LoopEdges(tables, numbers.of(usable, "near", "far", "root_h"), hub_edges, bound, **metrics)
     return graph, numbers.of(pairs, "root_h", "vertex"), numbers

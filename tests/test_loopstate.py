@@ -125,3 +125,46 @@ def test_numbers_follow_the_handles(spark):
     df = spark.createDataFrame([("terms/a", "terms/é", 1), ("terms/none", "terms/a", 2)], "x string, y string, z int")
     there = numbers.of(df, "x", "y")
     assert rows(numbers.back(there, "x", "y").select("x", "y", "z")) == [("terms/a", "terms/é", 1)]
+
+
+def widest(df):
+    from pyspark.sql.functions import spark_partition_id
+
+    return df.groupBy(spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_rows_that_crowd_at_a_vertex_stay(spark, monkeypatch):
+    monkeypatch.setattr(LS, "CROWD_ROWS", 20)
+    monkeypatch.setattr(LS, "LOOSE_ROWS", 0)
+    spec = [(f"w{i}", "_predicate_enum-of", f"n{i % 2}" if i < 100 else f"m{i}", ["R1"]) for i in range(130)]
+    spec += [(f"n{i}", "_predicate_enum-of", "top", ["R1"]) for i in range(2)] + [("top", "_predicate_section-of", "R1", ["R1"])]
+    edges = make_edges(spark, spec)
+    er = req(spark, [(i, "R1", f"w{i}") for i in range(130)], "request_id long, root string, branch string")
+    moved, move = [], LS.LoopEdges._moved
+    monkeypatch.setattr(LS.LoopEdges, "_moved", lambda self, fr: moved.append(fr.count()) or move(self, fr))
+    monkeypatch.setattr(LS.LoopEdges, "small", property(lambda self: False, lambda self, v: None), raising=False)
+    got = rows(expand_enum(er, edges, levels=4, direction="outbound", max_broadcast_rows=10))
+    assert moved == [130, 30]  # at n0, n1 and top the edges come to the rows
+    monkeypatch.undo()
+    assert got == rows(expand_enum(er, edges, levels=4, direction="outbound")) and len(got) > 300
+
+
+def test_a_graph_is_not_dealt_by_its_root(spark, large):
+    from dictgraph.plans.graph import edges_by_root
+
+    edges = make_edges(spark, [(f"w{i}", "_predicate_enum-of", f"v{i % 50}", ["R1"]) for i in range(400)]).repartition(8)
+    roots = req(spark, [("terms/R1",)], "root_h string")
+    usable = edges_by_root(edges, None, roots=roots)
+    assert widest(usable) < 200
+    tables = LS.LoopTables(spark)
+    pairs = req(spark, [(i, "terms/R1", f"terms/w{i}") for i in range(3)], "pair long, root_h string, vertex string")
+    graph, _, numbers = LS.prepare(tables, usable.repartition(8), pairs, 3, 1000, 10)
+    assert numbers is not None and graph.rows.count() == 400 and widest(graph.rows) < 300
+
+
+def test_derived_rows_are_dealt_evenly(spark, tmp_path):
+    from dictgraph.plans.sizing import spread_rows
+
+    spark.range(1000).selectExpr("1 AS k", "CAST(NULL AS STRING) AS v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = spread_rows(spark.read.parquet(str(tmp_path / "t")), 100)
+    assert out.columns == ["k", "v"] and out.count() == 1000 and out.rdd.getNumPartitions() == 10 and widest(out) < 250
