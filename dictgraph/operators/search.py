@@ -82,6 +82,8 @@ def match(postings: DataFrame, qtokens: DataFrame, mode: str = "any", materializ
     qdistinct = qtokens.select("query_id", "token").distinct()
     postings = restrict_to_tokens(postings, qdistinct.select("token"))
     if materialize:
+        if mode == "all":  # a token counts once a doc, places do not matter
+            postings = postings.select("doc", "token").distinct()
         postings = cut_lineage(postings)
 
     # Anchor: the query token with the fewest postings.
@@ -271,12 +273,18 @@ def text_values_by_language(terms: DataFrame) -> DataFrame:
     return keyed.unionByName(plain).filter(F.col("text").isNotNull())
 
 
-def stemmed(rows: DataFrame, column: str = "token") -> DataFrame:
+def stemmed(rows: DataFrame, column: str = "token", wanted: DataFrame | None = None) -> DataFrame:
     """``rows`` (postings, query tokens) with ``column`` replaced by its English
-    stem. Each distinct token is stemmed once and its stem joined back."""
+    stem. Each distinct token is stemmed once and its stem joined back.
+
+    ``wanted`` (a DataFrame with ``column``, such as the queries' stems) keeps
+    only rows with these stems: their few words are then broadcast to the
+    postings, which a large vocabulary would have to be shuffled with."""
     stems = with_stems(rows.select(F.col(column).alias("__token")).distinct(), "__token", "__stem")
     stems, n = cut_lineage_counted(stems)
-    out = rows.join(broadcast_small(stems, n), F.col(column) == F.col("__token"))
+    if wanted is not None:  # a filter on stems is kept out of the plan that makes them
+        stems, n = cut_lineage_counted(restrict_to_tokens(stems, wanted.select(F.col(column).alias("__stem")), "__stem"))
+    out = rows.join(broadcast_small(stems, n, DEFAULT_MAX_BROADCAST_ROWS), F.col(column) == F.col("__token"))
     return out.withColumn(column, F.col("__stem")).drop("__token", "__stem")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dictgraph import oracle_sql as osql
 from dictgraph.functions.stemming import stem_sql, with_stems
+from dictgraph.functions.tokens import word_tokens
 from dictgraph.operators.search import (
     domain_filter,
     domain_index,
@@ -17,6 +18,7 @@ from dictgraph.operators.search import (
     text_index,
     text_index_frame,
     phrase_search_texts,
+    query_tokens,
     stemmed,
     text_search,
 )
@@ -147,7 +149,9 @@ def q_text_search_stemmed(spark, sf_dir):
     """Documents that have the stems of all words of a benchmark passage."""
     documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
     q = benchmark.select(F.col("item_id").alias("query_id"), "text")
-    out = text_search(stemmed(text_index_frame(documents, "doc_id", "text")), q, "all", stem=True)
+    asked = stemmed(query_tokens(q, word_tokens)).select("token")
+    index = stemmed(text_index_frame(documents, "doc_id", "text"), wanted=asked)
+    out = text_search(index, q, "all", stem=True)
     return out.select(*_long("query_id"), F.col("doc").cast("long").alias("doc_id"))
 
 

@@ -146,3 +146,27 @@ def test_facets_below_any_depth(spark):
     assert index.filter(index.path == path).count() == 1
     q = spark.createDataFrame([(1, path, "x")], "query_id int, path string, value string")
     assert [tuple(r) for r in domain_filter(index, q).collect()] == [(1, "t")]
+
+
+def test_all_mode_keeps_a_token_once_a_doc(spark, monkeypatch):
+    from dictgraph.operators import search as S
+
+    kept, cut = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    postings = req(spark, [("a", f"u{i % 3}", w, i) for i in range(30) for w in ("x", "y")] + [("b", "u", "x", 0)], "doc string, unit string, token string, pos int")
+    q = req(spark, [(1, 0, "x"), (1, 1, "y"), (1, 2, "x")], "query_id int, qpos int, token string")
+    assert rows(S.match(postings, q, "all"), "query_id", "doc") == [(1, "a")]
+    assert [df.count() for df in kept if "doc" in df.columns] == [3]
+
+
+def test_wanted_stems_are_broadcast_whatever_the_vocabulary(spark, monkeypatch):
+    from dictgraph.operators import search as S
+    from tests.test_plans import plan, tree
+
+    monkeypatch.setattr(S, "DEFAULT_MAX_BROADCAST_ROWS", 5)
+    words = req(spark, [(i, f"word{i}") for i in range(30)] + [(50, "runs"), (51, "running")], "doc int, token string")
+    wanted = req(spark, [("run",), ("absent",)], "token string")
+    out = S.stemmed(words, wanted=wanted)
+    assert rows(out, "doc", "token") == [(50, "run"), (51, "run")]
+    assert "BroadcastHashJoin" in "\n".join(tree(plan(out))) and "SortMergeJoin" not in "\n".join(tree(plan(out)))
+    assert S.stemmed(words).count() == 32
