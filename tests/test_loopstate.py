@@ -168,3 +168,18 @@ def test_derived_rows_are_dealt_evenly(spark, tmp_path):
     spark.range(1000).selectExpr("1 AS k", "CAST(NULL AS STRING) AS v").coalesce(1).write.parquet(str(tmp_path / "t"))
     out = spread_rows(spark.read.parquet(str(tmp_path / "t")), 100)
     assert out.columns == ["k", "v"] and out.count() == 1000 and out.rdd.getNumPartitions() == 10 and widest(out) < 250
+
+
+def test_work_stays_behind_the_deal(spark, tmp_path):
+    from dictgraph.operators.search import text_index_frame
+    from dictgraph.plans.sizing import spread_rows
+    from dictgraph.sources.dictionary import terms_from_json
+
+    spark.range(300).selectExpr("concat('k', id) AS _key", """concat('{"a":', id, '}') AS doc""").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    parsed, words = terms_from_json(spread_rows(t, 100)), text_index_frame(t, "_key", "doc")
+    for out in (parsed, words):
+        lines = tree(plan(out))
+        deal = max(i for i, line in enumerate(lines) if "Exchange" in line)
+        assert not [line for line in lines[deal:] if "Filter" in line.split("[")[0].split("(")[0]], lines
+    assert parsed.count() == 300 and words.count() == 600
