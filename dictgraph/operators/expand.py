@@ -152,6 +152,7 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
     if published is not None and is_large(published):
         # the hops need little of it
         graph = PublishedEdges(usable_from_published(published, EXPAND_PREDICATES, direction, start.select("root_h")))
+        bridged = graph.has_bridges()
     else:
         if published is not None:
             usable = usable_from_published(published, EXPAND_PREDICATES, direction, start.select("root_h"))
@@ -159,10 +160,11 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
             usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
         bridges = F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0))
         graph = LoopEdges(tables, usable, hub_edges, max(max_broadcast_rows, 0), bridges=bridges)
-        # Without any bridge edge no path can gain the bridge budget's extra hop
-        # (its rows would all have level > levels), so the loop stops a hop early.
-        if graph.stats["bridges"] == 0:
-            max_hops = depth
+        bridged = graph.stats["bridges"] > 0
+    # Without any bridge edge no path can gain the bridge budget's extra hop
+    # (its rows would all have level > levels), so the loop stops a hop early.
+    if not bridged:
+        max_hops = depth
     keys = ["pair", "vertex"]
     frontier = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
     visited = Visited(tables, keys)

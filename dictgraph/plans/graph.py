@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dictgraph.functions.constants import BRIDGE_OF, ENUM_OF, INBOUND, OUTBOUND
-from dictgraph.plans.sizing import broadcast_if_bounded
+from dictgraph.plans.sizing import broadcast_if_bounded, is_bounded
 
 
 def check_direction(direction: str | None) -> str:
@@ -148,6 +148,18 @@ class PublishedEdges:
     def step(self, frontier: DataFrame, small: bool) -> DataFrame:
         from dictgraph.operators.search import restrict_to_tokens
 
-        fr = frontier.withColumnRenamed("vertex", "near")
-        edges = restrict_to_tokens(self.published, fr.select("near"), column="near")
-        return (F.broadcast(fr) if small else fr).join(edges, ["root_h", "near"])
+        fr, keys = frontier.withColumnRenamed("vertex", "near"), ["root_h", "near"]
+        edges = restrict_to_tokens(self.published, fr.select("near"), column="near", semi_join=False)
+        if small:
+            return F.broadcast(fr).join(edges, keys)
+        if edges is self.published:
+            # only by broadcast: a semi-join that moves the edges would move them
+            # once more than the join itself does
+            near = fr.select("near").distinct()
+            if is_bounded(near):
+                edges = edges.join(F.broadcast(near), "near", "left_semi")
+        return fr.join(edges, keys)
+
+    def has_bridges(self) -> bool:
+        """Read by the statistics of the table's row groups, where there are none."""
+        return not self.published.filter("is_bridge").isEmpty()

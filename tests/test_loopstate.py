@@ -67,6 +67,34 @@ def test_large_published_tables_are_read_per_hop(spark, large, monkeypatch):
         drop_dictionary(spark, "dgk_")
 
 
+def test_large_published_tables_without_bridges(spark, monkeypatch):
+    from dictgraph.plans import graph
+
+    spec = [(f"w{i}", "_predicate_enum-of", f"v{i % 4}", ["R1"]) for i in range(40)]
+    spec += [(f"v{i}", "_predicate_section-of", "R1", ["R1"]) for i in range(4)] + [("x", "_predicate_bridge-of", "R2", ["R2"])]
+    edges = make_edges(spark, spec + [(f"z{i}", "_predicate_enum-of", "w0", ["R1"]) for i in range(3)])
+    graph.edges_by_root(edges, None).write.mode("overwrite").saveAsTable("dgn_edges")
+    try:
+        usable = spark.table("dgn_edges")
+        er = req(spark, [(0, "R1"), (1, "R1")], "request_id long, root string")
+        want = rows(expand_enum(er, edges, levels=2))
+        monkeypatch.setattr(graph, "LARGE_TABLE_BYTES", 0)
+        hops, step = [], graph.PublishedEdges.step
+        monkeypatch.setattr(graph.PublishedEdges, "step", lambda self, *a: hops.append(a) or step(self, *a))
+        assert rows(expand_enum(er, None, levels=2, usable_edges=usable)) == want and len(want) == 88
+        assert len(hops) == 2  # no hop for bridges that R1 has not
+        assert rows(expand_enum(er.replace("R1", "R2"), None, levels=1, usable_edges=usable)) == []
+        assert len(hops) == 3 + 1  # a bridge, then nothing behind it
+        # vertices too many to be broadcast: the edges move once, for the join
+        monkeypatch.setattr("dictgraph.operators.search.MAX_PUSHED_TOKENS", 1)
+        monkeypatch.setattr(graph, "is_bounded", lambda df: False)
+        frontier = spark.createDataFrame([("terms/R1", f"terms/v{i}") for i in range(4)], "root_h string, vertex string")
+        out = graph.PublishedEdges(usable).step(frontier, False)
+        assert out.count() == 40 and not [line for line in tree(plan(out)) if "LeftSemi" in line]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS dgn_edges")
+
+
 def exchanges(df):
     return [line for line in tree(plan(df)) if "Exchange" in line and "Broadcast" not in line]
 
