@@ -211,3 +211,14 @@ def test_work_stays_behind_the_deal(spark, tmp_path):
         deal = max(i for i, line in enumerate(lines) if "Exchange" in line)
         assert not [line for line in lines[deal:] if "Filter" in line.split("[")[0].split("(")[0]], lines
     assert parsed.count() == 300 and words.count() == 600
+
+
+def test_documents_of_parts_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    from dictgraph.plans.sizing import spread_rows
+    from dictgraph.registry import published as P
+
+    part = "id AS p_partkey, 'a b' AS p_name, 'T' AS p_type, 'B' AS p_brand, 1 AS p_size"
+    spark.range(300).selectExpr(*part.split(", ")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(P, "spread_rows", lambda df: spread_rows(df, 30), raising=False)
+    terms = P.bilingual_terms(spark, str(tmp_path))
+    assert terms.rdd.getNumPartitions() == 10 and terms.count() == 300 and widest(terms) < 150
