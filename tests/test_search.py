@@ -1,5 +1,7 @@
 """O10–O14 — the declared search surfaces."""
 
+from pyspark.sql import functions as F
+
 from dictgraph import (
     domain_filter,
     domain_index,
@@ -11,6 +13,7 @@ from dictgraph import (
     text_index,
     text_search,
 )
+from dictgraph.operators.search import _answers
 from tests.fixtures import _doc, make_terms, req, rows
 
 
@@ -63,6 +66,25 @@ def test_identifier_answers_are_not_shuffled(spark):
     assert sorted(map(tuple, identifier_search(index, more).collect()), key=str) == sorted(got, key=str)
 
 
+def test_identifier_answers_are_made_of_blocks(spark, tmp_path):
+    # blocks of two: every value, field and id of either side meets, nulls included
+    found = [(f, v, g) for f in ("_aid", "_lid") for v in ("7", "8") for g in ("a", "b", "c", "d", "e", None)] + [("_lid", "9", "z")]
+    asked = [(k, f, v) for k, f in ((1, None), (2, "_aid"), (3, "_lid"), (4, None), (5, None), (None, "_lid")) for v in ("7", "9", "0")]
+    out = _answers(req(spark, found, "field string, value string, gid string"), req(spark, asked, "query_id int, qfield string, value string"), 2)
+    want = [(k, f, g) for k, qf, v in asked for f, w, g in found if v == w and qf in (None, f)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    # a value that all hold and all ask: no side is broadcast, tasks share the
+    # answers, and these take less than a byte each
+    n = 3000
+    index = spark.range(n).selectExpr("'_aid' AS field", "'7' AS value", "concat('sup_', id) AS gid")
+    out = identifier_search(index, spark.range(n).selectExpr("id * 10 AS query_id", "'7' AS value"))
+    out.withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == n * n
+    assert written.select("task").distinct().count() > 1
+    assert sum(f.stat().st_size for f in (tmp_path / "out").rglob("*.parquet")) < n * n
+
+
 def test_text_search(spark):
     idx = text_index(_terms(spark))
     q = req(spark, [(1, "local PART"), (2, "unique namespace"), (3, "namespace unique"), (4, "registration"), (5, "ita")], "query_id int, text string")
