@@ -37,10 +37,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictgraph.functions.constants import EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
+from dictgraph.functions.constants import BRIDGE_OF, EMITTED_PREDICATES, EXPAND_PREDICATES, INBOUND
 from dictgraph.functions.keys import handle, key_of
 from dictgraph.plans.graph import PublishedEdges, check_direction, edges_by_root, is_large, usable_from_published
-from dictgraph.plans.lineage import cut_lineage, cut_lineage_counted
+from dictgraph.plans.lineage import cut_lineage_counted
 from dictgraph.plans.loopstate import HUB_EDGES, LoopEdges, LoopTables, Visited
 from dictgraph.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, LOOP_MAX_BROADCAST_ROWS, broadcast_small
 from dictgraph.sources.dictionary import prepare_terms
@@ -109,6 +109,11 @@ def expand_enum(
     pairs, n_pairs = cut_lineage_counted(
         keyed.select("root_h", "vertex").distinct().withColumn("pair", F.monotonically_increasing_id())
     )
+    # Where each pair has one request and each request its own id, the loop runs
+    # on the ids: its rows, which may be many times the requests, meet no join.
+    own = not by_pair and n_pairs == n_requests and keyed.agg(F.countDistinct("request_id")).first()[0] == n_requests
+    if own:
+        pairs = keyed.select("root_h", "vertex", F.col("request_id").alias("pair"))
     tables = LoopTables(requests.sparkSession)
     try:
         out = _loop(tables, pairs, n_pairs, edges, usable_edges, depth, direction, max_broadcast_rows, hub_edges)
@@ -117,6 +122,9 @@ def expand_enum(
             out = out.join(broadcast_small(names, n_pairs), "pair")
             out = out.withColumns({"root": key_of("__root"), "branch": key_of("__branch")}).drop("pair", "__root", "__branch")
             keys = ["root", "branch"]
+        elif own:
+            out = out.withColumnRenamed("pair", "request_id")
+            keys = ["request_id"]
         else:
             same = (F.col("root_h") == F.col("__root")) & (F.col("vertex") == F.col("__branch"))
             ids = keyed.join(broadcast_small(names, n_pairs), same).select("pair", F.col("request_id").alias("__rid"))
@@ -124,10 +132,10 @@ def expand_enum(
             out = out.join(ids, "pair").drop("pair").withColumnRenamed("__rid", "request_id")
             keys = ["request_id"]
         out = out.select(*keys, "vertex", "predicate", "level", "parent", "hops")
-        if tables.made:  # before their files go
-            out = cut_lineage(out)
-    finally:
+    except BaseException:
         tables.close()
+        raise
+    tables.close(lasting=True)
     gid = key_of("vertex")
     parent = F.col("parent")
     if null_missing:
@@ -159,18 +167,26 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
         else:
             usable = edges_by_root(edges, EXPAND_PREDICATES, direction, start.select("root_h"))
         bridges = F.coalesce(F.sum(F.col("is_bridge").cast("long")), F.lit(0))
-        graph = LoopEdges(tables, usable, hub_edges, max(max_broadcast_rows, 0), bridges=bridges)
+        graph = LoopEdges(tables, usable, hub_edges, max(max_broadcast_rows, 0), rank=("ekey", "predicate"), bridges=bridges)
         bridged = graph.stats["bridges"] > 0
     # Without any bridge edge no path can gain the bridge budget's extra hop
     # (its rows would all have level > levels), so the loop stops a hop early.
     if not bridged:
         max_hops = depth
     keys = ["pair", "vertex"]
+    # The anchor of a vertex is the vertex itself, or behind a bridge its parent:
+    # it moves with no candidate. A vertex's root is its pair's and never ties.
+    anchor = F.when(F.col("predicate") == BRIDGE_OF, F.col("parent")).otherwise(F.col("vertex"))
     frontier = start.withColumn("level", F.lit(0)).withColumn("anchor", F.col("vertex"))
     visited = Visited(tables, keys)
     visited.add(frontier, n_pairs)
     emitted = []
     for hop in range(1, max_hops + 1):
+        last = hop == max_hops
+        if last:
+            # Nothing goes on from here, and a bridge or a level too deep never
+            # wins over a row that is emitted: such candidates are not made.
+            frontier = frontier.filter(F.col("level") < depth)
         step = graph.step(frontier, frontier_rows <= max_broadcast_rows).select(
             "pair",
             "root_h",
@@ -179,11 +195,12 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
             (F.col("level") + F.when(F.col("is_bridge"), 0).otherwise(1)).alias("level"),
             F.col("anchor").alias("parent"),
             "ekey",
-            F.when(F.col("is_bridge"), F.col("anchor")).otherwise(F.col("far")).alias("anchor"),
             "predicate",
         )
-        best = visited.aggregate(step, b=F.min(F.struct("is_bridge", "level", "parent", "ekey", "anchor", "predicate", "root_h"))).filter(~F.col("seen"))
-        new, stats = visited.keep(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("root_h", "level", "parent", "anchor", "predicate")]))
+        if last:
+            step = step.filter(~F.col("is_bridge"))
+        best = visited.aggregate(step, b=F.min(F.struct("is_bridge", "level", "parent", "ekey", "predicate", "root_h"))).filter(~F.col("seen"))
+        new, stats = visited.keep(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("root_h", "level", "parent", "predicate")]), lasting=True)
         frontier_rows = stats["rows"]
         if frontier_rows == 0:
             break
@@ -192,9 +209,10 @@ def _loop(tables, pairs, n_pairs, edges, published, depth, direction, max_broadc
                 *keys, "predicate", "level", "parent", F.lit(hop).alias("hops")
             )
         )
-        frontier = new.select("pair", "root_h", "vertex", "level", "anchor")
-        if hop < max_hops:
+        frontier = new.select("pair", "root_h", "vertex", "level", anchor.alias("anchor"))
+        if not last:
             visited.add(new, frontier_rows)
     if not emitted:
-        return tables.spark.createDataFrame([], "pair long, vertex string, predicate string, level int, parent string, hops int")
+        nothing = F.lit(None).cast("string")
+        return start.limit(0).select(*keys, nothing.alias("predicate"), F.lit(0).alias("level"), nothing.alias("parent"), F.lit(0).alias("hops"))
     return reduce(DataFrame.unionByName, emitted)

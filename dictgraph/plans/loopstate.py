@@ -39,30 +39,35 @@ CROWD_ROWS = 200_000
 MAX_PIECES = 8
 # Visited rows that a hop may move again.
 LOOSE_ROWS = 2_000_000
+# Edges of a vertex, on average, from which on they are ranked: fewer make too
+# few candidates of a frontier to pay for the ranking.
+RANKED_DEGREE = 2
 # Pairs from which on a loop runs on numbers.
 NUMBERED_PAIRS = 1_000_000
 
 
 class LoopTables:
     """Bucketed relations of one loop. ``close`` deletes their files: the loop's
-    result has to be cut off from them before."""
+    result has to be cut off from them before, or made of lasting ones alone."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.run = uuid.uuid4().hex
         self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loop-{self.run}"
-        self.made = 0
+        self.made, self.lasting = 0, []
 
-    def keep(self, df: DataFrame, keys: Sequence[str], deal: bool = True, **metrics) -> tuple[DataFrame, dict]:
+    def keep(self, df: DataFrame, keys: Sequence[str], deal: bool = True, lasting: bool = False, **metrics) -> tuple[DataFrame, dict]:
         """``df`` written in buckets of ``keys``, and its ``rows`` and ``metrics``
         (aggregates), observed on the way. ``deal=False`` for rows that already
-        lie by ``keys``."""
+        lie by ``keys``. ``lasting`` rows may be part of the loop's result."""
         if deal:
             df = df.repartition(self.buckets, *keys)
         seen = Observation(f"loop_{uuid.uuid4().hex}")
         df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
         self.made += 1
+        if lasting:
+            self.lasting.append(self.made)
         name = f"dictgraph_loop_{self.run}_{self.made}"
         # The catalog is the way to a bucketed relation; its entry goes at once,
         # the relation and the files stay.
@@ -74,13 +79,20 @@ class LoopTables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         return out, dict(seen.get)
 
-    def close(self) -> None:
+    def close(self, lasting: bool = False) -> None:
+        """Delete the files; with ``lasting`` all but those of lasting rows, which
+        the result reads in place and which go when the driver ends."""
         try:
             jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         except Exception:  # Spark Connect gives no handle to the file system
             return
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(conf).delete(path, True)
+        stays = set(self.lasting) if lasting else set()
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(conf)
+        if stays:
+            files.deleteOnExit(folder)
+        for path in [f"{self.folder}/{n}" for n in range(1, self.made + 1) if n not in stays] if stays else [self.folder]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 class Visited:
@@ -92,10 +104,10 @@ class Visited:
         self.most = LOOSE_ROWS if loose_rows is None else loose_rows
         self.loose, self.rows, self.pieces = [], 0, []
 
-    def keep(self, df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    def keep(self, df: DataFrame, lasting: bool = False, **metrics) -> tuple[DataFrame, dict]:
         """``df``, aggregated on the keys, written; its ``rows`` and ``metrics``."""
         if self.pieces:
-            return self.tables.keep(df, self.keys, deal=False, **metrics)
+            return self.tables.keep(df, self.keys, deal=False, lasting=lasting, **metrics)
         return cut_lineage_observed(df, **metrics)
 
     def add(self, piece: DataFrame, rows: int) -> None:
@@ -162,8 +174,16 @@ class LoopEdges:
     """Edges of a loop: written once, and bucketed by (root_h, near, salt) when
     a frontier first is too large to be broadcast to them."""
 
-    def __init__(self, tables: LoopTables, edges: DataFrame, hub_edges: int = HUB_EDGES, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, **metrics):
-        self.tables, self.hub_edges = tables, hub_edges
+    def __init__(
+        self, tables: LoopTables, edges: DataFrame, hub_edges: int = HUB_EDGES, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+        rank: Sequence[str] = (), **metrics,
+    ):
+        """``rank``: a column that only orders edges, and those that order them
+        further. Where a hop makes several rows of one, it becomes a long in that
+        order once the edges are bucketed: every candidate carries it."""
+        self.tables, self.hub_edges, self.rank = tables, hub_edges, list(rank)
+        if rank:  # a size alone hangs on it
+            metrics["nears"] = F.approx_count_distinct("near")
         text = [f.name for f in edges.schema.fields if f.dataType.simpleString() == "string"]
         self.size = sum((F.octet_length(c) for c in text), F.lit(100))
         self.crowd_rows = CROWD_ROWS
@@ -174,6 +194,9 @@ class LoopEdges:
     def _bucketed(self) -> DataFrame:
         if self.bucketed is None:
             rows, keys = self.rows, ["root_h", "near"]
+            ranked = self.rank and self.stats["rows"] >= RANKED_DEGREE * self.stats["nears"]
+            if ranked:
+                rows = ordered_ids(rows, self.rank, "__rank").drop(self.rank[0]).withColumnRenamed("__rank", self.rank[0])
             if self.stats["rows"] > self.hub_edges:
                 hubs = self.rows.groupBy("root_h", "near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.hub_edges)
                 salts = F.least(F.ceil(F.col("n") / self.hub_edges), F.lit(self.tables.buckets)).cast("int")
@@ -181,9 +204,11 @@ class LoopEdges:
                 if found["rows"]:  # at most one hub for each hub_edges edges
                     self.hubs = F.broadcast(hubs)
                     salt = F.pmod(F.xxhash64("far"), F.coalesce("salts", F.lit(1))).cast("int")
-                    rows = self.rows.join(self.hubs, ["root_h", "near"], "left").withColumn("salt", salt).drop("salts")
+                    rows = rows.join(self.hubs, ["root_h", "near"], "left").withColumn("salt", salt).drop("salts")
                     keys.append("salt")
             self.bucketed, _ = self.tables.keep(rows, keys)
+            if ranked:  # all edges of a hop are ranked, or none
+                self.rows = self.bucketed.drop("salt")
         return self.bucketed
 
     def step(self, frontier: DataFrame, small: bool) -> DataFrame:
@@ -199,6 +224,8 @@ class LoopEdges:
         crowds, others = self._crowds(fr)
         if crowds is None:
             return self._moved(fr)
+        if others:
+            self._bucketed()
         edges, stats = cut_lineage_observed(self.rows.join(crowds, ["root_h", "near"]), bytes=F.coalesce(F.sum(self.size), F.lit(0)))
         if stats["rows"] > DEFAULT_MAX_BROADCAST_ROWS or stats["bytes"] > DEFAULT_MAX_BROADCAST_BYTES:
             return self._moved(fr)

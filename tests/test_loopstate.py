@@ -145,6 +145,38 @@ def test_hub_edges_are_dealt_over_buckets(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dictgraph_loop_")]
 
 
+def test_expansion_moves_and_keeps_little(spark, large, monkeypatch):
+    """Edges' keys become longs, request ids are the loop's own key, the last
+    hop makes no candidate that is not emitted, and the result is not copied."""
+    rng = random.Random(5)
+    spec = random_graph(rng, n_vertices=12, n_edges=60)
+    edges = make_edges(spark, spec)
+    er = req(spark, [(f"q{v}", "R1", f"v{v}") for v in range(12)], "request_id string, root string, branch string")
+    steps, aggregate = [], LS.Visited.aggregate
+    monkeypatch.setattr(LS.Visited, "aggregate", lambda self, c, **a: steps.append(c) or aggregate(self, c, **a))
+    made, init = [], LS.LoopTables.__init__
+    monkeypatch.setattr(LS.LoopTables, "__init__", lambda self, *a: made.append(self) or init(self, *a))
+    monkeypatch.setattr(LS, "DEFAULT_MAX_BROADCAST_ROWS", -1)
+    out = expand_enum(er, edges, levels=3, max_broadcast_rows=0, hub_edges=5)
+    got = rows(out)
+    assert len(steps) == 4 and all(dict(c.dtypes)["ekey"] == "bigint" for c in steps)
+    assert dict(steps[0].dtypes)["pair"] == "string"
+    text = plan(out)
+    assert "Join" not in text and "parquet" in text.lower()  # neither joined with the ids nor written again
+    files = spark._jvm.org.apache.hadoop.fs.Path(made[0].folder)
+    kept = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)
+    assert sorted(int(f.getPath().getName()) for f in kept) == made[0].lasting and made[0].made > len(kept)
+    none = expand_enum(er.withColumn("branch", F.lit("unknown")), edges, levels=3)
+    assert none.count() == 0 and none.dtypes == out.dtypes
+    monkeypatch.undo()
+    want = rows(expand_enum(er, edges, levels=3))
+    assert got == want and len(want) > 60
+    # an id that comes twice, or is null, is joined as before
+    twice = er.unionByName(req(spark, [("q1", "R1", "v2"), (None, "R1", "v3")], er.schema))
+    both = rows(expand_enum(twice, edges, levels=3).filter("request_id IS NOT NULL"))
+    assert both == sorted(want + [("q1", *r[1:]) for r in want if r[0] == "q2"], key=repr)
+
+
 def test_numbers_follow_the_handles(spark):
     handles = ["terms/b", "terms/a", "terms/a10", "terms/a9", "terms/é", None, "terms/a"]
     numbers = LS.Numbers(spark.createDataFrame([(h,) for h in handles], "h string"))
