@@ -195,3 +195,44 @@ def test_base_collections_and_key_pruning(spark, iso):
     dropped = drop_dictionary(spark, "dgb_", base=True)
     assert dropped[-3:] == ["dgb_blobs", "dgb_edges", "dgb_terms"] and "dgb_membership" in dropped
     assert drop_dictionary(spark, "dgb_", base=True) == []
+
+
+def test_publishing_takes_each_thing_once(spark, monkeypatch):
+    """Documents are parsed once, their texts taken once for both text tables,
+    words are exploded without anything made of them before, and the edges do
+    not move to the few alias shells."""
+    from dictgraph.operators import search
+    from dictgraph.plans.graph import alias_map
+    from dictgraph.sources.dictionary import prepare_terms, rejected_terms, terms_from_json
+
+    text = spark.createDataFrame(
+        [("a", '{"_info":{"_title":{"ISO_639_3_eng":"one two  One"}}}'), ("b", "[1]"), ("c", "{"), ("d", None), (None, "{}"), ("e", '{"_code":{}}')],
+        "_key string, doc string",
+    ).repartition(2)
+    parsed = prepare_terms(terms_from_json(text))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
+    assert sorted(r["_key"] for r in parsed.collect()) == ["a", "e"]
+    assert sorted(str(r["_key"]) for r in rejected_terms(text).collect()) == ["None", "b", "c", "d"]
+
+    lines = spark.createDataFrame([("a", "one Two,  one"), ("b", "one"), ("c", " "), ("d", None), ("a", "x y")], "doc string, text string")
+    for pairs, want in ((True, [("a", "one two", 0), ("a", "two one", 1), ("a", "x y", 0)]),
+                        (False, [("a", "one", 0), ("a", "one", 2), ("a", "two", 1), ("a", "x", 0), ("a", "y", 1), ("b", "one", 0)])):
+        index = search.text_index_frame(lines, "doc", "text", pairs=pairs)
+        assert sorted((r["doc"], r["token"], r["pos"]) for r in index.collect()) == want
+        assert "lambda" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+    terms = parsed.checkpoint()
+    edges = spark.createDataFrame([("k", "terms/x", "terms/e", "_predicate_enum-of", ["terms/r"]), ("j", "terms/w", "terms/e", "_predicate_enum-of", ["terms/r"])],
+                                  "_key string, _from string, _to string, _predicate string, _path array<string>").checkpoint()
+    shells = alias_map(terms, edges)
+    assert "BroadcastHashJoin" in shells._jdf.queryExecution().executedPlan().toString()
+    assert shells.collect() == [("terms/e", "terms/w")]
+
+    taken, values = [], search.text_values_by_language
+    monkeypatch.setattr(search, "text_values_by_language", lambda t: taken.append(t) or values(t))
+    try:
+        publish_dictionary(spark, terms, edges, "dgonce_", num_ranges=2)
+        assert len(taken) == 1
+        assert sorted(r["token"] for r in spark.table("dgonce_text_pairs").collect()) == ["one two", "two one"]
+    finally:
+        drop_dictionary(spark, "dgonce_")
